@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import npbytes as nb
-from .common import staged, table, text_or_empty
+from .common import discard, staged, table, text_or_empty
 
 LENGTH, BRANCH, ROUNDS = 400, 7, 3
 #: Starts of windows through an anchor; bytes that all of them share.
@@ -158,19 +158,21 @@ def _split(size: int):
 def _unsettled(classes: DataFrame, core: list[str]) -> DataFrame:
     """Members of ``classes`` (one each) in cores of two classes or more that have one in need."""
     open_ = staged(classes.groupBy(*core).agg(F.count("*").alias("_c"), F.max("need").alias("_f")).where("_c > 1 AND _f").select(*core), "cores")
-    return classes.join(open_, core, "left_semi")
+    return staged(classes.join(open_, core, "left_semi"), "members")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(rid, lo, hi) of bytes covered by repeated strings, from rows (rid, text); spans overlap and repeat."""
     found = staged(docs.mapInArrow(_find_anchors, "core long, hull long, rid long, pos int, x short, y short"), "anchors")
     cores = staged(found.groupBy("core").count().where("count > 1").select("core"), "shared")
-    found = staged(found.join(cores, "core", "left_semi"), "candidates")
+    every, found = found, staged(found.join(cores, "core", "left_semi"), "candidates")
+    discard(every, cores)
 
     key = ["core", "hull", "x", "y"]
     classes = staged(found.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos")).alias("m")), "classes")
     span = [(F.col("pos") - F.col("y")).alias("lo"), (F.col("pos") - F.col("x") + LENGTH).alias("hi")]
-    spans = [found.join(classes.where("n > 1").select(*key), key, "left_semi").select("rid", *span)]
+    spans = [staged(found.join(classes.where("n > 1").select(*key), key, "left_semi").select("rid", *span).distinct(), "spans")]
+    discard(found)
 
     members = _unsettled(classes.select("core", "x", "y", "m.rid", "m.pos", (F.col("n") == 1).alias("need")), ["core"])
     asked = members.groupBy("rid").agg(F.collect_list(F.struct("core", "pos", "x", "y", "need")).alias("asked"))
@@ -182,12 +184,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         key = ["core", "core2", "bx", "hull", "cx", "cy"]
         classes = staged(rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos")).alias("m"), F.max("need").alias("need")), f"classes{size}")
         twins = classes.where("n > 1 AND need").select(*key)
-        spans.append(rows.where("need").join(twins, key, "left_semi").select("rid", (F.col("pos") - F.col("cy")).alias("lo"), (F.col("pos") - F.col("cx") + LENGTH).alias("hi")))
+        covered = rows.where("need").join(twins, key, "left_semi").select("rid", (F.col("pos") - F.col("cy")).alias("lo"), (F.col("pos") - F.col("cx") + LENGTH).alias("hi"))
+        spans.append(staged(covered, f"spans{size}"))
+        discard(rows)
         if size == 1:
             break
         single = classes.select("core", "core2", "bx", "m.rid", "m.pos", ((F.col("n") == 1) & F.col("need")).alias("need"))
         members = _unsettled(single, ["core", "core2", "bx"]).groupBy("rid", "pos").agg(F.collect_list(F.struct("bx", "need")).alias("asked"))
         parts = reach.join(members, ["rid", "pos"])
+    discard(reach)
     out = spans[0]
     for more in spans[1:]:
         out = out.unionByName(more)
