@@ -28,10 +28,10 @@ from . import npbytes as nb
 from .common import lean_shuffles, staged, table, text_or_empty, work_dir
 
 #: Counts up to K are discounted; a word with this share of a stretch's tokens is frequent; bytes of text for a part; passes.
-K, HOT_SHARE, PART_BYTES, PASSES = 5, 1 / 8192, 24 << 20, 3
+K, HOT_SHARE, PART_BYTES, PASSES = 5, 1 / 8192, 12 << 20, 3
 HELD_OUT = "crc32(cast(cast(doc_id AS string) AS binary)) % 7 = 2"
 START, END = np.uint64(0x5DEECE66D1234567), np.uint64(0x2545F4914F6CDD1D)
-_CHUNK = 8 << 20
+_CHUNK = 4 << 20
 _ROWS = "kind string, part int, blob binary, counts array<long>"
 _OUT = ["kind", "part", "blob", "counts"]
 
