@@ -28,6 +28,11 @@ SHINGLE, PERCENT = 5, 75
 #: A pair at the threshold shares no band with probability (1 - 0.75 ** ROWS) ** BANDS, 1.3e-6.
 BANDS, ROWS = 50, 5
 T = BANDS * ROWS
+#: Bins of the finer sketch, of one bit each, that pairs of what is left must pass; and the bits that may differ:
+#: at the threshold 1/8 of them do, and a deviation of 5 standard errors has probability 3e-7.
+FINE = 4096
+MAX_DIFFER = int(FINE / 8 + 5 * (FINE * 7 / 64) ** 0.5)
+_WORDS = [f"f{k}" for k in range(FINE // 64)]
 _CHUNK = 3 << 20
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64((1 << 48) - 1)
@@ -51,27 +56,27 @@ def shingle_sets(column) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of T bins for each set; all sets have members."""
+def sketches(sets: list[np.ndarray], t: int = T) -> np.ndarray:
+    """A row of t bins for each set; all sets have members."""
     n = len(sets)
-    bins = np.full(n * T, _NONE, np.uint64)
+    bins = np.full(n * t, _NONE, np.uint64)
     sizes = np.array([len(s) for s in sets])
     items = np.concatenate(sets) if n else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(n), sizes)
-    for i in range(2 * T):
+    for i in range(2 * t):
         if not len(items):
             break
         v = nb.mix(items + np.uint64((i + 1) * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF))
         value = (np.uint64(i) << np.uint64(48)) | (v & _LOW)
-        if i < T:
-            place = ((v >> np.uint64(48)) * np.uint64(T)) >> np.uint64(16)
+        if i < t:
+            place = ((v >> np.uint64(48)) * np.uint64(t)) >> np.uint64(16)
         else:
-            place = np.full(len(items), i - T, np.uint64)
-        np.minimum.at(bins, owner * T + place.astype(np.int64), value)
-        full = (bins.reshape(n, T) != _NONE).all(axis=1)
+            place = np.full(len(items), i - t, np.uint64)
+        np.minimum.at(bins, owner * t + place.astype(np.int64), value)
+        full = (bins.reshape(n, t) != _NONE).all(axis=1)
         left = ~full[owner]
         items, owner = items[left], owner[left]
-    return bins.reshape(n, T)
+    return bins.reshape(n, t)
 
 
 def band_keys(bins: np.ndarray) -> np.ndarray:
@@ -105,6 +110,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([some.column("node"), pa.array([s.tobytes() for s in shingle_sets(some.column("text"))], pa.binary())], names=["node", "shingles"])
 
 
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One bit of each bin of a sketch of FINE bins, in 64-bit words."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 100):
+            some = batch.slice(at, 100)
+            bins = sketches([np.frombuffer(v.as_buffer(), np.uint64) for v in some.column("shingles")], FINE)
+            bits = np.packbits((bins & np.uint64(1)).astype(bool), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([some.column("node"), *(pa.array(bits[:, k]) for k in range(FINE // 64))], names=["node", *_WORDS])
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         linked = []
@@ -161,11 +176,18 @@ def links_between(signed: DataFrame, docs: DataFrame) -> DataFrame:
         links, tried = (found, best) if links is None else (links.unionByName(found), tried.unionByName(best))
         members = _labelled(at, links)
 
-    # What is left: in each bucket all members of other components than its largest, with all members.
+    # What is left: in each bucket all members of other components than its largest, with all members. A pair
+    # is tried where its finer sketches allow it, and in the first bucket that it shares.
+    fine = sets.join(members.select("node").distinct(), "node").mapInArrow(_fine, "node long, " + ", ".join(f"{w} long" for w in _WORDS))
+    known = staged(fine.join(nodes.select("node", "bands"), "node"), "fine")
     sizes = members.groupBy("bucket", "label").count().groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("m")).select("bucket", F.col("m.label").alias("main"))
-    few = members.join(staged(sizes, "main"), "bucket").where("label <> main").select("bucket", F.col("node").alias("u"), F.col("n_shingles").alias("n"), F.col("label").alias("l"), "main")
-    pairs = few.join(members, "bucket").where(((F.col("label") == F.col("main")) | (F.col("u") < F.col("node")) & (F.col("l") != F.col("label"))) & _sizes_fit(F.col("n"), F.col("n_shingles")))
-    rest = pairs.select(F.least("u", "node").alias("a"), F.greatest("u", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    members = staged(members.join(staged(sizes, "main"), "bucket").join(known, "node").withColumn("before", F.slice("bands", 1, F.array_position("bands", F.col("bucket")).cast("int") - 1)).drop("bands"), "left")
+    few = members.where("label <> main")
+    u, v = few.alias("u"), members.alias("v")
+    differ = sum((F.bit_count(F.col(f"u.{w}").bitwiseXOR(F.col(f"v.{w}"))) for w in _WORDS), F.lit(0))
+    pairs = u.join(v, (F.col("u.bucket") == F.col("v.bucket")) & (F.col("u.label") != F.col("v.label")) & ((F.col("v.label") == F.col("v.main")) | (F.col("u.node") < F.col("v.node")))
+                   & _sizes_fit(F.col("u.n_shingles"), F.col("v.n_shingles")) & (differ <= MAX_DIFFER) & ~F.arrays_overlap("u.before", "v.before"))
+    rest = pairs.select(F.least("u.node", "v.node").alias("a"), F.greatest("u.node", "v.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     return links.unionByName(_linked(staged(rest, "rest"), sets))
 
 
