@@ -1,5 +1,353 @@
 """All queries of the library by name, and their SQL twins."""
 from __future__ import annotations
 
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions.geo import map_x, map_y
+from ..functions.ids import family, id_list, short_digest
+from ..operators import network, places, routes, series
+from ..streaming import progress
+from . import inputs as i
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+_SEG, _SPARSE_SEG = i.SEGMENTS.format(ways=i.WAYS), i.SEGMENTS.format(ways=i.SPARSE)
+_EDGES = f"SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM ({_SPARSE_SEG})"
+_BOTH = f"SELECT a, b FROM ({_EDGES}) UNION ALL SELECT b, a FROM ({_EDGES})"
+
+
+@query("""
+WITH s AS (SELECT user_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events)
+SELECT user_id, count(*) AS n, round(coalesce(sum(d) FILTER (WHERE d >= 0.5e0), 0), 4) AS gain, round(coalesce(sum(-d) FILTER (WHERE d <= -0.5e0), 0), 4) AS loss
+FROM s GROUP BY user_id""")
+def elevation_gain_loss(spark, d):
+    out = series.gain_loss(i.table(spark, d, "events"), "user_id", ["ts", "event_id"], "value")
+    return out.select("user_id", "n", F.round("gain", 4).alias("gain"), F.round("loss", 4).alias("loss"))
+
+
+@query(f"""
+WITH p AS (SELECT way, pos, lon, lat, lag(lon) OVER w AS lon0, lag(lat) OVER w AS lat0 FROM ({i.WAYS}) JOIN ({i.NODES}) ON node = id WINDOW w AS (PARTITION BY way ORDER BY pos)),
+s AS (SELECT way, pos, coalesce({i.HAVERSINE.format(lon1='lon0', lat1='lat0', lon2='lon', lat2='lat')}, 0) AS d FROM p)
+SELECT way, pos, round(sum(d) OVER (PARTITION BY way ORDER BY pos), 3) AS distance_m FROM s""")
+def haversine_cumulative(spark, d):
+    points = i.geo_ways(spark, d).join(i.geo_nodes(spark, d), F.col("node") == F.col("id"))
+    return series.cumulative_distance(points, "way", "pos").select("way", "pos", F.round("distance_m", 3).alias("distance_m"))
+
+
+@query(f"""
+SELECT id % 25 AS tile, round(min(6378137e0 * radians(lon)), 3) AS x0, round(max(6378137e0 * radians(lon)), 3) AS x1,
+  round(min(6378137e0 * ln(tan(radians(45e0 + lat / 2)))), 3) AS y0, round(max(6378137e0 * ln(tan(radians(45e0 + lat / 2)))), 3) AS y1 FROM ({i.NODES}) GROUP BY 1""")
+def mercator_bounds(spark, d):
+    n = i.geo_nodes(spark, d).select((F.col("id") % 25).alias("tile"), map_x(F.col("lon")).alias("x"), map_y(F.col("lat")).alias("y"))
+    return n.groupBy("tile").agg(F.round(F.min("x"), 3).alias("x0"), F.round(F.max("x"), 3).alias("x1"), F.round(F.min("y"), 3).alias("y0"), F.round(F.max("y"), 3).alias("y1"))
+
+
+@query("""
+SELECT event_id, round(CASE WHEN count(*) OVER (PARTITION BY user_id) <= 2 THEN value ELSE avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) END, 4) AS smoothed FROM events""")
+def moving_average_centered(spark, d):
+    return series.moving_average(i.table(spark, d, "events"), "user_id", ["ts", "event_id"], "value", 5).select("event_id", F.round("smoothed", 4).alias("smoothed"))
+
+
+@query("""
+WITH e AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, CASE WHEN event_id % 5 <> 0 THEN value END AS v FROM events),
+k AS (SELECT *, CASE WHEN v IS NOT NULL THEN i END AS ai FROM e),
+f AS (SELECT *, last_value(v IGNORE NULLS) OVER b AS v0, last_value(ai IGNORE NULLS) OVER b AS i0, first_value(v IGNORE NULLS) OVER a AS v1, first_value(ai IGNORE NULLS) OVER a AS i1 FROM k
+  WINDOW b AS (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT event_id, round(CASE WHEN v IS NOT NULL THEN v WHEN v0 IS NULL THEN v1 WHEN v1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * (i - i0) / (i1 - i0) END, 4) AS filled FROM f""")
+def fill_missing_linear(spark, d):
+    e = i.table(spark, d, "events").withColumn("v", F.when(F.col("event_id") % 5 != 0, F.col("value")))
+    return series.fill_missing(e, "user_id", ["ts", "event_id"], "v").select("event_id", F.round("filled", 4).alias("filled"))
+
+
+@query("""
+WITH e AS (SELECT user_id, value, epoch_us(ts) / 1000000e0 AS t FROM events), z AS (SELECT user_id, t - min(t) OVER (PARTITION BY user_id) AS x, value AS y FROM e),
+s AS (SELECT user_id, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM z WINDOW w AS (PARTITION BY user_id ORDER BY x)),
+g AS (SELECT user_id, unnest(range(CAST(ceil(x0 / 50000e0) AS BIGINT), CAST(ceil(x1 / 50000e0) AS BIGINT))) AS k, x0, y0, x1, y1 FROM s WHERE x1 > x0)
+SELECT user_id, k, round(k * 50000e0, 3) AS x, round(y0 + (y1 - y0) * (k * 50000e0 - x0) / (x1 - x0), 4) AS y FROM g
+UNION ALL SELECT user_id, NULL, round(x0, 3), round(y0, 4) FROM s WHERE x1 IS NULL""")
+def resample_profile(spark, d):
+    e = i.table(spark, d, "events").select("user_id", F.col("value").alias("y"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000000.0).alias("t"))
+    z = e.withColumn("x", F.col("t") - F.min("t").over(W.partitionBy("user_id")))
+    return series.resample(z, "user_id", "x", "y", 50000.0).select("user_id", "k", F.round("x", 3).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query(f"""
+WITH k AS (SELECT way, pos, node % 7 < 2 AS kept FROM ({i.WAYS}))
+SELECT way, pos, coalesce(pos BETWEEN min(pos) FILTER (WHERE kept) OVER (PARTITION BY way) AND max(pos) FILTER (WHERE kept) OVER (PARTITION BY way), false) AS filled FROM k""")
+def gap_fill_keep(spark, d):
+    return series.close_gaps(i.geo_ways(spark, d), "way", "pos", F.col("node") % 7 < 2).select("way", "pos", "filled")
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'excluded' WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'baseline' WHEN o_orderstatus = 'F' THEN 'included' ELSE 'buffer' END AS class FROM orders""")
+def tag_inclusion_classes(spark, d):
+    o = i.table(spark, d, "orders")
+    c = F.when(F.col("o_orderstatus") == "P", "excluded").when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "baseline").when(F.col("o_orderstatus") == "F", "included").otherwise("buffer")
+    return o.select("o_orderkey", c.alias("class"))
+
+
+@query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) >= DATE '1997-06-30' AS unavailable FROM orders WHERE o_orderstatus <> 'P'""")
+def unavailable_on_date(spark, d):
+    """A path is unavailable up to and with its date."""
+    o = i.table(spark, d, "orders").where("o_orderstatus <> 'P'")
+    return o.select("o_orderkey", (F.to_date("o_orderdate") >= F.lit("1997-06-30").cast("date")).alias("unavailable"))
+
+
+@query("""
+WITH t AS (SELECT o_orderkey AS id, 'state=' || lower(o_orderstatus) AS kv FROM orders WHERE o_orderstatus <> 'O' UNION ALL SELECT o_orderkey, 'until=' || strftime(o_orderdate, '%Y-%m-%d') FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01'
+  UNION ALL SELECT o_orderkey, 'grade=' || substr(o_orderpriority, 1, 1) FROM orders)
+SELECT id, string_agg(kv, ';' ORDER BY kv) AS tags FROM t GROUP BY id""")
+def policy_compact_tags(spark, d):
+    """Only the tags that say something, in order, as one text."""
+    o = i.table(spark, d, "orders")
+    tags = F.array(F.when(F.col("o_orderstatus") != "O", F.concat(F.lit("state="), F.lower("o_orderstatus"))), F.when(F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp"), F.concat(F.lit("until="), F.date_format("o_orderdate", "yyyy-MM-dd"))), F.concat(F.lit("grade="), F.substring("o_orderpriority", 1, 1)))
+    return o.select(F.col("o_orderkey").alias("id"), F.array_join(F.array_sort(F.filter(tags, lambda x: x.isNotNull())), ";").alias("tags"))
+
+
+@query(f"""SELECT way, substr(sha1('[' || string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) || ']'), 1, 12) AS id FROM (SELECT DISTINCT way, node FROM ({i.WAYS})) GROUP BY way""")
+def selector_ids(spark, d):
+    g = i.geo_ways(spark, d).groupBy("way").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
+    return g.select("way", short_digest(id_list(F.col("nodes"))).alias("id"))
+
+
+@query(f"""
+WITH s AS (SELECT run, string_agg(CAST(item AS VARCHAR), '-' ORDER BY pos) AS f, string_agg(CAST(item AS VARCHAR), '-' ORDER BY pos DESC) AS r FROM ({i.STEPS}) GROUP BY run)
+SELECT run, least(f, r) AS family, f <= r AS forward FROM s""")
+def canonical_path_family(spark, d):
+    s = i.steps(spark, d).groupBy("run").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"].cast("string")).alias("s"))
+    return s.select("run", family(F.col("s")).alias("family"), (F.array_join("s", "-") <= F.array_join(F.reverse("s"), "-")).alias("forward"))
+
+
+@query(f"""
+SELECT id, area FROM ({i.NODES}) p JOIN ({i.RINGS}) r ON (lat1 > lat) <> (lat2 > lat) AND lon < (lon2 - lon1) * (lat - lat1) / (lat2 - lat1) + lon1 GROUP BY id, area HAVING count(*) % 2 = 1""")
+def point_in_boundary(spark, d):
+    return places.inside(i.geo_nodes(spark, d), i.rings(spark, d))
+
+
+_DIST = """
+WITH p AS (SELECT id, 6378137e0 * radians(lon) AS px, 6378137e0 * ln(tan(radians(45e0 + lat / 2))) AS py FROM ({nodes})),
+e AS (SELECT area, 6378137e0 * radians(lon1) AS ax, 6378137e0 * ln(tan(radians(45e0 + lat1 / 2))) AS ay, 6378137e0 * radians(lon2) AS bx, 6378137e0 * ln(tan(radians(45e0 + lat2 / 2))) AS by_ FROM ({rings})),
+t AS (SELECT *, greatest(0e0, least(1e0, ((px - ax) * (bx - ax) + (py - ay) * (by_ - ay)) / (pow(bx - ax, 2) + pow(by_ - ay, 2)))) AS t FROM p, e),
+q AS (SELECT id, area, min(sqrt(pow(px - ax - t * (bx - ax), 2) + pow(py - ay - t * (by_ - ay), 2))) AS d FROM t GROUP BY id, area)
+SELECT id, area, round(d, 3) AS distance_m FROM q WHERE d <= 75""".format(nodes=i.NODES, rings=i.RINGS)
+
+
+@query(_DIST)
+def buffer_distance(spark, d):
+    return places.near_boundary(i.geo_nodes(spark, d), i.rings(spark, d), 75.0).select("id", "area", F.round("distance_m", 3).alias("distance_m"))
+
+
+@query(f"""
+WITH p AS (SELECT s_suppkey AS id, 36.79e0 + (s_suppkey * 7 % 640) / 10000e0 + 0.00013e0 AS lon, -1.26e0 + (s_suppkey * 13 % 320) / 10000e0 + 0.00021e0 AS lat FROM supplier),
+d AS (SELECT p.id, n.id AS node, {i.HAVERSINE.format(lon1='p.lon', lat1='p.lat', lon2='n.lon', lat2='n.lat')} AS d FROM p, ({i.NODES}) n)
+SELECT id, arg_min(node, d) AS node, round(min(d), 3) AS distance_m FROM d GROUP BY id""")
+def nearest_junction_node(spark, d):
+    i.ready(spark)
+    k = F.col("s_suppkey")
+    p = i.table(spark, d, "supplier").select(k.alias("id"), (F.lit(36.79) + (k * 7 % 640) / 10000.0 + 0.00013).alias("lon"), (F.lit(-1.26) + (k * 13 % 320) / 10000.0 + 0.00021).alias("lat"))
+    return places.nearest(p, i.geo_nodes(spark, d)).select("id", "node", F.round("distance_m", 3).alias("distance_m"))
+
+
+@query("""SELECT s_suppkey, s_suppkey * 37 AS node FROM supplier WHERE s_suppkey * 37 NOT IN (SELECT p_partkey FROM part)""")
+def must_match_junctions(spark, d):
+    s = i.table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") * 37).alias("node"))
+    return places.missing(s, "node", i.table(spark, d, "part"), "p_partkey").select("s_suppkey", "node")
+
+
+@query("""
+SELECT a.s_nationkey AS area, a.s_suppkey || '__to__' || b.s_suppkey AS scenario, a.s_suppkey = b.s_suppkey AS is_loop FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey""")
+def scenario_pairs(spark, d):
+    """Every ordered pair of an area's curated junctions, loops included."""
+    s = i.table(spark, d, "supplier").select(F.col("s_nationkey").alias("area"), "s_suppkey")
+    pairs = s.join(s.select("area", F.col("s_suppkey").alias("to")), "area")
+    return pairs.select("area", F.concat_ws("__to__", "s_suppkey", "to").alias("scenario"), (F.col("s_suppkey") == F.col("to")).alias("is_loop"))
+
+
+@query(f"""
+WITH x AS (SELECT way, count(*) AS n, count(CASE WHEN id % 11 <> 0 THEN elevation END) AS known, string_agg(CAST(elevation AS BIGINT), ',' ORDER BY pos) AS e FROM ({i.WAYS}) JOIN ({i.NODES}) ON node = id GROUP BY way)
+SELECT way, n = known AS complete, CASE WHEN n = known THEN e END AS elevations FROM x""")
+def elevation_all_or_nothing(spark, d):
+    """A path gets its elevations if all its nodes have one."""
+    n = i.geo_nodes(spark, d).withColumn("known", F.when(F.col("id") % 11 != 0, F.col("elevation")))
+    g = i.geo_ways(spark, d).join(n, F.col("node") == F.col("id")).groupBy("way").agg((F.count("*") == F.count("known")).alias("complete"), F.array_sort(F.collect_list(F.struct("pos", F.col("elevation").cast("long").alias("e")))).alias("s"))
+    return g.select("way", "complete", F.when(F.col("complete"), F.array_join(F.transform("s", lambda x: x["e"].cast("string")), ",")).alias("elevations"))
+
+
+@query(f"""
+SELECT least(a, b) AS a, greatest(a, b) AS b, string_agg(DISTINCT way, ',' ORDER BY way) AS ways, count(*) AS uses FROM ({_SEG}) GROUP BY 1, 2""")
+def edge_collapse(spark, d):
+    e = network.collapse(network.segments(i.geo_ways(spark, d)))
+    return e.select("a", "b", F.array_join(F.transform("ways", lambda x: x.cast("string")), ",").alias("ways"), "uses")
+
+
+@query("""SELECT o_custkey, count(DISTINCT o_orderstatus) AS states, min(o_orderstatus) AS first_state, max(o_orderstatus) AS last_state FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) > 1""")
+def policy_conflicts(spark, d):
+    """Keys for which rules disagree; merging policies needs this to be empty."""
+    g = i.table(spark, d, "orders").groupBy("o_custkey").agg(F.countDistinct("o_orderstatus").alias("states"), F.min("o_orderstatus").alias("first_state"), F.max("o_orderstatus").alias("last_state"))
+    return g.where("states > 1")
+
+
+@query(f"""SELECT node, count(*) AS degree, count(*) <> 2 AS crossing FROM (SELECT a AS node FROM ({_BOTH})) GROUP BY node""")
+def node_degree_crossings(spark, d):
+    return network.degrees(network.collapse(network.segments(i.sparse_ways(spark, d))))
+
+
+@query(f"""
+WITH RECURSIVE e AS MATERIALIZED ({_EDGES}), n AS (SELECT node FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) GROUP BY node HAVING count(*) = 2),
+l AS MATERIALIZED (SELECT x.a AS xa, x.b AS xb, y.a AS ya, y.b AS yb FROM n JOIN e x ON n.node IN (x.a, x.b) JOIN e y ON n.node IN (y.a, y.b)),
+r AS (SELECT a, b, a AS oa, b AS ob FROM e UNION SELECT r.a, r.b, l.ya, l.yb FROM r JOIN l ON r.oa = l.xa AND r.ob = l.xb),
+c AS (SELECT a, b, min(oa * 1000000 + ob) AS chain FROM r GROUP BY a, b)
+SELECT count(*) AS edges, min(a) AS first_node, max(b) AS last_node FROM c GROUP BY chain""")
+def contig_chains(spark, d):
+    i.ready(spark)
+    return network.contigs(network.collapse(network.segments(i.sparse_ways(spark, d)))).select("edges", "first_node", "last_node")
+
+
+@query(f"""
+WITH RECURSIVE e AS MATERIALIZED ({_BOTH}), r AS (SELECT DISTINCT a AS node, a AS other FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a)
+SELECT node, min(other) AS label FROM r GROUP BY node""")
+def network_components(spark, d):
+    i.ready(spark)
+    return network.components(network.collapse(network.segments(i.sparse_ways(spark, d))))
+
+
+@query(f"""
+WITH RECURSIVE e AS MATERIALIZED ({_BOTH}), s AS (SELECT min(a) AS node FROM e), r AS (SELECT node, 0 AS hops FROM s UNION SELECT e.b, hops + 1 FROM r JOIN e ON r.node = e.a WHERE hops < 6)
+SELECT node, min(hops) AS hops FROM r GROUP BY node""")
+def reachability(spark, d):
+    i.ready(spark)
+    e = network.collapse(network.segments(i.sparse_ways(spark, d)))
+    return network.reachable(e, e.agg(F.min("a")).first()[0], 6)
+
+
+@query("""
+WITH n AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 'edited' ELSE c_mktsegment END AS tag FROM customer WHERE c_custkey % 11 <> 0 UNION ALL SELECT -c_custkey - 1, 'added' FROM customer WHERE c_custkey % 13 = 0)
+SELECT coalesce(o.c_custkey, n.id) AS id, CASE WHEN o.c_custkey IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM customer o FULL JOIN n ON o.c_custkey = n.id
+WHERE o.c_custkey IS NULL OR n.id IS NULL OR o.c_mktsegment <> n.tag""")
+def document_diff(spark, d):
+    c = i.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("tag"))
+    new = c.where("id % 11 <> 0").select("id", F.when(F.col("id") % 7 == 0, "edited").otherwise(F.col("tag")).alias("to")).unionByName(c.where("id % 13 = 0").select((-F.col("id") - 1).alias("id"), F.lit("added").alias("to")))
+    both = c.join(new, "id", "full")
+    return both.where("tag IS NULL OR `to` IS NULL OR tag <> `to`").select("id", F.when(F.col("tag").isNull(), "added").when(F.col("to").isNull(), "removed").otherwise("changed").alias("change"))
+
+
+@query("""
+SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 'retagged' ELSE c_mktsegment END AS tag, CASE WHEN c_custkey % 5 = 0 THEN 0e0 ELSE c_acctbal END AS level FROM customer WHERE c_custkey % 11 <> 0
+UNION ALL SELECT -c_custkey - 1, 'added', 1e0 FROM customer WHERE c_custkey % 13 = 0""")
+def patch_apply(spark, d):
+    """Remove, retag, replace and add, each from its own patch table."""
+    base = i.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("tag"), F.col("c_acctbal").alias("level"))
+    removed, retag, replace = (base.where(f"id % {k} = 0").select("id") for k in (11, 7, 5))
+    added = base.where("id % 13 = 0").select((-F.col("id") - 1).alias("id"), F.lit("added").alias("tag"), F.lit(1.0).alias("level"))
+    out = base.join(removed, "id", "left_anti").join(retag.withColumn("_t", F.lit("retagged")), "id", "left").join(replace.withColumn("_l", F.lit(0.0)), "id", "left")
+    return out.select("id", F.coalesce("_t", "tag").alias("tag"), F.coalesce("_l", "level").alias("level")).unionByName(added)
+
+
+_RUNS = f"""
+SELECT scenario, run, any_value(complete) AS complete, count(*) AS n_steps, sum(length) AS total, sum(length) FILTER (WHERE k = 1) AS distinct_length, coalesce(sum(length) FILTER (WHERE k > 1), 0) AS overlap, count(*) FILTER (WHERE k > 1) AS repeats
+FROM (SELECT *, row_number() OVER (PARTITION BY run, item ORDER BY pos) AS k FROM ({i.STEPS})) GROUP BY scenario, run"""
+
+
+def _runs(spark, d):
+    s = i.steps(spark, d)
+    done = s.groupBy("run").agg(F.max("complete").alias("complete"))
+    return routes.measured(s).join(done, "run").withColumn("score", F.col("distinct_length") - 10 * F.col("overlap"))
+
+
+@query(f"""
+SELECT scenario, run, rank FROM (SELECT scenario, run, row_number() OVER (PARTITION BY scenario ORDER BY complete DESC, distinct_length DESC, overlap, distinct_length - 10 * overlap DESC, n_steps, run) AS rank FROM ({_RUNS})) WHERE rank <= 3""")
+def candidate_ranking_topk(spark, d):
+    return routes.ranked(_runs(spark, d), 3).select("scenario", "run", "rank")
+
+
+@query(f"SELECT run, n_steps, repeats, round(total, 2) AS total, round(overlap, 2) AS overlap FROM ({_RUNS})")
+def visit_counts_repeats(spark, d):
+    return _runs(spark, d).select("run", "n_steps", "repeats", F.round("total", 2).alias("total"), F.round("overlap", 2).alias("overlap"))
+
+
+@query(f"""
+WITH x AS (SELECT DISTINCT scenario, run, item FROM ({i.STEPS})), n AS (SELECT run, count(*) AS n FROM x GROUP BY run),
+p AS (SELECT x.scenario, x.run AS a, y.run AS b, count(*) AS m FROM x JOIN x y ON x.scenario = y.scenario AND x.item = y.item AND x.run < y.run GROUP BY 1, 2, 3)
+SELECT scenario, a, b, round(m / CAST(na.n + nb.n - m AS DOUBLE), 6) AS jaccard FROM p JOIN n na ON na.run = a JOIN n nb ON nb.run = b""")
+def pairwise_jaccard(spark, d):
+    return routes.overlaps(i.steps(spark, d)).select("scenario", "a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query("""
+SELECT o_orderpriority AS planner, count(*) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean, round(median(o_totalprice), 4) AS middle, max(o_totalprice) AS most, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1e0 ELSE 0e0 END), 6) AS completion FROM orders GROUP BY 1""")
+def benchmark_summary(spark, d):
+    return i.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("planner")).agg(
+        F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.round(F.avg("o_totalprice"), 4).alias("mean"), F.round(F.median("o_totalprice"), 4).alias("middle"),
+        F.max("o_totalprice").alias("most"), F.round(F.avg(F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0)), 6).alias("completion"))
+
+
+@query(f"""
+WITH s AS (SELECT run, string_agg(CAST(item AS VARCHAR), '-' ORDER BY pos) AS f, string_agg(CAST(item AS VARCHAR), '-' ORDER BY pos DESC) AS r FROM ({i.STEPS}) GROUP BY run),
+q AS (SELECT scenario, run, least(f, r) AS family, distinct_length - 8 * overlap AS quality FROM ({_RUNS}) JOIN s USING (run))
+SELECT scenario, family, run, quality, members FROM (SELECT *, count(*) OVER (PARTITION BY scenario, family) AS members, row_number() OVER (PARTITION BY scenario, family ORDER BY quality DESC, run) AS k FROM q) WHERE k = 1""")
+def family_representatives(spark, d):
+    runs = _runs(spark, d).withColumn("quality", F.col("distinct_length") - 8 * F.col("overlap")).join(canonical_path_family(spark, d).select("run", "family"), "run")
+    return routes.representatives(runs)
+
+
+@query("""SELECT user_id, event_id, k FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 12""")
+def history_last12(spark, d):
+    w = W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    return i.table(spark, d, "events").select("user_id", "event_id", F.row_number().over(w).alias("k")).where("k <= 12")
+
+
+@query("""SELECT event_id, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS best FROM events""")
+def progress_running_best(spark, d):
+    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    return i.table(spark, d, "events").select("event_id", F.max("value").over(w).alias("best"))
+
+
+@query("""SELECT user_id, max(value) AS best, count(*) AS n FROM events GROUP BY user_id""")
+def progress_stream(spark, d):
+    """The same state from a stream, read to its end."""
+    return progress.best_so_far(spark, d)
+
+
+@query(f"""
+SELECT way, '<trkseg>' || string_agg('<trkpt lat="' || printf('%.6f', lat) || '" lon="' || printf('%.6f', lon) || '"/>', '' ORDER BY pos) || '</trkseg>' AS gpx FROM ({i.WAYS}) JOIN ({i.NODES}) ON node = id GROUP BY way""")
+def gpx_text(spark, d):
+    p = i.geo_ways(spark, d).join(i.geo_nodes(spark, d), F.col("node") == F.col("id"))
+    point = F.format_string('<trkpt lat="%.6f" lon="%.6f"/>', "lat", "lon")
+    g = p.groupBy("way").agg(F.array_sort(F.collect_list(F.struct("pos", point.alias("p")))).alias("s"))
+    return g.select("way", F.concat(F.lit("<trkseg>"), F.array_join(F.transform("s", lambda x: x["p"]), ""), F.lit("</trkseg>")).alias("gpx"))
+
+
+@query(f"""
+SELECT way, '{{"type":"Feature","geometry":{{"type":"LineString","coordinates":[' || string_agg('[' || printf('%.6f', lon) || ',' || printf('%.6f', lat) || ']', ',' ORDER BY pos) || ']}},"properties":{{"way":' || way || '}}}}' AS feature FROM ({i.WAYS}) JOIN ({i.NODES}) ON node = id GROUP BY way""")
+def geojson_features(spark, d):
+    p = i.geo_ways(spark, d).join(i.geo_nodes(spark, d), F.col("node") == F.col("id"))
+    g = p.groupBy("way").agg(F.array_sort(F.collect_list(F.struct("pos", F.format_string("[%.6f,%.6f]", "lon", "lat").alias("p")))).alias("s"))
+    return g.select("way", F.concat(F.lit('{"type":"Feature","geometry":{"type":"LineString","coordinates":['), F.array_join(F.transform("s", lambda x: x["p"]), ","), F.lit(']},"properties":{"way":'), F.col("way").cast("string"), F.lit("}}")).alias("feature"))
+
+
+@query()
+def diverse_selection(spark, d):
+    items = i.steps(spark, d).groupBy("run").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    runs = _runs(spark, d).withColumn("quality", (F.col("distinct_length") - 8 * F.col("overlap")).cast("double")).join(items, "run")
+    return routes.diverse(runs.select("scenario", "run", "quality", "distinct_length", "overlap", "total", "items"), 4)
+
+
+@query()
+def plan_walks(spark, d):
+    """Seeded walks from ten starts over the thin network."""
+    e = network.collapse(network.segments(i.sparse_ways(spark, d))).where("a < 100000")
+    runs = spark.range(10).select(F.col("id").alias("run"), F.col("id").alias("seed"), (F.col("id") * 3).alias("start"), F.lit(-1).cast("long").alias("goal"))
+    return routes.planned(runs, e.where("a < 20000").limit(200_000).select("a", "b", F.lit(1.0).alias("length")))
