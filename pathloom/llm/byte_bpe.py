@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from .common import table
 
 #: Pieces in one recursive query; pieces remembered in a task; bytes from which a piece is merged with a heap instead, as each round reads the whole piece.
-LOT, CACHE, LONG_PIECE = 20_000, 200_000, 400
+LOT, CACHE, LONG_PIECE = 20_000, 600_000, 400
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -86,7 +86,7 @@ class Engine:
         pos = [k for p in pieces for k in range(len(p))]
         ids = [self.single[x] for p in pieces for x in p]
         self._load("start", pa.table({"piece": pa.array(piece, pa.int32()), "pos": pa.array(pos, pa.int32()), "id": pa.array(ids, pa.int32())}))
-        rows = self.db.execute(_ENCODE).to_arrow_table()
+        rows = self.db.sql(_ENCODE).to_arrow_table()
         return list(zip(rows.column("ids").to_pylist(), map(bytes.fromhex, rows.column("decoded").to_pylist()), strict=True))
 
     def _heap(self, piece: bytes) -> list[int]:
@@ -139,8 +139,7 @@ class Engine:
             pieces = [split(t) for t in texts[start:end]]
             new = set().union(*pieces).difference(self.known)
             if len(self.known) + len(new) > CACHE:
-                self.known.clear()
-                new = set().union(*pieces)
+                self.known = {p: self.known[p] for p in set().union(*pieces) if p in self.known}  # what is in use stays
             self.learn(new)
             known = self.known
             for each in pieces:
