@@ -1,7 +1,7 @@
 """Quality rules as a learned decision list. DataFrame operations only.
 
 Features of every text are Spark expressions. The labelled rows are reduced to a
-histogram over quantile cells (at most BINS ** features rows, whatever the input),
+histogram over quantile cells (at most (BINS + 10) ** features rows, whatever the input),
 and sequential covering grows and prunes conjunctions of thresholds on it. The
 result is an ordered Spark CASE expression.
 """
@@ -113,9 +113,9 @@ class DecisionList:
 def _histogram(labelled: DataFrame, bins: int) -> tuple[dict[str, list[float]], list[tuple[tuple[int, ...], int, int, int]]]:
     """Thresholds of each feature; and rows (cell, part, good, bad). Both are bounded by ``bins`` and the features."""
     at = [k / bins for k in range(1, bins)]
-    # Quantiles of the rejected rows too: where bad texts are rare, the overall ones may not separate them.
-    picks = labelled.agg(*[F.percentile_approx(f, at, 10_000).alias(f) for f in RULE_FEATURES], *[F.percentile_approx(F.when(F.col("label") == 0, F.col(f)), [0.02, 0.1, 0.5], 10_000).alias(f"{f}_bad") for f in RULE_FEATURES]).first()
-    edges = {f: sorted({float(x) for x in (picks[f] or [])} | {float(x) for x in (picks[f"{f}_bad"] or [])}) for f in RULE_FEATURES}
+    # Quantiles of each class too: where bad texts are rare, the overall ones may not separate them.
+    picks = labelled.agg(*[F.percentile_approx(f, at, 10_000).alias(f) for f in RULE_FEATURES], *[F.percentile_approx(F.when(F.col("label") == k, F.col(f)), [0.02, 0.1, 0.5, 0.9, 0.98], 10_000).alias(f"{f}_{k}") for f in RULE_FEATURES for k in (0, 1)]).first()
+    edges = {f: sorted({float(x) for name in (f, f"{f}_0", f"{f}_1") for x in (picks[name] or [])}) for f in RULE_FEATURES}
     cells = [reduce(lambda a, b: a + b, [(F.col(f) > F.lit(e)).cast("int") for e in edges[f]], F.lit(0)).alias(f"b{i}") for i, f in enumerate(RULE_FEATURES)]
     rows = labelled.select(*cells, "part", "label").groupBy(*[f"b{i}" for i in range(len(cells))], "part").agg(F.count(F.when(F.col("label") == 1, 1)), F.count(F.when(F.col("label") == 0, 1))).collect()
     return edges, [(tuple(r[: len(cells)]), r[len(cells)], r[-2], r[-1]) for r in rows]
