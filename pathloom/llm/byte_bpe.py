@@ -14,6 +14,7 @@ import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -28,19 +29,27 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
+#: A row knows the place of the token after it and that token's id, so a round needs no window: it takes each piece's least
+#: (rank, place), drops the token after that place, and looks up only the two pairs that change.
 _ENCODE = """
-WITH RECURSIVE t(piece, pos, id, round) AS (
-  SELECT piece, pos, id, 0 FROM start
+WITH RECURSIVE t(piece, pos, id, after, next, merged, round) AS (
+  SELECT s.piece, s.pos, s.id, s.after, s.next, m.merged, 0 FROM start s LEFT JOIN merges m ON m.pair = s.id * 65536 + s.next
   UNION ALL
-  SELECT piece, pos, CASE WHEN pos = place THEN best ELSE id END, round + 1
+  SELECT x.piece, x.pos, x.id, x.after, x.next, CASE WHEN x.pair IS NULL THEN x.merged ELSE m.merged END, x.round + 1
   FROM (
-    SELECT *, min(pos) FILTER (WHERE merged = best) OVER (PARTITION BY piece) AS place
-    FROM (
-      SELECT s.piece, s.pos, s.id, s.round, s.before, m.merged, min(m.merged) OVER (PARTITION BY s.piece) AS best
-      FROM (SELECT *, lead(id) OVER w AS after, lag(pos) OVER w AS before FROM t WINDOW w AS (PARTITION BY piece ORDER BY pos)) s
-      LEFT JOIN merges m ON m.a = s.id AND m.b = s.after
-    ) WHERE best IS NOT NULL
-  ) WHERE before IS DISTINCT FROM place
+    SELECT t.piece, t.pos, t.round, t.merged,
+      CASE WHEN t.pos = b.place THEN b.best ELSE t.id END AS id,
+      CASE WHEN t.pos = b.place THEN gone.after ELSE t.after END AS after,
+      CASE WHEN t.pos = b.place THEN gone.next WHEN t.after = b.place THEN b.best ELSE t.next END AS next,
+      CASE WHEN t.pos = b.place THEN coalesce(b.best * 65536 + gone.next, -1) WHEN t.after = b.place THEN t.id * 65536 + b.best END AS pair
+    FROM t
+    JOIN (
+      SELECT piece, min(merged * 512 + pos) // 512 AS best, min(merged * 512 + pos) % 512 AS place, arg_min(after, merged * 512 + pos) AS partner
+      FROM t WHERE merged IS NOT NULL GROUP BY piece
+    ) b ON b.piece = t.piece
+    JOIN t gone ON gone.piece = b.piece AND gone.pos = b.partner
+    WHERE t.pos <> b.partner
+  ) x LEFT JOIN merges m ON m.pair = x.pair
 ),
 last AS (SELECT piece, max(round) AS round FROM t GROUP BY piece)
 SELECT piece, list(id ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS decoded
@@ -61,6 +70,8 @@ class Engine:
         import regex
 
         self.ranks = read_ranks(path)
+        if max(self.ranks.values()) >= 1 << 16:
+            raise ValueError("pairs of ids are packed in 32 bits: ranks must be below 65536")
         self.pattern = regex.compile(pattern)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         a, b, merged = [], [], []
@@ -70,9 +81,10 @@ class Engine:
                 if left is not None and right is not None:
                     a.append(left), b.append(right), merged.append(rank)
         self.merges = {(x, y): z for x, y, z in zip(a, b, merged, strict=True)}
-        self._load("merges", pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "merged": pa.array(merged, pa.int32())}))
+        pairs = [x * 65536 + y for x, y in zip(a, b, strict=True)]
+        self._load("merges", pa.table({"pair": pa.array(pairs, pa.int64()), "merged": pa.array(merged, pa.int64())}))
         self.tokens = {rank: token for token, rank in self.ranks.items()}
-        self._load("vocabulary", pa.table({"id": pa.array(list(self.tokens), pa.int32()), "hex": [t.hex() for t in self.tokens.values()]}))
+        self._load("vocabulary", pa.table({"id": pa.array(list(self.tokens), pa.int64()), "hex": [t.hex() for t in self.tokens.values()]}))
         self.single = [self.ranks[bytes([k])] for k in range(256)]
         self.known: dict[str, tuple[bytes, bytes]] = {}
 
@@ -82,10 +94,16 @@ class Engine:
         self.db.unregister("_rows")
 
     def _recursive(self, pieces: list[bytes]) -> list[tuple[list[int], bytes]]:
-        piece = [k for k, p in enumerate(pieces) for _ in p]
-        pos = [k for p in pieces for k in range(len(p))]
-        ids = [self.single[x] for p in pieces for x in p]
-        self._load("start", pa.table({"piece": pa.array(piece, pa.int32()), "pos": pa.array(pos, pa.int32()), "id": pa.array(ids, pa.int32())}))
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends = np.cumsum(sizes)
+        pos = np.arange(len(raw)) - np.repeat(ends - sizes, sizes)
+        ids = np.array(self.single, np.int64)[raw]
+        final = np.zeros(len(raw), bool)
+        final[ends - 1] = True
+        self._load("start", pa.table({
+            "piece": np.repeat(np.arange(len(pieces)), sizes), "pos": pos, "id": ids,
+            "after": pa.array(pos + 1, mask=final), "next": pa.array(np.append(ids[1:], 0), mask=final)}))
         rows = self.db.sql(_ENCODE).to_arrow_table()
         return list(zip(rows.column("ids").to_pylist(), map(bytes.fromhex, rows.column("decoded").to_pylist()), strict=True))
 
@@ -177,8 +195,6 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     out = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         bpe = engine(path, pattern)
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
