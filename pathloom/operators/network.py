@@ -60,3 +60,36 @@ def reachable(edges: DataFrame, start: int, hops: int, checkpoint=lambda df: df.
             break
         seen = seen.unionByName(new)
     return seen
+
+
+def shortest(edges: DataFrame, start: int, hops: int, checkpoint=lambda df: df.checkpoint()) -> DataFrame:
+    """(node, distance): the least sum of lengths over paths of at most ``hops`` edges (a, b, length). Each round relaxes only what got nearer."""
+    both = edges.select("a", "b", "length").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "length"))
+    best = both.sparkSession.range(1).select(F.lit(start).cast("long").alias("node"), F.lit(0).cast("long").alias("distance"))
+    new = best
+    for _ in range(hops):
+        tried = new.join(both, new.node == both.a).groupBy(F.col("b").alias("node")).agg(F.min(F.col("distance") + F.col("length")).alias("to"))
+        new = checkpoint(tried.join(best, "node", "left").where("distance IS NULL OR `to` < distance").select("node", F.col("to").alias("distance")))
+        if new.isEmpty():
+            break
+        best = checkpoint(best.unionByName(new).groupBy("node").agg(F.min("distance").alias("distance")))
+    return best
+
+
+def bindings(rules: DataFrame, edges: DataFrame) -> DataFrame:
+    """(way, contigs, status) of rules given as segments (way, pos, a, b): the contigs (edges a < b, contig) along each, runs collapsed.
+
+    Status: ``exact`` for one contig, ``split`` for more, ``stale`` if a segment has no edge.
+    """
+    keyed = rules.select("way", "pos", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = keyed.join(edges.select("a", "b", "contig"), ["a", "b"], "left")
+    new = ~F.col("contig").eqNullSafe(F.lag("contig").over(W.partitionBy("way").orderBy("pos")))
+    path = found.withColumn("_n", new | (F.col("contig").isNull())).groupBy("way").agg(
+        F.array_sort(F.collect_list(F.when(F.col("_n") & F.col("contig").isNotNull(), F.struct("pos", "contig")))).alias("s"), F.max(F.col("contig").isNull()).alias("stale"))
+    status = F.when(F.col("stale"), "stale").when(F.size("s") == 1, "exact").otherwise("split")
+    return path.select("way", F.transform("s", lambda x: x["contig"]).alias("contigs"), status.alias("status"))
+
+
+def shared_edges(parts: DataFrame) -> DataFrame:
+    """(a, b, ways) of edges that more than one way claims; an index by edge needs this to be empty."""
+    return collapse(parts).where("size(ways) > 1").select("a", "b", F.size("ways").cast("long").alias("ways"))

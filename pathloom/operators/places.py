@@ -56,3 +56,14 @@ def nearest(points: DataFrame, nodes: DataFrame, cell: float = 0.02) -> DataFram
 def missing(rows: DataFrame, key: str, known: DataFrame, other: str) -> DataFrame:
     """Rows whose key must be in ``known`` and is not; empty means that the join may be an inner one."""
     return rows.join(known.select(F.col(other).alias(key)), key, "left_anti")
+
+
+def zones(points: DataFrame, rings: DataFrame, buffer_m: float) -> DataFrame:
+    """(id, zone, areas): ``core`` inside an area, ``buffer`` within ``buffer_m`` of one, else ``outside``; areas in order, joined by a semicolon."""
+    core = inside(points, rings).select("id", "area", F.lit(0).alias("z"))
+    near = near_boundary(points, rings, buffer_m).select("id", "area", F.lit(1).alias("z"))
+    hit = core.unionByName(near).groupBy("id").agg(F.min("z").alias("z"), F.collect_set(F.struct("z", "area")).alias("s"))
+    names = F.array_join(F.transform(F.array_sort(F.filter("s", lambda x: x["z"] == F.col("z"))), lambda x: x["area"].cast("string")), ";")
+    hit = hit.select("id", "z", names.alias("areas"))
+    zone = F.when(F.col("z") == 0, "core").when(F.col("z") == 1, "buffer").otherwise("outside")
+    return points.select("id").join(hit, "id", "left").select("id", zone.alias("zone"), F.coalesce("areas", F.lit("")).alias("areas"))

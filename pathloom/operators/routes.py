@@ -103,3 +103,22 @@ def planned(runs: DataFrame, arcs: DataFrame, max_steps: int = 64) -> DataFrame:
             yield pd.DataFrame(out, columns=["run", "pos", "node"])
 
     return runs.mapInPandas(walk, "run long, pos long, node long")
+
+
+def novelty(steps: DataFrame, history: DataFrame) -> DataFrame:
+    """(scenario, run, novelty) of the runs of ``steps``: 1 less the greatest overlap (Jaccard) with a run of ``history`` of the same scenario.
+
+    Both are (scenario, run, item). Runs meet through the items that they share; one that meets none has novelty 1.
+    """
+    new, old = steps.select("scenario", "run", "item").distinct(), history.select("scenario", F.col("run").alias("other"), "item").distinct()
+    size = new.groupBy("scenario", "run").agg(F.count("*").alias("n"))
+    before = old.groupBy("scenario", "other").agg(F.count("*").alias("m"))
+    both = new.join(old, ["scenario", "item"]).groupBy("scenario", "run", "other").agg(F.count("*").alias("k")).join(before, ["scenario", "other"]).join(size, ["scenario", "run"])
+    like = both.groupBy("scenario", "run").agg(F.max(F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).alias("like"))
+    return size.join(like, ["scenario", "run"], "left").select("scenario", "run", (1.0 - F.coalesce("like", F.lit(0.0))).alias("novelty"))
+
+
+def node_list(steps: DataFrame) -> DataFrame:
+    """(run, nodes) of steps (run, pos, a, b): the first step's start, then every step's end, so joints appear once."""
+    s = steps.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("pos", "a", "b"))).alias("s"))
+    return s.select("run", F.concat(F.array(F.col("s")[0]["a"]), F.transform("s", lambda x: x["b"])).alias("nodes"))

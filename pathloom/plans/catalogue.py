@@ -351,3 +351,143 @@ def plan_walks(spark, d):
     e = network.collapse(network.segments(i.sparse_ways(spark, d))).where("a < 100000")
     runs = spark.range(10).select(F.col("id").alias("run"), F.col("id").alias("seed"), (F.col("id") * 3).alias("start"), F.lit(-1).cast("long").alias("goal"))
     return routes.planned(runs, e.where("a < 20000").limit(200_000).select("a", "b", F.lit(1.0).alias("length")))
+
+
+@query("""
+SELECT n_regionkey AS area, string_agg(CASE WHEN n_nationkey % 3 = 0 THEN 'w' ELSE 'r' END || n_nationkey, ';' ORDER BY n_nationkey) AS refs FROM nation GROUP BY n_regionkey""")
+def component_refs(spark, d):
+    """The boundary components of an area, ways and relations told apart by a prefix."""
+    n = i.table(spark, d, "nation").withColumn("ref", F.concat(F.when(F.col("n_nationkey") % 3 == 0, "w").otherwise("r"), F.col("n_nationkey").cast("string")))
+    g = n.groupBy(F.col("n_regionkey").alias("area")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "ref"))).alias("s"))
+    return g.select("area", F.array_join(F.transform("s", lambda x: x["ref"]), ";").alias("refs"))
+
+
+@query("""SELECT DISTINCT CASE WHEN n_nationkey % 3 = 0 THEN 'way' ELSE 'relation' END AS kind, n_nationkey % 10 AS id FROM nation""")
+def area_ids_distinct(spark, d):
+    n = i.table(spark, d, "nation")
+    return n.select(F.when(F.col("n_nationkey") % 3 == 0, "way").otherwise("relation").alias("kind"), (F.col("n_nationkey") % 10).alias("id")).distinct()
+
+
+@query(f"""
+WITH k AS (SELECT way, pos, CASE WHEN node % 7 < 2 THEN 'r' || (node % 5) END AS ref FROM ({i.WAYS})),
+f AS (SELECT way, pos, last_value(ref IGNORE NULLS) OVER (PARTITION BY way ORDER BY pos ROWS UNBOUNDED PRECEDING) AS l, first_value(ref IGNORE NULLS) OVER (PARTITION BY way ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS r FROM k)
+SELECT way, pos, CASE WHEN l IS NULL OR r IS NULL THEN NULL WHEN l = r THEN l ELSE least(l, r) || ';' || greatest(l, r) END AS refs FROM f""")
+def gap_fill_refs(spark, d):
+    k = i.geo_ways(spark, d).withColumn("ref", F.when(F.col("node") % 7 < 2, F.concat(F.lit("r"), (F.col("node") % 5).cast("string"))))
+    return series.fill_refs(k, "way", "pos", "ref").select("way", "pos", F.array_join("refs", ";").alias("refs"))
+
+
+@query(f"""
+WITH c AS (SELECT id, area FROM ({i.NODES}) p JOIN ({i.RINGS}) r ON (lat1 > lat) <> (lat2 > lat) AND lon < (lon2 - lon1) * (lat - lat1) / (lat2 - lat1) + lon1 GROUP BY id, area HAVING count(*) % 2 = 1),
+b AS ({_DIST}), h AS (SELECT id, area, 0 AS z FROM c UNION ALL SELECT id, area, 1 FROM b), m AS (SELECT *, min(z) OVER (PARTITION BY id) AS least_z FROM h),
+g AS (SELECT id, min(z) AS z, string_agg(CAST(area AS VARCHAR), ';' ORDER BY area) AS areas FROM m WHERE z = least_z GROUP BY id)
+SELECT n.id, CASE g.z WHEN 0 THEN 'core' WHEN 1 THEN 'buffer' ELSE 'outside' END AS zone, coalesce(areas, '') AS areas FROM ({i.NODES}) n LEFT JOIN g ON n.id = g.id""")
+def segment_zone(spark, d):
+    return places.zones(i.geo_nodes(spark, d), i.rings(spark, d), 75.0)
+
+
+@query("""SELECT s_nationkey * 2 AS area, count(*) AS junctions FROM supplier WHERE s_nationkey * 2 NOT IN (SELECT n_nationkey FROM nation) GROUP BY 1""")
+def unknown_areas(spark, d):
+    s = i.table(spark, d, "supplier").select((F.col("s_nationkey") * 2).alias("area"))
+    return places.missing(s, "area", i.table(spark, d, "nation"), "n_nationkey").groupBy("area").agg(F.count("*").alias("junctions"))
+
+
+@query("""
+WITH v AS (SELECT n_regionkey AS area, n_nationkey AS s, CAST((n_nationkey * 7 + 3) % 25 AS INTEGER) AS e FROM nation),
+q AS (SELECT o_orderkey AS id, CAST(o_orderkey % 5 AS INTEGER) AS area, CAST(o_orderkey % 29 AS INTEGER) AS s, CAST(o_custkey % 29 AS INTEGER) AS e FROM orders),
+m AS (SELECT q.id, v.s, v.e, row_number() OVER (PARTITION BY q.id ORDER BY CASE WHEN v.s = q.s AND v.e = q.e THEN 0 WHEN v.s = q.s THEN 1 WHEN v.e = q.e THEN 2 ELSE 3 END, v.s, v.e) AS k FROM q JOIN v ON q.area = v.area)
+SELECT id, s AS start_id, e AS end_id FROM m WHERE k = 1""")
+def scenario_fallback(spark, d):
+    """The requested scenario of an area, else its first with that start, with that end, or at all. An area's scenarios are a curated list, kept as one array."""
+    n, o = i.table(spark, d, "nation"), i.table(spark, d, "orders")
+    v = n.groupBy(F.col("n_regionkey").alias("area")).agg(F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").alias("s"), ((F.col("n_nationkey") * 7 + 3) % 25).cast("int").alias("e")))).alias("all"))
+    q = o.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 5).cast("int").alias("area"), (F.col("o_orderkey") % 29).cast("int").alias("s"), (F.col("o_custkey") % 29).cast("int").alias("e")).join(v, "area")
+    fit = F.transform("all", lambda x: F.struct(F.when((x["s"] == F.col("s")) & (x["e"] == F.col("e")), 0).when(x["s"] == F.col("s"), 1).when(x["e"] == F.col("e"), 2).otherwise(3).alias("k"), x["s"].alias("s"), x["e"].alias("e")))
+    return q.withColumn("m", F.array_min(fit)).select("id", F.col("m.s").alias("start_id"), F.col("m.e").alias("end_id"))
+
+
+@query(f"""
+WITH x AS (SELECT way, pos, node % 3 AS class, CASE WHEN lag(node % 3) OVER (PARTITION BY way ORDER BY pos) IS DISTINCT FROM node % 3 THEN 1 ELSE 0 END AS s FROM ({i.WAYS})),
+y AS (SELECT *, sum(s) OVER (PARTITION BY way ORDER BY pos) AS run FROM x)
+SELECT way, CAST(run AS BIGINT) AS run, min(class) AS class, min(pos) AS first_pos, max(pos) AS last_pos FROM y GROUP BY way, run""")
+def policy_runs(spark, d):
+    """Neighbours along a way that have the same policy become one rule."""
+    return series.runs_of_equal(i.geo_ways(spark, d).withColumn("class", F.col("node") % 3), "way", "pos", "class")
+
+
+@query(f"""
+WITH s AS ({_SPARSE_SEG}), c AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, least(a, b) % 4 AS contig FROM s WHERE (a + b) % 19 <> 0),
+f AS (SELECT way, pos, contig FROM s LEFT JOIN c ON least(s.a, s.b) = c.a AND greatest(s.a, s.b) = c.b),
+n AS (SELECT *, contig IS DISTINCT FROM lag(contig) OVER (PARTITION BY way ORDER BY pos) AS fresh FROM f)
+SELECT way, coalesce(string_agg(CAST(contig AS VARCHAR), '-' ORDER BY pos) FILTER (WHERE fresh AND contig IS NOT NULL), '') AS contigs,
+  CASE WHEN bool_or(contig IS NULL) THEN 'stale' WHEN count(*) FILTER (WHERE fresh) = 1 THEN 'exact' ELSE 'split' END AS status FROM n GROUP BY way""")
+def rule_bindings(spark, d):
+    parts = network.segments(i.sparse_ways(spark, d))
+    contigs = network.collapse(parts).where("(a + b) % 19 <> 0").withColumn("contig", F.col("a") % 4)
+    out = network.bindings(parts, contigs)
+    return out.select("way", F.array_join(F.transform("contigs", lambda x: x.cast("string")), "-").alias("contigs"), "status")
+
+
+@query(f"""SELECT least(a, b) AS a, greatest(a, b) AS b, count(DISTINCT way) AS ways FROM ({_SEG}) GROUP BY 1, 2 HAVING count(DISTINCT way) > 1""")
+def edge_index_conflicts(spark, d):
+    return network.shared_edges(network.segments(i.geo_ways(spark, d)))
+
+
+@query(f"""
+WITH RECURSIVE e AS MATERIALIZED (SELECT a, b, 1 + (a + b) % 5 AS length FROM ({_BOTH})), r AS (SELECT min(a) AS node, CAST(0 AS BIGINT) AS distance, 0 AS hops FROM e UNION SELECT e.b, distance + length, hops + 1 FROM r JOIN e ON r.node = e.a WHERE hops < 6)
+SELECT node, min(distance) AS distance FROM r GROUP BY node""")
+def shortest_path(spark, d):
+    i.ready(spark)
+    e = network.collapse(network.segments(i.sparse_ways(spark, d))).withColumn("length", 1 + (F.col("a") + F.col("b")) % 5)
+    return network.shortest(e, e.agg(F.min("a")).first()[0], 6)
+
+
+@query(f"""
+WITH x AS (SELECT DISTINCT scenario, run, item FROM ({i.STEPS})), n AS (SELECT run, count(*) AS n FROM x GROUP BY run),
+p AS (SELECT x.run, y.run AS other, count(*) AS k FROM x JOIN x y ON x.scenario = y.scenario AND x.item = y.item WHERE x.run % 3 <> 0 AND y.run % 3 = 0 GROUP BY 1, 2),
+j AS (SELECT p.run, max(k / CAST(na.n + nb.n - k AS DOUBLE)) AS j FROM p JOIN n na ON na.run = p.run JOIN n nb ON nb.run = other GROUP BY 1),
+s AS (SELECT scenario, run, 1e0 - coalesce(j, 0) AS novelty, CAST(distinct_length AS DOUBLE) AS u, overlap / total AS o FROM ({_RUNS}) LEFT JOIN j USING (run) WHERE run % 3 <> 0)
+SELECT scenario, run, round(novelty, 6) AS novelty, round(5 * novelty + 0.35e0 * u / max(u) OVER (PARTITION BY scenario) - 0.8e0 * o, 6) AS score FROM s""")
+def history_novelty_score(spark, d):
+    """New routes against those driven before: novelty first, then distinct length, less the share that repeats."""
+    steps = i.steps(spark, d)
+    new = routes.novelty(steps.where("run % 3 <> 0"), steps.where("run % 3 = 0"))
+    runs = _runs(spark, d).where("run % 3 <> 0").select("run", F.col("distinct_length").alias("u"), (F.col("overlap") / F.col("total")).alias("o"))
+    best = F.max("u").over(W.partitionBy("scenario"))
+    return new.join(runs, "run").select("scenario", "run", F.round("novelty", 6).alias("novelty"), F.round(5 * F.col("novelty") + 0.35 * F.col("u") / best - 0.8 * F.col("o"), 6).alias("score"))
+
+
+@query("""
+WITH s AS (SELECT user_id, value, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events)
+SELECT user_id, count(*) AS n, round(coalesce(sum(d) FILTER (WHERE d >= 0.5e0), 0), 4) AS gain, round(coalesce(sum(-d) FILTER (WHERE d <= -0.5e0), 0), 4) AS loss, round(min(value), 4) AS least, round(max(value), 4) AS greatest FROM s GROUP BY user_id""")
+def elevation_summary(spark, d):
+    out = series.summary(i.table(spark, d, "events"), "user_id", ["ts", "event_id"], "value")
+    return out.select("user_id", "n", *[F.round(c, 4).alias(c) for c in ("gain", "loss", "least", "greatest")])
+
+
+@query(f"""
+WITH s AS ({_SEG}) SELECT way, any_value(f) || '-' || string_agg(CAST(b AS VARCHAR), '-' ORDER BY pos) AS nodes FROM (SELECT *, first_value(CAST(a AS VARCHAR)) OVER (PARTITION BY way ORDER BY pos) AS f FROM s) GROUP BY way""")
+def route_node_list(spark, d):
+    out = routes.node_list(network.segments(i.geo_ways(spark, d)).withColumnRenamed("way", "run"))
+    return out.select(F.col("run").alias("way"), F.array_join(F.transform("nodes", lambda x: x.cast("string")), "-").alias("nodes"))
+
+
+@query("""SELECT s_suppkey AS junction FROM supplier WHERE coalesce(CASE WHEN s_suppkey % 4 <> 0 THEN s_nationkey END, 7) = 7""")
+def junctions_of_area(spark, d):
+    """A junction without an area belongs to the default one."""
+    s = i.table(spark, d, "supplier")
+    area = F.coalesce(F.when(F.col("s_suppkey") % 4 != 0, F.col("s_nationkey")), F.lit(7))
+    return s.where(area == 7).select(F.col("s_suppkey").alias("junction"))
+
+
+@query(f"""SELECT id, printf('%.6f,%.6f', lat, lon) AS point_key, sha1(printf('%.6f,%.6f', lat, lon)) AS digest FROM ({i.NODES})""")
+def point_cache_keys(spark, d):
+    n = i.geo_nodes(spark, d).withColumn("point_key", F.format_string("%.6f,%.6f", "lat", "lon"))
+    return n.select("id", "point_key", F.sha1("point_key").alias("digest"))
+
+
+@query()
+def thin_path(spark, d):
+    """SQL has no fold along a path; tests hold it against a loop."""
+    points = i.geo_ways(spark, d).join(i.geo_nodes(spark, d), F.col("node") == F.col("id"))
+    return series.thin(points, "way", "pos", 3000.0).select("way", F.array_join(F.transform("kept", lambda x: x.cast("string")), ",").alias("kept"))
