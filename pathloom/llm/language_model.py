@@ -28,7 +28,7 @@ from . import npbytes as nb
 from .common import lean_shuffles, staged, table, text_or_empty, work_dir
 
 #: Counts up to K are discounted; a word with this share of a stretch's tokens is frequent; bytes of text for a part; passes.
-K, HOT_SHARE, PART_BYTES, PASSES = 5, 1 / 8192, 12 << 20, 3
+K, HOT_SHARE, PART_BYTES, PASSES = 5, 1 / 8192, 12 << 20, 6
 HELD_OUT = "crc32(cast(cast(doc_id AS string) AS binary)) % 7 = 2"
 START, END = np.uint64(0x5DEECE66D1234567), np.uint64(0x2545F4914F6CDD1D)
 _CHUNK = 4 << 20
@@ -198,7 +198,7 @@ def _count(parts: int, buckets: int, hot: np.ndarray, hot_counts: np.ndarray):
         n = len(rid)
         add = lambda values: np.bincount(owner, values[pair], n)
         sums = {f"r{k}": add(r == k).astype(np.uint32) for k in range(1, K + 1)}
-        out += _by_text(rid, buckets, known=add(c > 0).astype(np.uint32), base=add(log_c), big=add(np.where(r > K, np.log10(np.maximum(r, 1)), 0)), unseen=add(~seen).astype(np.uint32), back=add(np.where(seen, 0, log_c)), **sums)
+        out += _by_text(rid, buckets, known=add(c > 0).astype(np.uint32), base=add(log_c), unseen=add(~seen).astype(np.uint32), plain=add(np.where(r > K, np.log10(np.maximum(r, 1)), np.where(seen, 0, log_c))), **sums)
 
         seen_at = np.flatnonzero(seen)
         out.append(("pairs", int(key[0].as_py()), pack(word=word[seen_at], history=history[seen_at], n=r[seen_at].astype(np.uint32), word_n=c[seen_at].astype(np.uint32)), None))
@@ -290,7 +290,7 @@ def _charge(buckets: int, hot: dict[str, np.ndarray]):
 
 
 def _total(d: list[float], slots: int):
-    names = ("known", "base", "big", "unseen", "back", *(f"r{k}" for k in range(1, K + 1)), "shared")
+    names = ("known", "base", "unseen", "plain", *(f"r{k}" for k in range(1, K + 1)), "shared")
 
     def total(key, rows):
         blobs = [unpack(x) for x in rows.column("blob").to_pylist()]
@@ -302,7 +302,7 @@ def _total(d: list[float], slots: int):
             for k in names:
                 if k in b:
                     sums[k] += np.bincount(place, b[k], len(rid))
-        score = sum(sums[f"r{k}"] * np.log10(k * dk) for k, dk in enumerate(d, 1)) + sums["big"] + sums["back"] - sums["unseen"] * np.log10(slots) + sums["shared"]
+        score = sum(sums[f"r{k}"] * np.log10(k * dk) for k, dk in enumerate(d, 1)) + sums["plain"] - sums["unseen"] * np.log10(slots) + sums["shared"]
         return pa.table({"rid": pa.array(rid, pa.int64()), "known": pa.array(sums["known"]), "base": pa.array(sums["base"]), "score": pa.array(score)})
 
     return total
