@@ -56,8 +56,13 @@ def staged(df: DataFrame, name: str = "t") -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete stage tables that no later plan reads."""
     for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stage_path)
-        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        remove(t.sparkSession, t.stage_path)
+
+
+def remove(spark: SparkSession, name: str) -> None:
+    """Delete a folder, if it is there, through the file system that holds it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_or_empty(col: str = "text"):

@@ -10,8 +10,9 @@ Tokens move as packed arrays. They are dealt by their word to parts, where count
 and pairs are complete; frequent words (at most 1 / HOT_SHARE of them) are dealt by word and
 history, and their counts are broadcast. What depends on the history alone is dealt by
 history in a second step. Model tables (words and pairs, histories) stay in the work folder,
-partitioned by part. The work is done in PASSES over the parts, so that the shuffle files of
-one pass are gone before the next.
+partitioned by pass; what only the next step reads is deleted when that step is done. The
+work is done in PASSES over the parts, so that the shuffle files of one pass are gone before
+the next.
 """
 from __future__ import annotations
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import npbytes as nb
-from .common import lean_shuffles, staged, table, text_or_empty, work_dir
+from .common import lean_shuffles, remove, staged, table, text_or_empty, work_dir
 
 #: Counts up to K are discounted; a word with this share of a stretch's tokens is frequent; bytes of text for a part; passes.
 K, HOT_SHARE, PART_BYTES, PASSES = 5, 1 / 8192, 12 << 20, 6
@@ -37,8 +38,9 @@ _OUT = ["kind", "part", "blob", "counts"]
 
 
 def pack(**arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed string; bytes of equal weight stand together, as they resemble each other."""
     head = json.dumps([[k, a.dtype.str, len(a)] for k, a in arrays.items()]).encode()
-    return zstandard.ZstdCompressor(level=1).compress(len(head).to_bytes(4, "little") + head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays.values()))
+    return zstandard.ZstdCompressor(level=1).compress(len(head).to_bytes(4, "little") + head + b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays.values()))
 
 
 def unpack(blob: bytes) -> dict[str, np.ndarray]:
@@ -46,8 +48,9 @@ def unpack(blob: bytes) -> dict[str, np.ndarray]:
     at = 4 + int.from_bytes(raw[:4], "little")
     out = {}
     for name, kind, n in json.loads(raw[4:at]):
-        out[name] = np.frombuffer(raw, kind, n, at)
-        at += n * np.dtype(kind).itemsize
+        width = np.dtype(kind).itemsize
+        out[name] = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).reshape(-1).view(kind)
+        at += n * width
     return out
 
 
@@ -335,14 +338,15 @@ def score(docs: DataFrame, held_out: str = HELD_OUT) -> DataFrame:
     with lean_shuffles(spark):
         for turn in range(PASSES):
             dealt = texts.mapInArrow(_deal(parts, turn, hot), _ROWS).groupBy("part").applyInArrow(_count(parts, parts, hot, hot_counts), _ROWS)
-            dealt.write.partitionBy("kind").mode("append").parquet(f"{folder}/model")
-    model = spark.read.schema(_ROWS).parquet(f"{folder}/model")
+            dealt.withColumn("turn", F.col("part") % PASSES).write.partitionBy("kind", "turn").mode("append").parquet(f"{folder}/model")
+    model = spark.read.schema(f"{_ROWS}, turn int").parquet(f"{folder}/model")
     counts = [0] * (K + 2)
     for i, n in model.where("kind = 'stats'").select(F.posexplode("counts")).groupBy("pos").agg(F.sum("col")).collect():
         counts[i] = int(n)
     slots = train + counts[0] + int((hot_counts > 0).sum()) + 1
     d = discounts(counts[1:])
     histories = staged(model.where("kind = 'history_sums'").groupBy("part").applyInArrow(_weigh(d, slots, hot), _ROWS), "histories")
+    remove(spark, f"{folder}/model/kind=history_sums")
     frequent = [unpack(r[0]) for r in histories.where("kind = 'frequent'").select("blob").collect()]
     names = ("history", "whole", "alpha")
     apart = {k: np.concatenate([np.zeros(0, np.uint64 if k == "history" else float), *(b[k] for b in frequent)]) for k in names}
@@ -350,10 +354,12 @@ def score(docs: DataFrame, held_out: str = HELD_OUT) -> DataFrame:
     apart = {k: x[order] for k, x in apart.items()}
     with lean_shuffles(spark):
         for turn in range(PASSES):
-            both = model.where("kind = 'tokens'").unionByName(histories.where("kind = 'histories'")).where(F.col("part") % PASSES == turn)
+            own = histories.where("kind = 'histories'").where(F.col("part") % PASSES == turn)
+            both = model.where(f"kind = 'tokens' AND turn = {turn}").select(*_OUT).unionByName(own)
             both.groupBy("part").applyInArrow(_charge(parts, apart), _ROWS).write.mode("append").parquet(f"{folder}/charged")
+            remove(spark, f"{folder}/model/kind=tokens/turn={turn}")
     shared = spark.read.schema(_ROWS).parquet(f"{folder}/charged")
-    sums = model.where("kind = 'texts'").unionByName(shared).select("part", "blob").groupBy("part").applyInArrow(_total(d, slots), "rid long, known double, base double, score double")
+    sums = model.where("kind = 'texts'").select("part", "blob").unionByName(shared.select("part", "blob")).groupBy("part").applyInArrow(_total(d, slots), "rid long, known double, base double, score double")
     copies = rows.groupBy("rid").agg(F.count("*").alias("m"))
     out = rows.join(staged(sums, "sums"), "rid").join(copies, "rid")
     return out.select(
