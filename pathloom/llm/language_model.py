@@ -12,7 +12,7 @@ history, and their counts are broadcast. What depends on the history alone is de
 history in a second step. Model tables (words and pairs, histories) stay in the work folder,
 partitioned by pass; what only the next step reads is deleted when that step is done. The
 work is done in PASSES over the parts, so that the shuffle files of one pass are gone before
-the next.
+the next, and the rows of sums by text and part are added up within each pass.
 """
 from __future__ import annotations
 
@@ -292,19 +292,26 @@ def _charge(buckets: int, hot: dict[str, np.ndarray]):
     return charge
 
 
-def _total(d: list[float], slots: int):
-    names = ("known", "base", "unseen", "plain", *(f"r{k}" for k in range(1, K + 1)), "shared")
+def _sums(blobs: list[dict]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The texts in ``blobs``, and their sums of each column; a blob may lack columns."""
+    rid, group = np.unique(np.concatenate([b["rid"] for b in blobs]), return_inverse=True)
+    at, sums = 0, {k: np.zeros(len(rid)) for k in sorted(set().union(*blobs) - {"rid"})}
+    for b in blobs:
+        place = group[at : at + len(b["rid"])]
+        at += len(b["rid"])
+        for k in sums.keys() & b.keys():
+            sums[k] += np.bincount(place, b[k], len(rid))
+    return rid, sums
+
+
+def _add(key, rows):
+    rid, sums = _sums([unpack(x) for x in rows.column("blob").to_pylist()])
+    return pa.Table.from_batches([_batch([("texts", int(key[0].as_py()), pack(rid=rid, **sums), None)])])
+
 
+def _total(d: list[float], slots: int):
     def total(key, rows):
-        blobs = [unpack(x) for x in rows.column("blob").to_pylist()]
-        rid, group = np.unique(np.concatenate([b["rid"] for b in blobs]), return_inverse=True)
-        at, sums = 0, {k: np.zeros(len(rid)) for k in names}
-        for b in blobs:
-            place = group[at : at + len(b["rid"])]
-            at += len(b["rid"])
-            for k in names:
-                if k in b:
-                    sums[k] += np.bincount(place, b[k], len(rid))
+        rid, sums = _sums([unpack(x) for x in rows.column("blob").to_pylist()])
         score = sum(sums[f"r{k}"] * np.log10(k * dk) for k, dk in enumerate(d, 1)) + sums["plain"] - sums["unseen"] * np.log10(slots) + sums["shared"]
         return pa.table({"rid": pa.array(rid, pa.int64()), "known": pa.array(sums["known"]), "base": pa.array(sums["base"]), "score": pa.array(score)})
 
@@ -339,6 +346,9 @@ def score(docs: DataFrame, held_out: str = HELD_OUT) -> DataFrame:
         for turn in range(PASSES):
             dealt = texts.mapInArrow(_deal(parts, turn, hot), _ROWS).groupBy("part").applyInArrow(_count(parts, parts, hot, hot_counts), _ROWS)
             dealt.withColumn("turn", F.col("part") % PASSES).write.partitionBy("kind", "turn").mode("append").parquet(f"{folder}/model")
+            raw = spark.read.schema(f"{_ROWS}, turn int").parquet(f"{folder}/model").where("kind = 'texts'").select(*_OUT)
+            raw.groupBy("part").applyInArrow(_add, _ROWS).write.mode("append").parquet(f"{folder}/sums")
+            remove(spark, f"{folder}/model/kind=texts")
     model = spark.read.schema(f"{_ROWS}, turn int").parquet(f"{folder}/model")
     counts = [0] * (K + 2)
     for i, n in model.where("kind = 'stats'").select(F.posexplode("counts")).groupBy("pos").agg(F.sum("col")).collect():
@@ -356,10 +366,9 @@ def score(docs: DataFrame, held_out: str = HELD_OUT) -> DataFrame:
         for turn in range(PASSES):
             own = histories.where("kind = 'histories'").where(F.col("part") % PASSES == turn)
             both = model.where(f"kind = 'tokens' AND turn = {turn}").select(*_OUT).unionByName(own)
-            both.groupBy("part").applyInArrow(_charge(parts, apart), _ROWS).write.mode("append").parquet(f"{folder}/charged")
+            both.groupBy("part").applyInArrow(_charge(parts, apart), _ROWS).groupBy("part").applyInArrow(_add, _ROWS).write.mode("append").parquet(f"{folder}/sums")
             remove(spark, f"{folder}/model/kind=tokens/turn={turn}")
-    shared = spark.read.schema(_ROWS).parquet(f"{folder}/charged")
-    sums = model.where("kind = 'texts'").select("part", "blob").unionByName(shared.select("part", "blob")).groupBy("part").applyInArrow(_total(d, slots), "rid long, known double, base double, score double")
+    sums = spark.read.schema(_ROWS).parquet(f"{folder}/sums").groupBy("part").applyInArrow(_total(d, slots), "rid long, known double, base double, score double")
     copies = rows.groupBy("rid").agg(F.count("*").alias("m"))
     out = rows.join(staged(sums, "sums"), "rid").join(copies, "rid")
     return out.select(
