@@ -202,7 +202,7 @@ def policy_conflicts(spark, d):
 
 @query(f"""SELECT node, count(*) AS degree, count(*) <> 2 AS crossing FROM (SELECT a AS node FROM ({_BOTH})) GROUP BY node""")
 def node_degree_crossings(spark, d):
-    return network.degrees(network.collapse(network.segments(i.sparse_ways(spark, d))))
+    return network.degrees(network.collapse(network.segments(i.geo_ways(spark, d))))
 
 
 @query(f"""
@@ -213,7 +213,7 @@ c AS (SELECT a, b, min(oa * 1000000 + ob) AS chain FROM r GROUP BY a, b)
 SELECT count(*) AS edges, min(a) AS first_node, max(b) AS last_node FROM c GROUP BY chain""")
 def contig_chains(spark, d):
     i.ready(spark)
-    return network.contigs(network.collapse(network.segments(i.sparse_ways(spark, d)))).select("edges", "first_node", "last_node")
+    return network.contigs(network.collapse(network.segments(i.geo_ways(spark, d)))).select("edges", "first_node", "last_node")
 
 
 @query(f"""
@@ -221,7 +221,7 @@ WITH RECURSIVE e AS MATERIALIZED ({_BOTH}), r AS (SELECT DISTINCT a AS node, a A
 SELECT node, min(other) AS label FROM r GROUP BY node""")
 def network_components(spark, d):
     i.ready(spark)
-    return network.components(network.collapse(network.segments(i.sparse_ways(spark, d))))
+    return network.components(network.collapse(network.segments(i.geo_ways(spark, d))))
 
 
 @query(f"""
@@ -229,7 +229,7 @@ WITH RECURSIVE e AS MATERIALIZED ({_BOTH}), s AS (SELECT min(a) AS node FROM e),
 SELECT node, min(hops) AS hops FROM r GROUP BY node""")
 def reachability(spark, d):
     i.ready(spark)
-    e = network.collapse(network.segments(i.sparse_ways(spark, d)))
+    e = network.collapse(network.segments(i.geo_ways(spark, d)))
     return network.reachable(e, e.agg(F.min("a")).first()[0], 6)
 
 
@@ -347,8 +347,8 @@ def diverse_selection(spark, d):
 
 @query()
 def plan_walks(spark, d):
-    """Seeded walks from ten starts over the thin network."""
-    e = network.collapse(network.segments(i.sparse_ways(spark, d))).where("a < 100000")
+    """Seeded walks from ten starts over the network."""
+    e = network.collapse(network.segments(i.geo_ways(spark, d))).where("a < 100000")
     runs = spark.range(10).select(F.col("id").alias("run"), F.col("id").alias("seed"), (F.col("id") * 3).alias("start"), F.lit(-1).cast("long").alias("goal"))
     return routes.planned(runs, e.where("a < 20000").limit(200_000).select("a", "b", F.lit(1.0).alias("length")))
 
@@ -422,7 +422,7 @@ n AS (SELECT *, contig IS DISTINCT FROM lag(contig) OVER (PARTITION BY way ORDER
 SELECT way, coalesce(string_agg(CAST(contig AS VARCHAR), '-' ORDER BY pos) FILTER (WHERE fresh AND contig IS NOT NULL), '') AS contigs,
   CASE WHEN bool_or(contig IS NULL) THEN 'stale' WHEN count(*) FILTER (WHERE fresh) = 1 THEN 'exact' ELSE 'split' END AS status FROM n GROUP BY way""")
 def rule_bindings(spark, d):
-    parts = network.segments(i.sparse_ways(spark, d))
+    parts = network.segments(i.geo_ways(spark, d))
     contigs = network.collapse(parts).where("(a + b) % 19 <> 0").withColumn("contig", F.col("a") % 4)
     out = network.bindings(parts, contigs)
     return out.select("way", F.array_join(F.transform("contigs", lambda x: x.cast("string")), "-").alias("contigs"), "status")
@@ -438,7 +438,7 @@ WITH RECURSIVE e AS MATERIALIZED (SELECT a, b, 1 + (a + b) % 5 AS length FROM ({
 SELECT node, min(distance) AS distance FROM r GROUP BY node""")
 def shortest_path(spark, d):
     i.ready(spark)
-    e = network.collapse(network.segments(i.sparse_ways(spark, d))).withColumn("length", 1 + (F.col("a") + F.col("b")) % 5)
+    e = network.collapse(network.segments(i.geo_ways(spark, d))).withColumn("length", 1 + (F.col("a") + F.col("b")) % 5)
     return network.shortest(e, e.agg(F.min("a")).first()[0], 6)
 
 

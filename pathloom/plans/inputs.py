@@ -28,10 +28,6 @@ def geo_ways(spark, d) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("way"), F.row_number().over(w).cast("long").alias("pos"), F.col("l_partkey").alias("node"))
 
 
-def sparse_ways(spark, d) -> DataFrame:
-    return geo_ways(spark, d).where("way % 23 = 0")  # a thin network, most of whose nodes have two edges
-
-
 def steps(spark, d) -> DataFrame:
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
     lines = table(spark, d, "lineitem").select("l_orderkey", F.row_number().over(w).cast("long").alias("pos"), F.col("l_partkey").alias("item"), F.col("l_quantity").alias("length"))
