@@ -1,6 +1,8 @@
 """From ways to edges, crossings and connected chains of edges."""
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,25 +51,28 @@ def contigs(edges: DataFrame, **how) -> DataFrame:
     return named.groupBy("chain").agg(F.count("*").alias("edges"), F.min("a").alias("first_node"), F.max("b").alias("last_node"))
 
 
-def reachable(edges: DataFrame, start: int, hops: int, checkpoint=lambda df: df.checkpoint()) -> DataFrame:
-    """(node, hops): fewest edges from ``start``, as far as ``hops``. Each round joins only the new nodes."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+def reachable(edges: DataFrame, start: int, hops: int | None = None, checkpoint=lambda df: df.checkpoint()) -> DataFrame:
+    """(node, hops): fewest edges from ``start``, to ``hops`` at most where given. Each round joins only the new nodes, until there are none."""
+    both = checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     seen = both.sparkSession.range(1).select(F.lit(start).cast("long").alias("node"), F.lit(0).alias("hops"))
     new = seen
-    for k in range(1, hops + 1):
+    for k in count(1) if hops is None else range(1, hops + 1):
         new = checkpoint(new.join(both, new.node == both.a).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hops", F.lit(k)))
         if new.isEmpty():
             break
-        seen = seen.unionByName(new)
+        seen = checkpoint(seen.unionByName(new))
     return seen
 
 
-def shortest(edges: DataFrame, start: int, hops: int, checkpoint=lambda df: df.checkpoint()) -> DataFrame:
-    """(node, distance): the least sum of lengths over paths of at most ``hops`` edges (a, b, length). Each round relaxes only what got nearer."""
-    both = edges.select("a", "b", "length").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "length"))
+def shortest(edges: DataFrame, start: int, hops: int | None = None, checkpoint=lambda df: df.checkpoint()) -> DataFrame:
+    """(node, distance): the least sum of lengths (a, b, length: not negative) over all paths, or over those of at most ``hops`` edges.
+
+    Each round relaxes only what got nearer, until nothing does.
+    """
+    both = checkpoint(edges.select("a", "b", "length").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "length")))
     best = both.sparkSession.range(1).select(F.lit(start).cast("long").alias("node"), F.lit(0).cast("long").alias("distance"))
     new = best
-    for _ in range(hops):
+    for _ in count() if hops is None else range(hops):
         tried = new.join(both, new.node == both.a).groupBy(F.col("b").alias("node")).agg(F.min(F.col("distance") + F.col("length")).alias("to"))
         new = checkpoint(tried.join(best, "node", "left").where("distance IS NULL OR `to` < distance").select("node", F.col("to").alias("distance")))
         if new.isEmpty():

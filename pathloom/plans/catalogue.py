@@ -230,7 +230,7 @@ SELECT node, min(hops) AS hops FROM r GROUP BY node""")
 def reachability(spark, d):
     i.ready(spark)
     e = network.collapse(network.segments(i.geo_ways(spark, d)))
-    return network.reachable(e, e.agg(F.min("a")).first()[0], 6)
+    return network.reachable(e, e.agg(F.min("a")).first()[0])
 
 
 @query("""
@@ -439,7 +439,7 @@ SELECT node, min(distance) AS distance FROM r GROUP BY node""")
 def shortest_path(spark, d):
     i.ready(spark)
     e = network.collapse(network.segments(i.geo_ways(spark, d))).withColumn("length", 1 + (F.col("a") + F.col("b")) % 5)
-    return network.shortest(e, e.agg(F.min("a")).first()[0], 6)
+    return network.shortest(e, e.agg(F.min("a")).first()[0])
 
 
 @query(f"""

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import pyarrow.parquet as pq
 import pytest
 
+from pathloom.operators import network
 from pathloom.plans import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
@@ -73,3 +74,31 @@ def test_rule_bindings(spark, parts):
         if path:
             expected[way] = (names, "stale" if None in found else "exact" if len(runs) == 1 else "split")
     assert {r.way: (r.contigs, r.status) for r in catalogue.QUERIES["rule_bindings"](spark, FOLDER).collect()} == expected
+
+
+def nearest(around, start, length):
+    best, new = {start: 0}, {start}
+    while new:
+        tried = [(x, best[n] + length(n, x)) for n in new for x in around[n]]
+        new = set()
+        for x, to in tried:
+            if to < best.get(x, to + 1):
+                best[x] = to
+                new.add(x)
+    return best
+
+
+def test_distances_of_the_queries(spark, around):
+    start = min(around)
+    assert {r.node: r.hops for r in catalogue.QUERIES["reachability"](spark, FOLDER).collect()} == nearest(around, start, lambda a, b: 1)
+    assert {r.node: r.distance for r in catalogue.QUERIES["shortest_path"](spark, FOLDER).collect()} == nearest(around, start, lambda a, b: 1 + (a + b) % 5)
+
+
+def test_distances_have_no_hop_limit(spark):
+    """A ring with one dear shortcut: the nearest way to 9 has nine edges."""
+    ring = [(k, k + 1, 1) for k in range(12)] + [(0, 9, 50)]
+    e = spark.createDataFrame(ring, "a long, b long, length long")
+    around = {n: {x for a, b, _ in ring for x in (a, b) if n in (a, b) and x != n} for n in range(13)}
+    assert {r.node: r.hops for r in network.reachable(e, 0).collect()} == nearest(around, 0, lambda a, b: 1)
+    assert {r.node: r.distance for r in network.shortest(e, 0).collect()} == {k: k for k in range(13)}
+    assert {r.node: r.hops for r in network.reachable(e, 0, 2).collect()} == {0: 0, 1: 1, 9: 1, 2: 2, 8: 2, 10: 2}
