@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from . import npbytes as nb
 from .common import staged, table, text_or_empty
 
-#: A sentence ends at a line's end or a word with one of the marks, or after PIECE words. A run is the fewest sentences, MIN_SENTENCES at least, that have MIN_WORDS words together.
-PIECE, MIN_SENTENCES, MIN_WORDS = 12, 2, 25
+#: A sentence ends at a line's end or a word with one of the marks. Of any PIECE neighbouring places inside a sentence, it is cut
+#: at the one whose two words have the least hash: cuts depend on the words around them only, so a passage gets the same ones
+#: wherever it stands, PIECE words from its ends. A run is the fewest sentences, MIN_SENTENCES at least, that have MIN_WORDS words together.
+PIECE, MIN_SENTENCES, MIN_WORDS = 6, 2, 25
 _MARKS = nb.byte_class(b".!?")
+_WIDE_MARKS = [m.encode() for m in "。！？｡．…؟۔।॥‼⁇⁈⁉"]
 _CHUNK = 2 << 20
 _MULT = 0x9E3779B97F4A7C15
 _DOWN = np.cumprod(np.full(4096, pow(_MULT, -1, 1 << 64), np.uint64))
@@ -27,29 +30,54 @@ def _inverse_powers(n: int) -> np.ndarray:
     return _DOWN
 
 
+def _marked(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether the words that end at ``ends`` end with a mark."""
+    out = _MARKS[data[ends - 1]]
+    wide = np.flatnonzero(data[ends - 1] >= 0x80)
+    for mark in _WIDE_MARKS:
+        same = np.ones(len(wide), bool)
+        for back, byte in enumerate(reversed(mark), 1):
+            same &= data[np.maximum(ends[wide] - back, 0)] == byte
+        out[wide] |= same
+    return out
+
+
+def _cuts(new: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The places inside sentences (which begin at ``new``) that have the least hash of some PIECE in a row, the first of equal ones."""
+    n = len(h)
+    out = np.zeros(n, bool)
+    if n <= PIECE:
+        return out
+    v = np.empty(n, np.uint64)
+    v[0], v[1:] = 0, nb.mix(h[:-1] * np.uint64(_MULT) + h[1:])
+    windows = np.lib.stride_tricks.sliding_window_view(v, PIECE)
+    inside = ~np.lib.stride_tricks.sliding_window_view(new, PIECE).any(axis=1)
+    at = np.flatnonzero(inside)
+    out[at + windows[at].argmin(axis=1)] = True
+    return out
+
+
 def _sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First words of the sentences (with the number of words at the end), the first sentence of each text, and the words' starts and ends."""
+    """First words of the sentences (with the number of words at the end), the first sentence of each text, and the words' starts and hashes."""
     starts, ends, first = nb.words(data, offsets)
     n = len(starts)
     if not n:
-        return np.zeros(1, np.int64), np.zeros(len(offsets), np.int64), starts, ends
+        return np.zeros(1, np.int64), np.zeros(len(offsets), np.int64), starts, np.zeros(0, np.uint64)
     lines = np.cumsum(data == 10)
     new = np.ones(n, bool)
-    new[1:] = _MARKS[data[ends[:-1] - 1]] | (lines[starts[1:]] != lines[ends[:-1] - 1])
+    new[1:] = _marked(data, ends[:-1]) | (lines[starts[1:]] != lines[ends[:-1] - 1])
     new[first[:-1][first[:-1] < n]] = True
-    heads = np.flatnonzero(new)
-    within = np.arange(n) - heads[np.cumsum(new) - 1]
-    heads = np.flatnonzero(within % PIECE == 0)
-    return np.append(heads, n), np.searchsorted(heads, first), starts, ends
+    h = nb.word_hashes(nb.lower_az(data), starts, ends)
+    heads = np.flatnonzero(new | _cuts(new, h))
+    return np.append(heads, n), np.searchsorted(heads, first), starts, h
 
 
 def _runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, first sentence, sentences, hash) of every run."""
-    heads, first, starts, ends = _sentences(data, offsets)
+    heads, first, _, h = _sentences(data, offsets)
     m = len(heads) - 1
     if not m:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    h = nb.word_hashes(nb.lower_az(data), starts, ends)
     within = np.arange(len(h)) - np.repeat(heads[:-1], np.diff(heads))
     one = nb.mix(np.add.reduceat(h * nb._powers(PIECE)[within], heads[:-1]))
     up, down = nb._powers(m + 1), _inverse_powers(m + 1)
@@ -103,7 +131,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
     Earlier is by doc_id, then by place; the first of equal runs stays, the same text included.
     Case (A-Z) and white space don't count. Runs need MIN_WORDS words, so texts shorter than that
-    stay whole; a sentence without marks counts as several of PIECE words. Null texts become
+    stay whole; a sentence of more than PIECE words counts as several. Null texts become
     empty. Rows that repeat doc_id and text get the same answer, as one text; a null doc_id comes
     first. Further columns are ignored.
     """
