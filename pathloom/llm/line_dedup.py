@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from .common import staged, table, text_or_empty
 
-#: A line on more than this share of a host's pages is boilerplate, if it is on MIN_PAGES pages at least.
-MAX_RATIO, MIN_PAGES = 0.1, 10
+#: A line on more than this share of a host's pages is boilerplate, if it is on MIN_PAGES pages at least: one page never makes its own line boilerplate.
+MAX_RATIO, MIN_PAGES = 0.1, 2
 
 
 def _key(line):

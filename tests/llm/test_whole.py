@@ -2,7 +2,7 @@
 import numpy as np
 import pytest
 
-from pathloom.llm import substring_dedup
+from pathloom.llm import line_dedup, substring_dedup
 
 
 def by_id(df):
@@ -29,3 +29,11 @@ def test_wide_marks_end_sentences():
     raw = "un。 deux 三！ quatre… cinq six é".encode()
     heads, _, starts, _ = substring_dedup._sentences(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
     assert [raw[starts[h] :].decode().split()[0] for h in heads[:-1]] == ["un。", "deux", "quatre…", "cinq"]
+
+
+def test_small_hosts_follow_the_ratio(spark):
+    """A menu on each page of hosts of 1 to 9 pages goes where two pages have it; what one page has stays."""
+    rows = [(10 * n + k, f"host{n}", f"menu\nonly {n} {k}") for n in range(1, 10) for k in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    out = by_id(line_dedup.drop_boilerplate(docs))
+    assert {k: r.text for k, r in out.items()} == {k: t if h == "host1" else t.split("\n")[1] for k, h, t in rows}
