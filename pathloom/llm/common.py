@@ -67,3 +67,8 @@ def remove(spark: SparkSession, name: str) -> None:
 
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def row_key():
+    """A 64-bit key of a row's doc_id and text; doc_ids may be null or repeat."""
+    return F.xxhash64("doc_id", text_or_empty())

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import npbytes as nb
-from .common import staged, table, text_or_empty
+from .common import row_key, staged, table, text_or_empty
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -87,6 +87,11 @@ def band_keys(bins: np.ndarray) -> np.ndarray:
     return out
 
 
+def _node(shingles: np.ndarray) -> int:
+    """The name of a set: equal sets are one node."""
+    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
@@ -96,18 +101,21 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = band_keys(sketches([sets[k] for k in full])) if full else np.zeros((0, BANDS), np.uint64)
             sizes = np.zeros(len(sets) + 1, np.int32)
             sizes[[k + 1 for k in full]] = BANDS
-            node = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
+            node = [_node(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [some.column("doc_id"), pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                [some.column("doc_id"), some.column("rid"), pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                  pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(nb.as_long(keys.ravel())))],
-                names=["doc_id", "node", "n_shingles", "bands"])
+                names=["doc_id", "rid", "node", "n_shingles", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of the texts that gave their node."""
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             some = batch.slice(at, 500)
-            yield pa.RecordBatch.from_arrays([some.column("node"), pa.array([s.tobytes() for s in shingle_sets(some.column("text"))], pa.binary())], names=["node", "shingles"])
+            pairs = zip(some.column("node").to_pylist(), shingle_sets(some.column("text")), strict=True)
+            own = [(node, s.tobytes()) for node, s in pairs if len(s) and _node(s) == node]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.int64()), pa.array([x[1] for x in own], pa.binary())], names=["node", "shingles"])
 
 
 def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,15 +159,14 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def links_between(signed: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) of nodes that hold every component together, from rows (doc_id, node, n_shingles, bands) and the texts."""
-    nodes = staged(signed.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("m")).select("node", "m.*"), "nodes")
+    """Links (a, b) of nodes that hold every component together, from rows (rid, node, n_shingles, bands) and the texts."""
+    nodes = staged(signed.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("rid", "n_shingles", "bands")).alias("m")).select("node", "m.*"), "nodes")
     spread = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     shared = staged(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "buckets")
     members = staged(spread.join(shared, "bucket", "left_semi"), "members")
-    asked = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
-    # A doc_id may repeat with other texts: only the set that gave the node is taken.
-    sets = docs.select("doc_id", text_or_empty().alias("text")).join(asked, "doc_id").mapInArrow(_sets, "node long, shingles binary")
-    sets = staged(sets.where(F.col("shingles").isNotNull()).dropDuplicates(["node"]), "sets")
+    asked = members.select("node").distinct().join(nodes.select("node", "rid"), "node")
+    sets = docs.select(text_or_empty().alias("text"), row_key().alias("rid")).join(asked, "rid").mapInArrow(_sets, "node long, shingles binary")
+    sets = staged(sets.dropDuplicates(["node"]), "sets")
 
     links = None
     tried = None
@@ -191,28 +198,42 @@ def links_between(signed: DataFrame, docs: DataFrame) -> DataFrame:
     return links.unionByName(_linked(staged(rest, "rest"), sets))
 
 
+def _verdicts(docs: DataFrame) -> DataFrame:
+    """doc_id, rid, label (null without a set), n_shingles, component_id and kept of every row of ``docs``: one row of each label is kept."""
+    keyed = docs.select("doc_id", text_or_empty().alias("text"), row_key().alias("rid"))
+    signed = keyed.mapInArrow(_sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, rid long, node long, n_shingles long, bands array<long>")
+    signed = staged(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
+    labels = components(links_between(signed, docs))
+    rows = signed.select("doc_id", "rid", "row", "n_shingles", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = staged(rows, "rows")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid", "row")
+    least = staged(rows.where("label IS NOT NULL").groupBy("label").agg(F.min(place).alias("first")), "least")
+    out = rows.join(least, "label", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")))
+    return out.select("doc_id", "rid", "label", "n_shingles", "component_id", (F.col("label").isNull() | (F.col("row") == F.col("first.row"))).alias("kept"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text, ...).
 
     Words are lower-cased (A-Z); a text's set is its distinct runs of SHINGLE words, or its only
     shorter run; null, empty and wordless texts have no set, link with nothing, and keep
     themselves. Texts link at PERCENT of their union; component_id is the least doc_id that links
-    reach, kept where that is its own. Equal sets always link. Rows that repeat a doc_id are in
-    the components of all their texts' sets; the set of a null doc_id still links others.
+    reach, null only where none of them has one. Equal sets always link. One row of each component
+    is kept: the least by doc_id (nulls last), then by a hash of doc_id and text; of equal rows, any one.
     """
-    signed = staged(docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(_sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, n_shingles long, bands array<long>"), "signed")
-    labels = components(links_between(signed, docs))
-    rows = signed.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rows = staged(rows, "rows")
-    least = staged(rows.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
-    out = rows.join(least, "label", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return _verdicts(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that their component keeps, all columns as they are."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The rows of ``docs`` that their component keeps, all columns as they are; of kept rows equal in doc_id and text, one."""
+    rows = staged(_verdicts(docs).select("rid", "label", "kept"), "verdicts")
+    kept = rows.where("kept").select(F.col("rid").alias("_rid")).distinct()
+    repeated = rows.where("label IS NOT NULL").groupBy("rid").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
+    repeated = staged(repeated.where("kept AND n > 1").select(F.col("rid").alias("_rid")), "repeated")
+    out = docs.withColumn("_rid", row_key()).join(kept, "_rid", "left_semi")
+    if not repeated.isEmpty():
+        out = out.join(repeated, "_rid", "left_anti").unionByName(out.join(repeated, "_rid", "left_semi").dropDuplicates(["_rid"]))
+    return out.drop("_rid")
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:

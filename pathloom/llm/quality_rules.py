@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, staged, table, text_or_empty
+from .common import WORD_GAP, row_key, staged, table, text_or_empty
 
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 #: Fixed values of the contract: the characters that count as symbols.
@@ -171,12 +171,12 @@ def learn(labelled: DataFrame, bins: int = BINS) -> DecisionList:
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, the text features, base_failed and kept of every row of ``docs``.
+    """doc_id, rid (the row key), the text features, base_failed and kept of every row of ``docs``.
 
     ``labels`` (doc_id, quality 0/1) may cover any part of them; repeated labels count each
     time. Rows with null doc_id are judged like the others and never labelled.
     """
-    narrow = staged(text_features(docs.select("doc_id", "text")).drop("text").withColumn("base_failed", base_failed()), "features")
+    narrow = staged(text_features(docs.select("doc_id", "text", row_key().alias("rid"))).drop("text").withColumn("base_failed", base_failed()), "features")
     shares = narrow.withColumns(rule_features())
     marks = labels.select("doc_id", F.col("quality").cast("int").alias("label"))
     labelled = shares.where(~F.col("base_failed")).join(marks, "doc_id").select("label", F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("part"), *RULE_FEATURES)
@@ -190,6 +190,6 @@ def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id the rules keep, all columns as they are."""
-    kept = judged(docs, labels).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The rows of ``docs`` that the rules keep, all columns as they are. Verdicts depend on the text and go by doc_id and text together."""
+    kept = judged(docs, labels).where("kept").select(F.col("rid").alias("_rid")).distinct()
+    return docs.withColumn("_rid", row_key()).join(kept, "_rid", "left_semi").drop("_rid")

@@ -1,8 +1,10 @@
 """Cases that the corpus operators once passed over."""
+from collections import Counter
+
 import numpy as np
 import pytest
 
-from pathloom.llm import line_dedup, substring_dedup
+from pathloom.llm import line_dedup, near_dedup, quality_rules, substring_dedup
 
 
 def by_id(df):
@@ -37,3 +39,28 @@ def test_small_hosts_follow_the_ratio(spark):
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
     out = by_id(line_dedup.drop_boilerplate(docs))
     assert {k: r.text for k, r in out.items()} == {k: t if h == "host1" else t.split("\n")[1] for k, h, t in rows}
+
+
+def test_near_dedup_with_null_and_repeated_ids(spark):
+    """doc_id 1 stands over two texts; a null doc_id is the least copy of one class and the only one of others."""
+    rng = np.random.default_rng(5)
+    a, b, c, d = (" ".join(f"{x}{k}" for k in rng.permutation(80)) for x in "abcd")
+    rows = [(1, a, "x"), (1, b, "x"), (2, a + " tail", "x"), (3, b + " tail", "x"), (None, c, "x"), (5, c, "x"), (6, c + " tail", "x"), (None, d, "x"), (None, d + " tail", "x"), (8, a, "x"), (1, a, "y"), (None, "", "x"), (9, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rid string").repartition(3)
+    out = near_dedup.near_duplicates(docs)
+    assert out.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    classes = Counter((r.component_id, r.kept) for r in out.where("n_shingles > 0").collect())
+    assert classes == {(1, True): 2, (1, False): 4, (5, True): 1, (5, False): 2, (None, True): 1, (None, False): 1}
+    kept = near_dedup.keep_first(docs)
+    assert kept.columns == docs.columns
+    texts = Counter((r.doc_id, r.text) for r in kept.collect())
+    one = [k for k in texts if k[0] is None and k[1].startswith("d")]
+    assert len(one) == 1 and texts == Counter([(1, a), (1, b), (5, c), (None, ""), (9, ""), *one])
+
+
+def test_good_rows_with_null_and_repeated_ids(spark):
+    text = " ".join(f"word{k}" for k in range(60))
+    rows = [(None, text), (1, text), (1, "too short"), (None, "short too")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert Counter(map(tuple, quality_rules.keep_good(docs, labels).collect())) == Counter(rows[:2])
