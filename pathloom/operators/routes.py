@@ -1,8 +1,6 @@
 """Route candidates: measures, ranking, families, overlap, selection."""
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,46 +61,33 @@ def diverse(runs: DataFrame, per_scenario: int, window: int = 36) -> DataFrame:
     return best.groupBy("scenario").applyInPandas(choose, "scenario long, run long, quality double, place long")
 
 
-def planned(runs: DataFrame, arcs: DataFrame, max_steps: int = 64) -> DataFrame:
+def planned(runs: DataFrame, arcs: DataFrame, max_steps: int = 64, checkpoint=lambda df: df.checkpoint()) -> DataFrame:
     """Seeded walks with little overlap, one row (run, pos, node) for each step.
 
-    ``runs`` (run, seed, start, goal) are spread over tasks; ``arcs`` (a, b, length) is one
-    area's routable graph and is broadcast after a check of its size.
+    ``runs`` (run, seed, start, goal) and undirected ``arcs`` (a, b, length; each edge once) stay rows. Each round
+    joins the walks that go on with the arcs at their node. Of the four longest that a walk has not used (ties to
+    the lower node), a hash of seed, step and node draws one, with weights 4, 3, 2, 1.
     """
-    limit = 200_000
-    rows = arcs.select("a", "b", "length").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"a planning graph has at most {limit} arcs; plan by area")
-    graph: dict[int, list[tuple[int, float]]] = {}
-    for a, b, length in sorted(rows):
-        graph.setdefault(a, []).append((b, length))
-        graph.setdefault(b, []).append((a, length))
-    shared = runs.sparkSession.sparkContext.broadcast(graph)
-
-    def walk(batches: Iterator) -> Iterator:
-        import random
-
-        import pandas as pd
-
-        g = shared.value
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                rng, at, used = random.Random(int(r.seed)), int(r.start), set()
-                out.append((r.run, 0, at))
-                for k in range(1, max_steps + 1):
-                    options = g.get(at, [])
-                    fresh = [(b, d) for b, d in options if (min(at, b), max(at, b)) not in used]
-                    if not fresh or (at == r.goal and k > 1):
-                        break
-                    pool = sorted(fresh, key=lambda x: (-x[1], x[0]))[:4]
-                    b, _ = rng.choices(pool, weights=range(len(pool), 0, -1))[0]
-                    used.add((min(at, b), max(at, b)))
-                    at = b
-                    out.append((r.run, k, at))
-            yield pd.DataFrame(out, columns=["run", "pos", "node"])
-
-    return runs.mapInPandas(walk, "run long, pos long, node long")
+    both = checkpoint(arcs.select(F.col("a").alias("at"), F.col("b").alias("to"), "length").unionByName(arcs.select(F.col("b").alias("at"), F.col("a").alias("to"), "length")))
+    walks = runs.select("run", "seed", "goal", F.col("start").alias("at"), F.array("start").alias("path"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("used"))
+    done = None
+    edge = F.struct(F.least("at", "to").alias("a"), F.greatest("at", "to").alias("b"))
+    place = F.row_number().over(W.partitionBy("run").orderBy(F.desc("length"), "to"))
+    for k in range(1, max_steps + 1):
+        stopped = (F.col("at") == F.col("goal")) & F.lit(k > 1)
+        fresh = walks.where(~stopped).join(both, "at").where(~F.array_contains("used", edge))
+        few = fresh.select("run", "seed", "at", "to", place.alias("place")).where("place <= 4")
+        # The greatest u ** (1 / weight) of uniform u falls on each with its share of the weights.
+        uniform = (F.pmod(F.xxhash64("seed", F.lit(k), "to"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        drawn = few.groupBy("run").agg(F.max_by("to", F.struct(F.log(uniform) / (5 - F.col("place")), "to")).alias("to"))
+        both_kinds = checkpoint(walks.join(drawn, "run", "left"))
+        ended = both_kinds.where("to IS NULL").select("run", "path")
+        done = ended if done is None else done.unionByName(ended)
+        walks = both_kinds.where("to IS NOT NULL").select("run", "seed", "goal", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"), F.concat("used", F.array(edge)).alias("used"))
+        if walks.isEmpty():
+            break
+    paths = walks.select("run", "path") if done is None else done.unionByName(walks.select("run", "path"))
+    return paths.select("run", F.posexplode("path").alias("pos", "node")).select("run", F.col("pos").cast("long").alias("pos"), "node")
 
 
 def novelty(steps: DataFrame, history: DataFrame) -> DataFrame:

@@ -348,9 +348,10 @@ def diverse_selection(spark, d):
 @query()
 def plan_walks(spark, d):
     """Seeded walks from ten starts over the network."""
-    e = network.collapse(network.segments(i.geo_ways(spark, d))).where("a < 100000")
+    i.ready(spark)
+    e = network.collapse(network.segments(i.geo_ways(spark, d)))
     runs = spark.range(10).select(F.col("id").alias("run"), F.col("id").alias("seed"), (F.col("id") * 3).alias("start"), F.lit(-1).cast("long").alias("goal"))
-    return routes.planned(runs, e.where("a < 20000").limit(200_000).select("a", "b", F.lit(1.0).alias("length")))
+    return routes.planned(runs, e.select("a", "b", F.lit(1.0).alias("length")))
 
 
 @query("""

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pyarrow.parquet as pq
 import pytest
 
-from pathloom.operators import network
+from pathloom.operators import network, routes
 from pathloom.plans import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
@@ -102,3 +102,26 @@ def test_distances_have_no_hop_limit(spark):
     assert {r.node: r.hops for r in network.reachable(e, 0).collect()} == nearest(around, 0, lambda a, b: 1)
     assert {r.node: r.distance for r in network.shortest(e, 0).collect()} == {k: k for k in range(13)}
     assert {r.node: r.hops for r in network.reachable(e, 0, 2).collect()} == {0: 0, 1: 1, 9: 1, 2: 2, 8: 2, 10: 2}
+
+
+def test_walks_over_the_whole_network(spark, around):
+    rows = catalogue.QUERIES["plan_walks"](spark, FOLDER).collect()
+    walks = {run: [n for r, _, n in sorted(rows) if r == run] for run in range(10)}
+    for run, path in walks.items():
+        steps = [(min(s), max(s)) for s in zip(path, path[1:])]
+        assert path[0] == 3 * run and len(set(steps)) == len(steps)
+        assert all(b in around[a] for a, b in zip(path, path[1:]))
+        left = {x for x in around.get(path[-1], ()) if (min(x, path[-1]), max(x, path[-1])) not in steps}
+        assert len(path) == 65 or not left
+
+
+def test_walks_need_no_small_graph(spark):
+    """Part keys past every former prefix; a goal ends a walk, a dead end too, and seeds give the same walk again."""
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    arcs = spark.range(200_001).selectExpr("id + 500000 AS a", "id + 500001 AS b", "1.0D AS length")
+    runs = spark.createDataFrame([(1, 7, 500000, 500005), (2, 7, 700000, -1), (3, 7, 500000, -1)], "run long, seed long, start long, goal long")
+    out = [sorted(map(tuple, routes.planned(runs, arcs, 8).collect())) for _ in range(2)]
+    assert out[0] == out[1]
+    walks = {run: [n for r, _, n in out[0] if r == run] for run in (1, 2, 3)}
+    assert walks[1] == list(range(500000, 500006)) and walks[3] == list(range(500000, 500009))
+    assert walks[2] in ([700000, 700001], list(range(700000, 699991, -1)))
