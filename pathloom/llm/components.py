@@ -1,25 +1,12 @@
-"""Connected components of an edge table, by contraction: no component or edge list is ever in one place."""
+"""Connected components of an edge table, with stage tables as recovery points."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ..operators import network
 from .common import staged
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) for every node of ``edges`` (a, b: long): label is the least node reachable.
-
-    Each round every root takes the least root next to it, edges are carried to the roots,
-    and those inside one root go. Edges at least halve, a star is done in one round.
-    """
-    edges = staged(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    roots = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")).where("to <> a").select(F.col("a").alias("root"), "to"), "to")
-        roots = staged(roots.join(to, roots.label == to.root, "left").select("node", F.coalesce("to", "label").alias("label")), "roots")
-        for end in ("a", "b"):
-            edges = edges.join(to, edges[end] == to.root, "left").withColumn(end, F.coalesce("to", end)).select("a", "b")
-        edges = staged(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    return roots
+    """(node, label) for every node of ``edges`` (a, b: long): label is the least node reachable."""
+    return network.components(edges, checkpoint=staged)

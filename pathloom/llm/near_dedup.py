@@ -6,18 +6,20 @@ filled after 2T rounds at the latest; a bin keeps its least (round, hash). The s
 equal bins estimates the Jaccard similarity with the concentration of independent draws.
 
 Equal sets are one node. Nodes that share a band are candidates, and each link is confirmed
-on the whole sets. Links within a band are not all tried: at first each node is tried with
-one centre of a bucket it shares; what that joins is contracted. Then only pairs of
-different components are left, and all of those are tried.
+on the whole sets. Links within a band are not all tried: in rounds each node is tried with
+a few centres of the buckets it shares, and what links is contracted. When rounds link little,
+only pairs of different components are left, and all of those are tried.
 """
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import npbytes as nb
@@ -28,6 +30,8 @@ SHINGLE, PERCENT = 5, 75
 #: A pair at the threshold shares no band with probability (1 - 0.75 ** ROWS) ** BANDS, 1.3e-6.
 BANDS, ROWS = 50, 5
 T = BANDS * ROWS
+#: Centres of a bucket in a later round, and how many a node tries; a round that links fewer than one in YIELD of its pairs is the last.
+CENTRES, YIELD = 4, 8
 #: Bins of the finer sketch, of one bit each, that pairs of what is left must pass; and the bits that may differ:
 #: at the threshold 1/8 of them do, and a deviation of 5 standard errors has probability 3e-7.
 FINE = 4096
@@ -149,17 +153,36 @@ def _sizes_fit(n, m):
     return F.lit(100) * F.least(n, m) >= F.lit(PERCENT) * F.greatest(n, m)
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of buckets that hold two components or more, with their labels."""
-    labels = components(links)
-    named = members.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = staged(named, "members")
-    open_ = staged(named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket"), "open")
-    return staged(named.join(open_, "bucket", "left_semi"), "open_members")
+def _merged(frame: DataFrame, joined: DataFrame, name: str) -> DataFrame:
+    """``frame`` with its labels carried on to those of ``joined`` (node: an old label, label: the new one)."""
+    to = joined.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return staged(frame.join(to, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to"), name)
 
 
-def links_between(signed: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) of nodes that hold every component together, from rows (rid, node, n_shingles, bands) and the texts."""
+def _open(members: DataFrame) -> DataFrame:
+    """Members of buckets that hold two components or more."""
+    mixed = staged(members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket"), "mixed")
+    return staged(members.join(mixed, "bucket", "left_semi"), "open_members")
+
+
+def _centres(members: DataFrame, turn: int) -> DataFrame:
+    """(bucket, centre, m, of): the least node of each bucket, then the greatest, then CENTRES others by seeded hashes."""
+    one = F.struct("node", "n_shingles", "label")
+    if turn < 2:
+        picks = [(F.min, F.max)[turn](one)]
+    else:
+        picks = [F.min_by(one, F.xxhash64("node", F.lit(CENTRES * turn + k))) for k in range(CENTRES)]
+    found = members.groupBy("bucket").agg(F.array_distinct(F.array(*picks)).alias("cs")).select("bucket", F.explode("cs").alias("c"))
+    return found.select("bucket", F.col("c.node").alias("centre"), F.col("c.n_shingles").alias("m"), F.col("c.label").alias("of"))
+
+
+def components_of(signed: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, label) of the nodes that share a bucket, from rows (rid, node, n_shingles, bands) and the texts: equal labels are linked.
+
+    Rounds: each node is tried with the centres that it shares most buckets with, and what links is contracted, until a
+    round links less than one in YIELD of what it tries. Only pairs of different components go on to the last step, which
+    tries all that are left.
+    """
     nodes = staged(signed.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("rid", "n_shingles", "bands")).alias("m")).select("node", "m.*"), "nodes")
     spread = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     shared = staged(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "buckets")
@@ -168,20 +191,27 @@ def links_between(signed: DataFrame, docs: DataFrame) -> DataFrame:
     sets = docs.select(text_or_empty().alias("text"), row_key().alias("rid")).join(asked, "rid").mapInArrow(_sets, "node long, shingles binary")
     sets = staged(sets.dropDuplicates(["node"]), "sets")
 
-    links = None
-    tried = None
-    at, members = members, members.withColumn("label", F.col("node"))
-    for pick in (F.min, F.max):
-        centres = members.groupBy("bucket").agg(pick(F.struct("node", "n_shingles", "label")).alias("c")).select("bucket", F.col("c.node").alias("centre"), F.col("c.n_shingles").alias("m"), F.col("c.label").alias("of"))
-        pairs = members.join(staged(centres, "centres"), "bucket").where((F.col("label") != F.col("of")) & _sizes_fit(F.col("n_shingles"), F.col("m")))
-        pairs = pairs.groupBy("node", "centre").agg(F.count("*").alias("shares"))
-        best = pairs.groupBy("node").agg(F.max(F.struct("shares", "centre")).alias("p")).select(F.least("node", "p.centre").alias("a"), F.greatest("node", "p.centre").alias("b")).distinct()
+    labels = staged(sets.select("node", F.col("node").alias("label")), "labels")
+    members = members.withColumn("label", F.col("node"))
+    tried: DataFrame | None = None
+    for turn in count():
+        pairs = members.join(staged(_centres(members, turn), "centres"), "bucket").where((F.col("label") != F.col("of")) & _sizes_fit(F.col("n_shingles"), F.col("m")))
+        pairs = pairs.groupBy("node", "centre", "label", "of").agg(F.count("*").alias("shares"))
+        place = F.row_number().over(W.partitionBy("node").orderBy(F.desc("shares"), "centre"))  # of 50 buckets' centres at most
+        pairs = pairs.withColumn("_k", place).where(F.col("_k") <= (1 if turn < 2 else CENTRES))
+        best = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         if tried is not None:
             best = best.join(tried, ["a", "b"], "left_anti")
         best = staged(best, "pairs")
+        tried = best if tried is None else tried.unionByName(best)
         found = _linked(best, sets)
-        links, tried = (found, best) if links is None else (links.unionByName(found), tried.unionByName(best))
-        members = _labelled(at, links)
+        n_tried, n_found = best.count(), found.count()
+        if n_found:
+            joined = components(_by_label(found, labels))
+            labels, members = _merged(labels, joined, "labels"), _merged(members, joined, "members")
+        members = _open(members)
+        if turn >= 2 and n_found * YIELD <= n_tried:
+            break
 
     # What is left: in each bucket all members of other components than its largest, with all members. A pair
     # is tried where its finer sketches allow it, and in the first bucket that it shares.
@@ -195,7 +225,14 @@ def links_between(signed: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = u.join(v, (F.col("u.bucket") == F.col("v.bucket")) & (F.col("u.label") != F.col("v.label")) & ((F.col("v.label") == F.col("v.main")) | (F.col("u.node") < F.col("v.node")))
                    & _sizes_fit(F.col("u.n_shingles"), F.col("v.n_shingles")) & (differ <= MAX_DIFFER) & ~F.arrays_overlap("u.before", "v.before"))
     rest = pairs.select(F.least("u.node", "v.node").alias("a"), F.greatest("u.node", "v.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    return links.unionByName(_linked(staged(rest, "rest"), sets))
+    return _merged(labels, components(_by_label(_linked(staged(rest, "rest"), sets), labels)), "labels")
+
+
+def _by_label(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links (a, b) of nodes as distinct links of their labels."""
+    for end in ("a", "b"):
+        links = links.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"_{end}")), end)
+    return links.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()
 
 
 def _verdicts(docs: DataFrame) -> DataFrame:
@@ -203,7 +240,7 @@ def _verdicts(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", text_or_empty().alias("text"), row_key().alias("rid"))
     signed = keyed.mapInArrow(_sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, rid long, node long, n_shingles long, bands array<long>")
     signed = staged(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
-    labels = components(links_between(signed, docs))
+    labels = components_of(signed, docs)
     rows = signed.select("doc_id", "rid", "row", "n_shingles", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rows = staged(rows, "rows")
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid", "row")
