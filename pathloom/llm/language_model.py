@@ -6,65 +6,68 @@ share for all unknown words. alpha(v) gives each history exactly the probability
 discounts free. A history without discounted pairs has D(v) = its count + 1, else its count;
 an unknown history has alpha 1.
 
-Tokens move as packed arrays. They are dealt by their word to parts, where counts of words
-and pairs are complete; frequent words (at most 1 / HOT_SHARE of them) are dealt by word and
-history, and their counts are broadcast. What depends on the history alone is dealt by
-history in a second step. Model tables (words and pairs, histories) stay in the work folder,
-partitioned by pass; what only the next step reads is deleted when that step is done. The
-work is done in PASSES over the parts, so that the shuffle files of one pass are gone before
-the next, and the rows of sums by text and part are added up within each pass.
+Texts are coded once, in stretches of bounded size: one row with the stretch's own words and
+the places of its tokens among them. Counts are rows of tables, by 64-bit hashes:
+
+* words (w, stretch, j, n): summed over all stretches by w, which gives N, V and each stretch
+  the counts of its words;
+* pairs (k, stretch, i, n): summed by k. Only pairs that more stretches know are sent back,
+  as the others' counts are those of the one stretch that has them. One stretch owns each
+  pair, and adds it to the sums of its history;
+* histories (v, whole, alpha), from these sums, sent back to the stretches that have v.
+
+Each row that moves is one distinct word or pair of one stretch, so all shuffles grow in
+proportion to the input, and a pair or word that all texts share is one row in each stretch.
 """
 from __future__ import annotations
 
-import json
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import npbytes as nb
-from .common import lean_shuffles, remove, staged, table, text_or_empty, work_dir
+from .common import discard, staged, table, text_or_empty
 
-#: Counts up to K are discounted; a word with this share of a stretch's tokens is frequent; bytes of text for a part; passes.
-K, HOT_SHARE, PART_BYTES, PASSES = 5, 1 / 8192, 12 << 20, 6
+#: Counts up to K are discounted; bytes of text in a stretch; passes over the pairs, so that the shuffle files of one are gone before the next.
+K, STRETCH_BYTES, PASSES = 5, 8 << 20, 2
 HELD_OUT = "crc32(cast(cast(doc_id AS string) AS binary)) % 7 = 2"
 START, END = np.uint64(0x5DEECE66D1234567), np.uint64(0x2545F4914F6CDD1D)
-_CHUNK = 4 << 20
-_ROWS = "kind string, part int, blob binary, counts array<long>"
-_OUT = ["kind", "part", "blob", "counts"]
+_START = int(START.view(np.int64))
+_LOW = [f"r{k}" for k in range(1, K + 1)]
 
 
-def pack(**arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed string; bytes of equal weight stand together, as they resemble each other."""
-    head = json.dumps([[k, a.dtype.str, len(a)] for k, a in arrays.items()]).encode()
-    return zstandard.ZstdCompressor(level=1).compress(len(head).to_bytes(4, "little") + head + b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays.values()))
+@contextlib.contextmanager
+def _few_rows(spark: SparkSession):
+    """While it holds, Python gets the large rows of coded stretches one by one."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1", "spark.sql.parquet.columnarReaderBatchSize": "16"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
-def unpack(blob: bytes) -> dict[str, np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    at = 4 + int.from_bytes(raw[:4], "little")
-    out = {}
-    for name, kind, n in json.loads(raw[4:at]):
-        width = np.dtype(kind).itemsize
-        out[name] = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).reshape(-1).view(kind)
-        at += n * width
-    return out
-
+def _one(values) -> pa.ListArray:
+    """A list column of one row."""
+    values = values if isinstance(values, pa.Array) else pa.array(values)
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-    kinds = (pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=_OUT)
 
-
-def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch]]:
-    """Of stretches of texts: words, histories, text numbers; held-out marks; and the stretch's rows."""
+def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each stretch: its texts, its words by frequency, and the word of each token; every text ends with END."""
+    stretch = TaskContext.get().partitionId() << 32
     for batch in batches:
         data, offsets = nb.buffers(batch.column("text"))
-        for a, b in nb.groups(offsets, _CHUNK):
+        for a, b in nb.groups(offsets, STRETCH_BYTES):
             part, off = nb.lower_az(data[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a]
             starts, ends, first = nb.words(part, off)
             sizes = np.diff(first) + 1
@@ -73,164 +76,117 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
             inner = np.ones(len(word), bool)
             inner[stops - 1] = False
             word[inner] = nb.word_hashes(part, starts, ends)
-            history = np.empty_like(word)
-            history[1:] = word[:-1]
-            history[stops - sizes] = START
+            values, place = np.unique(word, return_inverse=True)
+            order = np.argsort(-np.bincount(place), kind="stable")
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
             rows = batch.slice(a, b - a)
-            yield word, history, np.repeat(np.arange(b - a, dtype=np.uint32), sizes), np.asarray(rows.column("held_out").to_numpy(zero_copy_only=False), bool), rows
-
-
-def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each text, and one for each word with HOT_SHARE of a stretch."""
-    for word, _, owner, _, rows in _streams(batches):
-        values, counts = np.unique(word, return_counts=True)
-        hot = counts >= max(2, HOT_SHARE * len(word))
-        n, m = rows.num_rows, int(hot.sum())
-        sizes = np.bincount(owner, minlength=n)
-        yield pa.RecordBatch.from_arrays([
-            pa.concat_arrays([rows.column("rid"), pa.nulls(m, pa.int64())]), pa.concat_arrays([rows.column("doc_id"), pa.nulls(m, rows.column("doc_id").type)]),
-            pa.concat_arrays([rows.column("held_out"), pa.nulls(m, pa.bool_())]), pa.concat_arrays([pa.array(sizes, pa.int64()), pa.array(counts[hot], pa.int64())]),
-            pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(nb.as_long(values[hot]))])], names=["rid", "doc_id", "held_out", "n", "word"])
-
-
-def _among(values: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of ``values`` in the sorted ``some``, and which of them are there."""
-    if not len(some):
-        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(some, values), len(some) - 1)
-    return at, some[at] == values
-
-
-def _part(h: np.ndarray, parts: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
-
-
-def _exact_counts(hot: np.ndarray):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(hot) + 1, np.int64)
-        for word, _, owner, held, _ in _streams(batches):
-            word = word[~held[owner]]
-            at, there = _among(word, hot)
-            total[:-1] += np.bincount(at[there], minlength=len(hot))
-            total[-1] += len(word)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int64()), pa.array(total)], names=["i", "n"])
-
-    return count
-
-
-def _deal(parts: int, turn: int, hot: np.ndarray):
-    """Tokens of a stretch for each part of this pass: distinct pairs in order, and the texts of each."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for word, history, owner, held, rows in _streams(batches):
-            frequent = _among(word, hot)[1]
-            part = _part(np.where(frequent, nb.mix(word + nb.mix(history)), word), parts)
-            mine = part % PASSES == turn
-            word, history, owner, part = word[mine], history[mine], owner[mine], part[mine]
-            order = np.lexsort((history, word, part))
-            word, history, owner, part = word[order], history[order], owner[order], part[order]
-            rid = rows.column("rid").to_numpy()
-            edges = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
-            for a, b in zip(edges, np.append(edges[1:], len(part)), strict=True):
-                w, v = word[a:b], history[a:b]
-                new = np.append(True, (w[1:] != w[:-1]) | (v[1:] != v[:-1]))
-                heads = np.flatnonzero(new)
-                w, v = w[heads], v[heads]
-                first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
-                used, local = np.unique(owner[a:b], return_inverse=True)
-                small = np.uint16 if len(used) < 1 << 16 else np.uint32
-                yield _batch([("tokens", int(part[a]), pack(
-                    word=w[first], pairs=np.diff(np.append(first, len(w))).astype(np.uint32), history=v,
-                    tokens=np.diff(np.append(heads, b - a)).astype(np.uint32), owner=local.astype(small), rid=rid[used], held=held[used]), None)])
-
-    return deal
-
-
-def _gathered(blobs: list[dict], first: str, second: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of all entries by two keys, the number of each entry's group, and the groups' first entries in that order."""
-    x, y = np.concatenate([b[first] for b in blobs]), np.concatenate([b[second] for b in blobs])
-    order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-    new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
-    group = np.empty(len(order), np.int64)
-    group[order] = np.cumsum(new) - 1
-    return order, group, np.flatnonzero(new)
-
-
-def _texts(blobs: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """The text of each token, numbered through, and the rids of those numbers."""
-    base = np.cumsum([0, *(len(b["rid"]) for b in blobs)])
-    return np.concatenate([b["owner"].astype(np.int64) + k for b, k in zip(blobs, base, strict=False)]), np.concatenate([b["rid"] for b in blobs])
-
-
-def _by_text(rid: np.ndarray, buckets: int, **sums: np.ndarray) -> Iterator[tuple]:
-    """Rows of sums, dealt by text."""
-    at = _part(nb.mix(rid.view(np.uint64)), buckets)
-    order = np.argsort(at, kind="stable")
-    edges = np.searchsorted(at[order], np.arange(buckets + 1))
-    for k in np.flatnonzero(edges[:-1] < edges[1:]):
-        some = order[edges[k] : edges[k + 1]]
-        yield ("texts", int(k), pack(rid=rid[some], **{name: v[some] for name, v in sums.items()}), None)
-
-
-def _count(parts: int, buckets: int, hot: np.ndarray, hot_counts: np.ndarray):
-    """One part: counts of its words and pairs, and all that follows from them."""
-
-    def count(key, rows):
-        blobs = [unpack(x) for x in rows.column("blob").to_pylist()]
-        for b in blobs:
-            b["words"] = np.repeat(b["word"], b["pairs"])
-        order, group, heads = _gathered(blobs, "words", "history")
-        word = np.concatenate([b["words"] for b in blobs])[order][heads]
-        history = np.concatenate([b["history"] for b in blobs])[order][heads]
-        tokens = np.concatenate([b["tokens"] for b in blobs]).astype(np.int64)
-        pair = np.repeat(group, tokens)
-        owner, rid = _texts(blobs)
-        held = np.concatenate([b["held"] for b in blobs])
-        r = np.bincount(pair, ~held[owner], len(heads)).astype(np.int64)
-        at, frequent = _among(word, hot)
-        first = np.append(True, word[1:] != word[:-1])
-        number = np.cumsum(first) - 1
-        c = np.bincount(number, r).astype(np.int64)[number]
-        c[frequent] = hot_counts[at[frequent]]
-        known = int((first & ~frequent & (c > 0)).sum())
-        stats = [known, *np.bincount(np.minimum(r, K + 2), minlength=K + 3)[1 : K + 2].tolist()]
-        out: list[tuple] = [("stats", 0, None, stats)]
-
-        log_c, seen = np.log10(c + 1), r > 0
-        n = len(rid)
-        add = lambda values: np.bincount(owner, values[pair], n)
-        sums = {f"r{k}": add(r == k).astype(np.uint32) for k in range(1, K + 1)}
-        out += _by_text(rid, buckets, known=add(c > 0).astype(np.uint32), base=add(log_c), unseen=add(~seen).astype(np.uint32), plain=add(np.where(r > K, np.log10(np.maximum(r, 1)), np.where(seen, 0, log_c))), **sums)
-
-        seen_at = np.flatnonzero(seen)
-        out.append(("pairs", int(key[0].as_py()), pack(word=word[seen_at], history=history[seen_at], n=r[seen_at].astype(np.uint32), word_n=c[seen_at].astype(np.uint32)), None))
-        by = np.argsort(history[seen_at], kind="stable")
-        s, v = seen_at[by], history[seen_at][by]
-        heads = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, np.int64)
-        if len(v):
-            total = lambda values: np.add.reduceat(values[s], heads)
-            cols = {f"r{k}": total((r == k).astype(np.int64)).astype(np.uint32) for k in range(1, K + 1)} | {"big": total(np.where(r > K, r, 0)), "below": total(c + 1)}
-            v = v[heads]
-            p = _part(v, parts)  # v is in order, and so are its parts
-            edges = np.searchsorted(p, np.arange(parts + 1))
-            for k in np.flatnonzero(edges[:-1] < edges[1:]):
-                out.append(("history_sums", int(k), pack(history=v[edges[k] : edges[k + 1]], **{name: x[edges[k] : edges[k + 1]] for name, x in cols.items()}), None))
-
-        # Tokens by history: frequent ones stay spread, as their values are broadcast.
-        home = np.where(_among(history, hot)[1], np.int32(key[0].as_py()), _part(history, parts))
-        turn = np.lexsort((owner, seen[pair], history[pair], home[pair]))
-        h, f, o, d = history[pair][turn], seen[pair][turn], owner[turn], home[pair][turn]
-        edges = np.searchsorted(d, np.arange(parts + 1))
-        for k in np.flatnonzero(edges[:-1] < edges[1:]):
-            a, b = edges[k], edges[k + 1]
-            heads = np.flatnonzero(np.append(True, (h[a + 1 : b] != h[a : b - 1]) | (f[a + 1 : b] != f[a : b - 1])))
-            used, local = np.unique(o[a:b], return_inverse=True)
-            small = np.uint16 if len(used) < 1 << 16 else np.uint32
-            out.append(("tokens", int(k), pack(history=h[a:b][heads], seen=f[a:b][heads], tokens=np.diff(np.append(heads, b - a)).astype(np.uint32), owner=local.astype(small), rid=rid[used]), None))
-        return pa.Table.from_batches([_batch(out)])
-
-    return count
+            stretch += 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([stretch], pa.int64()), _one(rows.column("doc_id")), _one(rows.column("held_out")), _one(sizes.astype(np.int32)), _one(nb.as_long(values[order])), _one(rank[place])],
+                names=["stretch", "doc_id", "held_out", "sizes", "words", "tokens"])
+
+
+class Stretch:
+    """One coded row as arrays."""
+
+    def __init__(self, row):
+        get = lambda name: row.column(name)[0].values
+        self.id = row.column("stretch")[0].as_py()
+        self.doc_id, self.held = get("doc_id"), np.asarray(get("held_out").to_numpy(zero_copy_only=False), bool)
+        self.sizes, self.tokens = get("sizes").to_numpy().astype(np.int64), get("tokens").to_numpy().astype(np.int64)
+        self.words = get("words").to_numpy().view(np.uint64)
+        self.train = np.repeat(~self.held, self.sizes)
+        history = np.empty_like(self.tokens)
+        history[1:] = self.tokens[:-1]
+        history[np.cumsum(self.sizes) - self.sizes] = len(self.words)
+        #: The number of the START history is that of one word more.
+        self.history = history
+
+    def pairs(self) -> np.ndarray:
+        return self.history * len(self.words) + self.tokens
+
+    def named(self, numbers: np.ndarray) -> np.ndarray:
+        return np.append(self.words, START)[numbers]
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[Stretch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield Stretch(batch.slice(k, 1))
+
+
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for s in _stretches(batches):
+        n = np.bincount(s.tokens[s.train], minlength=len(s.words))
+        yield pa.RecordBatch.from_arrays([pa.array(nb.as_long(s.words)), pa.array(np.full(len(n), s.id)), pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n.astype(np.int32))], names=["w", "stretch", "j", "n"])
+
+
+def _pair_rows(turn: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in _stretches(batches):
+            both = np.sort(s.pairs() * 2 + s.train)
+            key = both >> 1
+            heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            n, key = np.add.reduceat(both & 1, heads), key[heads]
+            v, w = key // len(s.words), key % len(s.words)
+            k = nb.mix(s.named(w) * np.uint64(0x9E3779B97F4A7C15) + nb.mix(s.named(v)))
+            mine = np.flatnonzero(k % np.uint64(PASSES) == turn)
+            for at in range(0, len(mine), 100_000):
+                i = mine[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(nb.as_long(k[i])), pa.array(np.full(len(i), s.id)), pa.array(i.astype(np.int32)), pa.array(n[i].astype(np.int32))], names=["k", "stretch", "i", "n"])
+
+    return rows
+
+
+_COUNTED = ["kind", "stretch", "v", *_LOW, "big", "below", "doc_id", "held_out", "sizes", "known", "unseen", "low", "base", "plain", "codes"]
+
+
+def _counted_schema(kind: str) -> tuple[str, pa.DataType]:
+    return f"kind string, stretch long, v long, {', '.join(f'{r} int' for r in _LOW)}, big long, below long, doc_id array<{kind}>, held_out array<boolean>, sizes array<int>, known array<int>, unseen array<int>, low array<int>, base array<double>, plain array<double>, codes array<int>"
+
+
+def _count(left: pa.Table, right: pa.Table, schema: pa.Schema) -> pa.Table:
+    """What a stretch knows once it has the counts of its words and pairs.
+
+    A row of sums for each history of the pairs it owns, a row of its texts (sums over their tokens and, for each token,
+    2 * history + whether its pair is known), and one with how many owned pairs are seen 1 to K + 1 times.
+    """
+    if not left.num_rows:
+        return schema.empty_table()
+    s = Stretch(left.combine_chunks())
+    width = len(s.words)
+    is_pair, at = right.column("pair").to_numpy(), right.column("i").to_numpy()
+    x, own_reply = right.column("x").to_numpy(), right.column("own").to_numpy()
+    c = np.zeros(width, np.int64)
+    c[at[~is_pair]] = x[~is_pair]
+    key, place = np.unique(s.pairs(), return_inverse=True)
+    r = np.bincount(place, s.train, len(key)).astype(np.int64)
+    own = r > 0
+    r[at[is_pair]], own[at[is_pair]] = x[is_pair], own_reply[is_pair]
+
+    v, w, mine = key[own] // width, key[own] % width, r[own]
+    sums = {f"r{k}": np.bincount(v, mine == k, width + 1).astype(np.int32) for k in range(1, K + 1)}
+    sums["big"] = np.bincount(v, np.where(mine > K, mine, 0), width + 1).astype(np.int64)
+    sums["below"] = np.bincount(v, c[w] + 1, width + 1).astype(np.int64)
+    some = np.unique(v)
+    n = len(some)
+
+    owner = np.repeat(np.arange(len(s.sizes)), s.sizes)
+    seen, counts = r[place], c[s.tokens]
+    add = lambda values: np.bincount(owner, values, len(s.sizes))
+    log_c = np.log10(counts + 1)
+    low = np.stack([add(seen == k) for k in range(1, K + 1)], axis=1).astype(np.int32)
+    texts = {
+        "doc_id": s.doc_id, "held_out": pa.array(s.held), "sizes": s.sizes.astype(np.int32), "known": add(counts > 0).astype(np.int32), "unseen": add(seen == 0).astype(np.int32), "low": low.ravel(),
+        "base": add(log_c), "plain": add(np.where(seen > K, np.log10(np.maximum(seen, 1)), np.where(seen > 0, 0.0, log_c))), "codes": (s.history * 2 + (seen > 0)).astype(np.int32)}
+    stats = np.bincount(np.minimum(mine, K + 2), minlength=K + 3)[1 : K + 2].astype(np.int32)
+    rows = [
+        {"kind": pa.array(["history"] * n), "v": pa.array(nb.as_long(s.named(some))), **{name: pa.array(a[some]) for name, a in sums.items()}},
+        {"kind": pa.array(["texts"]), "stretch": pa.array([s.id]), **{name: _one(a) for name, a in texts.items()}},
+        {"kind": pa.array(["stats"]), "low": _one(stats)},
+    ]
+    return pa.concat_tables([pa.table([r[f.name].cast(f.type) if f.name in r else pa.nulls(len(r["kind"]), f.type) for f in schema], schema=schema) for r in rows])
 
 
 def discounts(counts: list[int]) -> list[float]:
@@ -246,135 +202,91 @@ def discounts(counts: list[int]) -> list[float]:
     return out
 
 
-def _weigh(d: list[float], slots: int, hot: np.ndarray):
-    """Sums of a part's histories to log10 of D and alpha; frequent ones again apart."""
-
-    def weigh(key, rows):
-        blobs = [unpack(x) for x in rows.column("blob").to_pylist()]
-        v, group = np.unique(np.concatenate([b["history"] for b in blobs]), return_inverse=True)
-        total = lambda name: np.bincount(group, np.concatenate([b[name] for b in blobs]), len(v))
-        low = [total(f"r{k}") for k in range(1, K + 1)]
-        big, below = total("big"), total("below")
-        n = sum(k * x for k, x in enumerate(low, 1)) + big
-        whole = n + (sum(low) == 0)
-        mass = sum(k * dk * x for k, (dk, x) in enumerate(zip(d, low, strict=True), 1)) + big
-        alpha = np.log10((1 - mass / whole) / (1 - below / slots))
-        names = dict(history=v, whole=np.log10(whole), alpha=alpha)
-        some = _among(v, hot)[1]
-        out = [("histories", int(key[0].as_py()), pack(**names), None)]
-        if some.any():
-            out.append(("frequent", 0, pack(**{k: x[some] for k, x in names.items()}), None))
-        return pa.Table.from_batches([_batch(out)])
-
-    return weigh
-
-
-def _charge(buckets: int, hot: dict[str, np.ndarray]):
-    """For each text, the sum over a part's tokens of what their histories add to the score."""
-
-    def charge(key, rows):
-        tables = {"histories": [], "tokens": []}
-        for kind, blob in zip(rows.column("kind").to_pylist(), rows.column("blob").to_pylist(), strict=True):
-            tables[kind].append(unpack(blob))
-        if not tables["tokens"]:
-            return pa.Table.from_batches([_batch([])])
-        own = tables["histories"][0] if tables["histories"] else {k: x[:0] for k, x in hot.items()}
-        history = np.concatenate([b["history"] for b in tables["tokens"]])
-        seen = np.concatenate([b["seen"] for b in tables["tokens"]])
-        value = np.zeros(len(history))
-        for t in (own, hot):
-            at, there = _among(history, t["history"])
-            value[there] = np.where(seen[there], -t["whole"][at[there]], t["alpha"][at[there]])
-        owner, rid = _texts(tables["tokens"])
-        each = np.repeat(value, np.concatenate([b["tokens"] for b in tables["tokens"]]).astype(np.int64))
-        return pa.Table.from_batches([_batch(list(_by_text(rid, buckets, shared=np.bincount(owner, each, len(rid)))))])
-
-    return charge
-
-
-def _sums(blobs: list[dict]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """The texts in ``blobs``, and their sums of each column; a blob may lack columns."""
-    rid, group = np.unique(np.concatenate([b["rid"] for b in blobs]), return_inverse=True)
-    at, sums = 0, {k: np.zeros(len(rid)) for k in sorted(set().union(*blobs) - {"rid"})}
-    for b in blobs:
-        place = group[at : at + len(b["rid"])]
-        at += len(b["rid"])
-        for k in sums.keys() & b.keys():
-            sums[k] += np.bincount(place, b[k], len(rid))
-    return rid, sums
-
-
-def _add(key, rows):
-    rid, sums = _sums([unpack(x) for x in rows.column("blob").to_pylist()])
-    return pa.Table.from_batches([_batch([("texts", int(key[0].as_py()), pack(rid=rid, **sums), None)])])
-
-
-def _total(d: list[float], slots: int):
-    def total(key, rows):
-        rid, sums = _sums([unpack(x) for x in rows.column("blob").to_pylist()])
-        score = sum(sums[f"r{k}"] * np.log10(k * dk) for k, dk in enumerate(d, 1)) + sums["plain"] - sums["unseen"] * np.log10(slots) + sums["shared"]
-        return pa.table({"rid": pa.array(rid, pa.int64()), "known": pa.array(sums["known"]), "base": pa.array(sums["base"]), "score": pa.array(score)})
-
-    return total
+def backoff(sums: DataFrame, d: list[float], slots: int) -> DataFrame:
+    """(v, whole, alpha), as log10, of histories from rows of sums (v, r1.., big, below)."""
+    total = sums.groupBy("v").agg(*[F.sum(c).alias(c) for c in (*_LOW, "big", "below")])
+    low = sum((F.col(r) for r in _LOW), F.lit(0))
+    n = sum((F.lit(k) * F.col(r) for k, r in enumerate(_LOW, 1)), F.col("big"))
+    mass = sum((F.lit(k * x) * F.col(r) for k, (x, r) in enumerate(zip(d, _LOW, strict=True), 1)), F.col("big").cast("double"))
+    whole = n + (low == 0).cast("int")
+    alpha = F.log10((1 - mass / whole) / (1 - F.col("below") / F.lit(float(slots))))
+    return total.select("v", F.log10(whole).alias("whole"), alpha.alias("alpha"))
+
+
+def _finish(left: pa.Table, right: pa.Table, schema: pa.Schema, start: tuple[float, float], d: list[float], slots: int, train: int) -> pa.Table:
+    """The scores of a stretch's texts, once it has what its histories add: -whole for a known pair, else alpha."""
+    if not left.num_rows:
+        return schema.empty_table()
+    left = left.combine_chunks()
+    get = lambda name: left.column(name)[0].values
+    sizes, codes = get("sizes").to_numpy().astype(np.int64), get("codes").to_numpy()
+    value = np.zeros(int(codes.max()) + 2 + 2)
+    last = len(value) // 2
+    j = right.column("j").to_numpy()
+    there = j < last
+    value[2 * j[there] + 1], value[2 * j[there]] = -right.column("whole").to_numpy()[there], right.column("alpha").to_numpy()[there]
+    number = codes[np.cumsum(sizes) - sizes] // 2  # of START: each text's first history
+    if len(number):
+        value[2 * number[0] + 1], value[2 * number[0]] = -start[0], start[1]
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    shared = np.bincount(owner, value[codes], len(sizes))
+    low = get("low").to_numpy().reshape(-1, K)
+    score = low @ np.log10(np.arange(1, K + 1) * np.array(d)) + get("plain").to_numpy() - get("unseen").to_numpy() * np.log10(slots) + shared
+    base = get("base").to_numpy() - sizes * np.log10(slots)
+    columns = {"doc_id": get("doc_id"), "held_out": get("held_out"), "n_tokens": sizes, "n_known": get("known").to_numpy().astype(np.int64), "train_tokens": np.full(len(sizes), train), "base_score": base, "score": score}
+    return pa.table([(v if isinstance(v, pa.Array) else pa.array(v)).cast(f.type) for f, v in zip(schema, columns.values(), strict=True)], schema=schema)
 
 
 def score(docs: DataFrame, held_out: str = HELD_OUT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text, ...).
 
     The model learns from the rows for which the SQL condition ``held_out`` is false or null.
-    Null and empty texts have one token, the end. Rows that repeat doc_id and text all count in
-    training and get the same scores; texts are told apart by a 64-bit key of both. With nothing to learn
+    Null and empty texts have one token, the end. Rows are never told apart by their id, so null and
+    repeated ids and repeated rows count and are scored each by itself. With nothing to learn
     from, N and V are 0 and every token has probability 1. An empty table gives an empty one.
-    Further columns are ignored.
+    Further columns are ignored. A text longer than STRETCH_BYTES is a stretch of its own.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", text_or_empty().alias("text"), F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out")).withColumn("rid", F.xxhash64("doc_id", "text"))
-    survey = staged(texts.mapInArrow(_survey, f"rid long, doc_id {kind}, held_out boolean, n long, word long"), "survey")
-    rows = survey.where("word IS NULL")
-    tokens = int(rows.agg(F.sum("n")).first()[0] or 0)
-    # Frequent words have the share in some stretch and nearly so in all: a bounded list, whatever the input.
-    found = survey.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(HOT_SHARE / 2 * tokens)).select("word").collect()
-    hot = np.unique(np.concatenate([np.array([r[0] for r in found], np.int64).view(np.uint64), np.array([START, END], np.uint64)]))
-    exact = dict(texts.mapInArrow(_exact_counts(hot), "i long, n long").groupBy("i").agg(F.sum("n")).collect())
-    hot_counts, train = np.array([exact.get(i, 0) for i in range(len(hot))], np.int64), int(exact.get(len(hot), 0))
-
-    size = int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    parts = max(8, -(-size // PART_BYTES))
-    folder = work_dir(spark)
-    with lean_shuffles(spark):
+    rows = docs.select("doc_id", text_or_empty().alias("text"), F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"))
+    codes = staged(rows.mapInArrow(_code, f"stretch long, doc_id array<{kind}>, held_out array<boolean>, sizes array<int>, words array<long>, tokens array<int>"), "codes", "zstd")
+
+    with _few_rows(spark):
+        found = codes.select(*codes.columns).mapInArrow(_word_rows, "w long, stretch long, j int, n int")
+        every = W.partitionBy("w")
+        found = found.withColumn("c", F.sum("n").over(every)).withColumn("first", F.col("stretch") == F.min("stretch").over(every))
+        words = staged(found.drop("n"), "words")
+        replies = None
         for turn in range(PASSES):
-            dealt = texts.mapInArrow(_deal(parts, turn, hot), _ROWS).groupBy("part").applyInArrow(_count(parts, parts, hot, hot_counts), _ROWS)
-            dealt.withColumn("turn", F.col("part") % PASSES).write.partitionBy("kind", "turn").mode("append").parquet(f"{folder}/model")
-            raw = spark.read.schema(f"{_ROWS}, turn int").parquet(f"{folder}/model").where("kind = 'texts'").select(*_OUT)
-            raw.groupBy("part").applyInArrow(_add, _ROWS).write.mode("append").parquet(f"{folder}/sums")
-            remove(spark, f"{folder}/model/kind=texts")
-    model = spark.read.schema(f"{_ROWS}, turn int").parquet(f"{folder}/model")
-    counts = [0] * (K + 2)
-    for i, n in model.where("kind = 'stats'").select(F.posexplode("counts")).groupBy("pos").agg(F.sum("col")).collect():
+            pairs, same = codes.mapInArrow(_pair_rows(turn), "k long, stretch long, i int, n int"), W.partitionBy("k")
+            known = pairs.withColumns({"r": F.sum("n").over(same), "m": F.count("*").over(same), "owner": F.min(F.when(F.col("n") > 0, F.col("stretch"))).over(same)})
+            some = staged(known.where("m > 1 AND r > 0").select("stretch", "i", "r", (F.col("owner") == F.col("stretch")).alias("own")), f"pairs{turn}")
+            replies = some if replies is None else replies.unionByName(some)
+
+    totals = words.where("first").agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1))).first()
+    train, slots = int(totals[0] or 0), int(totals[0] or 0) + int(totals[1] or 0) + 1
+    both = replies.select("stretch", F.lit(True).alias("pair"), "i", F.col("r").alias("x"), "own").unionByName(
+        words.select("stretch", F.lit(False).alias("pair"), F.col("j").alias("i"), F.col("c").alias("x"), F.lit(False).alias("own")))
+    fields = _counted_schema(kind)
+    ready = docs.sparkSession.createDataFrame([], fields).schema
+    inner = to_arrow_schema(ready)
+    counted = staged(codes.groupBy("stretch").cogroup(both.groupBy("stretch")).applyInArrow(lambda left, right: _count(left, right, inner), ready), "counted", "zstd", "kind")
+    discard(codes)
+    counts = [0] * (K + 1)
+    for i, n in counted.where("kind = 'stats'").select(F.posexplode("low")).groupBy("pos").agg(F.sum("col")).collect():
         counts[i] = int(n)
-    slots = train + counts[0] + int((hot_counts > 0).sum()) + 1
-    d = discounts(counts[1:])
-    histories = staged(model.where("kind = 'history_sums'").groupBy("part").applyInArrow(_weigh(d, slots, hot), _ROWS), "histories")
-    remove(spark, f"{folder}/model/kind=history_sums")
-    frequent = [unpack(r[0]) for r in histories.where("kind = 'frequent'").select("blob").collect()]
-    names = ("history", "whole", "alpha")
-    apart = {k: np.concatenate([np.zeros(0, np.uint64 if k == "history" else float), *(b[k] for b in frequent)]) for k in names}
-    order = np.argsort(apart["history"])
-    apart = {k: x[order] for k, x in apart.items()}
-    with lean_shuffles(spark):
-        for turn in range(PASSES):
-            own = histories.where("kind = 'histories'").where(F.col("part") % PASSES == turn)
-            both = model.where(f"kind = 'tokens' AND turn = {turn}").select(*_OUT).unionByName(own)
-            both.groupBy("part").applyInArrow(_charge(parts, apart), _ROWS).groupBy("part").applyInArrow(_add, _ROWS).write.mode("append").parquet(f"{folder}/sums")
-            remove(spark, f"{folder}/model/kind=tokens/turn={turn}")
-    sums = spark.read.schema(_ROWS).parquet(f"{folder}/sums").groupBy("part").applyInArrow(_total(d, slots), "rid long, known double, base double, score double")
-    copies = rows.groupBy("rid").agg(F.count("*").alias("m"))
-    out = rows.join(staged(sums, "sums"), "rid").join(copies, "rid")
-    return out.select(
-        "doc_id", "held_out", F.col("n").alias("n_tokens"), F.round(F.col("known") / F.col("m")).cast("long").alias("n_known"), F.lit(train).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("m") - F.col("n") * F.lit(float(np.log10(slots)))).alias("base_score"), (F.col("score") / F.col("m")).alias("score"),
-    )
+    d = discounts(counts)
+    histories = staged(backoff(counted.where("kind = 'history'").select("v", *_LOW, "big", "below"), d, slots), "histories")
+    first = histories.where(F.col("v") == _START).select("whole", "alpha").first() or (0.0, 0.0)
+    start = (float(first[0]), float(first[1]))
+    values = words.join(histories, words.w == histories.v).select("stretch", "j", "whole", "alpha")
+    texts = counted.where("kind = 'texts'").drop("kind", "v", *_LOW, "big", "below")
+    out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    ready_out = docs.sparkSession.createDataFrame([], out).schema
+    inner_out = to_arrow_schema(ready_out)
+    return texts.groupBy("stretch").cogroup(values.groupBy("stretch")).applyInArrow(lambda left, right: _finish(left, right, inner_out, start, d, slots, train), ready_out)
 
 
 def op2_lm_score(spark, sf_dir: str) -> DataFrame:
