@@ -32,10 +32,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import npbytes as nb
-from .common import discard, staged, table, text_or_empty
+from .common import discard, remove, staged, table, text_or_empty
 
-#: Counts up to K are discounted; bytes of text in a stretch; passes over the pairs, so that the shuffle files of one are gone before the next.
-K, STRETCH_BYTES, PASSES = 5, 8 << 20, 2
+#: Counts up to K are discounted; bytes of text in a stretch; passes over the pairs, by their hash, and turns of the stretches: the files of one are gone before the next.
+K, STRETCH_BYTES, PASSES, TURNS = 5, 8 << 20, 4, 4
 HELD_OUT = "crc32(cast(cast(doc_id AS string) AS binary)) % 7 = 2"
 START, END = np.uint64(0x5DEECE66D1234567), np.uint64(0x2545F4914F6CDD1D)
 _START = int(START.view(np.int64))
@@ -139,10 +139,7 @@ def _pair_rows(turn: int):
     return rows
 
 
-_COUNTED = ["kind", "stretch", "v", *_LOW, "big", "below", "doc_id", "held_out", "sizes", "known", "unseen", "low", "base", "plain", "codes"]
-
-
-def _counted_schema(kind: str) -> tuple[str, pa.DataType]:
+def _counted_schema(kind: str) -> str:
     return f"kind string, stretch long, v long, {', '.join(f'{r} int' for r in _LOW)}, big long, below long, doc_id array<{kind}>, held_out array<boolean>, sizes array<int>, known array<int>, unseen array<int>, low array<int>, base array<double>, plain array<double>, codes array<int>"
 
 
@@ -251,29 +248,36 @@ def score(docs: DataFrame, held_out: str = HELD_OUT) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", text_or_empty().alias("text"), F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"))
-    codes = staged(rows.mapInArrow(_code, f"stretch long, doc_id array<{kind}>, held_out array<boolean>, sizes array<int>, words array<long>, tokens array<int>"), "codes", "zstd")
+    turn_of = F.pmod(F.xxhash64("stretch"), F.lit(TURNS)).cast("int")
+    coded = rows.mapInArrow(_code, f"stretch long, doc_id array<{kind}>, held_out array<boolean>, sizes array<int>, words array<long>, tokens array<int>")
+    codes = staged(coded.withColumn("turn", turn_of), "codes", "zstd", "turn")
 
     with _few_rows(spark):
-        found = codes.select(*codes.columns).mapInArrow(_word_rows, "w long, stretch long, j int, n int")
+        found = codes.mapInArrow(_word_rows, "w long, stretch long, j int, n int")
         every = W.partitionBy("w")
         found = found.withColumn("c", F.sum("n").over(every)).withColumn("first", F.col("stretch") == F.min("stretch").over(every))
-        words = staged(found.drop("n"), "words")
-        replies = None
-        for turn in range(PASSES):
-            pairs, same = codes.mapInArrow(_pair_rows(turn), "k long, stretch long, i int, n int"), W.partitionBy("k")
+        words = staged(found.drop("n"), "words", "zstd")
+        replies = []
+        for k in range(PASSES):
+            pairs, same = codes.mapInArrow(_pair_rows(k), "k long, stretch long, i int, n int"), W.partitionBy("k")
             known = pairs.withColumns({"r": F.sum("n").over(same), "m": F.count("*").over(same), "owner": F.min(F.when(F.col("n") > 0, F.col("stretch"))).over(same)})
-            some = staged(known.where("m > 1 AND r > 0").select("stretch", "i", "r", (F.col("owner") == F.col("stretch")).alias("own")), f"pairs{turn}")
-            replies = some if replies is None else replies.unionByName(some)
+            known = known.where("m > 1 AND r > 0").select("stretch", "i", "r", (F.col("owner") == F.col("stretch")).alias("own"), turn_of.alias("turn"))
+            replies.append(staged(known, f"pairs{k}", "zstd", "turn"))
 
     totals = words.where("first").agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1))).first()
     train, slots = int(totals[0] or 0), int(totals[0] or 0) + int(totals[1] or 0) + 1
-    both = replies.select("stretch", F.lit(True).alias("pair"), "i", F.col("r").alias("x"), "own").unionByName(
-        words.select("stretch", F.lit(False).alias("pair"), F.col("j").alias("i"), F.col("c").alias("x"), F.lit(False).alias("own")))
-    fields = _counted_schema(kind)
-    ready = docs.sparkSession.createDataFrame([], fields).schema
+    ready = spark.createDataFrame([], _counted_schema(kind)).schema
     inner = to_arrow_schema(ready)
-    counted = staged(codes.groupBy("stretch").cogroup(both.groupBy("stretch")).applyInArrow(lambda left, right: _count(left, right, inner), ready), "counted", "zstd", "kind")
-    discard(codes)
+    counted = None
+    for turn in range(TURNS):
+        both = words.where(turn_of == turn).select("stretch", F.lit(False).alias("pair"), F.col("j").alias("i"), F.col("c").alias("x"), F.lit(False).alias("own"))
+        for some in replies:
+            both = both.unionByName(some.where(F.col("turn") == turn).select("stretch", F.lit(True).alias("pair"), "i", F.col("r").alias("x"), "own"))
+        mine = codes.where(F.col("turn") == turn).drop("turn").groupBy("stretch")
+        part = staged(mine.cogroup(both.groupBy("stretch")).applyInArrow(lambda left, right: _count(left, right, inner), ready), f"counted{turn}", "zstd", "kind")
+        counted = part if counted is None else counted.unionByName(part)
+        for done in (codes, *replies):
+            remove(spark, f"{done.stage_path}/turn={turn}")
     counts = [0] * (K + 1)
     for i, n in counted.where("kind = 'stats'").select(F.posexplode("low")).groupBy("pos").agg(F.sum("col")).collect():
         counts[i] = int(n)
@@ -281,10 +285,11 @@ def score(docs: DataFrame, held_out: str = HELD_OUT) -> DataFrame:
     histories = staged(backoff(counted.where("kind = 'history'").select("v", *_LOW, "big", "below"), d, slots), "histories")
     first = histories.where(F.col("v") == _START).select("whole", "alpha").first() or (0.0, 0.0)
     start = (float(first[0]), float(first[1]))
-    values = words.join(histories, words.w == histories.v).select("stretch", "j", "whole", "alpha")
+    values = staged(words.join(histories, words.w == histories.v).select("stretch", "j", "whole", "alpha"), "values", "zstd")
+    discard(words, histories)
     texts = counted.where("kind = 'texts'").drop("kind", "v", *_LOW, "big", "below")
     out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    ready_out = docs.sparkSession.createDataFrame([], out).schema
+    ready_out = spark.createDataFrame([], out).schema
     inner_out = to_arrow_schema(ready_out)
     return texts.groupBy("stretch").cogroup(values.groupBy("stretch")).applyInArrow(lambda left, right: _finish(left, right, inner_out, start, d, slots, train), ready_out)
 
