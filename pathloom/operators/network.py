@@ -24,17 +24,24 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree")).withColumn("crossing", F.col("degree") != 2)
 
 
-def components(edges: DataFrame, checkpoint=lambda df: df.checkpoint()) -> DataFrame:
-    """(node, label): the least node reachable. Roots take the least neighbour root, and edges move to the roots, until none is left."""
+def components(edges: DataFrame, checkpoint=lambda df: df.checkpoint(), drop=lambda *old: None) -> DataFrame:
+    """(node, label): the least node reachable. Roots take the least neighbour root, and edges move to the roots, until none is left.
+
+    ``checkpoint`` cuts the lineage of each round's tables, ``drop`` is told of those that no later round reads.
+    """
     edges = checkpoint(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
+    labels = checkpoint(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")))
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = checkpoint(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")).where("to <> a").select(F.col("a").alias("root"), "to"))
+        old = [labels, edges, to]
         labels = checkpoint(labels.join(to, labels.label == to.root, "left").select("node", F.coalesce("to", "label").alias("label")))
+        moved = edges
         for end in ("a", "b"):
-            edges = edges.join(to, edges[end] == to.root, "left").withColumn(end, F.coalesce("to", end)).select("a", "b")
-        edges = checkpoint(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+            moved = moved.join(to, moved[end] == to.root, "left").withColumn(end, F.coalesce("to", end)).select("a", "b")
+        edges = checkpoint(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+        drop(*old)
+    drop(edges)
     return labels
 
 
