@@ -18,12 +18,17 @@ def _lines(col: str = "text"):
     return F.split(text_or_empty(col), "\n", -1)
 
 
+def _site(host: str):
+    """A name of the host that is never null: null is a host of its own, apart from the empty one."""
+    return F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("none")).alias("host")
+
+
 def boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """Lines (host, line_key, pages, host_pages) that are on more than ``max_ratio`` of their host's pages.
+    """Lines (host: as _site names it, line_key, pages, host_pages) that are on more than ``max_ratio`` of their host's pages.
 
     A page counts a line once. Blank lines are never boilerplate. Rows with a null host form a host of their own.
     """
-    site = F.coalesce(F.col(host), F.lit("")).alias("host")
+    site = _site(host)
     keys = F.array_distinct(F.transform(F.filter(_lines(), lambda x: F.trim(x) != ""), _key))
     pages = docs.groupBy(site).agg(F.count("*").alias("host_pages"))
     seen = docs.select(site, F.explode(keys).alias("line_key")).groupBy("host", "line_key").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
@@ -41,7 +46,7 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = M
     """
     docs = docs.select([c for c in docs.columns if c not in ("n_lines", "n_dropped") and not c.startswith("_")])
     bad = staged(boilerplate(docs, host, max_ratio, min_pages).select("host", "line_key"), "boilerplate")
-    site = F.coalesce(F.col(host), F.lit("")).alias("host")
+    site = _site(host)
     row = F.xxhash64("doc_id", site, text_or_empty()).alias("_row")
     keys = F.array_distinct(F.transform(F.filter(_lines(), lambda x: F.trim(x) != ""), _key))
     hits = (
@@ -68,8 +73,8 @@ WITH l AS (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10
                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
 p AS (SELECT source, count(*) AS host_pages FROM documents GROUP BY source),
 s AS (SELECT source, trim(line) AS k, count(DISTINCT doc_id) AS pages FROM l WHERE trim(line) <> '' GROUP BY source, trim(line)),
-b AS (SELECT s.source, s.k FROM s JOIN p USING (source) WHERE pages >= 10 AND pages > 0.1e0 * host_pages),
-m AS (SELECT l.*, b.k IS NOT NULL AS bad FROM l LEFT JOIN b ON l.source = b.source AND trim(l.line) = b.k)
+b AS (SELECT s.source, s.k FROM s JOIN p ON s.source IS NOT DISTINCT FROM p.source WHERE pages >= 2 AND pages > 0.1e0 * host_pages),
+m AS (SELECT l.*, b.k IS NOT NULL AS bad FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source AND trim(l.line) = b.k)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE bad) AS n_dropped,
        coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT bad), '') AS text
 FROM m GROUP BY doc_id
