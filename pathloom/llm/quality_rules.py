@@ -36,38 +36,43 @@ def text_features(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Null and empty texts have zeros. A text of fewer than 8 words has no window. Work on a
     text grows as n log n with its words: windows are hashes in an array, repeats are found
-    by sorting it, and only where the distinct count shows that there are any.
+    by sorting it, and only where the distinct count shows that there are any. Columns of
+    the added names are replaced, all others stay as they are.
     """
-    t = text_or_empty(text)
-    out = docs.withColumn("_w", F.filter(F.split(t, WORD_GAP, -1), lambda w: w != ""))
-    out = out.withColumn("_h1", F.transform("_w", lambda w: F.xxhash64(w)))
+    t, own = text_or_empty(text), "_"
+    while any(c.startswith(own) for c in docs.columns):
+        own += "_"
+    x = lambda name: f"{own}{name}"
+    out = docs.withColumn(x("w"), F.filter(F.split(t, WORD_GAP, -1), lambda w: w != ""))
+    out = out.withColumn(x("h1"), F.transform(x("w"), lambda w: F.xxhash64(w)))
     for size in (1, 2, 4):
-        out = out.withColumn(f"_h{2 * size}", _shifted_pairs(f"_h{size}", size))
-    out = out.withColumn("_repeats", F.size("_h8") > F.size(F.array_distinct("_h8")))
+        out = out.withColumn(x(f"h{2 * size}"), _shifted_pairs(x(f"h{size}"), size))
+    repeats = F.col(x("repeats"))
+    out = out.withColumn(x("repeats"), F.size(x("h8")) > F.size(F.array_distinct(x("h8"))))
     # (hash, place) in order; a place whose neighbour has the same hash starts a repeated window.
-    out = out.withColumn("_s", F.when(F.col("_repeats"), F.array_sort(F.transform("_h8", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    n = F.size("_s")
+    out = out.withColumn(x("s"), F.when(repeats, F.array_sort(F.transform(x("h8"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    n = F.size(x("s"))
     nothing = F.array(F.lit(None).cast("struct<h:bigint,i:int>"))
-    out = out.withColumn("_z", F.when(F.col("_repeats"), F.arrays_zip(
-        F.col("_s").alias("x"), F.concat(nothing, F.slice("_s", 1, n - 1)).alias("p"), F.concat(F.slice("_s", 2, n), nothing).alias("q"))))
+    out = out.withColumn(x("z"), F.when(repeats, F.arrays_zip(
+        F.col(x("s")).alias("x"), F.concat(nothing, F.slice(x("s"), 1, n - 1)).alias("p"), F.concat(F.slice(x("s"), 2, n), nothing).alias("q"))))
     same = lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))
-    out = out.withColumn("_i", F.array_sort(F.transform(F.filter("_z", lambda z: same(z["x"], z["p"]) | same(z["x"], z["q"])), lambda z: z["x"]["i"])))
+    out = out.withColumn(x("i"), F.array_sort(F.transform(F.filter(x("z"), lambda z: same(z["x"], z["p"]) | same(z["x"], z["q"])), lambda z: z["x"]["i"])))
     # Words in the union of [i, i + 8): each window adds what lies before the next one starts.
     folded = F.aggregate(
-        F.col("_i"),
+        F.col(x("i")),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("at")),
         lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["at"])).alias("n"), i.alias("at")),
         lambda a: a["n"],
     )
-    lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    out = out.withColumn("_l", lines)
+    lines = F.filter(F.split(t, "\n", -1), lambda v: F.length(F.translate(v, SPACES, "")) > 0)
+    out = out.withColumn(x("l"), lines)
     return out.withColumns({
-        "n_words": F.size("_w").cast("long"),
+        "n_words": F.size(x("w")).cast("long"),
         "word_chars": F.length(F.translate(t, SPACES, "")).cast("long"),
         "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-        "n_repeat_words": F.when(F.col("_repeats"), folded).otherwise(F.lit(0)).cast("long"),
-    }).drop("_w", "_h1", "_h2", "_h4", "_h8", "_repeats", "_s", "_z", "_i", "_l")
+        "n_dup_lines": (F.size(x("l")) - F.size(F.array_distinct(x("l")))).cast("long"),
+        "n_repeat_words": F.when(repeats, folded).otherwise(F.lit(0)).cast("long"),
+    }).drop(*map(x, ("w", "h1", "h2", "h4", "h8", "repeats", "s", "z", "i", "l")))
 
 
 def base_failed() -> Column:
@@ -114,7 +119,9 @@ def _histogram(labelled: DataFrame, bins: int) -> tuple[dict[str, list[float]],
     """Thresholds of each feature; and rows (cell, part, good, bad). Both are bounded by ``bins`` and the features."""
     at = [k / bins for k in range(1, bins)]
     # Quantiles of each class too: where bad texts are rare, the overall ones may not separate them.
-    picks = labelled.agg(*[F.percentile_approx(f, at, 10_000).alias(f) for f in RULE_FEATURES], *[F.percentile_approx(F.when(F.col("label") == k, F.col(f)), [0.02, 0.1, 0.5, 0.9, 0.98], 10_000).alias(f"{f}_{k}") for f in RULE_FEATURES for k in (0, 1)]).first()
+    # Exact ones of values of three decimals, so that no order of rows changes a rule; an aggregate holds the distinct values.
+    near = lambda f: F.round(f, 3)
+    picks = labelled.agg(*[F.percentile(near(f), at).alias(f) for f in RULE_FEATURES], *[F.percentile(F.when(F.col("label") == k, near(f)), [0.02, 0.1, 0.5, 0.9, 0.98]).alias(f"{f}_{k}") for f in RULE_FEATURES for k in (0, 1)]).first()
     edges = {f: sorted({float(x) for name in (f, f"{f}_0", f"{f}_1") for x in (picks[name] or [])}) for f in RULE_FEATURES}
     cells = [reduce(lambda a, b: a + b, [(F.col(f) > F.lit(e)).cast("int") for e in edges[f]], F.lit(0)).alias(f"b{i}") for i, f in enumerate(RULE_FEATURES)]
     rows = labelled.select(*cells, "part", "label").groupBy(*[f"b{i}" for i in range(len(cells))], "part").agg(F.count(F.when(F.col("label") == 1, 1)), F.count(F.when(F.col("label") == 0, 1))).collect()
