@@ -144,8 +144,8 @@ def item_words(texts: list[str | None]) -> list[np.ndarray]:
     return [h[first[i] : first[i + 1]] for i in range(len(texts))]
 
 
-def _scan(sam: SuffixAutomaton, column, cut: bool) -> Iterator[tuple[int, list[tuple[int, int]], list[str], str | None]]:
-    """For each text: its words, the union of hit spans, the items, and the text without the spans (if cut and hit)."""
+def _scan(sam: SuffixAutomaton, column) -> Iterator[tuple[int, list[tuple[int, int]], list[str]]]:
+    """For each text: its words, the union of hit spans, and the items."""
     data, offsets = nb.buffers(column)
     for i, j in nb.groups(offsets, _CHUNK):
         raw = data[offsets[i] : offsets[j]]
@@ -176,16 +176,22 @@ def _scan(sam: SuffixAutomaton, column, cut: bool) -> Iterator[tuple[int, list[t
         for k in range(j - i):
             n = int(first[k + 1] - first[k])
             if k not in hits:
-                yield n, [], [], None
+                yield n, [], []
                 continue
-            spans, text = _union(hits[k][0]), None
-            if cut:
-                at, keep = int(off[k]), []
-                for s, e in spans:
-                    keep.append(raw[at : starts[first[k] + s]].tobytes())
-                    at = int(ends[first[k] + e - 1])
-                text = b"".join([*keep, raw[at : off[k + 1]].tobytes()]).decode()
-            yield n, spans, sorted(hits[k][1]), text
+            yield n, _union(hits[k][0]), sorted(hits[k][1])
+
+
+def _without(text: str | None, spans: list[dict]) -> str | None:
+    """The text without its words [start, end) and what stands between those; None if there are none."""
+    if not spans:
+        return None
+    raw, off = nb.buffers(pa.array([text], pa.large_string()))
+    starts, ends, _ = nb.words(nb.lower_az(raw), off, nb.ALNUM)
+    at, keep = 0, []
+    for s in spans:
+        keep.append(raw[at : starts[s["start"]]].tobytes())
+        at = int(ends[s["end"] - 1])
+    return b"".join([*keep, raw[at:].tobytes()]).decode()
 
 
 def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, cut: bool = False) -> DataFrame:
@@ -199,8 +205,6 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: i
     """
     spark = docs.sparkSession
     added = {"n_words": T.LongType(), "n_hit": T.LongType(), "item_ids": T.ArrayType(T.StringType()), "spans": _SPANS, "contaminated": T.BooleanType()}
-    if cut:
-        added["cut_text"] = T.StringType()
     docs = docs.select([c for c in docs.columns if c not in {**added, "cut_text": 0}])
     schema = T.StructType([*docs.schema.fields, *(T.StructField(k, v) for k, v in added.items())])
     plain = [f.name for f in docs.schema.fields]
@@ -214,14 +218,14 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: i
                 out: dict[str, list] = {k: [] for k in added}
                 before = batch.select(["item_ids", "spans"]).to_pylist() if again else [{}] * batch.num_rows
                 texts = batch.column("text")
-                for row, (n, spans, found, text) in zip(before, _scan(sam, texts, cut), strict=True):
+                for row, (n, spans, found) in zip(before, _scan(sam, texts), strict=True):
                     if again:
                         spans = _union([*spans, *((s["start"], s["end"]) for s in row["spans"])])
                         found = sorted({*found, *row["item_ids"]})
                     hit = sum(e - s for s, e in spans)
-                    for k, v in zip(added, (n, hit, found, [{"start": s, "end": e} for s, e in spans], hit > 0 and 100 * hit >= MIN_SHARE_PERCENT * n, text), strict=False):
+                    for k, v in zip(added, (n, hit, found, [{"start": s, "end": e} for s, e in spans], hit > 0 and 100 * hit >= MIN_SHARE_PERCENT * n), strict=True):
                         out[k].append(v)
-                arrow = {"n_words": pa.int64(), "n_hit": pa.int64(), "item_ids": pa.list_(pa.string()), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "contaminated": pa.bool_(), "cut_text": pa.string()}
+                arrow = {"n_words": pa.int64(), "n_hit": pa.int64(), "item_ids": pa.list_(pa.string()), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "contaminated": pa.bool_()}
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in plain), *(pa.array(v, arrow[k]) for k, v in out.items())], names=[*plain, *added])
 
         return df.mapInArrow(match, schema)
@@ -234,9 +238,16 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: i
             out, again, block, size = step(out, block, again), True, [], 0
         block.append((row[0] if row[0] is not None else "null", h))
         size += len(h)
-    if cut and again:
-        raise ValueError("cut needs the items in one block: raise block_words, or cut by the spans")
-    return step(out, block, again)
+    out = step(out, block, again)
+    if not cut:
+        return out
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left = [_without(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(left, pa.string())], names=[*batch.schema.names, "cut_text"])
+
+    return out.mapInArrow(shorten, T.StructType([*schema.fields, T.StructField("cut_text", T.StringType())]))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
