@@ -108,16 +108,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
 
     def chosen_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.searchsorted(union, f[np.isin(f, union)]).astype(np.int32) for f in features(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(found, pa.list_(pa.int32()))], names=["kind", "found"])
+            found = [np.searchsorted(union, f[np.isin(f, union)]).astype(np.uint16).tobytes() for f in features(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(found, pa.binary())], names=["kind", "found"])
 
-    rows = texts.mapInArrow(chosen_of, "kind int, found array<int>").toPandas()
+    # At most ``sample`` strings of two bytes for each of the 2 * CHOSEN features that a text has.
+    rows = texts.mapInArrow(chosen_of, "kind int, found binary").toPandas()
     for t, pick in enumerate(picks):
         if not len(pick):
             continue
         own = np.full(len(union), -1)
         own[np.searchsorted(union, pick)] = np.arange(len(pick))
-        kept = [f[f >= 0] for f in (own[np.asarray(r, int)] for r in rows.found)]
+        kept = [f[f >= 0] for f in (own[np.frombuffer(r, np.uint16)] for r in rows.found)]
         fitted = _logistic(kept, ((rows.kind.to_numpy(int) >> t) & 1).astype(float), len(pick))
         weights[pick, t], weights[FEATURES, t] = fitted[:-1], fitted[-1]
     return weights
