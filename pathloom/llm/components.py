@@ -4,9 +4,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators import network
-from .common import staged
+from .common import discard, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b: long): label is the least node reachable."""
-    return network.components(edges, checkpoint=staged)
+    return network.components(edges, checkpoint=staged, drop=discard)

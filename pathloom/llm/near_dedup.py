@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import npbytes as nb
-from .common import row_key, staged, table, text_or_empty
+from .common import discard, row_key, staged, table, text_or_empty
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -191,11 +191,13 @@ def components_of(signed: DataFrame, docs: DataFrame) -> DataFrame:
     sets = docs.select(text_or_empty().alias("text"), row_key().alias("rid")).join(asked, "rid").mapInArrow(_sets, "node long, shingles binary")
     sets = staged(sets.dropDuplicates(["node"]), "sets")
 
+    discard(shared)
     labels = staged(sets.select("node", F.col("node").alias("label")), "labels")
-    members = members.withColumn("label", F.col("node"))
+    members = staged(members.withColumn("label", F.col("node")), "members")
     tried: DataFrame | None = None
     for turn in count():
-        pairs = members.join(staged(_centres(members, turn), "centres"), "bucket").where((F.col("label") != F.col("of")) & _sizes_fit(F.col("n_shingles"), F.col("m")))
+        centres = staged(_centres(members, turn), "centres")
+        pairs = members.join(centres, "bucket").where((F.col("label") != F.col("of")) & _sizes_fit(F.col("n_shingles"), F.col("m")))
         pairs = pairs.groupBy("node", "centre", "label", "of").agg(F.count("*").alias("shares"))
         place = F.row_number().over(W.partitionBy("node").orderBy(F.desc("shares"), "centre"))  # of 50 buckets' centres at most
         pairs = pairs.withColumn("_k", place).where(F.col("_k") <= (1 if turn < 2 else CENTRES))
@@ -206,10 +208,14 @@ def components_of(signed: DataFrame, docs: DataFrame) -> DataFrame:
         tried = best if tried is None else tried.unionByName(best)
         found = _linked(best, sets)
         n_tried, n_found = best.count(), found.count()
+        old = [centres, found]
         if n_found:
             joined = components(_by_label(found, labels))
+            old += [labels, members, joined]
             labels, members = _merged(labels, joined, "labels"), _merged(members, joined, "members")
+        old.append(members)
         members = _open(members)
+        discard(*old)
         if turn >= 2 and n_found * YIELD <= n_tried:
             break
 
