@@ -15,6 +15,15 @@ def id_list(ids: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(ids, lambda x: x.cast("string")), ","), F.lit("]"))
 
 
-def family(sequence: Column) -> Column:
-    """One form for a sequence and its reverse."""
-    return F.least(F.array_join(sequence, "-"), F.array_join(F.reverse(sequence), "-"))
+def canonical(sequence: Column) -> Column:
+    """The lesser of a sequence of numbers and its reverse, compared number by number."""
+    return F.least(sequence, F.reverse(sequence))
+
+
+def forward(sequence: Column) -> Column:
+    return sequence <= F.reverse(sequence)
+
+
+def family_id(sequence: Column, prefix: str = "route-family-") -> Column:
+    """One id for a sequence and its reverse."""
+    return F.concat(F.lit(prefix), short_digest(F.array_join(F.transform(canonical(sequence), lambda x: x.cast("string")), ",")))

@@ -7,13 +7,19 @@ from pyspark.sql import functions as F
 from ..functions.geo import crosses, haversine, map_x, map_y, segment_distance
 
 
+#: Degrees of latitude in which points and ring edges meet.
+BAND = 0.001
+
+
 def inside(points: DataFrame, rings: DataFrame) -> DataFrame:
     """(id, area) of points inside an area, by crossing parity over its ring edges (area, lon1, lat1, lon2, lat2).
 
-    ``rings`` is a curated table of boundary edges; an edge meets only the points in its band of latitude.
+    Edges and points meet in bands of latitude BAND degrees high, so this is an equi-join; a level edge crosses no ray.
     """
     hit = crosses(F.col("lon"), F.col("lat"), F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2"))
-    return points.join(rings, hit).groupBy("id", "area").agg(F.count("*").alias("n")).where("n % 2 = 1").select("id", "area")
+    at = lambda c: F.floor(c / BAND)
+    banded = rings.withColumn("_band", F.explode(F.sequence(at(F.least("lat1", "lat2")), at(F.greatest("lat1", "lat2")))))
+    return points.withColumn("_band", at(F.col("lat"))).join(banded, "_band").where(hit).groupBy("id", "area").agg(F.count("*").alias("n")).where("n % 2 = 1").select("id", "area")
 
 
 def near_boundary(points: DataFrame, rings: DataFrame, within_m: float) -> DataFrame:
@@ -33,7 +39,8 @@ def nearest(points: DataFrame, nodes: DataFrame, cell: float = 0.02) -> DataFram
     """(id, node, distance_m): the nearest node of each point, ties to the lower node.
 
     Points meet the nodes of the 3 x 3 cells around them. Where the best is farther than the
-    cells surely reach, the cells are doubled for those points until it is not.
+    cells surely reach, the cells grow fourfold for those points until it is not. What is left when
+    cells are as large as the map meets all nodes, few as such points are; without nodes it has nulls.
     """
     left, found = points.select("id", "lon", "lat"), None
     while True:
@@ -49,8 +56,13 @@ def nearest(points: DataFrame, nodes: DataFrame, cell: float = 0.02) -> DataFram
         found = done if found is None else found.unionByName(done)
         left = best.where(~F.coalesce(sure, F.lit(False))).select("id", "lon", "lat")
         cell *= 4
-        if cell > 45 or left.isEmpty():
+        if left.isEmpty():
             return found
+        if cell > 20:
+            d = haversine(F.col("lon"), F.col("lat"), F.col("nlon"), F.col("nlat"))
+            n = nodes.select(F.col("id").alias("node"), F.col("lon").alias("nlon"), F.col("lat").alias("nlat"))
+            far = left.join(n, F.lit(True), "left").groupBy("id").agg(F.min(F.when(F.col("node").isNotNull(), F.struct(d.alias("d"), F.col("node").alias("node")))).alias("m"))
+            return found.unionByName(far.select("id", F.col("m.node").alias("node"), F.col("m.d").alias("distance_m")))
 
 
 def missing(rows: DataFrame, key: str, known: DataFrame, other: str) -> DataFrame:

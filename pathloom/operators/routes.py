@@ -18,8 +18,13 @@ def measured(steps: DataFrame) -> DataFrame:
 
 
 def ranked(runs: DataFrame, top: int) -> DataFrame:
-    """The best ``top`` runs of each scenario: complete, more distinct length, less overlap, higher score, more steps; then by run."""
+    """The best ``top`` runs of each scenario: complete, more distinct length, less overlap, higher score, fewer steps; then by run.
+
+    With a column ``signature`` (what a run visits, in order), only the best run of each signature counts.
+    """
     order = [F.desc("complete"), F.desc("distinct_length"), F.asc("overlap"), F.desc("score"), F.asc("n_steps"), F.asc("run")]
+    if "signature" in runs.columns:
+        runs = runs.withColumn("_k", F.row_number().over(W.partitionBy("scenario", "signature").orderBy(*order))).where("_k = 1").drop("_k")
     return runs.withColumn("rank", F.row_number().over(W.partitionBy("scenario").orderBy(*order))).where(F.col("rank") <= top)
 
 
@@ -38,20 +43,21 @@ def overlaps(steps: DataFrame) -> DataFrame:
 
 
 def diverse(runs: DataFrame, per_scenario: int, window: int = 36) -> DataFrame:
-    """Greedy choice of runs (scenario, run, quality, distinct_length, overlap, total, items) far from those chosen before.
+    """Greedy choice of runs (scenario, run, quality, distinct_length, overlap, total, items): the best, then those far from the ones chosen before.
 
-    Scenarios are independent and each brings at most its best ``window`` runs, so a group is bounded.
+    Scenarios are independent and each brings at most its best ``window`` runs (or ``per_scenario``, if more), so a group is bounded.
     """
-    best = runs.withColumn("_r", F.row_number().over(W.partitionBy("scenario").orderBy(F.desc("quality"), "run"))).where(F.col("_r") <= window).drop("_r")
+    most = max(window, per_scenario)
+    best = runs.withColumn("_r", F.row_number().over(W.partitionBy("scenario").orderBy(F.desc("quality"), "run"))).where(F.col("_r") <= most).drop("_r")
 
     def choose(key, pdf):
         pdf = pdf.sort_values(["quality", "run"], ascending=[False, True]).reset_index(drop=True)
         sets = [set(x) for x in pdf["items"]]
-        q, u = max(pdf.quality.max(), 1e-9), max(pdf.distinct_length.max(), 1e-9)
-        chosen: list[int] = []
+        q, u = pdf.quality.max() or 1.0, pdf.distinct_length.max() or 1.0
+        chosen = [0]
         while len(chosen) < min(per_scenario, len(pdf)):
             def worth(i):
-                far = min((1 - len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) for j in chosen), default=1.0)
+                far = min((1 - (len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] | sets[j] else 1) for j in chosen), default=1.0)  # noqa: B023
                 r = pdf.iloc[i]
                 return 2.4 * far + 1.2 * r.quality / q + 0.6 * r.distinct_length / u - 0.8 * r.overlap / max(1.0, r.total)
             chosen.append(max((i for i in range(len(pdf)) if i not in chosen), key=lambda i: (worth(i), -i)))

@@ -5,7 +5,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import map_x, map_y
-from ..functions.ids import family, id_list, short_digest
+from ..functions import policy, text
+from ..functions.ids import family_id, forward, id_list, short_digest
 from ..operators import network, places, routes, series
 from ..streaming import progress
 from . import inputs as i
@@ -24,8 +25,8 @@ def query(sql: str | None = None):
     return register
 
 
-_SEG, _SPARSE_SEG = i.SEGMENTS.format(ways=i.WAYS), i.SEGMENTS.format(ways=i.SPARSE)
-_EDGES = f"SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM ({_SPARSE_SEG})"
+_SEG = i.SEGMENTS.format(ways=i.WAYS)
+_EDGES = f"SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM ({_SEG})"
 _BOTH = f"SELECT a, b FROM ({_EDGES}) UNION ALL SELECT b, a FROM ({_EDGES})"
 
 
@@ -91,12 +92,69 @@ def gap_fill_keep(spark, d):
     return series.close_gaps(i.geo_ways(spark, d), "way", "pos", F.col("node") % 7 < 2).select("way", "pos", "filled")
 
 
-@query("""
-SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'excluded' WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'baseline' WHEN o_orderstatus = 'F' THEN 'included' ELSE 'buffer' END AS class FROM orders""")
+_TAGS = """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'exclude' WHEN o_orderkey % 5 = 0 THEN 'include' END AS state, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS until,
+  CASE WHEN o_orderkey % 11 = 0 THEN 'temporarily_unavailable' END AS availability, CASE WHEN o_custkey % 4 = 0 THEN 'buffer' END AS zone, CASE WHEN o_custkey % 9 = 0 THEN 'yes' END AS context, CASE WHEN o_orderstatus <> 'P' THEN 'path' END AS highway FROM orders"""
+
+
+def _tagged(spark, d):
+    """(id, tags): orders as ways with tags."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    values = {
+        policy.POLICY_TAGS["routing_state"]: F.when(k % 7 == 0, "exclude").when(k % 5 == 0, "include"), policy.POLICY_TAGS["unavailable_until"]: F.when(k % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")),
+        policy.AVAILABILITY_TAG: F.when(k % 11 == 0, policy.UNAVAILABLE), policy.ZONE_TAG: F.when(c % 4 == 0, "buffer"), policy.CONTEXT_TAG: F.when(c % 9 == 0, "yes"), "highway": F.when(F.col("o_orderstatus") != "P", "path")}
+    entries = F.array(*[F.struct(F.lit(key).alias("key"), v.alias("value")) for key, v in values.items()])
+    return i.table(spark, d, "orders").select(k.alias("id"), F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())).alias("tags"))
+
+
+_ON = "1997-06-30"
+_OUT = f"(coalesce(availability = 'temporarily_unavailable', false) OR coalesce(DATE '{_ON}' <= CAST(until AS DATE), false))"
+
+
+@query(f"""SELECT id, CASE WHEN state = 'exclude' THEN false WHEN {_OUT} THEN false WHEN state = 'include' THEN true WHEN zone = 'buffer' THEN false WHEN context = 'yes' THEN false ELSE highway IS NOT NULL END AS rides,
+  highway IS NOT NULL OR coalesce(zone = 'buffer', false) AS edits, coalesce(zone, 'core') AS zone, coalesce(state = 'include', false) AS included, state IS NOT NULL OR until IS NOT NULL AS has_policy FROM ({_TAGS})""")
 def tag_inclusion_classes(spark, d):
-    o = i.table(spark, d, "orders")
-    c = F.when(F.col("o_orderstatus") == "P", "excluded").when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "baseline").when(F.col("o_orderstatus") == "F", "included").otherwise("buffer")
-    return o.select("o_orderkey", c.alias("class"))
+    """Which ways may be ridden, shown in the editor, and are included by their tags."""
+    t, on = F.col("tags"), F.lit(_ON).cast("date")
+    return _tagged(spark, d).select("id", policy.rideable(t, on).alias("rides"), policy.editable(t).alias("edits"), policy.boundary_zone(t).alias("zone"), policy.explicitly_included(t).alias("included"), policy.has_policy(t).alias("has_policy"))
+
+
+@query(f"""SELECT id, highway IS NOT NULL OR id % 13 = 0 OR coalesce(state = 'include', false) OR (zone IS NULL AND (state IS NOT NULL OR until IS NOT NULL)) AS candidate,
+  NOT (coalesce(state = 'exclude', false) OR {_OUT} OR (coalesce(state <> 'include', true) AND coalesce(zone = 'buffer', false))) AS passable FROM ({_TAGS})""")
+def policy_candidates(spark, d):
+    """Segments that may carry policy, and those that a walk may pass."""
+    t, on = F.col("tags"), F.lit(_ON).cast("date")
+    return _tagged(spark, d).select("id", policy.candidate(t, policy.baseline(t), F.col("id") % 13 == 0).alias("candidate"), policy.traversable(t, on, F.lit(False), F.lit(True)).alias("passable"))
+
+
+@query(f"""SELECT id, CASE WHEN coalesce(DATE '{_ON}' <= CAST(until AS DATE), false) THEN 'unavailable' WHEN state = 'include' THEN 'included' WHEN zone = 'buffer' THEN 'buffer_excluded' WHEN state = 'exclude' THEN 'excluded' WHEN until IS NOT NULL THEN 'annotated' ELSE 'plain' END AS shown,
+  coalesce(state, CASE WHEN zone = 'buffer' THEN 'exclude' END) AS effective, CASE WHEN state IS DISTINCT FROM CASE WHEN zone = 'buffer' THEN 'exclude' END THEN state END AS explicit FROM ({_TAGS})""")
+def policy_display(spark, d):
+    """What is shown of a policy, the policy with its base under it, and what it says beyond that base."""
+    t = F.col("tags")
+    fields = {f: t[tag] for f, tag in policy.POLICY_TAGS.items()}
+    base = dict.fromkeys(fields, F.lit(None).cast("string")) | {"routing_state": F.when(policy.excluded_by_default(t), "exclude")}
+    shown = policy.display_class(fields, policy.boundary_zone(t), F.lit(_ON).cast("date"))
+    return _tagged(spark, d).select("id", shown.alias("shown"), policy.merged(base, fields)["routing_state"].alias("effective"), policy.explicit(fields, base)["routing_state"].alias("explicit"))
+
+
+@query(f"""
+WITH s AS (SELECT way, list(node ORDER BY pos) AS n, list_sort(list(DISTINCT way)) AS w FROM ({i.WAYS}) GROUP BY way),
+j AS (SELECT way, '{{"node_ids":[' || array_to_string(n, ',') || '],"way_ids":[' || array_to_string(w, ',') || ']}}' AS t FROM s)
+SELECT way, 'route-policy-path-' || lpad(lower(to_hex(list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(t, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, b: (xor(h, b) * 16777619) % 4294967296))), 8, '0') AS id FROM j""")
+def rule_ids(spark, d):
+    """Ids of rules from what they select."""
+    g = i.geo_ways(spark, d).groupBy("way").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda x: x["node"]).alias("nodes"))
+    return g.select("way", text.rule_id(F.array("way"), F.col("nodes")).alias("id"))
+
+
+@query("""
+SELECT o_orderkey AS id, replace(replace(replace(replace(replace('<' || o_orderpriority || '> & "' || o_orderstatus || chr(39), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&apos;') AS escaped,
+  CASE WHEN o_totalprice >= 1000 THEN printf('%.1f km', o_totalprice / 1000) ELSE printf('%d m', CAST(round(o_totalprice) AS BIGINT)) END AS distance,
+  lower(strftime(o_orderdate, '%Y%m%dT%H%M%SZ')) AS suffix, CAST(o_orderdate + INTERVAL 3 HOUR AS DATE) AS local_day FROM orders""")
+def display_texts(spark, d):
+    o = i.table(spark, d, "orders").withColumn("at", F.col("o_orderdate").cast("timestamp"))
+    raw = F.concat(F.lit("<"), "o_orderpriority", F.lit('> & "'), "o_orderstatus", F.lit("'"))
+    return o.select(F.col("o_orderkey").alias("id"), text.xml_escape(raw).alias("escaped"), text.distance_text(F.col("o_totalprice")).alias("distance"), text.asset_suffix(F.col("at")).alias("suffix"), text.local_date(F.col("at"), "Africa/Nairobi").alias("local_day"))
 
 
 @query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) >= DATE '1997-06-30' AS unavailable FROM orders WHERE o_orderstatus <> 'P'""")
@@ -123,12 +181,14 @@ def selector_ids(spark, d):
     return g.select("way", short_digest(id_list(F.col("nodes"))).alias("id"))
 
 
-@query(f"""
-WITH s AS (SELECT run, string_agg(CAST(item AS VARCHAR), '-' ORDER BY pos) AS f, string_agg(CAST(item AS VARCHAR), '-' ORDER BY pos DESC) AS r FROM ({i.STEPS}) GROUP BY run)
-SELECT run, least(f, r) AS family, f <= r AS forward FROM s""")
+_FAMILY = f"""SELECT run, 'route-family-' || substr(sha1(array_to_string(CASE WHEN list_reverse(s) < s THEN list_reverse(s) ELSE s END, ',')), 1, 12) AS family, NOT list_reverse(s) < s AS forward
+FROM (SELECT run, list(item ORDER BY pos) AS s FROM ({i.STEPS}) GROUP BY run)"""
+
+
+@query(_FAMILY)
 def canonical_path_family(spark, d):
-    s = i.steps(spark, d).groupBy("run").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"].cast("string")).alias("s"))
-    return s.select("run", family(F.col("s")).alias("family"), (F.array_join("s", "-") <= F.array_join(F.reverse("s"), "-")).alias("forward"))
+    s = i.steps(spark, d).groupBy("run").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]).alias("s"))
+    return s.select("run", family_id(F.col("s")).alias("family"), forward(F.col("s")).alias("forward"))
 
 
 @query(f"""
@@ -216,16 +276,15 @@ def contig_chains(spark, d):
     return network.contigs(network.collapse(network.segments(i.geo_ways(spark, d)))).select("edges", "first_node", "last_node")
 
 
-@query(f"""
-WITH RECURSIVE e AS MATERIALIZED ({_BOTH}), r AS (SELECT DISTINCT a AS node, a AS other FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a)
-SELECT node, min(other) AS label FROM r GROUP BY node""")
+@query()
 def network_components(spark, d):
+    """The twin would hold every pair of connected nodes; tests hold this against a loop."""
     i.ready(spark)
     return network.components(network.collapse(network.segments(i.geo_ways(spark, d))))
 
 
 @query(f"""
-WITH RECURSIVE e AS MATERIALIZED ({_BOTH}), s AS (SELECT min(a) AS node FROM e), r AS (SELECT node, 0 AS hops FROM s UNION SELECT e.b, hops + 1 FROM r JOIN e ON r.node = e.a WHERE hops < 6)
+WITH RECURSIVE e AS MATERIALIZED ({_BOTH}), s AS (SELECT min(a) AS node FROM e), r AS (SELECT node, 0 AS hops FROM s UNION SELECT e.b, hops + 1 FROM r JOIN e ON r.node = e.a WHERE hops < 8)
 SELECT node, min(hops) AS hops FROM r GROUP BY node""")
 def reachability(spark, d):
     i.ready(spark)
@@ -295,8 +354,8 @@ def benchmark_summary(spark, d):
 
 
 @query(f"""
-WITH s AS (SELECT run, string_agg(CAST(item AS VARCHAR), '-' ORDER BY pos) AS f, string_agg(CAST(item AS VARCHAR), '-' ORDER BY pos DESC) AS r FROM ({i.STEPS}) GROUP BY run),
-q AS (SELECT scenario, run, least(f, r) AS family, distinct_length - 8 * overlap AS quality FROM ({_RUNS}) JOIN s USING (run))
+WITH s AS ({_FAMILY}),
+q AS (SELECT scenario, run, family, distinct_length - 8 * overlap AS quality FROM ({_RUNS}) JOIN s USING (run))
 SELECT scenario, family, run, quality, members FROM (SELECT *, count(*) OVER (PARTITION BY scenario, family) AS members, row_number() OVER (PARTITION BY scenario, family ORDER BY quality DESC, run) AS k FROM q) WHERE k = 1""")
 def family_representatives(spark, d):
     runs = _runs(spark, d).withColumn("quality", F.col("distinct_length") - 8 * F.col("overlap")).join(canonical_path_family(spark, d).select("run", "family"), "run")
@@ -417,7 +476,7 @@ def policy_runs(spark, d):
 
 
 @query(f"""
-WITH s AS ({_SPARSE_SEG}), c AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, least(a, b) % 4 AS contig FROM s WHERE (a + b) % 19 <> 0),
+WITH s AS ({_SEG}), c AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, least(a, b) % 4 AS contig FROM s WHERE (a + b) % 19 <> 0),
 f AS (SELECT way, pos, contig FROM s LEFT JOIN c ON least(s.a, s.b) = c.a AND greatest(s.a, s.b) = c.b),
 n AS (SELECT *, contig IS DISTINCT FROM lag(contig) OVER (PARTITION BY way ORDER BY pos) AS fresh FROM f)
 SELECT way, coalesce(string_agg(CAST(contig AS VARCHAR), '-' ORDER BY pos) FILTER (WHERE fresh AND contig IS NOT NULL), '') AS contigs,
@@ -435,7 +494,7 @@ def edge_index_conflicts(spark, d):
 
 
 @query(f"""
-WITH RECURSIVE e AS MATERIALIZED (SELECT a, b, 1 + (a + b) % 5 AS length FROM ({_BOTH})), r AS (SELECT min(a) AS node, CAST(0 AS BIGINT) AS distance, 0 AS hops FROM e UNION SELECT e.b, distance + length, hops + 1 FROM r JOIN e ON r.node = e.a WHERE hops < 6)
+WITH RECURSIVE e AS MATERIALIZED (SELECT a, b, 1 + (a + b) % 5 AS length FROM ({_BOTH})), r AS (SELECT min(a) AS node, CAST(0 AS BIGINT) AS distance, 0 AS hops FROM e UNION SELECT e.b, distance + length, hops + 1 FROM r JOIN e ON r.node = e.a WHERE hops < 8)
 SELECT node, min(distance) AS distance FROM r GROUP BY node""")
 def shortest_path(spark, d):
     i.ready(spark)

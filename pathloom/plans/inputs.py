@@ -13,9 +13,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ready(spark: SparkSession) -> None:
-    """Iterative operators cut their lineage in the session's checkpoint folder; a temporary one where none is set."""
+    """Iterative operators cut their lineage in the session's checkpoint folder."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs in one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (found or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
 
 
 def geo_nodes(spark, d) -> DataFrame:
@@ -46,7 +54,6 @@ def rings(spark, d) -> DataFrame:
 
 NODES = "SELECT p_partkey AS id, 36.79e0 + (p_partkey % 61) / 1000e0 AS lon, -1.26e0 + ((p_partkey - p_partkey % 61) / 61e0) / 1000e0 AS lat, 1600e0 + p_size AS elevation FROM part"
 WAYS = "SELECT l_orderkey AS way, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS pos, l_partkey AS node FROM lineitem"
-SPARSE = f"SELECT * FROM ({WAYS}) WHERE way % 23 = 0"
 STEPS = "SELECT o_custkey AS scenario, l_orderkey AS run, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) AS pos, l_partkey AS item, l_quantity AS length, o_orderstatus = 'F' AS complete FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
 _C = "SELECT r_regionkey AS area, 36.79e0 + r_regionkey * 0.012e0 AS x, -1.26e0 + r_regionkey * 0.004e0 AS y FROM region"
 RINGS = " UNION ALL ".join(
