@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.geo import map_x, map_y
 from ..functions import policy, text
 from ..functions.ids import family_id, forward, id_list, short_digest
-from ..operators import network, places, routes, series
+from ..operators import contigs as chains
+from ..operators import mapping, network, patches, places, routes, search, series
 from ..streaming import progress
 from . import inputs as i
 
@@ -551,3 +552,84 @@ def thin_path(spark, d):
     """SQL has no fold along a path; tests hold it against a loop."""
     points = i.geo_ways(spark, d).join(i.geo_nodes(spark, d), F.col("node") == F.col("id"))
     return series.thin(points, "way", "pos", 3000.0).select("way", F.array_join(F.transform("kept", lambda x: x.cast("string")), ",").alias("kept"))
+
+
+_CLIP = f"""
+WITH core AS (SELECT id, area FROM ({i.NODES}) p JOIN ({i.RINGS}) r ON (lat1 > lat) <> (lat2 > lat) AND lon < (lon2 - lon1) * (lat - lat1) / (lat2 - lat1) + lon1 GROUP BY id, area HAVING count(*) % 2 = 1),
+near AS (SELECT id, area FROM ({_DIST}) WHERE (id, area) NOT IN (SELECT id, area FROM core)),
+m AS (SELECT n.id, lon, lat, (SELECT coalesce(list('r' || area), []) FROM core WHERE core.id = n.id) AS c, (SELECT coalesce(list('r' || area), []) FROM near WHERE near.id = n.id) AS x FROM ({i.NODES}) n),
+s AS (SELECT way, pos, a, b, {i.HAVERSINE.format(lon1='p.lon', lat1='p.lat', lon2='q.lon', lat2='q.lat')} AS d, list_sort(list_intersect(p.c, q.c)) AS shared, list_sort(list_distinct(list_concat(list_concat(p.c, p.x), list_concat(q.c, q.x)))) AS every
+  FROM ({_SEG}) JOIN m p ON p.id = a JOIN m q ON q.id = b),
+z AS (SELECT *, CASE WHEN len(shared) > 0 THEN 'core' WHEN len(every) > 0 THEN 'buffer' ELSE 'outside' END AS zone, CASE WHEN len(shared) > 0 THEN shared ELSE every END AS refs FROM s),
+k AS (SELECT *, coalesce(pos BETWEEN min(pos) FILTER (WHERE zone <> 'outside') OVER (PARTITION BY way) AND max(pos) FILTER (WHERE zone <> 'outside') OVER (PARTITION BY way), false) AS keep FROM z),
+f AS (SELECT *, last_value(CASE WHEN keep AND len(refs) > 0 THEN refs END IGNORE NULLS) OVER (PARTITION BY way ORDER BY pos ROWS UNBOUNDED PRECEDING) AS l, first_value(CASE WHEN keep AND len(refs) > 0 THEN refs END IGNORE NULLS) OVER (PARTITION BY way ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS r FROM k)
+SELECT way, pos, a, b, d, zone, keep, CASE WHEN keep THEN CASE zone WHEN 'outside' THEN 'buffer' ELSE zone END END AS kept_zone,
+  array_to_string(CASE WHEN len(refs) > 0 THEN refs WHEN keep THEN list_sort(list_distinct(list_concat(coalesce(l, []), coalesce(r, [])))) ELSE [] END, ',') AS refs FROM f"""
+
+
+def _clipped(spark, d):
+    edges = i.rings(spark, d).select(F.concat(F.lit("r"), F.col("area").cast("string")).alias("component"), F.lit("outer").alias("kind"), F.lit(0).alias("ring"), "lon1", "lat1", "lon2", "lat2")
+    return mapping.clipped(network.segments(i.geo_ways(spark, d)), i.geo_nodes(spark, d), edges)
+
+
+@query(f"SELECT way, pos, a, b, zone, keep, kept_zone, refs FROM ({_CLIP})")
+def segment_clipping(spark, d):
+    """Zone, components and fate of every segment of every way."""
+    return _clipped(spark, d).select("way", "pos", "a", "b", "zone", "keep", "kept_zone", F.array_join("refs", ",").alias("refs"))
+
+
+@query(f"""SELECT way, round(sum(d), 3) AS total_m, round(coalesce(sum(d) FILTER (WHERE kept_zone = 'core'), 0), 3) AS inside_m, round(coalesce(sum(d) FILTER (WHERE kept_zone = 'buffer'), 0), 3) AS buffer_m, count(*) FILTER (WHERE keep) AS segments
+FROM ({_CLIP}) GROUP BY way HAVING bool_or(keep)""")
+def way_lengths_by_zone(spark, d):
+    r = mapping.way_records(_clipped(spark, d))
+    return r.select("way", *[F.round(c, 3).alias(c) for c in ("total_m", "inside_m", "buffer_m")], F.size("segments").cast("long").alias("segments"))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT o_custkey AS way, o_orderkey AS ord, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, o_orderkey % 4 AS op, o_orderstatus AS s, o_orderpriority AS p FROM orders WHERE o_orderkey % 10 <> 0),
+w AS (SELECT way, c_custkey IS NOT NULL AS there, c_custkey AS node, c_mktsegment AS name, CAST(NULL AS VARCHAR) AS state, CAST(NULL AS VARCHAR) AS problem, CAST(0 AS BIGINT) AS k
+  FROM (SELECT DISTINCT o_custkey AS way FROM orders UNION SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0) LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON c_custkey = way
+  UNION ALL SELECT w.way, CASE op WHEN 0 THEN true WHEN 1 THEN false ELSE there END, CASE WHEN op = 0 AND NOT there OR op = 3 AND there THEN ord ELSE node END,
+    CASE WHEN op = 0 AND NOT there THEN 'new' WHEN op = 2 AND there AND s = 'F' THEN NULL ELSE name END, CASE WHEN op = 0 AND NOT there THEN NULL WHEN op = 2 AND there THEN p ELSE state END,
+    coalesce(problem, CASE WHEN op = 0 AND there THEN ord || ': way exists' WHEN op <> 0 AND NOT there THEN ord || ': way is missing' END), e.k FROM w JOIN e ON e.way = w.way AND e.k = w.k + 1)
+SELECT way, CASE WHEN there THEN node END AS node, CASE WHEN there THEN name END AS name, CASE WHEN there THEN state END AS state, problem FROM (SELECT *, row_number() OVER (PARTITION BY way ORDER BY k DESC) AS r FROM w) WHERE r = 1 AND (there OR problem IS NOT NULL)""")
+def patch_sequence(spark, d):
+    """Orders as patches of customers, each customer's in order: added, removed, retagged, moved; every tenth is switched off."""
+    o, tags = i.table(spark, d, "orders"), "map<string,string>"
+    k = F.col("o_orderkey")
+    asked = o.select(
+        k.alias("ord"), k.cast("string").alias("id"), (k % 10 != 0).alias("enabled"), F.element_at(F.array(*map(F.lit, (patches.ADD, patches.REMOVE, patches.RETAG, patches.REPLACE))), (k % 4 + 1).cast("int")).alias("op"), F.col("o_custkey").alias("way"), F.array(k).alias("nodes"),
+        F.create_map(F.lit("name"), F.lit("new")).alias("tags"), F.create_map(F.lit("state"), "o_orderpriority").alias("set"), F.when(F.col("o_orderstatus") == "F", F.array(F.lit("name"))).alias("remove"))
+    ways = i.table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("way"), F.array("c_custkey").alias("nodes"), F.create_map(F.lit("name"), "c_mktsegment").cast(tags).alias("tags"))
+    out = patches.applied(ways, asked)
+    return out.select("way", F.get("nodes", F.lit(0)).alias("node"), F.col("tags")["name"].alias("name"), F.col("tags")["state"].alias("state"), "problem")
+
+
+@query(f"""
+WITH e AS (SELECT least(a, b) AS a, greatest(a, b) AS b, min(way) % 3 AS s FROM ({_SEG}) GROUP BY 1, 2)
+SELECT node, count(*) AS degree FROM (SELECT a AS node, s FROM e UNION ALL SELECT b, s FROM e) GROUP BY node HAVING count(*) <> 2 OR count(DISTINCT s) <> 1""")
+def policy_crossings(spark, d):
+    """Nodes where contigs end: other than two edges, or two of different policy."""
+    return chains.crossings(network.collapse(network.segments(i.geo_ways(spark, d))), F.col("ways")[0] % 3)
+
+
+@query()
+def ordered_contigs(spark, d):
+    """Contigs of the whole network with their nodes in order; tests hold the operator against a walk."""
+    i.ready(spark)
+    edges = network.collapse(network.segments(i.geo_ways(spark, d))).withColumn("length_m", (1 + (F.col("a") + F.col("b")) % 5).cast("double"))
+    out = chains.records(chains.ordered(edges, F.col("ways")[0] % 3), edges)
+    return out.select("contig", F.array_join(F.transform("node_ids", lambda x: x.cast("string")), "-").alias("nodes"), "segments", "length_m", "is_cycle")
+
+
+@query()
+def beam_routes(spark, d):
+    """Routes between two nodes for each of five runs, by beam search; tests hold the operator against a loop."""
+    i.ready(spark)
+    e = network.collapse(network.segments(i.geo_ways(spark, d)))
+    length = (50 + (F.col("a") * 7 + F.col("b")) % 90).cast("double").alias("length_m")
+    both = e.select(F.col("a").alias("at"), F.col("b").alias("to"), F.concat_ws("-", "a", "b").alias("contig"), length).unionByName(e.select(F.col("b").alias("at"), F.col("a").alias("to"), F.concat_ws("-", "a", "b").alias("contig"), length))
+    ends = e.agg(F.min("a"), F.max("b")).first()
+    runs = spark.range(5).select(F.col("id").alias("run"), (F.lit(ends[0]) + F.col("id")).alias("start"), F.lit(ends[1]).alias("goal"))
+    out = search.beam(runs, both, width=8, rounds=12, keep=3)
+    return out.select("run", "rank", F.array_join("contigs", ",").alias("contigs"), "total", "distinct_length", "overlap", "complete")
