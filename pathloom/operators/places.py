@@ -79,3 +79,14 @@ def zones(points: DataFrame, rings: DataFrame, buffer_m: float) -> DataFrame:
     hit = hit.select("id", "z", names.alias("areas"))
     zone = F.when(F.col("z") == 0, "core").when(F.col("z") == 1, "buffer").otherwise("outside")
     return points.select("id").join(hit, "id", "left").select("id", zone.alias("zone"), F.coalesce("areas", F.lit("")).alias("areas"))
+
+
+def bound_junctions(points: DataFrame, nodes: DataFrame, ends: DataFrame) -> DataFrame:
+    """(id, node, distance_m, incident) of each junction: its nearest node at which a contig ends, or of all nodes if none does, and those contigs in order.
+
+    ``ends`` is (node, contig).
+    """
+    routable = nodes.join(ends.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+    bound = nearest(points, nodes if routable.isEmpty() else routable)
+    at = ends.groupBy("node").agg(F.array_sort(F.collect_set("contig")).alias("incident"))
+    return bound.join(at, "node", "left").select("id", "node", "distance_m", "incident")

@@ -1,7 +1,7 @@
 """Route candidates: measures, ranking, families, overlap, selection."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -113,3 +113,85 @@ def node_list(steps: DataFrame) -> DataFrame:
     """(run, nodes) of steps (run, pos, a, b): the first step's start, then every step's end, so joints appear once."""
     s = steps.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("pos", "a", "b"))).alias("s"))
     return s.select("run", F.concat(F.array(F.col("s")[0]["a"]), F.transform("s", lambda x: x["b"])).alias("nodes"))
+
+
+def uniform(*parts) -> Column:
+    """A number in (0, 1) from a digest of the parts: the same on every machine."""
+    text = F.concat_ws("|", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts])
+    return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") + 0.5) / float(1 << 32)
+
+
+def drawn(runs: DataFrame, pool: int, n: int, seed: int) -> DataFrame:
+    """(scenario, run, draw): ``n`` of the ``pool`` best runs (scenario, run, rank) of each scenario, without replacement, by weights pool, pool - 1, ... in order of rank.
+
+    The greatest log(u) / weight of uniform u go first, which draws by weight without going through the rows in turn.
+    """
+    few = runs.where(F.col("rank") <= pool)
+    key = F.log(uniform("scenario", "run", F.lit(seed))) / F.greatest(F.lit(1), F.lit(pool + 1) - F.col("rank"))
+    place = F.row_number().over(W.partitionBy("scenario").orderBy(F.desc(key), "run"))
+    return few.select("scenario", "run", place.alias("draw")).where(F.col("draw") <= n)
+
+
+def reordered(runs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``runs`` (scenario, run, rank) with the chosen run of a scenario first and all others as they were."""
+    out = runs.join(chosen.select("scenario", F.col("run").alias("_c")), "scenario", "left")
+    order = [F.desc(F.coalesce(F.col("run") == F.col("_c"), F.lit(False))), "rank"]
+    return out.withColumn("rank", F.row_number().over(W.partitionBy("scenario").orderBy(*order))).drop("_c")
+
+
+def weighted_pick(items: DataFrame, key: str, order: str, weight: str, u: Column) -> DataFrame:
+    """Of each key the first item, in order, at which the sum of weights reaches ``u`` times their total; the last if none does."""
+    w = W.partitionBy(key).orderBy(order)
+    sums = items.withColumns({"_sum": F.sum(weight).over(w), "_all": F.sum(weight).over(W.partitionBy(key))})
+    hit = F.when(F.col("_sum") >= u * F.col("_all"), F.col(order))
+    return sums.withColumn("_at", F.coalesce(F.min(hit).over(W.partitionBy(key)), F.max(order).over(W.partitionBy(key)))).where(F.col(order) == F.col("_at")).drop("_sum", "_all", "_at")
+
+
+def repeated_items(steps: DataFrame) -> DataFrame:
+    """(run, items): those that a run visits more than once, in the order of their second visits."""
+    second = steps.withColumn("_k", F.row_number().over(W.partitionBy("run", "item").orderBy("pos"))).where("_k = 2")
+    return second.groupBy("run").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]).alias("items"))
+
+
+def visits(steps: DataFrame) -> DataFrame:
+    """(run, item, visits)."""
+    return steps.groupBy("run", "item").agg(F.count("*").alias("visits"))
+
+
+def recent(seen: DataFrame, most: int = 12) -> DataFrame:
+    """(key, signature, place) of what was seen last (key, ord, signature): each signature once, the latest first, at most ``most``."""
+    last = seen.groupBy("key", "signature").agg(F.max("ord").alias("ord"))
+    return last.withColumn("place", F.row_number().over(W.partitionBy("key").orderBy(F.desc("ord")))).where(F.col("place") <= most).select("key", "signature", "place")
+
+
+def latest(results: DataFrame) -> DataFrame:
+    """The results (key, request, ...) of each key's latest request; what comes late for earlier ones is dropped."""
+    return results.withColumn("_m", F.max("request").over(W.partitionBy("key"))).where("request = _m").drop("_m")
+
+
+def improvements(found: DataFrame, every: int) -> DataFrame:
+    """(run, iteration, best) of iterations (run, iteration, score): the best so far at every ``every``-th one and the last, where it changed."""
+    w = W.partitionBy("run").orderBy("iteration")
+    best = found.withColumns({"best": F.max("score").over(w.rowsBetween(W.unboundedPreceding, 0)), "_last": F.max("iteration").over(W.partitionBy("run"))})
+    told = best.where((F.col("iteration") % every == 0) | (F.col("iteration") == F.col("_last"))).withColumn("_before", F.lag("best").over(w))
+    return told.where(~F.col("best").eqNullSafe(F.col("_before"))).select("run", "iteration", "best")
+
+
+def diverse_pool(runs: DataFrame, size: int, window: int = 12) -> DataFrame:
+    """(scenario, run, place): the best run (scenario, run, rank, score, items), then again and again the one least like those chosen, ties by score, then by rank.
+
+    A scenario brings its best ``window`` runs, so a group is bounded. Runs without items are alike.
+    """
+
+    def choose(pdf):
+        pdf = pdf.sort_values("rank").reset_index(drop=True)
+        sets, scores = [set(x) for x in pdf["items"]], list(pdf["score"])
+        like = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] | sets[j] else 1.0
+        chosen, left = [0], list(range(1, len(pdf)))
+        while left and len(chosen) < size:
+            best = max(left, key=lambda i: (min(1 - like(i, j) for j in chosen), scores[i], -i))
+            chosen.append(best)
+            left.remove(best)
+        return pdf.iloc[chosen][["scenario", "run"]].assign(place=range(1, len(chosen) + 1))
+
+    return runs.where(F.col("rank") <= window).select("scenario", "run", "rank", "score", "items").groupBy("scenario").applyInPandas(choose, "scenario long, run long, place long")

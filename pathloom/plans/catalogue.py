@@ -8,7 +8,7 @@ from ..functions.geo import map_x, map_y
 from ..functions import policy, text
 from ..functions.ids import family_id, forward, id_list, short_digest
 from ..operators import contigs as chains
-from ..operators import mapping, network, patches, places, routes, search, series
+from ..operators import mapping, network, patches, places, policies, routes, search, series
 from ..streaming import progress
 from . import inputs as i
 
@@ -633,3 +633,130 @@ def beam_routes(spark, d):
     runs = spark.range(5).select(F.col("id").alias("run"), (F.lit(ends[0]) + F.col("id")).alias("start"), F.lit(ends[1]).alias("goal"))
     out = search.beam(runs, both, width=8, rounds=12, keep=3)
     return out.select("run", "rank", F.array_join("contigs", ",").alias("contigs"), "total", "distinct_length", "overlap", "complete")
+
+
+_MD5 = "(CAST(('0x' || substr(md5({0}), 1, 8)) AS BIGINT) + 0.5e0) / 4294967296e0"
+
+
+@query(f"""
+WITH r AS (SELECT scenario, run, row_number() OVER (PARTITION BY scenario ORDER BY complete DESC, distinct_length DESC, overlap, distinct_length - 10 * overlap DESC, n_steps, run) AS rank FROM ({_RUNS})),
+k AS (SELECT scenario, run, row_number() OVER (PARTITION BY scenario ORDER BY ln({_MD5.format("scenario || '|' || run || '|7'")}) / greatest(1, 6 - rank) DESC, run) AS draw FROM r WHERE rank <= 5)
+SELECT scenario, run, draw FROM k WHERE draw <= 2""")
+def weighted_sample(spark, d):
+    """Two of each scenario's five best, drawn by weights 5 to 1."""
+    return routes.drawn(routes.ranked(_runs(spark, d), 5), 5, 2, 7)
+
+
+@query(f"""
+WITH s AS (SELECT user_id, event_id, value, sum(value) OVER (PARTITION BY user_id ORDER BY event_id) AS s, sum(value) OVER (PARTITION BY user_id) AS t FROM events),
+p AS (SELECT user_id, coalesce(min(event_id) FILTER (WHERE s >= {_MD5.format("CAST(user_id AS VARCHAR)")} * t), max(event_id)) AS event_id FROM s GROUP BY user_id)
+SELECT user_id, event_id FROM p""")
+def weighted_pick(spark, d):
+    """One event of each user, by its value."""
+    return routes.weighted_pick(i.table(spark, d, "events"), "user_id", "event_id", "value", routes.uniform("user_id")).select("user_id", "event_id")
+
+
+@query(f"""
+WITH k AS (SELECT run, item, pos, row_number() OVER (PARTITION BY run, item ORDER BY pos) AS n FROM ({i.STEPS}))
+SELECT run, string_agg(CAST(item AS VARCHAR), ',' ORDER BY pos) AS items FROM k WHERE n = 2 GROUP BY run""")
+def repeated_contigs(spark, d):
+    return routes.repeated_items(i.steps(spark, d)).select("run", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"))
+
+
+@query(f"SELECT run, item, count(*) AS visits FROM ({i.STEPS}) GROUP BY run, item")
+def contig_visits(spark, d):
+    return routes.visits(i.steps(spark, d))
+
+
+@query("""
+SELECT user_id, signature, place FROM (SELECT user_id, signature, row_number() OVER (PARTITION BY user_id ORDER BY ord DESC) AS place FROM (SELECT user_id, event_type || '-' || event_id % 9 AS signature, max(event_id) AS ord FROM events GROUP BY 1, 2)) WHERE place <= 12""")
+def recent_routes(spark, d):
+    """The last twelve different things of each user, the latest first."""
+    e = i.table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("ord"), F.concat_ws("-", "event_type", F.col("event_id") % 9).alias("signature"))
+    return routes.recent(e).withColumnRenamed("key", "user_id")
+
+
+@query("""SELECT user_id, event_id FROM (SELECT *, max(event_id // 7) OVER (PARTITION BY user_id) AS m FROM events) WHERE event_id // 7 = m""")
+def latest_results(spark, d):
+    """Results of each user's latest request."""
+    e = i.table(spark, d, "events").select(F.col("user_id").alias("key"), F.floor(F.col("event_id") / 7).alias("request"), "event_id")
+    return routes.latest(e).select(F.col("key").alias("user_id"), "event_id")
+
+
+@query("""
+WITH e AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS iteration, value FROM events),
+b AS (SELECT run, iteration, max(value) OVER (PARTITION BY run ORDER BY iteration) AS best, max(iteration) OVER (PARTITION BY run) AS last FROM e),
+t AS (SELECT * FROM b WHERE iteration % 8 = 0 OR iteration = last)
+SELECT run, iteration, best FROM (SELECT *, lag(best) OVER (PARTITION BY run ORDER BY iteration) AS before FROM t) WHERE best IS DISTINCT FROM before""")
+def progress_changes(spark, d):
+    """The best so far at every eighth iteration and the last, where it changed."""
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    e = i.table(spark, d, "events").select(F.col("user_id").alias("run"), F.row_number().over(w).cast("long").alias("iteration"), F.col("value").alias("score"))
+    return routes.improvements(e, 8)
+
+
+_RULES = f"SELECT way, pos, least(a, b) AS a, greatest(a, b) AS b FROM ({_SEG})"
+
+
+@query(f"""
+WITH r AS ({_RULES}), t AS (SELECT a, b, 'grade' AS k, CAST(way % 3 AS VARCHAR) AS v FROM r UNION ALL SELECT a, b, 'state', 'include' FROM r WHERE way % 2 = 0 UNION ALL SELECT DISTINCT a, b, 'base', 'yes' FROM r),
+g AS (SELECT a, b, k, min(v) AS v, count(DISTINCT v) AS n FROM t GROUP BY a, b, k)
+SELECT a, b, coalesce(string_agg(k || '=' || v, ';' ORDER BY k) FILTER (WHERE n = 1), '') AS tags, coalesce(string_agg(k, ';' ORDER BY k) FILTER (WHERE n > 1), '') AS conflicts FROM g GROUP BY a, b""")
+def policy_on_edges(spark, d):
+    """Every way as a rule along its path: tags of all rules of an edge, and those on which they disagree."""
+    parts = network.segments(i.geo_ways(spark, d))
+    selectors = parts.select(F.col("way").alias("id"), F.array("way").alias("way_ids"), "pos", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    ids = parts.select(F.col("way").alias("id")).distinct()
+    grade, state = F.create_map(F.lit("grade"), (F.col("id") % 3).cast("string")), F.create_map(F.lit("state"), F.lit("include"))
+    rules = ids.select("id", F.when(F.col("id") % 2 == 0, F.map_concat(grade, state)).otherwise(grade).alias("tags"))
+    edges = network.collapse(parts).select("a", "b", F.create_map(F.lit("base"), F.lit("yes")).alias("tags"))
+    out = policies.onto_edges(selectors, rules, edges)
+    listed = F.array_sort(F.transform(F.map_entries("tags"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return out.select("a", "b", F.array_join(listed, ";").alias("tags"), F.array_join("conflicts", ";").alias("conflicts"))
+
+
+@query(f"""
+WITH r AS ({_RULES}), e AS (SELECT a, b, list(DISTINCT way) AS ways FROM r WHERE (a + b) % 19 <> 0 GROUP BY a, b)
+SELECT r.way AS id, pos, CASE WHEN ways IS NULL THEN 'edge is missing' ELSE 'edge is of other ways' END AS problem FROM r LEFT JOIN e USING (a, b) WHERE ways IS NULL OR NOT list_contains(ways, CASE WHEN r.way % 5 = 0 THEN -1 ELSE r.way END)""")
+def selector_faults(spark, d):
+    """Rules whose path is no longer in the network, or no longer of their ways."""
+    parts = network.segments(i.geo_ways(spark, d))
+    selectors = parts.select(F.col("way").alias("id"), F.array(F.when(F.col("way") % 5 == 0, -1).otherwise(F.col("way"))).alias("way_ids"), "pos", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return policies.selector_faults(selectors, network.collapse(parts).where("(a + b) % 19 <> 0"))
+
+
+@query(f"""
+WITH p AS (SELECT way AS id, list(node ORDER BY pos) AS n FROM ({i.WAYS}) GROUP BY way), k AS (SELECT id AS match, CASE WHEN id % 2 = 0 THEN list_reverse(n) ELSE n END AS n FROM p WHERE id % 3 <> 0)
+SELECT p.id, k.match, CASE WHEN k.n = p.n THEN 'forward' WHEN k.n IS NOT NULL THEN 'reverse' END AS direction, count(k.match) OVER (PARTITION BY p.id) AS matches FROM p LEFT JOIN k ON k.n = p.n OR k.n = list_reverse(p.n)""")
+def path_matches(spark, d):
+    """Paths found again by their nodes, either way round."""
+    p = i.geo_ways(spark, d).groupBy(F.col("way").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda x: x["node"]).alias("nodes")).withColumn("way_ids", F.array(F.lit(1)))
+    known = p.where("id % 3 <> 0").select(F.col("id").alias("match"), F.when(F.col("id") % 2 == 0, F.reverse("nodes")).otherwise(F.col("nodes")).alias("nodes"), "way_ids")
+    return policies.by_path(p, known)
+
+
+@query(f"""
+WITH s AS (SELECT way AS path, pos, a, b, CASE WHEN b % 4 > 0 THEN b % 2 END AS p FROM ({_SEG})), n AS (SELECT *, CASE WHEN p IS DISTINCT FROM lag(p) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS f FROM s WINDOW w AS (PARTITION BY path ORDER BY pos)),
+r AS (SELECT *, CAST(sum(f) OVER (PARTITION BY path ORDER BY pos) AS BIGINT) AS run FROM n)
+SELECT path, run, CAST(min(p) AS VARCHAR) AS grade, arg_min(a, pos) || '-' || string_agg(CAST(b AS VARCHAR), '-' ORDER BY pos) AS nodes FROM r WHERE p IS NOT NULL GROUP BY path, run""")
+def regrouped_rules(spark, d):
+    """Runs of equal policy along each path, as rules with the nodes along them."""
+    s = network.segments(i.geo_ways(spark, d)).select(F.col("way").alias("path"), "pos", F.col("a").alias("u"), F.col("b").alias("v"), F.when(F.col("b") % 4 > 0, F.create_map(F.lit("grade"), (F.col("b") % 2).cast("string"))).alias("policy"))
+    return policies.regrouped(s).select("path", "run", F.col("policy")["grade"].alias("grade"), F.array_join(F.transform("nodes", lambda x: x.cast("string")), "-").alias("nodes"))
+
+
+@query(f"""
+WITH p AS (SELECT s_suppkey AS id, 36.79e0 + (s_suppkey * 7 % 640) / 10000e0 + 0.00013e0 AS lon, -1.26e0 + (s_suppkey * 13 % 320) / 10000e0 + 0.00021e0 AS lat FROM supplier),
+e AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM ({_SEG})), h AS (SELECT a AS node, a || '-' || b AS contig FROM e UNION ALL SELECT b, a || '-' || b FROM e),
+d AS (SELECT p.id, n.id AS node, {i.HAVERSINE.format(lon1='p.lon', lat1='p.lat', lon2='n.lon', lat2='n.lat')} AS d FROM p, ({i.NODES}) n WHERE n.id IN (SELECT node FROM h) AND n.id % 3 <> 0),
+b AS (SELECT id, arg_min(node, d) AS node, round(min(d), 3) AS distance_m FROM d GROUP BY id)
+SELECT b.id, b.node, distance_m, string_agg(contig, ',' ORDER BY contig) AS incident FROM b LEFT JOIN h ON h.node = b.node GROUP BY ALL""")
+def junction_bindings(spark, d):
+    """Each junction on its nearest node that has a way, with the contigs that end there."""
+    i.ready(spark)
+    k = F.col("s_suppkey")
+    points = i.table(spark, d, "supplier").select(k.alias("id"), (F.lit(36.79) + (k * 7 % 640) / 10000.0 + 0.00013).alias("lon"), (F.lit(-1.26) + (k * 13 % 320) / 10000.0 + 0.00021).alias("lat"))
+    e = network.collapse(network.segments(i.geo_ways(spark, d))).select("a", "b", F.concat_ws("-", "a", "b").alias("contig"))
+    ends = e.select(F.explode(F.array("a", "b")).alias("node"), "contig")
+    out = places.bound_junctions(points, i.geo_nodes(spark, d).where("id % 3 <> 0"), ends)
+    return out.select("id", "node", F.round("distance_m", 3).alias("distance_m"), F.array_join("incident", ",").alias("incident"))

@@ -1,5 +1,9 @@
 """Beam search on small networks with one answer, and against a loop where the beam is wide enough to hold all."""
-from pathloom.operators import search
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from pathloom.operators import policies, routes, search, series
 
 
 def arcs(spark, edges):
@@ -46,3 +50,30 @@ def test_only_way_through(spark):
     for width in (1, 2, 80):
         r = search.beam(runs, open_, width=width, short=0, rounds=6, keep=1).first()
         assert (r.contigs, r.nodes, r.complete) == ([30, 40], [1, 3, 4], True) or width == 1
+
+
+def test_choices(spark):
+    runs = spark.createDataFrame([(1, 10, 1, 9.0, [1, 2]), (1, 11, 2, 8.0, [1, 2]), (1, 12, 3, 7.0, [2, 3]), (1, 13, 4, 1.0, [7]), (2, 20, 1, 1.0, [])], "scenario long, run long, rank int, score double, items array<int>")
+    assert [r.run for r in sorted(routes.diverse_pool(runs.where("scenario = 1"), 3).collect(), key=lambda r: r.place)] == [10, 13, 12]
+    assert routes.diverse_pool(runs, 2).where("scenario = 2").count() == 1
+    chosen = runs.where("run = 12")
+    assert [r.run for r in routes.reordered(runs.where("scenario = 1"), chosen).orderBy("rank").collect()] == [12, 10, 11, 13]
+    first = Counter(routes.drawn(runs.where("scenario = 1"), 4, 1, seed).first().run for seed in range(120))
+    assert first[10] > first[13] and set(first) == {10, 11, 12, 13}
+
+
+def test_thin_path_has_a_cap(spark):
+    points = spark.createDataFrame([(1, p, 36 + p / 100, -1.0) for p in range(50)], "way long, pos long, lon double, lat double")
+    kept = series.thin(points, "way", "pos", 10.0, 10).first().kept
+    assert kept == [*range(0, 49, 6), 49]
+
+
+def test_policies_of_paths(spark):
+    edges = spark.createDataFrame([(1, 2, 7, 0, 2), (2, 3, 7, 1, 2), (3, 4, 8, 0, 1)], "a long, b long, contig long, place int, size int")
+    rules = spark.createDataFrame([("exact", 0, 1, 2), ("exact", 1, 2, 3), ("back", 0, 2, 3), ("back", 1, 1, 2), ("part", 0, 1, 2), ("both", 0, 2, 3), ("both", 1, 3, 4), ("gone", 0, 8, 9)], "id string, pos int, a long, b long").withColumn("way_ids", F.array(F.lit(1)))
+    assert {r.id: (r.contigs, r.status) for r in policies.bound(rules, edges).collect()} == {"exact": ([7], "exact"), "back": ([7], "reversed"), "part": ([7], "split_across_contigs"), "both": ([7, 8], "split_across_contigs"), "gone": ([], "stale")}
+    kept = spark.createDataFrame([(1, {"a": "1"}), (2, {"a": "1"}), (3, {"a": "1"})], "contig int, policy map<string,string>")
+    edits = spark.createDataFrame([(1, 1, {"a": "2"}), (2, 1, {"b": "3"}), (3, 2, None), (4, 9, {"c": "4"}), (5, 3, {})], "ord int, contig int, policy map<string,string>")
+    assert {r.contig: r.policy for r in policies.edited(kept, edits).collect()} == {1: {"b": "3"}, 9: {"c": "4"}}
+    tags = spark.createDataFrame([(1, {"a": "1", "b": "2"}), (1, {"b": "2", "a": "1"}), (2, {}), (2, {"a": "1"})], "contig int, tags map<string,string>")
+    assert [r.contig for r in policies.uneven(tags, "contig").collect()] == [2]
