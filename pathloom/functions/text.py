@@ -40,7 +40,7 @@ def local_date(at: Column, zone: str) -> Column:
 
 def distance_text(metres: Column) -> Column:
     """Kilometres with one decimal from 1000 m on, else whole metres."""
-    return F.when(metres >= 1000, F.format_string("%.1f km", metres / 1000)).otherwise(F.format_string("%d m", F.round(metres).cast("long")))
+    return F.when(metres >= 1000, F.format_string("%.1f km", F.floor(metres / 100 + 0.5) / 10)).otherwise(F.format_string("%d m", F.round(metres).cast("long")))
 
 
 def asset_suffix(at: Column) -> Column:

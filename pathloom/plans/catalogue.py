@@ -150,7 +150,7 @@ def rule_ids(spark, d):
 
 @query("""
 SELECT o_orderkey AS id, replace(replace(replace(replace(replace('<' || o_orderpriority || '> & "' || o_orderstatus || chr(39), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&apos;') AS escaped,
-  CASE WHEN o_totalprice >= 1000 THEN printf('%.1f km', o_totalprice / 1000) ELSE printf('%d m', CAST(round(o_totalprice) AS BIGINT)) END AS distance,
+  CASE WHEN o_totalprice >= 1000 THEN printf('%.1f km', floor(o_totalprice / 100 + 0.5e0) / 10) ELSE printf('%d m', CAST(round(o_totalprice) AS BIGINT)) END AS distance,
   lower(strftime(o_orderdate, '%Y%m%dT%H%M%SZ')) AS suffix, CAST(o_orderdate + INTERVAL 3 HOUR AS DATE) AS local_day FROM orders""")
 def display_texts(spark, d):
     o = i.table(spark, d, "orders").withColumn("at", F.col("o_orderdate").cast("timestamp"))
