@@ -39,8 +39,13 @@ def local_date(at: Column, zone: str) -> Column:
 
 
 def distance_text(metres: Column) -> Column:
-    """Kilometres with one decimal from 1000 m on, else whole metres."""
-    return F.when(metres >= 1000, F.format_string("%.1f km", F.floor(metres / 100 + 0.5) / 10)).otherwise(F.format_string("%d m", F.round(metres).cast("long")))
+    """Kilometres with two decimals."""
+    return F.format_string("%.2f km", F.floor(metres / 10 + 0.5) / 100)
+
+
+def climb_text(metres: Column) -> Column:
+    """Whole metres."""
+    return F.format_string("%d m", F.floor(metres + 0.5))
 
 
 def asset_suffix(at: Column) -> Column:

@@ -150,12 +150,12 @@ def rule_ids(spark, d):
 
 @query("""
 SELECT o_orderkey AS id, replace(replace(replace(replace(replace('<' || o_orderpriority || '> & "' || o_orderstatus || chr(39), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&apos;') AS escaped,
-  CASE WHEN o_totalprice >= 1000 THEN printf('%.1f km', floor(o_totalprice / 100 + 0.5e0) / 10) ELSE printf('%d m', CAST(round(o_totalprice) AS BIGINT)) END AS distance,
+  printf('%.2f km', floor(o_totalprice / 10 + 0.5e0) / 100) AS distance, printf('%d m', CAST(floor(o_totalprice + 0.5e0) AS BIGINT)) AS climb,
   lower(strftime(o_orderdate, '%Y%m%dT%H%M%SZ')) AS suffix, CAST(o_orderdate + INTERVAL 3 HOUR AS DATE) AS local_day FROM orders""")
 def display_texts(spark, d):
     o = i.table(spark, d, "orders").withColumn("at", F.col("o_orderdate").cast("timestamp"))
     raw = F.concat(F.lit("<"), "o_orderpriority", F.lit('> & "'), "o_orderstatus", F.lit("'"))
-    return o.select(F.col("o_orderkey").alias("id"), text.xml_escape(raw).alias("escaped"), text.distance_text(F.col("o_totalprice")).alias("distance"), text.asset_suffix(F.col("at")).alias("suffix"), text.local_date(F.col("at"), "Africa/Nairobi").alias("local_day"))
+    return o.select(F.col("o_orderkey").alias("id"), text.xml_escape(raw).alias("escaped"), text.distance_text(F.col("o_totalprice")).alias("distance"), text.climb_text(F.col("o_totalprice")).alias("climb"), text.asset_suffix(F.col("at")).alias("suffix"), text.local_date(F.col("at"), "Africa/Nairobi").alias("local_day"))
 
 
 @query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) >= DATE '1997-06-30' AS unavailable FROM orders WHERE o_orderstatus <> 'P'""")
