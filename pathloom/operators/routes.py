@@ -180,7 +180,7 @@ def improvements(found: DataFrame, every: int) -> DataFrame:
 def diverse_pool(runs: DataFrame, size: int, window: int = 12) -> DataFrame:
     """(scenario, run, place): the best run (scenario, run, rank, score, items), then again and again the one least like those chosen, ties by score, then by rank.
 
-    A scenario brings its best ``window`` runs, so a group is bounded. Runs without items are alike.
+    A scenario brings its best ``window`` runs (or ``size``, if more), so a group is bounded. Runs without items are alike.
     """
 
     def choose(pdf):
@@ -194,4 +194,4 @@ def diverse_pool(runs: DataFrame, size: int, window: int = 12) -> DataFrame:
             left.remove(best)
         return pdf.iloc[chosen][["scenario", "run"]].assign(place=range(1, len(chosen) + 1))
 
-    return runs.where(F.col("rank") <= window).select("scenario", "run", "rank", "score", "items").groupBy("scenario").applyInPandas(choose, "scenario long, run long, place long")
+    return runs.where(F.col("rank") <= max(size, window)).select("scenario", "run", "rank", "score", "items").groupBy("scenario").applyInPandas(choose, "scenario long, run long, place long")

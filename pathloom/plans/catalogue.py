@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions.geo import map_x, map_y
 from ..functions import policy, text
 from ..functions.ids import family_id, forward, id_list, short_digest
+from ..operators import blocks, connectors, mapping, network, patches, places, policies, rollouts, routes, search, series
 from ..operators import contigs as chains
-from ..operators import mapping, network, patches, places, policies, routes, search, series
+from ..sinks import catalog
+from ..sources import elevation
 from ..streaming import progress
 from . import inputs as i
 
@@ -760,3 +762,86 @@ def junction_bindings(spark, d):
     ends = e.select(F.explode(F.array("a", "b")).alias("node"), "contig")
     out = places.bound_junctions(points, i.geo_nodes(spark, d).where("id % 3 <> 0"), ends)
     return out.select("id", "node", F.round("distance_m", 3).alias("distance_m"), F.array_join("incident", ",").alias("incident"))
+
+
+def _arcs(spark, d):
+    """The network with a length for each edge, one row for each way along it, and its least and greatest node."""
+    e = network.collapse(network.segments(i.geo_ways(spark, d)))
+    length, name = (50 + (F.col("a") * 7 + F.col("b")) % 90).cast("double").alias("length_m"), F.concat_ws("-", "a", "b").alias("contig")
+    both = e.select(F.col("a").alias("at"), F.col("b").alias("to"), name, length).unionByName(e.select(F.col("b").alias("at"), F.col("a").alias("to"), name, length))
+    return both, e.agg(F.min("a"), F.max("b")).first()
+
+
+@query()
+def articulation_points(spark, d):
+    """All nodes of the network with the number of blocks they hold together; tests compare with removing each node."""
+    i.ready(spark)
+    return blocks.articulation(network.collapse(network.segments(i.geo_ways(spark, d))).select("a", "b"))
+
+
+@query()
+def trial_routes(spark, d):
+    """The best of four seeded trials of each of five runs, without look-ahead, over the whole network."""
+    i.ready(spark)
+    both, ends = _arcs(spark, d)
+    runs = spark.range(5).select(F.col("id").alias("run"), F.lit(7).alias("seed"), (F.lit(ends[0]) + F.col("id")).alias("start"), F.lit(ends[1]).alias("goal"))
+    out = rollouts.rollouts(runs, both, trials=4, steps=6, keep=2, ahead=False)
+    return out.select("run", "rank", "trial", F.array_join("contigs", ",").alias("contigs"), "total", "distinct_length", "overlap", "score", "complete")
+
+
+@query()
+def connector_ways(spark, d):
+    """The way to the goal that repeats least, for five walks that have taken every second edge at their end."""
+    i.ready(spark)
+    both, ends = _arcs(spark, d)
+    starts = spark.range(5).select(F.col("id").alias("run"), F.lit(ends[1]).alias("goal"), (F.lit(ends[0]) + F.col("id")).alias("at"), F.lit(0.0).alias("overlap"))
+    taken = both.where("`to` % 2 = 0").join(starts, "at").groupBy("run").agg(F.sort_array(F.collect_set("contig")).alias("contigs"))
+    walks = starts.join(taken, "run", "left").withColumn("contigs", F.coalesce("contigs", F.array().cast("array<string>")))
+    out = connectors.connectors(walks, both)
+    return out.select("run", "reachable", "more", "length", F.array_join("path", ",").alias("path"))
+
+
+_HEIGHT = "round(1600e0 + 100e0 * (lat + 1.26e0) + 50e0 * (lon - 36.79e0), 3)"
+
+
+def _service():
+    return lambda points: [round(1600.0 + 100.0 * (lat + 1.26) + 50.0 * (lon - 36.79), 3) for lon, lat in points]
+
+
+@query(f"""
+SELECT id, CASE WHEN id % 4 = 0 THEN elevation ELSE {_HEIGHT} END AS elevation FROM ({i.NODES})""")
+def elevation_lookup(spark, d):
+    """Heights of all nodes: a quarter is cached, the others come from a service in batches."""
+    i.ready(spark)
+    nodes = i.geo_nodes(spark, d)
+    cache = nodes.where("id % 4 = 0").select(elevation.point_key(F.col("lon"), F.col("lat")).alias("key"), "elevation")
+    found, _ = elevation.looked_up(nodes.select("id", "lon", "lat"), cache, _service())
+    return found.select("id", F.round("elevation", 3).alias("elevation"))
+
+
+@query()
+def route_heights(spark, d):
+    """Climb and heights of all ways, from samples every 5 km; tests compare with a loop."""
+    i.ready(spark)
+    points = i.geo_ways(spark, d).join(i.geo_nodes(spark, d).select(F.col("id").alias("node"), "lon", "lat"), "node").select("way", "pos", "lon", "lat")
+    cache = i.geo_nodes(spark, d).where("false").select(elevation.point_key(F.col("lon"), F.col("lat")).alias("key"), "elevation")
+    out, _ = elevation.annotated(points, "way", "pos", cache, _service(), spacing_m=5000.0)
+    return out.select("way", F.array_join(F.transform("elevations", lambda v: v.cast("string")), ",").alias("elevations"), "gain", "loss", "least", "greatest", F.size("profile").alias("samples"))
+
+
+@query(f"""
+WITH p AS (SELECT s.n_name || '__to__' || g.n_name AS scenario, s.n_name = g.n_name AS is_loop FROM nation s JOIN nation g ON s.n_regionkey = g.n_regionkey),
+n AS (SELECT run, any_value(scenario) AS customer, list(item ORDER BY pos) AS nodes, CAST(sum(length) AS DOUBLE) AS quality FROM ({i.STEPS}) GROUP BY run),
+r AS (SELECT s.n_name || '__to__' || s.n_name AS scenario, run, quality, nodes <= list_reverse(nodes) AS f,
+ 'route-family-' || substr(sha1(array_to_string(CASE WHEN nodes <= list_reverse(nodes) THEN nodes ELSE list_reverse(nodes) END, ',')), 1, 12) AS family FROM n JOIN nation s ON customer % 25 = s.n_nationkey),
+g AS (SELECT scenario, count(*) AS route_count, string_agg('r' || run || ' ' || family || CASE WHEN f THEN ' forward' ELSE ' reverse' END, ';' ORDER BY quality DESC, 'r' || run) AS routes FROM r GROUP BY scenario)
+SELECT p.scenario, is_loop, coalesce(route_count, 0) AS route_count, coalesce(routes, '') AS routes FROM p LEFT JOIN g USING (scenario)""")
+def catalog_scenarios(spark, d):
+    """The catalog's scenarios, pairs of nations of a region, each with its routes, their families and directions."""
+    n = i.table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    pairs = n.select("n_regionkey", F.col("n_name").alias("start")).join(n.select("n_regionkey", F.col("n_name").alias("goal")), "n_regionkey").select("start", "goal")
+    runs = i.steps(spark, d).groupBy("run").agg(F.first("scenario").alias("customer"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]).alias("nodes"), F.sum("length").cast("double").alias("quality"))
+    records = runs.join(n, F.col("customer") % 25 == F.col("n_nationkey")).select(F.concat_ws("__to__", "n_name", "n_name").alias("scenario"), F.concat(F.lit("r"), F.col("run").cast("string")).alias("route"), "nodes", "quality")
+    out = catalog.scenarios(pairs, catalog.families(records))
+    text = F.transform("routes", lambda r: F.concat_ws(" ", r["id"], r["family_id"], r["direction"]))
+    return out.select("scenario", "is_loop", "route_count", F.array_join(text, ";").alias("routes"))
