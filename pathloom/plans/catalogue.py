@@ -781,11 +781,11 @@ def articulation_points(spark, d):
 
 @query()
 def trial_routes(spark, d):
-    """The best of four seeded trials of each of five runs, without look-ahead, over the whole network."""
+    """The best of four seeded trials of each of five runs over the whole network."""
     i.ready(spark)
     both, ends = _arcs(spark, d)
     runs = spark.range(5).select(F.col("id").alias("run"), F.lit(7).alias("seed"), (F.lit(ends[0]) + F.col("id")).alias("start"), F.lit(ends[1]).alias("goal"))
-    out = rollouts.rollouts(runs, both, trials=4, steps=6, keep=2, ahead=False)
+    out = rollouts.rollouts(runs, both, trials=4, steps=6, keep=2)
     return out.select("run", "rank", "trial", F.array_join("contigs", ",").alias("contigs"), "total", "distinct_length", "overlap", "score", "complete")
 
 
