@@ -22,6 +22,8 @@ from .common import table
 
 #: Pieces in one recursive query; pieces remembered in a task; bytes from which a piece is merged with a heap instead, as each round reads the whole piece.
 LOT, CACHE, LONG_PIECE = 20_000, 600_000, 400
+#: Ids in one decoding query.
+PART = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -52,13 +54,11 @@ WITH RECURSIVE t(piece, pos, id, after, next, merged, round) AS (
   ) x LEFT JOIN merges m ON m.pair = x.pair
 ),
 last AS (SELECT piece, max(round) AS round FROM t GROUP BY piece)
-SELECT piece, list(id ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS decoded
-FROM t JOIN last USING (piece, round) JOIN vocabulary USING (id) GROUP BY piece ORDER BY piece
+SELECT piece, list(id ORDER BY pos) AS ids FROM t JOIN last USING (piece, round) GROUP BY piece ORDER BY piece
 """
 
 _DECODE = """
-SELECT doc, string_agg(hex, '' ORDER BY pos) AS decoded
-FROM (SELECT doc, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM coded) JOIN vocabulary USING (id) GROUP BY doc
+SELECT part, count(*) AS n, string_agg(hex, '' ORDER BY pos) AS decoded FROM coded JOIN vocabulary USING (id) GROUP BY part ORDER BY part
 """
 
 
@@ -83,17 +83,16 @@ class Engine:
         self.merges = {(x, y): z for x, y, z in zip(a, b, merged, strict=True)}
         pairs = [x * 65536 + y for x, y in zip(a, b, strict=True)]
         self._load("merges", pa.table({"pair": pa.array(pairs, pa.int64()), "merged": pa.array(merged, pa.int64())}))
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
-        self._load("vocabulary", pa.table({"id": pa.array(list(self.tokens), pa.int64()), "hex": [t.hex() for t in self.tokens.values()]}))
+        self._load("vocabulary", pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]}))
         self.single = [self.ranks[bytes([k])] for k in range(256)]
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.known: dict[str, bytes] = {}
 
     def _load(self, name: str, rows: pa.Table) -> None:
         self.db.register("_rows", rows)
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM _rows")
         self.db.unregister("_rows")
 
-    def _recursive(self, pieces: list[bytes]) -> list[tuple[list[int], bytes]]:
+    def _recursive(self, pieces: list[bytes]) -> list[list[int]]:
         raw = np.frombuffer(b"".join(pieces), np.uint8)
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         ends = np.cumsum(sizes)
@@ -104,8 +103,7 @@ class Engine:
         self._load("start", pa.table({
             "piece": np.repeat(np.arange(len(pieces)), sizes), "pos": pos, "id": ids,
             "after": pa.array(pos + 1, mask=final), "next": pa.array(np.append(ids[1:], 0), mask=final)}))
-        rows = self.db.sql(_ENCODE).to_arrow_table()
-        return list(zip(rows.column("ids").to_pylist(), map(bytes.fromhex, rows.column("decoded").to_pylist()), strict=True))
+        return self.db.sql(_ENCODE).to_arrow_table().column("ids").to_pylist()
 
     def _heap(self, piece: bytes) -> list[int]:
         """The same contraction for one long piece, in n log n."""
@@ -135,19 +133,18 @@ class Engine:
         for piece in sorted(pieces):
             raw = piece.encode()
             if (rank := self.ranks.get(raw)) is not None:
-                self.known[piece] = (rank.to_bytes(4, "little"), self.tokens[rank])
+                self.known[piece] = rank.to_bytes(4, "little")
             elif len(raw) > LONG_PIECE:
-                ids = self._heap(raw)
-                self.known[piece] = (pack(ids), b"".join(map(self.tokens.__getitem__, ids)))
+                self.known[piece] = pack(self._heap(raw))
             else:
                 lot.append((piece, raw))
         for k in range(0, len(lot), LOT):
             some = lot[k : k + LOT]
-            for (piece, _), (ids, decoded) in zip(some, self._recursive([raw for _, raw in some]), strict=True):
-                self.known[piece] = (pack(ids), decoded)
+            for (piece, _), ids in zip(some, self._recursive([raw for _, raw in some]), strict=True):
+                self.known[piece] = pack(ids)
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """Of each text, in order: its ids as little-endian 32-bit integers, and the bytes that they decode to."""
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Of each text, in order: its ids as little-endian 32-bit integers."""
         split = self.pattern.findall
         start, size = 0, 0
         for end in range(1, len(texts) + 1):
@@ -160,15 +157,23 @@ class Engine:
                 self.known = {p: self.known[p] for p in set().union(*pieces) if p in self.known}  # what is in use stays
             self.learn(new)
             known = self.known
-            for each in pieces:
-                got = [known[p] for p in each]
-                yield b"".join([x for x, _ in got]), b"".join([x for _, x in got])
+            yield from (b"".join([known[p] for p in each]) for each in pieces)
             start, size = end, 0
 
-    def decode(self, coded: list[list[int] | None]) -> list[bytes]:
-        self._load("coded", pa.table({"doc": pa.array(range(len(coded)), pa.int32()), "ids": pa.array(coded, pa.list_(pa.int32()))}))
-        found = {doc: bytes.fromhex(x) for doc, x in self.db.execute(_DECODE).fetchall()}
-        return [found.get(k, b"") for k in range(len(coded))]
+    def decode(self, coded: list[np.ndarray]) -> list[bytes]:
+        """The bytes of each list of ids. A query takes PART ids at most, so a long list is decoded in parts; an unknown id is an error."""
+        out = [[] for _ in coded]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        ids, doc = np.concatenate([np.zeros(0, np.int32), *coded]), np.repeat(np.arange(len(coded)), sizes)
+        for k in range(0, len(ids), PART):
+            some, of = ids[k : k + PART], doc[k : k + PART]
+            self._load("coded", pa.table({"part": of, "pos": np.arange(len(some), dtype=np.int32), "id": some.astype(np.int32)}))
+            found = self.db.execute(_DECODE).fetchall()
+            if sum(n for _, n, _ in found) != len(some):
+                raise ValueError("an id is not in the vocabulary")
+            for part, _, x in found:
+                out[part].append(bytes.fromhex(x))
+        return [b"".join(x) for x in out]
 
 
 @lru_cache(maxsize=1)
@@ -201,11 +206,12 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
                 some = batch.slice(k, 500)
                 texts = [t or "" for t in some.column("text").to_pylist()]
                 if digests:
-                    rows = [(len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()) for ids, decoded in bpe.encode(texts)]
-                    columns = [pa.array([r[c] for r in rows], (pa.int64(), pa.string(), pa.string())[c]) for c in range(3)]
+                    ids = list(bpe.encode(texts))
+                    digest = lambda found: pa.array([hashlib.sha256(x).hexdigest() for x in found], pa.string())
+                    columns = [pa.array([len(x) // 4 for x in ids], pa.int64()), digest(ids), digest(bpe.decode([np.frombuffer(x, np.int32) for x in ids]))]
                     names = ["n_tokens", "ids_sha256", "decoded_sha256"]
                 else:
-                    columns, names = [pa.array([np.frombuffer(ids, np.int32) for ids, _ in bpe.encode(texts)], pa.list_(pa.int32()))], ["ids"]
+                    columns, names = [pa.array([np.frombuffer(ids, np.int32) for ids in bpe.encode(texts)], pa.list_(pa.int32()))], ["ids"]
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), *columns], names=["doc_id", *names])
 
     return docs.select("doc_id", "text").mapInArrow(code, f"doc_id {kind}, {out}")
@@ -221,7 +227,7 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 200):
                 some = batch.slice(k, 200)
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(bpe.decode(some.column("ids").to_pylist()), pa.binary())], names=["doc_id", "bytes"])
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(bpe.decode([np.array(x or [], np.int32) for x in some.column("ids").to_pylist()]), pa.binary())], names=["doc_id", "bytes"])
 
     return coded.select("doc_id", "ids").mapInArrow(back, f"doc_id {kind}, bytes binary")
 

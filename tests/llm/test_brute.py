@@ -94,3 +94,19 @@ def test_site_rates_and_posteriors(spark):
         rate = rates["", ""] if r.doc_id is None else rates[f"h{r.doc_id % 3}", f"p{r.doc_id % 2}"]
         assert r.quality == pytest.approx(1 / (1 + math.exp(-(r.quality_odds + math.log(rate / (1 - rate))))), abs=1e-6)
         assert r.kept == (r.quality >= 0.5 and r.toxic < 0.5)
+
+
+def test_long_lists_are_decoded_in_parts(monkeypatch):
+    import public_tokenizers
+
+    from pathloom.llm import byte_bpe
+
+    bpe = byte_bpe.Engine(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    texts = ["naïve  words, 12345 and 日本語 " * 9, "", "a", "x" * 1000, "\x00\n\n"]
+    ids = [np.frombuffer(x, np.int32) for x in bpe.encode(texts)]
+    for part in (3, 17, 10_000):
+        monkeypatch.setattr(byte_bpe, "PART", part)
+        assert bpe.decode(ids) == [t.encode() for t in texts]
+    assert bpe.decode([]) == []
+    with pytest.raises(ValueError, match="vocabulary"):
+        bpe.decode([np.array([5, 65_000], np.int32)])
