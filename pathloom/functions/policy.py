@@ -113,3 +113,37 @@ def display_class(fields: dict[str, Column], zone: Column, on: Column) -> Column
         F.when(F.coalesce(on <= iso_date(fields["unavailable_until"]), F.lit(False)), "unavailable").when(F.coalesce(state == "include", F.lit(False)), "included").when(zone == "buffer", "buffer_excluded")
         .when(F.coalesce(state == "exclude", F.lit(False)), "excluded").when(~is_default(fields), "annotated").otherwise("plain")
     )
+
+
+def from_tag_patch(fields: dict[str, Column], removed: Column, put: Column) -> dict[str, Column]:
+    """A policy after an old patch of tags: ``removed`` (array of tags) first, then ``put`` (map of tags); null does nothing.
+
+    A direction that is removed is ``both``, a state ``default``. The old availability tag is a date that never comes, and goes with the date.
+    ``tag_patch_problems`` says which patches must not be read.
+    """
+    has = lambda tag: F.coalesce(F.array_contains(removed, tag), F.lit(False))
+    empty = {"routing_state": F.lit("default"), "bicycle_direction": F.lit("both")}
+    out = {}
+    for f, c in fields.items():
+        tag = POLICY_TAGS[f]
+        old = F.when(has(tag) | (has(AVAILABILITY_TAG) if f == "unavailable_until" else F.lit(False)), empty.get(f, F.lit(None).cast("string"))).otherwise(c.cast("string"))
+        new = put[tag]
+        if f == "unavailable_until":
+            new = F.coalesce(new, F.when(_is(put, AVAILABILITY_TAG, UNAVAILABLE), F.lit("9999-12-31")))
+        out[f] = F.coalesce(new, old)
+    return out
+
+
+def tag_patch_problems(put: Column) -> dict[str, Column]:
+    """What is wrong with the tags that an old patch puts."""
+    state, grade, direction, until = (put[POLICY_TAGS[f]] for f in FIELDS)
+    return {
+        "routing_state is not known": ~state.isin("default", "include", "exclude"), "bikeability must be an integer from 1 to 5": grade.isNotNull() & ~grade.isin(*"12345"),
+        "bicycle_direction is not known": ~direction.isin("both", "forward", "backward"), "unavailable_until must be a date": until.isNotNull() & iso_date(until).isNull(),
+        "availability must be temporarily_unavailable": put[AVAILABILITY_TAG] != UNAVAILABLE}
+
+
+def touches(tags: Column, refs: Column) -> Column:
+    """A contig lies in an area if its boundary refs, a comma-separated tag, have one of the area's; an area without refs has all."""
+    own = F.filter(F.split(F.coalesce(tags[REFS_TAG], F.lit("")), ","), lambda x: x != "")
+    return (F.coalesce(F.size(refs), F.lit(0)) == 0) | F.coalesce(F.arrays_overlap(own, refs), F.lit(False))

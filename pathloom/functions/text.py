@@ -51,3 +51,17 @@ def climb_text(metres: Column) -> Column:
 def asset_suffix(at: Column) -> Column:
     """A time as it stands in asset ids: lower case, no separators, seconds only."""
     return F.lower(F.date_format(at, "yyyyMMdd'T'HHmmss'Z'"))
+
+
+def polyline(points: Column) -> Column:
+    """Points (lon, lat) as the text of the public polyline format: steps of latitude and longitude in 1e-5 degrees, five bits a character."""
+    at = F.transform(points, lambda p: F.array(F.rint(p["lat"] * 1e5).cast("long"), F.rint(p["lon"] * 1e5).cast("long")))
+    steps = F.flatten(F.transform(at, lambda p, i: F.zip_with(p, F.when(i > 0, F.get(at, i - 1)).otherwise(F.array(F.lit(0).cast("long"), F.lit(0).cast("long"))), lambda x, y: x - y)))
+    signed = F.transform(steps, lambda v: F.when(v < 0, -2 * v - 1).otherwise(2 * v))
+
+    def written(v: Column) -> Column:
+        high = lambda k: F.floor(v / F.pow(F.lit(32.0), k)).cast("long")
+        used = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda k: (k == 0) | (high(k) > 0))
+        return F.array_join(F.transform(used, lambda k: F.char(high(k) % 32 + F.when(high(k + 1) > 0, 32).otherwise(0) + 63)), "")
+
+    return F.array_join(F.transform(signed, written), "")

@@ -5,9 +5,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import map_x, map_y
-from ..functions import policy, text
+from ..functions import draws, policy, text
 from ..functions.ids import family_id, forward, id_list, short_digest
-from ..operators import blocks, connectors, mapping, network, patches, places, policies, rollouts, routes, search, series
+from ..operators import blocks, connectors, mapping, measures, network, patches, places, policies, rollouts, routes, search, series
 from ..operators import contigs as chains
 from ..sinks import catalog
 from ..sources import elevation
@@ -845,3 +845,121 @@ def catalog_scenarios(spark, d):
     out = catalog.scenarios(pairs, catalog.families(records))
     text = F.transform("routes", lambda r: F.concat_ws(" ", r["id"], r["family_id"], r["direction"]))
     return out.select("scenario", "is_loop", "route_count", F.array_join(text, ";").alias("routes"))
+
+
+_CHARS = "chr(CAST(((s >> (5 * j)) & 31) + CASE WHEN (s >> (5 * (j + 1))) > 0 THEN 32 ELSE 0 END + 63 AS INTEGER))"
+
+
+@query(f"""
+WITH p AS (SELECT way, pos, CAST(round_even(lat * 1e5, 0) AS BIGINT) AS y, CAST(round_even(lon * 1e5, 0) AS BIGINT) AS x FROM ({i.WAYS}) w JOIN ({i.NODES}) n ON n.id = w.node),
+d AS (SELECT way, pos, y - coalesce(lag(y) OVER w, 0) AS dy, x - coalesce(lag(x) OVER w, 0) AS dx FROM p WINDOW w AS (PARTITION BY way ORDER BY pos)),
+v AS (SELECT way, pos, 0 AS k, dy AS v FROM d UNION ALL SELECT way, pos, 1, dx FROM d), z AS (SELECT way, pos, k, CASE WHEN v < 0 THEN -2 * v - 1 ELSE 2 * v END AS s FROM v),
+c AS (SELECT way, pos, k, j, {_CHARS} AS c FROM z, (SELECT unnest(range(7)) AS j) WHERE j = 0 OR (s >> (5 * j)) > 0)
+SELECT way, string_agg(c, '' ORDER BY pos, k, j) AS line FROM c GROUP BY way""")
+def way_polylines(spark, d):
+    """Every way as an encoded polyline."""
+    points = i.geo_ways(spark, d).join(i.geo_nodes(spark, d).select(F.col("id").alias("node"), "lon", "lat"), "node")
+    lists = points.groupBy("way").agg(F.array_sort(F.collect_list(F.struct("pos", "lon", "lat"))).alias("p"))
+    return lists.select("way", text.polyline(F.col("p")).alias("line"))
+
+
+_MUL = "(CAST({a} AS HUGEINT) * ({b}) % 4294967296)::BIGINT"
+
+
+@query(f"""
+WITH k AS (SELECT o_orderkey AS seed, unnest(range(1, 4)) AS k FROM orders), s AS (SELECT *, ((CASE WHEN seed % 4294967296 = 0 THEN 1 ELSE seed % 4294967296 END) + k * 1831565813) % 4294967296 AS s FROM k),
+t AS (SELECT *, {_MUL.format(a="xor(s, s >> 15)", b="s | 1")} AS t FROM s), u AS (SELECT *, xor(t, (t + {_MUL.format(a="xor(t, t >> 7)", b="t | 61")}) % 4294967296) AS u FROM t)
+SELECT seed, k, round(xor(u, u >> 14) / 4294967296e0, 9) AS number FROM u""")
+def seeded_numbers(spark, d):
+    """The first three numbers of a generator for every order's key."""
+    k = i.table(spark, d, "orders").select(F.col("o_orderkey").alias("seed"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long"))).alias("k"))
+    return k.select("seed", "k", F.round(draws.seeded(F.col("seed"), F.col("k")), 9).alias("number"))
+
+
+@query(f"""
+WITH p AS (SELECT way, list(node ORDER BY pos) AS n FROM ({i.WAYS}) GROUP BY way)
+SELECT way, array_to_string(CASE WHEN way % 2 = 1 AND n[1] <> n[-1] THEN list_reverse(n) ELSE n END, '-') AS nodes FROM p""")
+def oriented_paths(spark, d):
+    """Ways as they are met, every second one from its end."""
+    p = i.geo_ways(spark, d).groupBy("way").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda x: x["node"]).alias("n"))
+    first, last, back = F.element_at("n", 1), F.element_at("n", -1), F.col("way") % 2 == 1
+    met = measures.oriented(F.col("n"), first == last, F.when(back, last).otherwise(first), F.when(back, first).otherwise(last))
+    return p.select("way", F.array_join(F.transform(met, lambda x: x.cast("string")), "-").alias("nodes"))
+
+
+@query(f"""
+WITH n AS (SELECT id, 6378137e0 * radians(lon) AS x, 6378137e0 * ln(tan(pi() / 4 + radians(lat) / 2)) AS y FROM ({i.NODES}) WHERE id % 5 <> 0)
+SELECT way AS id, pos, s.a, s.b, round(p.x, 3) AS x1, round(p.y, 3) AS y1, round(q.x, 3) AS x2, round(q.y, 3) AS y2 FROM ({_SEG}) s JOIN n p ON p.id = s.a JOIN n q ON q.id = s.b""")
+def drawable_segments(spark, d):
+    """Segments in map metres, those that lack a node left out."""
+    nodes = i.geo_nodes(spark, d).where("id % 5 <> 0").select("id", map_x(F.col("lon")).alias("x"), map_y(F.col("lat")).alias("y"))
+    out = measures.drawable(network.segments(i.geo_ways(spark, d)).select(F.col("way").alias("id"), "pos", "a", "b"), nodes)
+    return out.select("id", "pos", "a", "b", *[F.round(c, 3).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+@query("""
+WITH p AS (SELECT o_orderkey AS id, o_orderkey % 2 = 0 AS gone, o_orderkey % 3 AS s, o_orderkey % 5 AS t FROM orders)
+SELECT id, CASE WHEN s = 1 THEN 'exclude' WHEN gone THEN 'default' ELSE 'include' END AS routing_state, CASE WHEN t > 0 THEN CAST(t AS VARCHAR) WHEN NOT gone THEN '3' END AS bikeability,
+ CASE WHEN gone THEN 'both' ELSE 'forward' END AS bicycle_direction, CASE WHEN s = 2 THEN '9999-12-31' WHEN NOT gone THEN '2030-01-01' END AS unavailable_until FROM p""")
+def tag_patch_policies(spark, d):
+    """Policies after old patches of tags."""
+    k, tags = F.col("o_orderkey"), policy.POLICY_TAGS
+    removed = F.when(k % 2 == 0, F.array(F.lit(tags["routing_state"]), F.lit(tags["bikeability"]), F.lit(tags["bicycle_direction"]), F.lit(policy.AVAILABILITY_TAG)))
+    entries = F.array(
+        F.when(k % 3 == 1, F.struct(F.lit(tags["routing_state"]).alias("key"), F.lit("exclude").alias("value"))), F.when(k % 5 > 0, F.struct(F.lit(tags["bikeability"]).alias("key"), (k % 5).cast("string").alias("value"))),
+        F.when(k % 3 == 2, F.struct(F.lit(policy.AVAILABILITY_TAG).alias("key"), F.lit(policy.UNAVAILABLE).alias("value"))))
+    put = F.map_from_entries(F.filter(entries, lambda e: e.isNotNull()))
+    before = dict(zip(policy.FIELDS, map(F.lit, ("include", "3", "forward", "2030-01-01")), strict=True))
+    return i.table(spark, d, "orders").select(k.alias("id"), *[c.alias(f) for f, c in policy.from_tag_patch(before, removed, put).items()])
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS id, c_custkey % 6 AS r FROM customer), a AS (SELECT r_regionkey AS area FROM region)
+SELECT area, count(*) AS contigs, CAST(sum(id) AS BIGINT) AS ids FROM a JOIN c ON area = 0 OR r = area OR (r > 0 AND r - 1 = area) GROUP BY area""")
+def contigs_of_areas(spark, d):
+    """How many contigs touch each area; the first area has no refs, and so all."""
+    k = F.col("c_custkey") % 6
+    refs = F.when(k == 0, "r0").otherwise(F.concat(F.lit("r"), k.cast("string"), F.lit(",r"), (k - 1).cast("string")))
+    contigs = i.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.create_map(F.lit(policy.REFS_TAG), refs).alias("tags"))
+    keys = [r.r_regionkey for r in i.table(spark, d, "region").select("r_regionkey").collect()]  # areas are a handful, by their nature
+    areas = F.array(*[F.struct(F.lit(a).alias("area"), (F.array(F.lit(f"r{a}")) if a else F.array().cast("array<string>")).alias("refs")) for a in keys])
+    met = contigs.select("id", F.explode(F.filter(areas, lambda a: policy.touches(F.col("tags"), a["refs"]))).alias("a"))
+    return met.groupBy(F.col("a.area").alias("area")).agg(F.count("*").alias("contigs"), F.sum("id").alias("ids"))
+
+
+@query(f"""
+WITH q AS (SELECT run, list(item ORDER BY pos) AS n FROM ({i.STEPS}) GROUP BY run)
+SELECT r.scenario, r.run, n_steps, repeats, round(overlap / CASE WHEN total = 0 THEN 1e0 ELSE CAST(total AS DOUBLE) END, 6) AS overlap_ratio, round(distinct_length - 10e0 * overlap, 3) AS coverage_score,
+ array_to_string(n, ',') AS sequence, array_to_string(list_sort(list_distinct(n)), ',') AS item_set FROM ({_RUNS}) r JOIN q USING (run)""")
+def benchmark_rows(spark, d):
+    """A row of the benchmark for every run."""
+    text_of = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return measures.benchmark_rows(_runs(spark, d), i.steps(spark, d)).select("scenario", "run", "n_steps", "repeats", "overlap_ratio", "coverage_score", text_of("sequence"), text_of("item_set"))
+
+
+@query(f"""
+WITH q AS (SELECT scenario, run, list(item % 3 ORDER BY pos) AS n FROM ({i.STEPS}) GROUP BY scenario, run)
+SELECT scenario, count(*) AS runs, count(DISTINCT n) AS sequences, count(DISTINCT list_sort(list_distinct(n))) AS sets FROM q GROUP BY scenario""")
+def distinct_routes(spark, d):
+    """How many different routes each scenario has, in order and as sets."""
+    s = i.steps(spark, d).withColumn("item", F.col("item") % 3)
+    return measures.distinct_routes(measures.benchmark_rows(routes.measured(s), s), "scenario")
+
+
+@query(f"""
+SELECT least(a, b) AS a, greatest(a, b) AS b, string_agg(DISTINCT CAST(way AS VARCHAR), ',' ORDER BY CAST(way AS VARCHAR)) AS ways FROM ({_SEG}) GROUP BY 1, 2""")
+def segment_ways(spark, d):
+    """Of each edge that rules select, the ways that they name."""
+    rules = i.geo_ways(spark, d).groupBy("way").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda x: x["node"]).alias("node_ids"))
+    out = measures.segment_ways(rules.select(F.array("way").alias("way_ids"), "node_ids")).where("a <> b")
+    return out.select("a", "b", F.array_join(F.array_sort(F.transform("ways", lambda x: x.cast("string"))), ",").alias("ways"))
+
+
+@query("""
+WITH l AS (SELECT n_regionkey AS k, CAST(to_json(list({'id': n_nationkey, 'name': n_name} ORDER BY n_name)) AS VARCHAR) AS junctions FROM nation WHERE n_regionkey <> 2 GROUP BY 1)
+SELECT r_regionkey AS area, r_name AS name, coalesce(junctions, '[]') AS junctions FROM region LEFT JOIN l ON k = r_regionkey""")
+def area_manifest(spark, d):
+    """Areas with their junctions as JSON."""
+    areas = i.table(spark, d, "region").select(F.col("r_regionkey").alias("area"), F.col("r_name").alias("name"))
+    members = i.table(spark, d, "nation").where("n_regionkey <> 2").select(F.col("n_regionkey").alias("area"), F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    return measures.nested(areas, members, "area", "name", "junctions")
