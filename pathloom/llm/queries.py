@@ -1,7 +1,10 @@
 """The registered queries of this subpackage, and their SQL twins where SQL can express them."""
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, language_model, line_dedup, near_dedup, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup
+from . import (
+    alignment, byte_bpe, decontamination, language_model, lexical_search, line_dedup, near_dedup, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup,
+    suffix_dedup,
+)
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -14,6 +17,9 @@ QUERIES = {
     "op8_shard": sharding.op8_shard,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_secret_scan": secret_scan.op11_secret_scan,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
+    "op13_token_alignment": alignment.op13_token_alignment,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -45,4 +51,4 @@ SELECT r.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(
 FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
 """
 
-ORACLES = {"op7_decontamination": _DECONTAMINATION, "op9_near_dedup": _NEAR_DEDUP, "op10_line_dedup": line_dedup.ORACLE_SQL}
+ORACLES = {"op7_decontamination": _DECONTAMINATION, "op9_near_dedup": _NEAR_DEDUP, "op10_line_dedup": line_dedup.ORACLE_SQL, "op12_lexical_search": lexical_search.ORACLE_SQL}
