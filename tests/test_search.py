@@ -1,55 +1,64 @@
-"""Beam search on small networks with one answer, and against a loop where the beam is wide enough to hold all."""
+"""Beam search and its draws on small networks, against loops."""
 from collections import Counter
 
 from pyspark.sql import functions as F
 
-from pathloom.operators import policies, routes, search, series
+from pathloom.operators import planning, policies, routes, search, series
+from planners import Loop
 
 
 def arcs(spark, edges):
-    rows = [(x, y, c, float(m)) for c, a, b, m in edges for x, y in ((a, b), (b, a))]
+    rows = [(x, y, c, float(m)) for c, a, b, m in edges for x, y in sorted({(a, b), (b, a)})]
     return spark.createDataFrame(rows, "at long, to long, contig long, length_m double")
 
 
-def all_routes(edges, start, goal, short, budget):
-    """Complete walks by trying everything."""
-    out, todo = [], [((), (start,), 0.0, 0.0)]
+def all_routes(loop, start, goal):
+    """What a beam comes to that keeps everything."""
+    out, todo = {}, [loop.start(start)]
     while todo:
-        contigs, nodes, distinct, overlap = todo.pop()
-        if contigs and nodes[-1] == goal:
-            out.append((distinct, -overlap, contigs))
-        fits = []
-        for c, a, b, m in edges:
-            for x, y in ((a, b), (b, a)):
-                n = contigs.count(c)
-                if x == nodes[-1] and (n == 0 or (n == 1 and m <= short and overlap + m <= budget)):
-                    fits.append((c, y, m, n))
-        forward = [f for f in fits if not contigs or f[0] != contigs[-1]]
-        for c, y, m, n in forward or fits:
-            todo.append(((*contigs, c), (*nodes, y), distinct + m * (n == 0), overlap + m * (n == 1)))
+        w = todo.pop()
+        if w.at == goal and w.contigs:
+            out[w.contigs] = w
+        options = [o for o, _ in loop.options(w, goal) if not (w.at == goal and w.contigs and o.at == goal)]
+        if not options and w.at != goal or not w.contigs and not options:
+            end = loop.connected(w, goal)
+            out[end.contigs] = end
+        todo += options
     return out
 
 
-def test_against_all_walks(spark):
+def test_wide_beam_finds_all(spark):
     spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    edges = [(10, 1, 2, 100), (20, 2, 4, 120), (30, 1, 3, 90), (40, 3, 4, 150), (50, 2, 3, 30)]
-    runs = spark.createDataFrame([(1, 1, 4), (2, 1, 1), (3, 9, 4), (4, 1, 77)], "run long, start long, goal long")
-    out = search.beam(runs, arcs(spark, edges), width=500, branch=10, rounds=12, keep=1).collect()
-    found = {r.run: (r.distinct_length, -r.overlap, tuple(r.contigs), r.complete) for r in out}
-    for run, start, goal in ((1, 1, 4), (2, 1, 1)):
-        routes = all_routes(edges, start, goal, 35, 100)
-        top = max(r[:2] for r in routes)
-        assert found[run][:2] == top and found[run][3] and found[run][2] in {r[2] for r in routes}
-    assert 3 not in found and not found[4][3]
+    edges = [(10, 1, 2, 100), (20, 2, 4, 120), (30, 1, 3, 90), (40, 3, 4, 150), (50, 2, 3, 30), (60, 4, 5, 25)]
+    runs = spark.createDataFrame([(1, 7, 1, 4), (2, 7, 1, 1), (3, 7, 9, 4), (4, 7, 1, 77)], "run long, seed long, start long, goal long")
+    rules = planning.Rules(keep=10_000, pool=3, slices=3)
+    found = search.beam(runs, arcs(spark, edges), width=5000, branch=20, rules=rules).collect()
+    loop = Loop(edges, rules)
+    for run, start, goal in ((1, 1, 4), (2, 1, 1), (3, 9, 4), (4, 1, 77)):
+        want = all_routes(loop, start, goal)
+        own = [r for r in found if r.run == run]
+        assert {tuple(r.contigs): (r.total, r.distinct_length, r.overlap, r.complete) for r in own} == {c: (w.distinct + w.overlap, w.distinct, w.overlap, w.at == goal) for c, w in want.items()}
+        assert all(abs(r.score - loop.worth(want[tuple(r.contigs)], goal)) < 1e-9 for r in own)
+        assert sorted(r["rank"] for r in own) == list(range(1, len(own) + 1))
+        rest = [r for r in sorted(own, key=lambda r: r["rank"])][1:]
+        assert rest == sorted(rest, key=lambda r: (not r.complete, -r.distinct_length, r.overlap, -r.score, len(r.contigs), r.contigs))
 
 
 def test_only_way_through(spark):
-    """Two arms, one of which is barred: every width finds the other."""
-    open_ = arcs(spark, [(30, 1, 3, 10), (40, 3, 4, 10), (10, 1, 2, 10)])
-    runs = spark.createDataFrame([(1, 1, 4)], "run long, start long, goal long")
-    for width in (1, 2, 80):
-        r = search.beam(runs, open_, width=width, short=0, rounds=6, keep=1).first()
-        assert (r.contigs, r.nodes, r.complete) == ([30, 40], [1, 3, 4], True) or width == 1
+    """Two arms, one of which is barred: every planner setting finds the other."""
+    open_ = arcs(spark, [(30, 1, 3, 100), (40, 3, 4, 100), (10, 1, 2, 100)])
+    runs = spark.createDataFrame([(1, 7, 1, 4)], "run long, seed long, start long, goal long")
+    for width in (1, 80):
+        r = search.beam(runs, open_, width=width, branch=3, rounds=6).collect()
+        assert [(x.contigs, x.nodes, x.complete) for x in r] == [([30, 40], [1, 3, 4], True)]
+
+
+def test_seeds_differ(spark):
+    edges = [(10 * a + b, a, b, 60 + 7 * ((a * b) % 5)) for a in range(6) for b in range(a + 1, 6) if (a + b) % 4]
+    runs = spark.createDataFrame([(s, s, 0, 5) for s in range(1, 7)], "run long, seed long, start long, goal long")
+    found = search.beam(runs, arcs(spark, edges), width=6, branch=2, rules=planning.Rules(steps=12)).collect()
+    first = {r.run: r for r in found if r["rank"] == 1}
+    assert all(r.complete for r in first.values()) and len({tuple(r.contigs) for r in first.values()}) > 1
 
 
 def test_choices(spark):
