@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pathloom.llm.byte_bpe import encode
 from pathloom.llm.common import staged, table
 from pathloom.llm.decontamination import decontaminate
-from pathloom.llm.line_dedup import drop_boilerplate
+from pathloom.llm.line_dedup import drop_lines
 from pathloom.llm.near_dedup import keep_first
 from pathloom.llm.quality_rules import keep_good
 
@@ -16,7 +16,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_boilerplate(docs).select(*docs.columns)
+    return drop_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,6 +44,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of the documents that all stages keep.
+
+    Each stage states what it does with nulls, empty and long texts, ties and repeated rows.
+    Columns of ``documents`` beyond doc_id, text and source go through the stages as they are,
+    whatever their names; the last stage leaves them out. Empty tables give an empty result.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)

@@ -71,6 +71,21 @@ def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def without(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` without the columns of these names, in any case of letters."""
+    return docs.select(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c.lower() not in names))
+
+
+def aside(docs: DataFrame, *needed: str):
+    """``docs`` with every column but the ``needed`` ones under a name that no operator uses, and what turns its columns back to theirs.
+
+    So an operator's own columns never meet those of the caller, whatever these are called, in any case of letters.
+    """
+    names = docs.columns
+    own = [c.lower() if c.lower() in needed else f"other{k}" for k, c in enumerate(names)]
+    return docs.toDF(*own), lambda df, *more: df.select(*own, *more).toDF(*names, *more)
+
+
 def row_key():
     """A 64-bit key of a row's doc_id and text; doc_ids may be null or repeat."""
     return F.xxhash64("doc_id", text_or_empty())

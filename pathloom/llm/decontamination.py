@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import npbytes as nb
-from .common import table
+from .common import aside, table, without
 
 WINDOW, MIN_SHARE_PERCENT = 13, 5
 #: Words of benchmark items in one automaton: about 30 MB in a task. Items beyond it go to another block.
@@ -205,7 +205,7 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: i
     """
     spark = docs.sparkSession
     added = {"n_words": T.LongType(), "n_hit": T.LongType(), "item_ids": T.ArrayType(T.StringType()), "spans": _SPANS, "contaminated": T.BooleanType()}
-    docs = docs.select([c for c in docs.columns if c not in {**added, "cut_text": 0}])
+    docs, back = aside(without(docs, *added, "cut_text"), "text")
     schema = T.StructType([*docs.schema.fields, *(T.StructField(k, v) for k, v in added.items())])
     plain = [f.name for f in docs.schema.fields]
 
@@ -240,14 +240,14 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: i
         size += len(h)
     out = step(out, block, again)
     if not cut:
-        return out
+        return back(out, *added)
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left = [_without(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(left, pa.string())], names=[*batch.schema.names, "cut_text"])
 
-    return out.mapInArrow(shorten, T.StructType([*schema.fields, T.StructField("cut_text", T.StringType())]))
+    return back(out.mapInArrow(shorten, T.StructType([*schema.fields, T.StructField("cut_text", T.StringType())])), *added, "cut_text")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -256,7 +256,8 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     A text whose hit spans reach MIN_SHARE_PERCENT of its words exceeds the coverage limit and
     goes as a whole; texts under it stay untouched.
     """
-    return find(docs, items).where(~F.col("contaminated")).select(*docs.columns)
+    docs, back = aside(docs, "text")
+    return back(find(docs, items).where(~F.col("contaminated")))
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

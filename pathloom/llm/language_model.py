@@ -22,6 +22,7 @@ proportion to the input, and a pair or word that all texts share is one row in e
 from __future__ import annotations
 
 import contextlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -187,16 +188,30 @@ def _count(left: pa.Table, right: pa.Table, schema: pa.Schema) -> pa.Table:
 
 
 def discounts(counts: list[int]) -> list[float]:
-    """Good-Turing d_1..d_K from the numbers of pairs seen 1 to K + 1 times; (r - 0.5) / r where those don't give 0 < d < 1."""
-    out = []
-    for r in range(1, K + 1):
-        d = 0.0
-        if counts[0] and counts[r - 1]:
-            cut = (K + 1) * counts[K] / counts[0]
-            if cut < 1:
-                d = ((r + 1) * counts[r] / (r * counts[r - 1]) - cut) / (1 - cut)
-        out.append(d if 0 < d < 1 else (r - 0.5) / r)
-    return out
+    """Good-Turing d_1..d_K from the numbers of pairs seen 1 to K + 1 times, all by one rule.
+
+    The counts are taken as they are if they give 0 < d < 1 and a pair seen more often never
+    keeps less. Else they are smoothed by a line through their logarithms; where that
+    falls no faster than 1 / r, or there is none, d is (r - 0.5) / r.
+    """
+
+    def katz(n: list[float]) -> list[float]:
+        cut = (K + 1) * n[K] / n[0]
+        return [((r + 1) * n[r] / (r * n[r - 1]) - cut) / (1 - cut) for r in range(1, K + 1)] if cut < 1 else []
+
+    def sound(d: list[float]) -> bool:
+        kept = [r * x for r, x in enumerate(d, 1)]
+        return bool(d) and all(0 < x < 1 for x in d) and all(x < y for x, y in zip(kept, kept[1:]))
+
+    if all(counts) and sound(d := katz(counts)):
+        return d
+    seen = [(math.log(r), math.log(n)) for r, n in enumerate(counts, 1) if n]
+    if len(seen) > 1:
+        x, y = np.array(seen).T
+        slope = float(np.polyfit(x, y, 1)[0])
+        if slope < -1 and sound(d := katz([r**slope for r in range(1, K + 2)])):
+            return d
+    return [(r - 0.5) / r for r in range(1, K + 1)]
 
 
 def backoff(sums: DataFrame, d: list[float], slots: int) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import npbytes as nb
-from .common import discard, row_key, staged, table, text_or_empty
+from .common import aside, discard, row_key, staged, table, text_or_empty
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -269,6 +269,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that their component keeps, all columns as they are; of kept rows equal in doc_id and text, one."""
+    docs, back = aside(docs, "doc_id", "text")
     rows = staged(_verdicts(docs).select("rid", "label", "kept"), "verdicts")
     kept = rows.where("kept").select(F.col("rid").alias("_rid")).distinct()
     repeated = rows.where("label IS NOT NULL").groupBy("rid").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
@@ -276,7 +277,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     out = docs.withColumn("_rid", row_key()).join(kept, "_rid", "left_semi")
     if not repeated.isEmpty():
         out = out.join(repeated, "_rid", "left_anti").unionByName(out.join(repeated, "_rid", "left_semi").dropDuplicates(["_rid"]))
-    return out.drop("_rid")
+    return back(out)
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -151,16 +151,16 @@ def _strength(groups: DataFrame, n: str, k: str, rate) -> float:
 
 
 def site_rates(sites: DataFrame, target: str) -> DataFrame:
-    """(host, path, rate): posterior rates of ``target`` from rows (host, path, n, k_<target>); n of 0 gives the host's rate."""
-    k = f"k_{target}"
-    overall = sites.agg(F.sum(k), F.sum("n")).first()
+    """(host, path, rate): posterior rates of ``target`` from rows (host, path, n_<target>, k_<target>); n of 0 gives the host's rate."""
+    k, n = f"k_{target}", f"n_{target}"
+    overall = sites.agg(F.sum(k), F.sum(n)).first()
     base = (float(overall[0] or 0) + 0.5) / (float(overall[1] or 0) + 1.0)
-    hosts = sites.groupBy("host").agg(F.sum("n").alias("hn"), F.sum(k).alias("hk"))
+    hosts = sites.groupBy("host").agg(F.sum(n).alias("hn"), F.sum(k).alias("hk"))
     m = _strength(hosts.where("hn > 0"), "hn", "hk", F.lit(base))
     hosts = hosts.select("host", ((F.col("hk") + m * base) / (F.col("hn") + m)).alias("host_rate"))
     paths = sites.join(hosts, "host")
-    m = _strength(paths.where("n > 0"), "n", k, F.col("host_rate"))
-    return paths.select("host", "path", ((F.col(k) + F.lit(m) * F.col("host_rate")) / (F.col("n") + m)).alias(f"{target}_rate"))
+    m = _strength(paths.where(F.col(n) > 0), n, k, F.col("host_rate"))
+    return paths.select("host", "path", ((F.col(k) + F.lit(m) * F.col("host_rate")) / (F.col(n) + m)).alias(f"{target}_rate"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE) -> DataFrame:
@@ -168,14 +168,14 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 
     kept: quality of one half or more and toxic under it. Null texts have only the features of
     an empty one; null hosts and paths are sites named by the empty string. Repeated labels
-    count each time, null ones not. Without labels all odds are 0 and rates one half, so all is
+    count each time; a label that is null or not 0 or 1 counts for nothing, while the row's other label does. Without labels all odds are 0 and rates one half, so all is
     kept. Rows that repeat a doc_id are judged by their own texts. Other columns are dropped.
     """
     weights = fit(docs, labels, sample)
     site = [F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path")]
     scored = staged(evidence(docs.select("doc_id", "text", *site), weights, ["doc_id", "host", "path"]), "evidence")
-    marks = labels.select("doc_id", "quality", "toxic")
-    sites = scored.join(marks, "doc_id", "left").groupBy("host", "path").agg(F.count(F.coalesce("quality", "toxic")).alias("n"), *[F.coalesce(F.sum(t), F.lit(0)).alias(f"k_{t}") for t in TARGETS])
+    marks = labels.select("doc_id", *(F.when(F.col(t).isin(0, 1), F.col(t)).alias(t) for t in TARGETS))
+    sites = scored.join(marks, "doc_id", "left").groupBy("host", "path").agg(*(F.count(t).alias(f"n_{t}") for t in TARGETS), *(F.coalesce(F.sum(t), F.lit(0)).alias(f"k_{t}") for t in TARGETS))
     sites = staged(sites, "sites")
     rates = site_rates(sites, "quality").join(site_rates(sites, "toxic"), ["host", "path"])
     out = scored.join(staged(rates, "rates"), ["host", "path"])

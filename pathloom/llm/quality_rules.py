@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, row_key, staged, table, text_or_empty
+from .common import WORD_GAP, aside, row_key, staged, table, text_or_empty
 
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 #: Fixed values of the contract: the characters that count as symbols.
@@ -198,5 +198,6 @@ def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns as they are. Verdicts depend on the text and go by doc_id and text together."""
+    docs, back = aside(docs, "doc_id", "text")
     kept = judged(docs, labels).where("kept").select(F.col("rid").alias("_rid")).distinct()
-    return docs.withColumn("_rid", row_key()).join(kept, "_rid", "left_semi").drop("_rid")
+    return back(docs.withColumn("_rid", row_key()).join(kept, "_rid", "left_semi"))

@@ -1,9 +1,11 @@
 """One table of awkward rows through every operator and the pipeline: nulls, repeats, empties, a long text, ties, clashing columns."""
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pathloom.llm import byte_bpe, common, decontamination, language_model, line_dedup, near_dedup, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup
+from pathloom.llm import byte_bpe, common, alignment, decontamination, language_model, lexical_search, line_dedup, near_dedup, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup, suffix_dedup
 
 PROSE = " ".join(f"word{k} of a long passage" for k in range(40)) + "."
 LONG = " ".join(f"t{k % 5000}" for k in range(400_000))
@@ -11,12 +13,16 @@ ROWS = [
     (1, PROSE, "a"), (1, PROSE, "a"), (1, "another text with the same number", "a"), (None, PROSE, None), (None, PROSE, None), (None, None, ""), (2, None, ""), (3, "", ""), (4, " \n\t\n ", None),
     (5, LONG, "b"), (6, PROSE + " tail", "b"), (7, "same line\nother", None), (8, "same line\nthing", ""), (9, "x" * 3000, "c"), (10, "é漢 " * 200, "c"),
 ]
-COLUMNS = "doc_id long, text string, source string, lang string, n_chars long, _w string, _rid string, label string, kept string, n_words string, rid long, node long"
+EXTRA = ("x", "lines", "cut", "spans", "hit", "dot", "row", "other", "yes")
+COLUMNS = (
+    "doc_id long, text string, source string, lang string, n_chars long, _w string, _rid string, label string, kept string, n_words string, rid long, node long, "
+    "_x string, n_lines string, cut_text string, spans string, N_Hit string, `a.b` string, _row string, other1 string, contaminated string"
+)
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(*r, "en", 0, "w", "r", "l", "k", "n", 7, 8) for r in ROWS]
+    rows = [(*r, "en", 0, "w", "r", "l", "k", "n", 7, 8, *EXTRA) for r in ROWS]
     return spark.createDataFrame(rows, COLUMNS).repartition(5).persist()
 
 
@@ -33,7 +39,7 @@ def items(spark):
 OPERATORS = {
     "op1": lambda d, l, i: substring_dedup.drop_repeats(d), "op2": lambda d, l, i: language_model.score(d), "op3": lambda d, l, i: byte_bpe.encode(d, digests=True), "op4": lambda d, l, i: suffix_dedup.dedup(d),
     "op5": lambda d, l, i: quality_classifier.classify(d, l), "op6": lambda d, l, i: quality_rules.judged(d, l), "op7": lambda d, l, i: decontamination.find(d, i, cut=True), "op8": lambda d, l, i: sharding.shard(d, 3),
-    "op9": lambda d, l, i: near_dedup.near_duplicates(d), "op10": lambda d, l, i: line_dedup.drop_boilerplate(d),
+    "op9": lambda d, l, i: near_dedup.near_duplicates(d), "op10": lambda d, l, i: line_dedup.drop_boilerplate(d), "op11": lambda d, l, i: secret_scan.scan(d), "op13": lambda d, l, i: alignment.align(d),
 }
 
 
@@ -90,8 +96,50 @@ def test_near_dedup_border_and_dense_groups(spark):
     assert out == label and out[2] == 1 and out[21] == 10
 
 
+KEEPING = {"quality_rules": lambda d, l, i: quality_rules.keep_good(d, l), "line_dedup": lambda d, l, i: line_dedup.drop_lines(d), "near_dedup": lambda d, l, i: near_dedup.keep_first(d), "decontamination": lambda d, l, i: decontamination.decontaminate(d, i)}
+
+
+@pytest.mark.parametrize("name", KEEPING)
+def test_columns_stay(docs, labels, items, name):
+    out = KEEPING[name](docs, labels, items)
+    assert out.columns == docs.columns and out.schema == docs.schema
+    rows = out.collect()
+    assert rows and all(tuple(r)[3:] == ("en", 0, "w", "r", "l", "k", "n", 7, 8, *EXTRA) for r in rows)
+
+
+def test_pages_of_other_line_ends(spark):
+    pages = [(k, f"title{end}{end}body {k}{end} \t{end}end{end}", "h") for k, end in enumerate(["\r\n", "\n", "\r\n", "\x0b\n", " \n"])]
+    df = spark.createDataFrame(pages, "doc_id long, text string, source string")
+    for r in line_dedup.drop_boilerplate(df).collect():
+        end = pages[r.doc_id][1].split("title")[1].split("\n")[0] + "\n"
+        assert (r.n_lines, r.n_dropped, r.text) == (6, 2, f"{end}body {r.doc_id}{end} \t{end}")
+
+
+def test_odd_labels(spark):
+    """Labels that are null or out of range say nothing of a site; the row's other label still does."""
+    docs = spark.createDataFrame([(k, f"text number {k} of a site", "s", "en") for k in range(12)], "doc_id long, text string, source string, lang string")
+    marks = [(0, 5, 0), (1, None, 0), (2, -1, None), (3, 1, 7), (4, 1, 0), (5, 0, 0), (None, 1, 1)]
+    out = quality_classifier.classify(docs, spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).collect()
+    # Of quality 1, 1 and 0 are left, of toxic four times 0; one host with one path, so both levels shrink towards (k + 1/2) / (n + 1).
+    for r in out:
+        for t, base in (("quality", 2.5 / 4), ("toxic", 0.5 / 5)):
+            k, n = {"quality": (2, 3), "toxic": (0, 4)}[t]
+            host = (k + 100 * base) / (n + 100)
+            rate = (k + 100 * host) / (n + 100)
+            assert r[t] == pytest.approx(1 / (1 + math.exp(-(r[f"{t}_odds"] + math.log(rate / (1 - rate))))), abs=1e-6)
+
+
+def test_discounts_grow():
+    for counts in ([100, 40, 22, 14, 10, 7], [1000, 500, 10, 500, 3, 200], [5, 0, 0, 0, 0, 0], [0] * 6, [10, 10, 10, 10, 10, 10], [268870, 49000, 17000, 9000, 5200, 4500]):
+        kept = [r * d for r, d in enumerate(language_model.discounts(counts), 1)]
+        assert all(0 < x < r for r, x in enumerate(kept, 1)) and all(x < y for x, y in zip(kept, kept[1:]))
+    exact = [1_000_000 / r**2.5 for r in range(1, 7)]
+    cut = 6 * exact[5] / exact[0]
+    assert language_model.discounts(exact) == pytest.approx([((r + 1) * exact[r] / (r * exact[r - 1]) - cut) / (1 - cut) for r in range(1, 6)])
+
+
 def test_pipeline_on_awkward_rows(spark, docs, labels, items, tmp_path):
-    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     items.write.parquet(f"{tmp_path}/benchmark.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))

@@ -72,7 +72,7 @@ def strength(groups):
 def test_site_rates_and_posteriors(spark):
     rng = np.random.default_rng(5)
     table = [(f"h{h}", f"p{p}", n, int(rng.binomial(n, (h + 1) / 8))) for h in range(6) for p in range(4) for n in [int(rng.integers(0, 40))]]
-    df = spark.createDataFrame(table, "host string, path string, n long, k_quality long")
+    df = spark.createDataFrame(table, "host string, path string, n_quality long, k_quality long")
     base = (sum(r[3] for r in table) + 0.5) / (sum(r[2] for r in table) + 1.0)
     hosts = {h: (sum(r[2] for r in table if r[0] == h), sum(r[3] for r in table if r[0] == h)) for h in {r[0] for r in table}}
     m = strength([(n, k, base) for n, k in hosts.values()])
