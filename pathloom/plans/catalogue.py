@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from ..functions.geo import map_x, map_y
 from ..functions import draws, policy, text
 from ..functions.ids import family_id, forward, id_list, short_digest
-from ..operators import blocks, connectors, mapping, measures, network, patches, places, policies, rollouts, routes, search, series
+from ..operators import blocks, connectors, mapping, measures, network, patches, places, planning, policies, rollouts, routes, search, series, tree_search
 from ..operators import contigs as chains
 from ..sinks import catalog
 from ..sources import elevation
-from ..streaming import progress
+from ..streaming import progress, sessions
 from . import inputs as i
 
 QUERIES: dict = {}
@@ -383,6 +383,16 @@ def progress_stream(spark, d):
     return progress.best_so_far(spark, d)
 
 
+@query(f"""
+WITH m AS (SELECT CAST(user_id AS VARCHAR) AS key, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS request, event_id, value, event_type || '-' || event_id % 7 AS s FROM events),
+l AS (SELECT key, s, max(event_id) AS at, row_number() OVER (PARTITION BY key ORDER BY max(event_id) DESC) AS r FROM m GROUP BY key, s),
+b AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY request DESC, value DESC, event_id) AS r FROM m)
+SELECT b.key, b.request, b.event_id AS iteration, b.value AS best, (SELECT string_agg(s, ',' ORDER BY l.r) FROM l WHERE l.key = b.key AND l.r <= 12) AS recent FROM b WHERE b.r = 1""")
+def session_stream(spark, d):
+    """What every user's session shows in the end: the best of the latest request and the routes seen last, from keyed state."""
+    return sessions.event_sessions(spark, d).select("key", "request", "iteration", "best", F.array_join("signatures", ",").alias("recent"))
+
+
 @query(f"""
 SELECT way, '<trkseg>' || string_agg('<trkpt lat="' || printf('%.6f', lat) || '" lon="' || printf('%.6f', lon) || '"/>', '' ORDER BY pos) || '</trkseg>' AS gpx FROM ({i.WAYS}) JOIN ({i.NODES}) ON node = id GROUP BY way""")
 def gpx_text(spark, d):
@@ -624,17 +634,53 @@ def ordered_contigs(spark, d):
     return out.select("contig", F.array_join(F.transform("node_ids", lambda x: x.cast("string")), "-").alias("nodes"), "segments", "length_m", "is_cycle")
 
 
+def _customer_networks(spark, d):
+    """A network for each customer, of the ways that are his orders, with its nodes' least number as start; every second goal is the start, else the greatest number."""
+    lines = i.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("node"))
+    ways = lines.join(i.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("net")), "l_orderkey").withColumn("node", F.col("node") % 64)
+    after = F.lead("node").over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "node"))
+    parts = ways.withColumn("b", after).where("b IS NOT NULL AND b <> node").select("net", F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    edges = parts.withColumns({"contig": F.col("a") * 64 + F.col("b"), "length_m": (20 + (F.col("a") * 7 + F.col("b")) % 90).cast("double")})
+    both = edges.selectExpr("net", "a AS at", "b AS to", "contig", "length_m").unionByName(edges.selectExpr("net", "b AS at", "a AS to", "contig", "length_m"))
+    runs = both.groupBy("net").agg(F.min("at").alias("start"), F.max("at").alias("last")).select("net", F.col("net").alias("run"), F.lit(7).alias("seed"), "start", F.when(F.col("net") % 2 == 0, F.col("start")).otherwise(F.col("last")).alias("goal"))
+    return runs, both
+
+
+def _routes(found):
+    return found.select("run", "rank", F.array_join("contigs", ",").alias("contigs"), F.array_join("nodes", ",").alias("nodes"), "total", "distinct_length", "overlap", F.round("score", 6).alias("score"), "complete")
+
+
 @query()
 def beam_routes(spark, d):
-    """Routes between two nodes for each of five runs, by beam search; tests hold the operator against a loop."""
+    """The three best routes of every customer's network by beam search; tests hold the operator against a loop."""
     i.ready(spark)
-    e = network.collapse(network.segments(i.geo_ways(spark, d)))
-    length = (50 + (F.col("a") * 7 + F.col("b")) % 90).cast("double").alias("length_m")
-    both = e.select(F.col("a").alias("at"), F.col("b").alias("to"), F.concat_ws("-", "a", "b").alias("contig"), length).unionByName(e.select(F.col("b").alias("at"), F.col("a").alias("to"), F.concat_ws("-", "a", "b").alias("contig"), length))
-    ends = e.agg(F.min("a"), F.max("b")).first()
-    runs = spark.range(5).select(F.col("id").alias("run"), (F.lit(ends[0]) + F.col("id")).alias("start"), F.lit(ends[1]).alias("goal"))
-    out = search.beam(runs, both, width=8, rounds=12, keep=3)
-    return out.select("run", "rank", F.array_join("contigs", ",").alias("contigs"), "total", "distinct_length", "overlap", "complete")
+    return _routes(search.beam(*_customer_networks(spark, d), width=6, branch=2, rules=planning.Rules(keep=3)))
+
+
+@query()
+def tree_routes(spark, d):
+    """The two best routes of every customer's network by tree search; tests hold the operator against a loop."""
+    i.ready(spark)
+    return _routes(tree_search.tree_search(*_customer_networks(spark, d), iterations=6, leaves=3, samples=1, rules=planning.Rules(keep=2)))
+
+
+@query("""
+WITH RECURSIVE l AS (SELECT o_custkey AS net, l_partkey % 64 AS a, lead(l_partkey % 64) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey % 64) AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+e AS (SELECT DISTINCT net, least(a, b) AS a, greatest(a, b) AS b FROM l WHERE b IS NOT NULL AND a <> b),
+m AS MATERIALIZED (SELECT net, a AS x, b AS y, 20e0 + (a * 7 + b) % 90 AS metres FROM e UNION ALL SELECT net, b, a, 20e0 + (a * 7 + b) % 90 FROM e),
+r AS (SELECT net, min(x) AS start, CASE WHEN net % 2 = 0 THEN min(x) ELSE max(x) END AS goal FROM m GROUP BY net),
+t(net, node, way) USING KEY (net, node) AS (
+  SELECT net, start, 0e0 FROM r
+  UNION
+  SELECT m.net, m.y, min(t.way + metres) FROM t JOIN m ON m.net = t.net AND m.x = t.node LEFT JOIN recurring.t AS o ON o.net = m.net AND o.node = m.y WHERE o.way IS NULL OR t.way + metres < o.way GROUP BY m.net, m.y)
+SELECT r.net AS run, g.way IS NOT NULL AS reachable, g.way AS way, (SELECT round(coalesce(sum(metres), 0) / 2, 6) FROM m JOIN t ON t.net = m.net AND t.node = m.x WHERE m.net = r.net) AS unused
+FROM r LEFT JOIN t AS g ON g.net = r.net AND g.node = r.goal""")
+def ways_ahead(spark, d):
+    """From the start of every customer's network: the metres of the way to its goal, and those that can be come to."""
+    i.ready(spark)
+    runs, arcs = _customer_networks(spark, d)
+    network = planning.Network(arcs, planning.Rules(), lambda df: df.checkpoint())
+    return network.start(runs).select("run", "reachable", "way", F.round("unused", 6).alias("unused"))
 
 
 _MD5 = "(CAST(('0x' || substr(md5({0}), 1, 8)) AS BIGINT) + 0.5e0) / 4294967296e0"
@@ -781,12 +827,9 @@ def articulation_points(spark, d):
 
 @query()
 def trial_routes(spark, d):
-    """The best of four seeded trials of each of five runs over the whole network."""
+    """The two best of four seeded trials on every customer's network; tests hold the operator against a loop."""
     i.ready(spark)
-    both, ends = _arcs(spark, d)
-    runs = spark.range(5).select(F.col("id").alias("run"), F.lit(7).alias("seed"), (F.lit(ends[0]) + F.col("id")).alias("start"), F.lit(ends[1]).alias("goal"))
-    out = rollouts.rollouts(runs, both, trials=4, steps=6, keep=2)
-    return out.select("run", "rank", "trial", F.array_join("contigs", ",").alias("contigs"), "total", "distinct_length", "overlap", "score", "complete")
+    return _routes(rollouts.rollouts(*_customer_networks(spark, d), trials=4, rules=planning.Rules(keep=2)))
 
 
 @query()
