@@ -5,12 +5,13 @@ rows and never one task. A score is a sum over a query's terms of what each list
 the document, and in three phases only a part of the lists takes part:
 
 1. The heads of all lists give each query partial sums; the least of its K best is a lower
-   bound that K documents reach.
-2. That bound over the query's number of terms is one threshold for all its lists: a document
-   that is below it in every list cannot reach the bound. What is above is sent to the blocks
-   and summed; with what the lists can still hold for it, every document has an upper bound.
-3. The exact scores of the documents whose upper bound reaches the K-th best partial sum are
-   looked up in the lists.
+   bound that K documents reach. The exact scores of the first of them, looked up, give a
+   higher one.
+2. The first bound over the query's number of terms is one threshold for all its lists: a
+   document that is below it in every list cannot reach the bound. What is above is sent to the
+   blocks and summed; with what the lists can still hold for it, every document has an upper bound.
+3. The exact scores of the documents whose upper bound reaches the higher bound, and the K-th
+   best partial sum, are looked up in the lists.
 
 Queries are taken in lots of at most about LOT terms: this bounds what a task holds of them.
 """
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import discard, staged, table
 
+#: Times K documents of the heads whose exact scores are looked up first.
+FIRST = 3
 #: Best documents of a query; query terms in a lot; documents and postings in a block; parts that a term's blocks are dealt to.
 K, LOT, BLOCK_DOCS, BLOCK_POSTINGS, PARTS = 10, 20_000, 8192, 2_000_000, 16
 
@@ -124,8 +127,11 @@ def _heads(lists: DataFrame, w: list[int], n_docs: int, length: int, k: int) ->
     return lists.select("term", "block", "at", "tf", "n").mapInArrow(top, "term int, block long, at int, held long").withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
-def _candidates(lists: DataFrame, w: list[int], n_docs: int, length: int, k: int, items: list[np.ndarray], floor: list[int], top: dict[int, int]) -> DataFrame:
-    """(item, block, at, low, high): documents that the lists above the items' thresholds leave, with their partial sums and upper bounds."""
+def _candidates(lists: DataFrame, w: list[int], n_docs: int, length: int, k: int, items: list[np.ndarray], floor: list[int], bound: list[int], top: dict[int, int]) -> DataFrame:
+    """(item, block, at, low, high): documents that the lists above the items' thresholds leave, with their partial sums and upper bounds.
+
+    ``floor`` gives an item's threshold, ``bound`` is the score that K documents are known to reach.
+    """
     share = [-(-f // len(t)) for f, t in zip(floor, items, strict=True)]
     least = np.full(len(w), np.iinfo(np.int64).max)
     for t, s in zip(items, share, strict=True):
@@ -160,10 +166,10 @@ def _candidates(lists: DataFrame, w: list[int], n_docs: int, length: int, k: int
                     low[at[good]] += h[good]
                     seen[at[good]] += most
             high = low + rest - seen
-            bound = floor[item]
+            reach = bound[item]
             if width > k:
-                bound = max(bound, int(np.partition(low, width - k)[width - k]))
-            found = np.flatnonzero((high >= bound) & (low > 0))
+                reach = max(reach, int(np.partition(low, width - k)[width - k]))
+            found = np.flatnonzero((high >= reach) & (low > 0))
             yield from zip([item] * len(found), [block] * len(found), found.tolist(), low[found].tolist(), high[found].tolist(), strict=True)
 
     def bounds(batches):
@@ -225,22 +231,26 @@ def _lot(docs: DataFrame, queries: list[tuple], k: int, item_id: str) -> DataFra
     for r in heads:
         of[r.term].append((r.block, r.at, r.held))
         top[r.term] = max(top.get(r.term, 0), r.held)
-    floor = []
-    for own in items:
+    floor, first = [], []
+    for i, own in enumerate(items):
         sums = Counter()
         for t in own.tolist():
             for block, at, held in of[t]:
                 sums[block, at] += held
-        best = sorted(sums.values())
-        floor.append(best[-k] if len(best) >= k else 0)
+        best = sums.most_common(FIRST * k)
+        floor.append(best[k - 1][1] if len(best) >= k else 0)
+        first += [(i, block, at) for (block, at), _ in best]
 
     rank = lambda by: F.row_number().over(Window.partitionBy("item").orderBy(*by))
-    found = staged(_candidates(lists, w, n_docs, length, k, items, floor, top), "candidates", "zstd")
+    asks = spark.createDataFrame([(i, own.tolist()) for i, own in enumerate(items)], "item int, terms array<int>")
+    scored = lambda rows: _looked_up(lists, rows.join(asks, "item").select("item", "block", "at", F.explode("terms").alias("term")), w, n_docs, length).groupBy("item", "block", "at").agg(F.sum("held").alias("score"))
+    exact = scored(spark.createDataFrame(first, "item int, block long, at int"))
+    reached = {r.item: r.score for r in exact.withColumn("r", rank([F.desc("score")])).where(F.col("r") == k).collect()}
+    bound = [max(f, reached.get(i, 0)) for i, f in enumerate(floor)]
+    found = staged(_candidates(lists, w, n_docs, length, k, items, floor, bound, top), "candidates", "zstd")
     least = found.withColumn("r", rank([F.desc("low")])).where(F.col("r") == k).select("item", F.col("low").alias("bound"))
     left = found.join(least, "item", "left").where(F.col("high") >= F.coalesce("bound", F.lit(0)))
-    asks = spark.createDataFrame([(i, own.tolist()) for i, own in enumerate(items)], "item int, terms array<int>")
-    asked = left.select("item", "block", "at").join(asks, "item").select("item", "block", "at", F.explode("terms").alias("term"))
-    scores = _looked_up(lists, asked, w, n_docs, length).groupBy("item", "block", "at").agg(F.sum("held").alias("score")).where("score > 0")
+    scores = scored(left.select("item", "block", "at")).where("score > 0")
     # Ties at the end need doc_ids, so all that reach the K-th score get theirs.
     enough = scores.withColumn("r", F.rank().over(Window.partitionBy("item").orderBy(F.desc("score")))).where(F.col("r") <= k)
     names = blocks.select("block", F.posexplode("ids").alias("at", "doc_id"))
