@@ -10,8 +10,9 @@ from ..functions.ids import family_id, forward, id_list, short_digest
 from ..operators import blocks, connectors, mapping, measures, network, patches, places, planning, policies, rollouts, routes, search, series, tree_search
 from ..operators import contigs as chains
 from ..sinks import catalog
-from ..sources import elevation
+from ..sources import elevation, variants
 from ..streaming import progress, sessions
+from . import contracts
 from . import inputs as i
 
 QUERIES: dict = {}
@@ -1006,3 +1007,51 @@ def area_manifest(spark, d):
     areas = i.table(spark, d, "region").select(F.col("r_regionkey").alias("area"), F.col("r_name").alias("name"))
     members = i.table(spark, d, "nation").where("n_regionkey <> 2").select(F.col("n_regionkey").alias("area"), F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
     return measures.nested(areas, members, "area", "name", "junctions")
+
+
+def _order_documents(spark, d, after: bool):
+    """A JSON document for each order, some with parts of a wrong kind or missing; ``after``: with changes."""
+    lines = i.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"))
+    contig = F.when(F.col("supp") % 11 == 0, F.concat(F.lit('"'), "part", F.lit('"'))).otherwise(F.col("part").cast("string"))
+    metres = F.when(F.col("supp") % 13 == 0, "").otherwise(F.concat(F.lit(',"length_m":'), F.col("n") + (F.col("part") % 7 == 0).cast("int") * int(after), F.lit(".50" if after else ".5")))
+    step = F.concat(F.lit('{"contig_id":'), contig, metres, F.lit("}"))
+    steps = lines.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "part", "supp", step.alias("t")))), lambda x: x["t"]), ",").alias("steps"))
+    orders = i.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc"), F.col("o_orderstatus").alias("status"))
+    seed = F.when(F.col("doc") % 9 == 0, "null").otherwise(F.col("doc").cast("string"))
+    note = F.when(F.col("doc") % 5 == 0, ',"note":{"by":["x"]}').otherwise("") if after else F.lit("")
+    head = F.concat(F.lit('{"seed":'), seed, F.lit(',"complete":'), F.when(F.col("status") == "F", "true").when(F.col("status") == "O", "false").otherwise('"P"'), note, F.lit(',"steps":['))
+    return orders.join(steps, "doc").select("doc", F.concat(head, "steps", F.lit("]}")).alias("text"))
+
+
+_STEP = """CASE WHEN l_suppkey % 11 = 0 THEN '"' || l_partkey || '"' ELSE l_partkey || '' END || CASE WHEN l_suppkey % 13 = 0 THEN '' ELSE ',"length_m":' || (l_linenumber{0}) || '.5' END"""
+_DOCUMENT = """SELECT o_orderkey AS doc, CAST('{{"seed":' || CASE WHEN o_orderkey % 9 = 0 THEN 'null' ELSE o_orderkey || '' END || ',"complete":' || CASE o_orderstatus WHEN 'F' THEN 'true' WHEN 'O' THEN 'false' ELSE '"P"' END || {1} || ',"steps":['
+  || string_agg('{{"contig_id":' || {0} || '}}', ',' ORDER BY l_linenumber, l_partkey, l_suppkey) || ']}}' AS JSON) AS j FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus"""
+_BEFORE = _DOCUMENT.format(_STEP.format(""), "''")
+_AFTER = _DOCUMENT.format(_STEP.format(" + CAST(l_partkey % 7 = 0 AS INTEGER)"), """CASE WHEN o_orderkey % 5 = 0 THEN ',"note":{"by":["x"]}' ELSE '' END""")
+_INTEGERS = "('UBIGINT', 'BIGINT', 'UHUGEINT', 'HUGEINT')"
+
+
+@query(f"""
+WITH d AS ({_BEFORE}),
+s AS (SELECT doc, CAST(e.key AS INTEGER) AS k, e.value AS v FROM d, json_each(json_extract(j, '$.steps')) AS e)
+SELECT doc, '$.seed' AS path, 'must be an integer' AS problem FROM d WHERE coalesce(json_type(j, '$.seed'), '') NOT IN {_INTEGERS}
+UNION ALL SELECT doc, '$.complete', 'must be a boolean' FROM d WHERE coalesce(json_type(j, '$.complete'), '') <> 'BOOLEAN'
+UNION ALL SELECT doc, '$.steps', 'must have at least 2 items' FROM d WHERE json_array_length(j, '$.steps') < 2
+UNION ALL SELECT doc, '$.steps[' || k || '].contig_id', 'must be an integer' FROM s WHERE coalesce(json_type(v, '$.contig_id'), '') NOT IN {_INTEGERS}
+UNION ALL SELECT doc, '$.steps[' || k || '].length_m', 'must be a number' FROM s WHERE coalesce(json_type(v, '$.length_m'), '') <> 'DOUBLE'""")
+def document_problems(spark, d):
+    """What is wrong with the document of every order, by rules on its places."""
+    i.ready(spark)
+    rules = [contracts.Rule("$", "object"), contracts.Rule("$.seed", "integer"), contracts.Rule("$.complete", "boolean"), contracts.Rule("$.steps", "array", 2), contracts.Rule("$.steps[*]", "object"), contracts.Rule("$.steps[*].contig_id", "integer"), contracts.Rule("$.steps[*].length_m", "number")]
+    return contracts.problems(variants.unfolded(variants.documents(_order_documents(spark, d, False))), rules)
+
+
+@query(f"""
+WITH a AS (SELECT doc, t.fullkey AS path, t.atom || '' AS x FROM ({_BEFORE}), json_tree(j) AS t WHERE t.type NOT IN ('OBJECT', 'ARRAY')),
+b AS (SELECT doc, t.fullkey AS path, t.atom || '' AS x FROM ({_AFTER}), json_tree(j) AS t WHERE t.type NOT IN ('OBJECT', 'ARRAY'))
+SELECT doc, min(path) AS path, count(*) AS n FROM a FULL JOIN b USING (doc, path) WHERE path NOT LIKE '$.note.%' AND a.x IS DISTINCT FROM b.x GROUP BY doc""")
+def document_changes(spark, d):
+    """The first path at which the document of an order differs after its changes, and how many do; notes don't count."""
+    i.ready(spark)
+    before, after = (variants.unfolded(variants.documents(_order_documents(spark, d, x))) for x in (False, True))
+    return variants.first_difference(variants.compared(before, after, (r"\$\.note",)))
