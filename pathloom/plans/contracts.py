@@ -104,7 +104,7 @@ def problems(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     good = (
         F.when(kind == "object", of == "OBJECT").when(kind == "filled", (of == "OBJECT") & (size > 0)).when(kind == "array", of == "ARRAY").when(kind == "string", (of == "STRING") & (text != "")).when(kind == "text", of == "STRING")
         .when(kind == "integer", of == "INTEGER").when(kind == "number", number).when(kind == "boolean", of == "BOOLEAN").when(kind == "date", (of == "STRING") & iso_date(text).isNotNull()).when(kind == "one of", F.array_contains("values", text) & (of == "STRING"))
-        .when(kind == "positive integer", (of == "INTEGER") & (text.cast("double") >= 1)).when(kind == "positive number", number & (text.cast("double") > 0)).when(kind == "grade", (of == "INTEGER") & text.isin(*"12345"))
+        .when(kind == "positive integer", (of == "INTEGER") & (text.try_cast("double") >= 1)).when(kind == "positive number", number & (text.try_cast("double") > 0)).when(kind == "grade", (of == "INTEGER") & text.isin(*"12345"))
     )
     said = F.element_at(F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair]), kind)
     many_ = (of == "ARRAY") & (size < F.col("least"))

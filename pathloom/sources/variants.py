@@ -77,3 +77,63 @@ def compared(before: DataFrame, after: DataFrame, volatile: tuple[str, ...] = ()
 def first_difference(differences: DataFrame) -> DataFrame:
     """(doc, path, n) of documents that differ: the least differing path and how many there are."""
     return differences.groupBy("doc").agg(F.min("path").alias("path"), F.count("*").alias("n"))
+
+
+def _quoted(text: Column) -> Column:
+    """A string as JSON in ASCII: short escapes, and \\uXXXX in lower case, two of them beyond the basic plane."""
+    named = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+
+    def one(c: Column) -> Column:
+        code = F.ascii(c)
+        wide = F.concat(unit(F.lit(0xD800) + F.shiftright(code - 0x10000, 10)), unit(F.lit(0xDC00) + (code - 0x10000).bitwiseAND(F.lit(0x3FF))))
+        out = F.when((code >= 0x20) & (code < 0x7F) & ~c.isin('"', "\\"), c)
+        for plain, escaped in named.items():
+            out = out.when(c == plain, F.lit(escaped))
+        return out.when(code < 0x10000, unit(code)).otherwise(wide)
+
+    # Most texts need no escapes.
+    easy = text.rlike(r'\A[\x20\x21\x23-\x5B\x5D-\x7E]*\z')
+    return F.concat(F.lit('"'), F.when(easy, text).otherwise(F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)(.)")), one), "")), F.lit('"'))
+
+
+def _decimal(number: Column) -> Column:
+    """A double in its shortest digits (a negative zero loses its sign in a variant), plain from 1e-4 up to 1e16 and with a two-digit exponent beyond: 35.0, 1e-05, 1.5e+16."""
+    size = F.abs(number)
+    # The fewest digits of 15, 16 and 17 that give the number back.
+    raw = F.format_string("%.16e", size)
+    for form in ("%.15e", "%.14e"):
+        fewer = F.format_string(form, size)
+        raw = F.when(fewer.try_cast("double") == size, fewer).otherwise(raw)
+    mantissa, power = F.split_part(raw, F.lit("e"), F.lit(1)), F.split_part(raw, F.lit("e"), F.lit(2)).try_cast("int")
+    digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), "0+$", "")
+    digits = F.when(digits == "", "0").otherwise(digits)
+    padded = F.rpad(digits, F.greatest(F.length(digits), power + 1), F.lit("0"))
+    after = F.substring(padded, power + 2, F.lit(400))
+    long = F.concat(F.substring(padded, F.lit(1), power + 1), F.lit("."), F.when(after == "", "0").otherwise(after))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    front = F.when(F.length(digits) > 1, F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 400))).otherwise(digits)
+    far = F.concat(front, F.when(power < 0, "e-").otherwise("e+"), F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
+    text = F.when((power >= 0) & (power < 16), long).when((power < 0) & (power >= -4), small).otherwise(far)
+    return F.concat(F.when(number < 0, "-").otherwise(""), text)
+
+
+def canonical(rows: DataFrame, checkpoint=lambda df: df.checkpoint()) -> DataFrame:
+    """(doc, text): each unfolded document as compact JSON with sorted keys, in ASCII: the text that digests are taken of.
+
+    Containers are put together from their parts level by level, the deepest first, all documents at once.
+    """
+    depth = F.size(F.regexp_extract_all("place", F.lit(r'(\[\*\]|\."[^"]*"|\.[A-Za-z0-9_]+)')))
+    at = F.regexp_extract("path", r"\[(\d+)\]$", 1).try_cast("long")
+    number = F.col("text").try_cast("double")
+    scalar = F.when(F.col("type") == "STRING", _quoted(F.col("text"))).when(F.col("type") == "NUMBER", _decimal(number)).when(F.col("size") == 0, F.when(F.col("type") == "OBJECT", "{}").otherwise("[]")).otherwise(F.coalesce("text", F.lit("null")))
+    told = checkpoint(rows.select("doc", "path", "above", "key", "type", "size", depth.alias("depth"), F.when(F.col("key").isNull(), at).alias("at"), scalar.alias("json")))
+    deepest = told.agg(F.max("depth")).first()[0] or 0
+    ready = told.where(F.col("depth") == deepest)
+    for d in range(deepest, 0, -1):
+        name = F.when(F.col("key").isNotNull(), F.concat(_quoted(F.col("key")), F.lit(":"), F.col("json"))).otherwise(F.col("json"))
+        parts = ready.groupBy("doc", F.col("above").alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "key", name.alias("j")))), lambda x: x["j"]), ",").alias("inner"))
+        upper = told.where(F.col("depth") == d - 1).join(parts, ["doc", "path"], "left")
+        whole = F.when(F.col("type") == "OBJECT", F.concat(F.lit("{"), "inner", F.lit("}"))).otherwise(F.concat(F.lit("["), "inner", F.lit("]")))
+        ready = checkpoint(upper.withColumn("json", F.when(F.col("inner").isNotNull(), whole).otherwise(F.col("json"))).drop("inner"))
+    return ready.where("path = '$'").select("doc", F.col("json").alias("text"))
