@@ -16,8 +16,7 @@ def xml_escape(text: Column) -> Column:
 
 def fnv1a(text: Column) -> Column:
     """The 32-bit FNV-1a hash of a text's UTF-8 bytes, as eight hex digits."""
-    pairs = F.sequence(F.lit(1), F.octet_length(text))
-    octets = F.when(F.octet_length(text) > 0, F.transform(pairs, lambda i: F.conv(F.substring(F.hex(F.encode(text, "UTF-8")), 2 * i - 1, F.lit(2)), 16, 10).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    octets = F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)")), lambda x: F.conv(x, 16, 10).cast("long"))
     h = F.aggregate(octets, F.lit(FNV_OFFSET).cast("long"), lambda h, b: (h.bitwiseXOR(b) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(0xFFFFFFFF)))
     return F.lpad(F.lower(F.hex(h)), 8, "0")
 

@@ -1,7 +1,7 @@
 """Raw ways against boundary components: rings, membership, clipping, lengths by zone."""
 from __future__ import annotations
 
-from collections import deque
+from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,26 +15,29 @@ BUFFER_M, ENDPOINT, MIDPOINT, ALL = 75.0, "inside_endpoint", "inside_midpoint",
 
 
 def joined(fragments: list[list[int]]) -> list[list[int]]:
-    """Closed rings from fragments of nodes: the first one left grows at either end, fragments reversed where needed, in their order."""
-    left, rings = [list(f) for f in fragments if len(f) >= 2], []
-    while left:
-        ring = deque(left.pop(0))
-        grew = True
-        while grew:
-            grew, rest = False, []
-            for f in left:
-                if ring[-1] in (f[0], f[-1]):
-                    ring.extend(f[1:] if ring[-1] == f[0] else f[-2::-1])
-                elif ring[0] in (f[0], f[-1]):
-                    ring.extendleft(f[-2::-1] if ring[0] == f[-1] else f[1:])
-                else:
-                    rest.append(f)
-                    continue
-                grew = True
-            left = rest
+    """Closed rings from fragments of nodes, each used once. A line starts as the first unused fragment and grows from its last node, then from its first, by the earliest unused fragment that ends there."""
+    lines = [f for f in fragments if len(f) > 1]
+    unused, ending = dict.fromkeys(range(len(lines))), defaultdict(list)
+    for k, f in enumerate(lines):
+        for node in {f[0], f[-1]}:
+            ending[node].append(k)
+
+    def grown(line: list[int]) -> list[int]:
+        while (k := next((k for k in ending[line[-1]] if k in unused), None)) is not None:
+            del unused[k]
+            f = lines[k] if lines[k][0] == line[-1] else lines[k][::-1]
+            line += f[1:]
+        return line
+
+    found = []
+    while unused:
+        first = lines[next(iter(unused))]
+        del unused[next(iter(unused))]
+        tail, head = grown([*first]), grown([first[0]])
+        ring = head[:0:-1] + tail
         if ring[0] == ring[-1]:
-            rings.append(list(ring))
-    return rings
+            found.append(ring)
+    return found
 
 
 def rings(members: DataFrame) -> DataFrame:

@@ -90,3 +90,9 @@ def bound_junctions(points: DataFrame, nodes: DataFrame, ends: DataFrame) -> Dat
     bound = nearest(points, nodes if routable.isEmpty() else routable)
     at = ends.groupBy("node").agg(F.array_sort(F.collect_set("contig")).alias("incident"))
     return bound.join(at, "node", "left").select("id", "node", "distance_m", "incident")
+
+
+def touched(contigs: DataFrame, areas: DataFrame) -> DataFrame:
+    """(area, id) of contigs (id, refs) and areas (area, refs) that have a ref in common, each pair once. An area without refs is touched by all contigs, and not listed."""
+    wanted = areas.select("area", F.explode("refs").alias("ref"))
+    return contigs.select("id", F.explode("refs").alias("ref")).join(wanted, "ref").select("area", "id").distinct()

@@ -965,10 +965,11 @@ def contigs_of_areas(spark, d):
     k = F.col("c_custkey") % 6
     refs = F.when(k == 0, "r0").otherwise(F.concat(F.lit("r"), k.cast("string"), F.lit(",r"), (k - 1).cast("string")))
     contigs = i.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.create_map(F.lit(policy.REFS_TAG), refs).alias("tags"))
-    keys = [r.r_regionkey for r in i.table(spark, d, "region").select("r_regionkey").collect()]  # areas are a handful, by their nature
-    areas = F.array(*[F.struct(F.lit(a).alias("area"), (F.array(F.lit(f"r{a}")) if a else F.array().cast("array<string>")).alias("refs")) for a in keys])
-    met = contigs.select("id", F.explode(F.filter(areas, lambda a: policy.touches(F.col("tags"), a["refs"]))).alias("a"))
-    return met.groupBy(F.col("a.area").alias("area")).agg(F.count("*").alias("contigs"), F.sum("id").alias("ids"))
+    r = F.col("r_regionkey")
+    areas = i.table(spark, d, "region").select(r.alias("area"), F.when(r > 0, F.array(F.concat(F.lit("r"), r.cast("string")))).otherwise(F.array().cast("array<string>")).alias("refs"))
+    sums = places.touched(contigs.select("id", F.split(F.col("tags")[policy.REFS_TAG], ",").alias("refs")), areas).groupBy("area").agg(F.count("*").alias("contigs"), F.sum("id").alias("ids"))
+    every = contigs.agg(F.count("*").alias("n"), F.sum("id").alias("s")).first()
+    return sums.unionByName(areas.where("size(refs) = 0").select("area", F.lit(every.n).alias("contigs"), F.lit(every.s).alias("ids")))
 
 
 @query(f"""

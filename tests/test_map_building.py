@@ -15,6 +15,9 @@ def ready(spark):
 def test_rings_from_fragments():
     assert mapping.joined([[1, 2], [3, 2], [3, 4, 1]]) == [[1, 2, 3, 4, 1]]
     assert mapping.joined([[1, 2], [2, 3]]) == []
+    assert mapping.joined([[2, 3], [1, 2], [9, 8, 9], [3, 1]]) == [[2, 3, 1, 2], [9, 8, 9]]
+    chain = [[k, k + 1] if k % 2 else [k + 1, k] for k in range(20_000)] + [[20_000, 0]]
+    assert [len(r) for r in mapping.joined(chain)] == [20_002]
     assert mapping.joined([[5, 6, 7, 5], [1, 2], [2, 1], [9]]) == [[5, 6, 7, 5], [1, 2, 1]]
 
 

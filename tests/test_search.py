@@ -75,6 +75,13 @@ def test_thin_path_has_a_cap(spark):
     points = spark.createDataFrame([(1, p, 36 + p / 100, -1.0) for p in range(50)], "way long, pos long, lon double, lat double")
     kept = series.thin(points, "way", "pos", 10.0, 10).first().kept
     assert kept == [*range(0, 49, 6), 49]
+    # Over several parts of the path, as by a plain loop.
+    line = [(2, p, 36 + p * 0.00031, -1.0) for p in range(900)]
+    want, metres = [0], 0.00031 * 3.141592653589793 / 180 * 6371000 * 0.9998476951563913
+    for p in range(1, 900):
+        if (p - want[-1]) * metres >= 100.0:
+            want.append(p)
+    assert series.thin(spark.createDataFrame(line, "way long, pos long, lon double, lat double"), "way", "pos", 100.0, 2000).first().kept == [*want, 899][: len(want) + (want[-1] != 899)]
 
 
 def test_policies_of_paths(spark):
