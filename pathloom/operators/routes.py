@@ -195,3 +195,31 @@ def diverse_pool(runs: DataFrame, size: int, window: int = 12) -> DataFrame:
         return pdf.iloc[chosen][["scenario", "run"]].assign(place=range(1, len(chosen) + 1))
 
     return runs.where(F.col("rank") <= max(size, window)).select("scenario", "run", "rank", "score", "items").groupBy("scenario").applyInPandas(choose, "scenario long, run long, place long")
+
+
+#: How like a driven route a new one may be, and what a route that was driven exactly so costs.
+TOO_LIKE, DRIVEN = 0.94, 10.0
+
+
+def history_pick(runs: DataFrame, driven: DataFrame, seed: int, pool: int = 5, window: int = 12) -> DataFrame:
+    """(scenario, run, novelty, worth): of each scenario that has a history, one of its best and newest runs, drawn by a seed.
+
+    ``runs`` is (scenario, run, rank, score, distinct_length, overlap, total, signature), ``driven`` (scenario, run, novelty, known): how new a
+    run is to the history, and whether it was driven exactly so. Only the first runs of a scenario by rank take part. Those not driven
+    yet and less than TOO_LIKE a driven one come first, else those not driven yet, else all. Scenarios without history are left to ``diverse_pool`` and ``drawn``.
+    """
+    by = W.partitionBy("scenario")
+    few = runs.where(F.col("rank") <= max(3 * window, 4 * pool, 24)).join(driven, ["scenario", "run"])
+    most = lambda c: F.greatest(F.max(c).over(by), F.lit(1.0))
+    worth = 5.0 * F.col("novelty") + F.col("score") / most("score") + 0.35 * F.col("distinct_length") / most("distinct_length") - 0.8 * F.col("overlap") / F.greatest(F.col("total"), F.lit(1.0)) - F.when(F.col("known"), DRIVEN).otherwise(0.0) - 0.03 * (F.col("rank") - 1)
+    level = F.when(~F.col("known") & (F.col("novelty") > 1 - TOO_LIKE), 0).when(~F.col("known"), 1).otherwise(2)
+    told = few.withColumns({"worth": worth, "level": level}).withColumn("first", F.min("level").over(by)).where((F.col("level") == F.col("first")) | (F.col("first") == 2))
+    told = told.withColumn("place", F.row_number().over(by.orderBy(F.desc("worth"), "rank"))).where(F.col("place") <= max(pool, 3)).withColumn("n", F.count("*").over(by))
+    weighed = told.withColumn("weight", F.greatest(F.lit(1e-6), F.col("n") - F.col("place") + 1 + 5.0 * F.greatest(F.lit(0.0), F.col("novelty"))))
+    return weighted_pick(weighed, "scenario", "place", "weight", uniform("scenario", F.lit(seed))).select("scenario", "run", "novelty", "worth")
+
+
+def known(runs: DataFrame, history: DataFrame) -> DataFrame:
+    """(scenario, run, known) of the runs (scenario, run, signature) of scenarios with a history (scenario, signature): whether it has the same signature."""
+    same = history.select("scenario", "signature").distinct().withColumn("_k", F.lit(True))
+    return runs.join(history.select("scenario").distinct(), "scenario").join(same, ["scenario", "signature"], "left").select("scenario", "run", F.coalesce("_k", F.lit(False)).alias("known"))

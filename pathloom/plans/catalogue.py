@@ -1056,3 +1056,40 @@ def document_changes(spark, d):
     i.ready(spark)
     before, after = (variants.unfolded(variants.documents(_order_documents(spark, d, x))) for x in (False, True))
     return variants.first_difference(variants.compared(before, after, (r"\$\.note",)))
+
+
+@query(f"""
+WITH x AS (SELECT DISTINCT scenario, run, item FROM ({i.STEPS})), n AS (SELECT run, count(*) AS n FROM x GROUP BY run),
+g AS (SELECT run, string_agg(item, ',' ORDER BY pos) AS signature FROM ({i.STEPS}) GROUP BY run),
+p AS (SELECT x.run, y.run AS other, count(*) AS k FROM x JOIN x y ON x.scenario = y.scenario AND x.item = y.item WHERE x.run % 3 <> 0 AND y.run % 3 = 0 GROUP BY 1, 2),
+j AS (SELECT p.run, max(k / CAST(na.n + nb.n - k AS DOUBLE)) AS j FROM p JOIN n na ON na.run = p.run JOIN n nb ON nb.run = other GROUP BY 1),
+r AS (SELECT scenario, run, complete, CAST(distinct_length AS DOUBLE) AS u, CAST(overlap AS DOUBLE) AS o, CAST(total AS DOUBLE) AS t, n_steps, signature FROM ({_RUNS}) JOIN g USING (run)),
+k AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY complete DESC, u DESC, o, u - 10 * o DESC, n_steps, run) AS rank FROM r WHERE run % 3 <> 0),
+h AS (SELECT k.*, u - 10 * o AS score, 1e0 - coalesce(j, 0) AS novelty, EXISTS (SELECT 1 FROM r WHERE r.run % 3 = 0 AND r.scenario = k.scenario AND r.signature = k.signature) AS known FROM k LEFT JOIN j USING (run) WHERE rank <= 36 AND scenario IN (SELECT scenario FROM r WHERE run % 3 = 0)),
+w AS (SELECT *, 5 * novelty + score / greatest(max(score) OVER s, 1e0) + 0.35e0 * u / greatest(max(u) OVER s, 1e0) - 0.8e0 * o / greatest(t, 1e0) - CASE WHEN known THEN 10 ELSE 0 END - 0.03e0 * (rank - 1) AS worth,
+  CASE WHEN NOT known AND novelty > 1 - 0.94e0 THEN 0 WHEN NOT known THEN 1 ELSE 2 END AS level FROM h WINDOW s AS (PARTITION BY scenario)),
+f AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY worth DESC, rank) AS place FROM (SELECT *, min(level) OVER (PARTITION BY scenario) AS first FROM w) WHERE level = first OR first = 2),
+q AS (SELECT *, greatest(1e-6, count(*) OVER (PARTITION BY scenario) - place + 1 + 5e0 * greatest(0e0, novelty)) AS weight FROM f WHERE place <= 5),
+c AS (SELECT *, sum(weight) OVER (PARTITION BY scenario ORDER BY place) AS s, sum(weight) OVER (PARTITION BY scenario) AS a, max(place) OVER (PARTITION BY scenario) AS last FROM q),
+d AS (SELECT *, min(CASE WHEN s >= {_MD5.format("scenario || '|7'")} * a THEN place END) OVER (PARTITION BY scenario) AS hit FROM c)
+SELECT scenario, run, round(novelty, 6) AS novelty, round(worth, 6) AS worth FROM d WHERE place = coalesce(hit, last)""")
+def history_pick(spark, d):
+    """For every customer with a history: a new route, drawn among the newest and best."""
+    steps, runs = i.steps(spark, d), _runs(spark, d)
+    signature = steps.groupBy("run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"].cast("string")), ",").alias("signature"))
+    told = runs.join(signature, "run").withColumn("score", F.col("distinct_length") - 10.0 * F.col("overlap"))
+    new, old = told.where("run % 3 <> 0"), told.where("run % 3 = 0")
+    order = [F.desc("complete"), F.desc("distinct_length"), F.asc("overlap"), F.desc("score"), F.asc("n_steps"), F.asc("run")]
+    ranked = new.withColumn("rank", F.row_number().over(W.partitionBy("scenario").orderBy(*order)))
+    driven = routes.known(new, old).join(routes.novelty(steps.where("run % 3 <> 0"), steps.where("run % 3 = 0")), ["scenario", "run"])
+    return routes.history_pick(ranked, driven, 7).select("scenario", "run", F.round("novelty", 6).alias("novelty"), F.round("worth", 6).alias("worth"))
+
+
+@query(f"""
+WITH d AS ({_BEFORE})
+SELECT doc, substr(sha1('{{"complete":' || CAST(j -> '$.complete' AS VARCHAR) || ',"seed":' || CAST(j -> '$.seed' AS VARCHAR) || ',"steps":[' || t || ']}}'), 1, 12) AS digest FROM (
+  SELECT doc, j, (SELECT string_agg('{{"contig_id":' || CAST(e.value -> '$.contig_id' AS VARCHAR) || CASE WHEN json_exists(e.value, '$.length_m') THEN ',"length_m":' || CAST(e.value -> '$.length_m' AS VARCHAR) ELSE '' END || '}}', ',' ORDER BY CAST(e.key AS INTEGER)) FROM json_each(json_extract(j, '$.steps')) AS e) AS t FROM d)""")
+def document_digests(spark, d):
+    """A digest of the canonical text of every order's document."""
+    i.ready(spark)
+    return variants.canonical(variants.unfolded(variants.documents(_order_documents(spark, d, False)))).select("doc", short_digest(F.col("text")).alias("digest"))
