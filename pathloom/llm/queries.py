@@ -51,4 +51,7 @@ SELECT r.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(
 FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
 """
 
-ORACLES = {"op7_decontamination": _DECONTAMINATION, "op9_near_dedup": _NEAR_DEDUP, "op10_line_dedup": line_dedup.ORACLE_SQL, "op12_lexical_search": lexical_search.ORACLE_SQL}
+ORACLES = {
+    "op7_decontamination": _DECONTAMINATION, "op9_near_dedup": _NEAR_DEDUP, "op10_line_dedup": line_dedup.ORACLE_SQL, "op11_secret_scan": secret_scan.ORACLE_SQL,
+    "op12_lexical_search": lexical_search.ORACLE_SQL,
+}

@@ -192,3 +192,45 @@ def op11_secret_scan(spark, sf_dir: str) -> DataFrame:
     of = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
     base = F.filter("spans", lambda x: x["kind"] < len(BASE))
     return found.select("doc_id", *(of(k).alias(f"n_{name}") for k, name in enumerate(BASE)), F.sha2(_digest(base), 256).alias("base_sha256"), _digest(F.col("spans")).alias("spans"))
+
+
+def _oracle() -> str:
+    """The whole scan in SQL: matches and their places, the three tests, bins, and the cuts of each stratum."""
+    quote = lambda p: p.replace("'", "''")
+    kinds = " UNION ALL ".join(
+        f"SELECT {k} AS kind, doc_id, string_split_regex(t, '{quote(p)}') AS gaps, regexp_extract_all(t, '{quote(p)}') AS hits, regexp_extract_all(t, '{quote(p)}', {group}) AS parts, {least} AS least FROM d"
+        for k, (p, group, least) in enumerate([*BASE.values(), (CANDIDATE, 0, 0)]))
+    encoding = " ".join(f"WHEN regexp_full_match(hit, '{like}') THEN '{name}'" for name, like, _ in ENCODINGS)
+    alphabet = " ".join(f"WHEN '{name}' THEN '{letters}'" for name, _, letters in ENCODINGS)
+    tail = lambda z: f"CASE WHEN {z} >= 0 THEN exp(-({z}) * ({z}) / 2) / (0.661e0 * abs({z}) + 0.339e0 * sqrt(({z}) * ({z}) + 5.51e0)) / {math.sqrt(2 * math.pi)!r}e0 ELSE 1 - exp(-({z}) * ({z}) / 2) / (0.661e0 * abs({z}) + 0.339e0 * sqrt(({z}) * ({z}) + 5.51e0)) / {math.sqrt(2 * math.pi)!r}e0 END"
+    names = "list_value(" + ", ".join(f"'{n}'" for n in KINDS) + ")[kind + 1]"
+    listed = f"coalesce(string_agg({names} || ':' || start || ':' || stop, ',' ORDER BY start, kind)"
+    return f"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({kinds}),
+s AS MATERIALIZED (SELECT doc_id, kind, hits[i] AS hit, least, parts[i] AS part,
+  CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m)),
+p AS MATERIALIZED (SELECT doc_id, kind, hit, start, start + length(hit) AS stop FROM s WHERE length(part) >= least),
+e AS (SELECT hit, count(*) AS times, CASE {encoding} END AS encoding FROM p WHERE kind = {len(BASE)} GROUP BY hit),
+v AS (SELECT hit, times, encoding, CAST(length(hit) AS DOUBLE) AS n, CAST(length(a) AS DOUBLE) AS k, list_transform(range(1, length(hit) + 1), lambda i: instr(a, substr(hit, i, 1)) - 1) AS v
+  FROM (SELECT *, CASE encoding {alphabet} END AS a FROM e WHERE encoding IS NOT NULL)),
+c AS (SELECT *, CAST(list_sum(list_transform(list_distinct(v), lambda a: len(list_filter(v, lambda b: b = a)) * len(list_filter(v, lambda b: b = a)))) AS DOUBLE) AS squares,
+  CAST(len(list_filter(v, lambda x: 2 * x >= k)) AS DOUBLE) AS n1, 1 + coalesce(list_sum(list_transform(range(1, len(v)), lambda i: CASE WHEN (2 * v[i] >= k) = (2 * v[i + 1] >= k) THEN 0 ELSE 1 END)), 0) AS runs,
+  CAST(list_sum(v) AS DOUBLE) AS s1, CAST(list_sum(list_transform(v, lambda x: x * x)) AS DOUBLE) AS s2, CAST(list_sum(list_transform(range(1, len(v)), lambda i: v[i] * v[i + 1])) AS DOUBLE) AS s12 FROM v),
+z AS (SELECT *, k * squares / n - n AS chi, 2 * n1 * (n - n1) / n + 1 AS mean, s1 / n AS av, s2 - s1 * s1 / n AS var, n * (k * CASE WHEN upper(encoding) = 'HEX' THEN {COINCIDENCE_HEX}e0 ELSE {COINCIDENCE}e0 END - 1) AS excess FROM c),
+y AS (SELECT *, (chi - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n) AS z1,
+  abs(CASE WHEN (mean - 1) * (mean - 2) > 0 THEN (runs - mean) / sqrt((mean - 1) * (mean - 2) / (n - 1)) ELSE sqrt(n) END) AS z2,
+  abs(CASE WHEN var > 0 THEN ((s12 - av * (2 * s1 - v[1] - v[-1]) + (n - 1) * av * av) / var + 1 / n) * sqrt(n) ELSE sqrt(n) END) AS z3, -(chi - (k - 1) - excess) / sqrt(2 * (k - 1) + 4 * excess) AS z4 FROM z),
+b AS MATERIALIZED (SELECT hit, times, encoding || '/' || CAST(floor(log2(n)) AS BIGINT) AS stratum,
+  CASE WHEN least(3 * least({tail("z1")}, 2 * ({tail("z2")}), 2 * ({tail("z3")})), 1e0) >= {ALPHA}e0 THEN CAST(least(floor(-ln({tail("z4")}) * {BINS}), {MOST}) AS INTEGER) ELSE 0 END AS bin FROM y),
+h AS (SELECT stratum, bin, sum(times) AS n FROM b GROUP BY ALL),
+u AS (SELECT stratum, min(bin) AS cut FROM (SELECT stratum, bin, exp(-bin / {BINS}e0) * sum(n) OVER (PARTITION BY stratum) <= {LEVEL}e0 * sum(n) OVER (PARTITION BY stratum ORDER BY bin DESC) AS ok FROM h) WHERE ok AND bin > 0 GROUP BY stratum),
+g AS (SELECT hit FROM b JOIN u USING (stratum) WHERE bin >= cut),
+f AS (SELECT * FROM p WHERE kind < {len(BASE)} UNION ALL SELECT p.* FROM p WHERE kind = {len(BASE)} AND hit IN (SELECT hit FROM g)
+  AND NOT EXISTS (SELECT 1 FROM p AS o WHERE o.doc_id = p.doc_id AND o.kind < {len(BASE)} AND o.start <= p.start AND p.stop <= o.stop))
+SELECT d.doc_id, {", ".join(f"count(*) FILTER (WHERE kind = {k}) AS n_{n}" for k, n in enumerate(BASE))}, sha256({listed} FILTER (WHERE kind < {len(BASE)}), '')) AS base_sha256, {listed} FILTER (WHERE kind IS NOT NULL), '') AS spans
+FROM d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
+ORACLE_SQL = _oracle()

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -97,7 +98,7 @@ def test_cuts_control_false_ones(spark):
     assert "none" not in out and len(out) >= 2
 
 
-def test_random_strings_among_prose(spark):
+def test_random_strings_among_prose(spark, tmp_path):
     rng = random.Random(11)
     alphabet = secret_scan._DIGITS + secret_scan._UPPER + secret_scan._LOWER
     syllables = ["heit", "keit", "ung", "lich", "schaft", "berg", "land", "haus", "mann", "zeit", "wort", "buch", "ver", "ent"]
@@ -108,7 +109,14 @@ def test_random_strings_among_prose(spark):
             planted[k] = secret(rng, alphabet, 40)
             words[30] = f"<{planted[k]}>"
         rows.append((k, " ".join(words)))
-    out = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = secret_scan.scan(docs).collect()
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    twin = db.execute(secret_scan.ORACLE_SQL)
+    columns = [c[0] for c in twin.description]
+    assert sorted(twin.fetchall()) == sorted(tuple(r) for r in secret_scan.op11_secret_scan(spark, str(tmp_path)).select(*columns).collect())
     caught = {r.doc_id for r in out for s in r.spans if s.kind == 3 and s.hit == planted.get(r.doc_id)}
     false = [s.hit for r in out for s in r.spans if s.hit != planted.get(r.doc_id)]
     assert len(caught) >= 27 and len(false) <= 1
