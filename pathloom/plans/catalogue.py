@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import map_x, map_y
 from ..functions import draws, policy, text
 from ..functions.ids import family_id, forward, id_list, short_digest
-from ..operators import blocks, connectors, mapping, measures, network, patches, places, planning, policies, rollouts, routes, search, series, tree_search
+from ..operators import attributes, blocks, connectors, mapping, measures, network, patches, places, planning, policies, rollouts, routes, search, series, tree_search
 from ..operators import contigs as chains
 from ..sinks import catalog
 from ..sources import elevation, variants
@@ -1093,3 +1093,20 @@ def document_digests(spark, d):
     """A digest of the canonical text of every order's document."""
     i.ready(spark)
     return variants.canonical(variants.unfolded(variants.documents(_order_documents(spark, d, False)))).select("doc", short_digest(F.col("text")).alias("digest"))
+
+
+@query(f"""
+WITH s AS (SELECT s.way, least(a, b) AS a, greatest(a, b) AS b, o_orderpriority AS kind, 'street ' || o_custkey % 5 AS name FROM ({_SEG}) s JOIN orders ON way = o_orderkey),
+k AS (SELECT a, b, string_agg(kind || '=' || n, ';' ORDER BY kind) AS kinds FROM (SELECT a, b, kind, count(*) AS n FROM s GROUP BY ALL) GROUP BY a, b),
+n AS ({i.NODES})
+SELECT s.a, s.b, round(any_value({i.HAVERSINE.format(lat1="x.lat", lon1="x.lon", lat2="y.lat", lon2="y.lon")}), 3) AS length_m, count(DISTINCT way) AS ways,
+ array_to_string(list_sort(list(DISTINCT name)), ';') AS names, any_value(kinds) AS kinds, 'core|' || array_to_string(list_sort(list(DISTINCT 'r' || (way % 3))), ',') AS tags
+FROM s JOIN k USING (a, b) JOIN n AS x ON x.id = s.a JOIN n AS y ON y.id = s.b GROUP BY s.a, s.b""")
+def edge_attributes(spark, d):
+    """Every edge of the network with its length, names, kinds of way, zone and refs."""
+    o = i.table(spark, d, "orders")
+    tags = F.create_map(F.lit("highway"), F.col("o_orderpriority"), F.lit("name"), F.concat(F.lit("street "), (F.col("o_custkey") % 5).cast("string")))
+    parts = network.segments(i.geo_ways(spark, d)).join(o.select(F.col("o_orderkey").alias("way"), tags.alias("tags")), "way").withColumns({"zone": F.lit("core"), "refs": F.concat(F.lit("r"), (F.col("way") % 3).cast("string"))})
+    found = attributes.edges(parts, i.geo_nodes(spark, d))
+    kinds = F.array_join(F.transform(F.map_entries("highway_types"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";")
+    return found.select("a", "b", F.round("length_m", 3).alias("length_m"), F.size("ways").cast("long").alias("ways"), F.array_join("way_names", ";").alias("names"), kinds.alias("kinds"), F.concat_ws("|", F.col("tags")[policy.ZONE_TAG], F.col("tags")[policy.REFS_TAG]).alias("tags"))
