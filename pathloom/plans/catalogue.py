@@ -9,7 +9,7 @@ from ..functions import draws, policy, text
 from ..functions.ids import family_id, forward, id_list, short_digest
 from ..operators import attributes, blocks, connectors, mapping, measures, network, patches, places, planning, policies, rollouts, routes, search, series, tree_search
 from ..operators import contigs as chains
-from ..sinks import catalog
+from ..sinks import catalog, documents
 from ..sources import elevation, variants
 from ..streaming import progress, sessions
 from . import contracts
@@ -161,22 +161,27 @@ def display_texts(spark, d):
     return o.select(F.col("o_orderkey").alias("id"), text.xml_escape(raw).alias("escaped"), text.distance_text(F.col("o_totalprice")).alias("distance"), text.climb_text(F.col("o_totalprice")).alias("climb"), text.asset_suffix(F.col("at")).alias("suffix"), text.local_date(F.col("at"), "Africa/Nairobi").alias("local_day"))
 
 
-@query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) >= DATE '1997-06-30' AS unavailable FROM orders WHERE o_orderstatus <> 'P'""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_orderstatus = 'O' ELSE CAST(o_orderdate AS DATE) >= DATE '1997-06-30' END AS unavailable FROM orders""")
 def unavailable_on_date(spark, d):
-    """A path is unavailable up to and with its date."""
-    o = i.table(spark, d, "orders").where("o_orderstatus <> 'P'")
-    return o.select("o_orderkey", (F.to_date("o_orderdate") >= F.lit("1997-06-30").cast("date")).alias("unavailable"))
+    """A path is unavailable up to and with its date, or while its tag says so."""
+    o = i.table(spark, d, "orders")
+    until = F.create_map(F.lit(policy.POLICY_TAGS["unavailable_until"]), F.date_format("o_orderdate", "yyyy-MM-dd"))
+    said = F.create_map(F.lit(policy.AVAILABILITY_TAG), F.when(F.col("o_orderstatus") == "O", policy.UNAVAILABLE).otherwise("open"))
+    tags = F.when(F.col("o_orderkey") % 4 == 0, said).otherwise(until)
+    return o.select("o_orderkey", policy.unavailable(tags, F.lit("1997-06-30").cast("date")).alias("unavailable"))
 
 
 @query("""
-WITH t AS (SELECT o_orderkey AS id, 'state=' || lower(o_orderstatus) AS kv FROM orders WHERE o_orderstatus <> 'O' UNION ALL SELECT o_orderkey, 'until=' || strftime(o_orderdate, '%Y-%m-%d') FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01'
-  UNION ALL SELECT o_orderkey, 'grade=' || substr(o_orderpriority, 1, 1) FROM orders)
+WITH t AS (SELECT o_orderkey AS id, 'local:routing_state=' || CASE o_orderstatus WHEN 'F' THEN 'include' ELSE 'exclude' END AS kv FROM orders WHERE o_orderstatus <> 'O'
+  UNION ALL SELECT o_orderkey, 'local:unavailable_until=' || strftime(o_orderdate, '%Y-%m-%d') FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' UNION ALL SELECT o_orderkey, 'local:bikeability=' || substr(o_orderpriority, 1, 1) FROM orders)
 SELECT id, string_agg(kv, ';' ORDER BY kv) AS tags FROM t GROUP BY id""")
 def policy_compact_tags(spark, d):
-    """Only the tags that say something, in order, as one text."""
+    """A policy's tags, only those that say something, in order, as one text."""
     o = i.table(spark, d, "orders")
-    tags = F.array(F.when(F.col("o_orderstatus") != "O", F.concat(F.lit("state="), F.lower("o_orderstatus"))), F.when(F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp"), F.concat(F.lit("until="), F.date_format("o_orderdate", "yyyy-MM-dd"))), F.concat(F.lit("grade="), F.substring("o_orderpriority", 1, 1)))
-    return o.select(F.col("o_orderkey").alias("id"), F.array_join(F.array_sort(F.filter(tags, lambda x: x.isNotNull())), ";").alias("tags"))
+    state = F.when(F.col("o_orderstatus") == "F", "include").when(F.col("o_orderstatus") != "O", "exclude")
+    until = F.when(F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp"), F.date_format("o_orderdate", "yyyy-MM-dd"))
+    tags = policy.to_tags({"routing_state": state, "bikeability": F.substring("o_orderpriority", 1, 1), "unavailable_until": until})
+    return o.select(F.col("o_orderkey").alias("id"), F.array_join(F.array_sort(F.transform(F.map_entries(tags), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";").alias("tags"))
 
 
 @query(f"""SELECT way, substr(sha1('[' || string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) || ']'), 1, 12) AS id FROM (SELECT DISTINCT way, node FROM ({i.WAYS})) GROUP BY way""")
@@ -352,9 +357,10 @@ def pairwise_jaccard(spark, d):
 @query("""
 SELECT o_orderpriority AS planner, count(*) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean, round(median(o_totalprice), 4) AS middle, max(o_totalprice) AS most, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1e0 ELSE 0e0 END), 6) AS completion FROM orders GROUP BY 1""")
 def benchmark_summary(spark, d):
-    return i.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("planner")).agg(
-        F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.round(F.avg("o_totalprice"), 4).alias("mean"), F.round(F.median("o_totalprice"), 4).alias("middle"),
-        F.max("o_totalprice").alias("most"), F.round(F.avg(F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0)), 6).alias("completion"))
+    """Of each planner: runs, lengths and how many are complete."""
+    o = i.table(spark, d, "orders").select(F.col("o_orderpriority").alias("planner"), F.col("o_totalprice").alias("length"), (F.col("o_orderstatus") == "F").alias("complete"))
+    s = measures.summary(o, "planner", "length", "complete")
+    return s.select("planner", "n", F.round("total", 2).alias("total"), F.round("mean", 4).alias("mean"), F.round("middle", 4).alias("middle"), "most", F.round("completion", 6).alias("completion"))
 
 
 @query(f"""
@@ -394,13 +400,20 @@ def session_stream(spark, d):
     return sessions.event_sessions(spark, d).select("key", "request", "iteration", "best", F.array_join("signatures", ",").alias("recent"))
 
 
+_GPX = ["<?xml version=\"1.0\" encoding=\"UTF-8\"?>\n<gpx version=\"1.1\" creator=\"pathloom\" xmlns=\"http://www.topografix.com/GPX/1/1\">\n  <metadata>\n    <name>", "</name>\n  </metadata>\n  <trk>\n    <name>", "</name>\n    <trkseg>\n", "\n    </trkseg>\n  </trk>\n</gpx>\n"]
+_PLAIN = "regexp_replace(printf('%.6f', {0}), '\\.?0+$', '')"
+
+
 @query(f"""
-SELECT way, '<trkseg>' || string_agg('<trkpt lat="' || printf('%.6f', lat) || '" lon="' || printf('%.6f', lon) || '"/>', '' ORDER BY pos) || '</trkseg>' AS gpx FROM ({i.WAYS}) JOIN ({i.NODES}) ON node = id GROUP BY way""")
+SELECT way, '{_GPX[0]}way ' || way || '{_GPX[1]}A &amp; B ' || way || '{_GPX[2]}' || string_agg('      <trkpt lat="' || {_PLAIN.format("lat")} || '" lon="' || {_PLAIN.format("lon")} || '">'
+  || CASE WHEN way % 2 = 0 THEN chr(10) || '        <ele>' || printf('%.1f', elevation) || '</ele>' || chr(10) || '      </trkpt>' ELSE '</trkpt>' END, chr(10) ORDER BY pos) || '{_GPX[3]}' AS gpx FROM ({i.WAYS}) JOIN ({i.NODES}) ON node = id GROUP BY way""")
 def gpx_text(spark, d):
+    """A GPX document of every way, every second one with elevations."""
     p = i.geo_ways(spark, d).join(i.geo_nodes(spark, d), F.col("node") == F.col("id"))
-    point = F.format_string('<trkpt lat="%.6f" lon="%.6f"/>', "lat", "lon")
-    g = p.groupBy("way").agg(F.array_sort(F.collect_list(F.struct("pos", point.alias("p")))).alias("s"))
-    return g.select("way", F.concat(F.lit("<trkseg>"), F.array_join(F.transform("s", lambda x: x["p"]), ""), F.lit("</trkseg>")).alias("gpx"))
+    g = p.groupBy("way").agg(F.array_sort(F.collect_list(F.struct("pos", "lon", "lat", "elevation"))).alias("s"))
+    points = F.transform("s", lambda x: F.array(x["lon"], x["lat"]))
+    high = F.when(F.col("way") % 2 == 0, F.transform("s", lambda x: x["elevation"]))
+    return g.select("way", documents.gpx(F.concat(F.lit("way "), "way"), F.concat(F.lit("A & B "), "way"), points, high).alias("gpx"))
 
 
 @query(f"""

@@ -140,7 +140,7 @@ def ranked(docs, items, k=10):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block, lot", [(8192, 20_000), (7, 30)])
+@pytest.mark.parametrize("block, lot", [(8192, 20_000), (7, 200)])
 def test_search_against_all_scores(spark, monkeypatch, block, lot):
     monkeypatch.setattr(lexical_search, "BLOCK_DOCS", block)
     rng = random.Random(2)
