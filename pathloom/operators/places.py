@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import crosses, haversine, map_x, map_y, segment_distance
@@ -38,12 +39,12 @@ def near_boundary(points: DataFrame, rings: DataFrame, within_m: float) -> DataF
 def nearest(points: DataFrame, nodes: DataFrame, cell: float = 0.02) -> DataFrame:
     """(id, node, distance_m): the nearest node of each point, ties to the lower node.
 
-    Points meet the nodes of the 3 x 3 cells around them. Where the best is farther than the
-    cells surely reach, the cells grow fourfold for those points until it is not. What is left when
-    cells are as large as the map meets all nodes, few as such points are; without nodes it has nulls.
+    Points meet the nodes of the 3 x 3 cells around them. Where the best is farther than the cells surely reach, the cells grow
+    fourfold for those points, up to CELL degrees. What is left then, points far from all nodes, goes down through ever smaller
+    cells that hold nodes, and keeps those that can still hold the nearest. Without nodes it has nulls.
     """
     left, found = points.select("id", "lon", "lat"), None
-    while True:
+    while cell <= CELL:
         at = lambda c, cell=cell: F.floor(c / F.lit(cell))
         n = nodes.select(F.col("id").alias("node"), F.col("lon").alias("nlon"), F.col("lat").alias("nlat"), at(F.col("lon")).alias("cx"), at(F.col("lat")).alias("cy"))
         around = lambda c: F.explode(F.sequence(at(c) - 1, at(c) + 1))
@@ -58,11 +59,46 @@ def nearest(points: DataFrame, nodes: DataFrame, cell: float = 0.02) -> DataFram
         cell *= 4
         if left.isEmpty():
             return found
-        if cell > 20:
-            d = haversine(F.col("lon"), F.col("lat"), F.col("nlon"), F.col("nlat"))
-            n = nodes.select(F.col("id").alias("node"), F.col("lon").alias("nlon"), F.col("lat").alias("nlat"))
-            far = left.join(n, F.lit(True), "left").groupBy("id").agg(F.min(F.when(F.col("node").isNotNull(), F.struct(d.alias("d"), F.col("node").alias("node")))).alias("m"))
-            return found.unionByName(far.select("id", F.col("m.node").alias("node"), F.col("m.d").alias("distance_m")))
+    far = _far(left, nodes)
+    return far if found is None else found.unionByName(far)
+
+
+#: Degrees of a cell up to which points meet all nodes around them; cells that far points go down through: the largest, and how often it is halved.
+CELL, LARGEST, HALVINGS = 0.5, 22.5, 10
+
+
+def _far(points: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, node, distance_m) of points far from all nodes: cells are held against each other by the least and greatest distance that their nearest node can have."""
+    least = LARGEST / 2**HALVINGS
+    leaf = nodes.select(F.col("id").alias("node"), F.col("lon").alias("nlon"), F.col("lat").alias("nlat"), F.floor(F.col("lon") / least).alias("cx"), F.floor(F.col("lat") / least).alias("cy"))
+    # Of each cell that holds nodes, one of them: how far it is bounds how far the nearest is.
+    cells = leaf.groupBy("cx", "cy").agg(F.min(F.struct("node", "nlon", "nlat")).alias("one")).checkpoint()
+    up = lambda c, k: F.floor(F.col(c) / F.lit(2**k)).alias(c)
+    level = lambda k: cells.select(up("cx", k), up("cy", k), "one").groupBy("cx", "cy").agg(F.min("one").alias("one"))
+    # At most 16 x 8 cells of the largest size cover the earth.
+    top = [(r.cx, r.cy, r.one.nlon, r.one.nlat) for r in level(HALVINGS).collect()]
+    all_ = F.array(*[F.struct(F.lit(x).alias("cx"), F.lit(y).alias("cy"), F.lit(u).alias("u"), F.lit(v).alias("v")) for x, y, u, v in top]) if top else None
+    none = points.select("id", F.lit(None).cast(dict(nodes.dtypes)["id"]).alias("node"), F.lit(None).cast("double").alias("distance_m"))
+    if all_ is None:
+        return none
+    pairs = points.select("id", "lon", "lat", F.explode(all_).alias("c")).select("id", "lon", "lat", "c.*")
+    for k in range(HALVINGS, -1, -1):
+        size = LARGEST * 2.0 ** (k - HALVINGS)
+        if k < HALVINGS:
+            child = level(k).select("cx", "cy", F.col("one.nlon").alias("u"), F.col("one.nlat").alias("v"), F.floor(F.col("cx") / 2).alias("px"), F.floor(F.col("cy") / 2).alias("py"))
+            pairs = pairs.select("id", "lon", "lat", F.col("cx").alias("px"), F.col("cy").alias("py")).join(child, ["px", "py"]).drop("px", "py")
+        west, south = F.col("cx") * size, F.col("cy") * size
+        gap = F.radians(F.greatest(F.lit(0.0), south - F.col("lat"), F.col("lat") - south - size))
+        aside = lambda x: F.least(F.abs(F.col("lon") - x), 360.0 - F.abs(F.col("lon") - x))
+        inside = (F.col("lon") >= west) & (F.col("lon") <= west + size)
+        near, wide = F.least(aside(west), aside(west + size)), F.greatest(aside(west), aside(west + size))
+        over = F.when(inside | (wide > 90.0), 0.0).otherwise(F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(near))))
+        low = 6371000.0 * F.greatest(gap, over) * 0.999999
+        high = F.min(haversine(F.col("lon"), F.col("lat"), F.col("u"), F.col("v"))).over(W.partitionBy("id", "lon", "lat"))
+        pairs = pairs.withColumns({"_low": low, "_high": high}).where("_low <= _high").select("id", "lon", "lat", "cx", "cy").checkpoint()
+    d = haversine(F.col("lon"), F.col("lat"), F.col("nlon"), F.col("nlat"))
+    met = pairs.join(leaf, ["cx", "cy"]).groupBy("id").agg(F.min(F.struct(d.alias("d"), F.col("node").alias("node"))).alias("m"))
+    return met.select("id", F.col("m.node").alias("node"), F.col("m.d").alias("distance_m"))
 
 
 def missing(rows: DataFrame, key: str, known: DataFrame, other: str) -> DataFrame:
