@@ -40,25 +40,39 @@ COINCIDENCE, COINCIDENCE_HEX = 0.065, 0.1
 ALPHA, LEVEL = 0.001, 0.01
 #: Bins of the chance: BINS for each factor e, MOST in all.
 BINS, MOST = 4, 400
-#: Lengths added up one after another in a running sum.
+#: Hits that are gone through one after another in a running sum.
 STEP = 256
 
 
+def _let(value: Column, of) -> Column:
+    """``of`` the value, which is worked out once however often ``of`` uses it."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def _running(lengths: Column) -> Column:
-    """Running sums of an array of long, in time in proportion to its size."""
-    add = lambda acc, v: F.array_append(acc, F.element_at(acc, -1) + v)
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / STEP).cast("int")), lambda k: F.slice(lengths, k * STEP + 1, STEP))
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v)
-    heads = F.aggregate(chunks, F.array(F.lit(0).cast("long")), lambda acc, c: add(acc, total(c)))
-    return F.flatten(F.transform(F.arrays_zip(chunks.alias("chunk"), heads.alias("head")), lambda x: F.slice(F.aggregate(F.coalesce(x["chunk"], F.array().cast("array<bigint>")), F.array(x["head"]), add), 2, STEP)))
+    """Starts and ends (start, stop) of hits from the lengths (gap, hit) before and of them, in time in proportion to their number."""
+    zero = F.lit(0).cast("long")
+
+    def add(acc: Column, x: Column) -> Column:
+        start = F.element_at(acc, -1)["stop"] + x["gap"]
+        return F.array_append(acc, F.struct(start.alias("start"), (start + x["hit"]).alias("stop")))
+
+    def inside(all_: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / STEP).cast("int")), lambda k: F.slice(all_, k * STEP + 1, STEP))
+        sums = F.transform(parts, lambda c: F.aggregate(c, zero, lambda a, x: a + x["gap"] + x["hit"]))
+        heads = F.aggregate(sums, F.array(zero), lambda acc, v: F.array_append(acc, F.element_at(acc, -1) + v))
+        one = lambda c, h: F.slice(F.aggregate(F.coalesce(c, F.slice(all_, 1, 0)), F.array(F.struct(h.alias("start"), h.alias("stop"))), add), 2, STEP)
+        return F.flatten(F.zip_with(parts, heads, one))
+
+    return _let(lengths, inside)
 
 
 def _places(text: Column, pattern: str, hits: Column, kind: int) -> Column:
     """array<struct<start, kind, end, hit>> of all leftmost non-overlapping matches, in code points."""
-    gaps = F.split(text, pattern, -1)
     size = lambda x: F.coalesce(F.char_length(x), F.lit(0)).cast("long")
-    ends = _running(F.flatten(F.zip_with(gaps, hits, lambda g, h: F.array(size(g), size(h)))))
-    return F.transform(hits, lambda h, i: F.struct(F.element_at(ends, 2 * i + 1).alias("start"), F.lit(kind).alias("kind"), F.element_at(ends, 2 * i + 2).alias("end"), h.alias("hit")))
+    # After the last hit comes one more gap, which is left out.
+    lengths = F.slice(F.zip_with(F.split(text, pattern, -1), hits, lambda g, h: F.struct(size(g).alias("gap"), size(h).alias("hit"))), F.lit(1), F.size(hits))
+    return F.zip_with(hits, _running(lengths), lambda h, x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["stop"].alias("end"), h.alias("hit")))
 
 
 def _upper_tail(z: Column) -> Column:
@@ -138,6 +152,11 @@ def cuts(counts: DataFrame, level: float = LEVEL) -> DataFrame:
     return passing.where("ok AND bin > 0").groupBy("stratum").agg(F.min("bin").alias("cut"))
 
 
+def _if_long(least: int):
+    """A place where the text beside it has ``least`` characters, else null. (A default argument would be taken for an index.)"""
+    return lambda place, counted: F.when(F.char_length(counted) >= least, place)
+
+
 def _matches(docs: DataFrame) -> DataFrame:
     """doc_id, base (spans of the base kinds) and found (candidates) of each row."""
     text = text_or_empty()
@@ -149,9 +168,9 @@ def _matches(docs: DataFrame) -> DataFrame:
         hits = F.col(f"h{k}")
         if group:
             parts = F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
-            long = F.transform(F.arrays_zip(_places(F.col("text"), pattern, hits, k).alias("p"), parts.alias("g")), lambda x, n=least: F.when(F.char_length(x["g"]) >= n, x["p"]))
+            long = F.zip_with(_places(F.col("text"), pattern, hits, k), parts, _if_long(least))
         else:
-            long = F.transform(_places(F.col("text"), pattern, hits, k), lambda x, n=least: F.when(F.char_length(x["hit"]) >= n, x))
+            long = F.zip_with(_places(F.col("text"), pattern, hits, k), hits, _if_long(least))
         columns.append(F.when(F.size(hits) > 0, F.filter(long, lambda x: x.isNotNull())).otherwise(none))
     last = len(BASE)
     found = F.when(F.size(f"h{last}") > 0, _places(F.col("text"), CANDIDATE, F.col(f"h{last}"), last)).otherwise(none)
