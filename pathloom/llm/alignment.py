@@ -40,7 +40,7 @@ class Side:
         self.kind = np.dtype("<u2") if len(self.tokens) <= 1 << 16 else np.dtype("<u4")
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of space+text for each text."""
+        """Ids of space+text for each text; none for an empty one."""
         raise NotImplementedError
 
 
@@ -69,7 +69,7 @@ class Bytes(Side):
         self.finish()
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(self._code.encode_ordinary(" " + t), np.int64) for t in texts]
+        return [np.array(self._code.encode_ordinary(" " + t) if t else [], np.int64) for t in texts]
 
 
 class Pieces(Side):
@@ -90,6 +90,8 @@ class Pieces(Side):
     def _learn(self, words: set[str]) -> None:
         new = sorted(words)
         coded = self._code.encode([w[1:] for w in new], num_threads=1)
+        # The library adds the space before a word, but none to an empty one: a space at the end of a text is coded after a letter.
+        coded = [x if w != " " else self._code.encode("x ")[len(self._code.encode("x")) :] for w, x in zip(new, coded, strict=True)]
         for w in new:
             self._known[w] = len(self._known)
         self._flat = np.concatenate([self._flat, np.array([x for ids in coded for x in ids], np.int64)])
@@ -98,7 +100,7 @@ class Pieces(Side):
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         if not self._apart:
             return [np.array(x, np.int64) for x in self._code.encode(texts, num_threads=1)]
-        split = [self._word.findall(" " + t) for t in texts]
+        split = [self._word.findall(" " + t) if t else [] for t in texts]
         new = set().union(*split).difference(self._known)
         if len(self._known) + len(new) > WORDS:
             self._known, self._flat, self._from, new = {}, np.zeros(0, np.int64), np.zeros(1, np.int64), set().union(*split)
