@@ -2,6 +2,14 @@
 from pathloom.operators import places
 
 
+def test_pairs_of_a_large_group_are_dealt_to_slices(spark, monkeypatch):
+    monkeypatch.setattr(places, "PAIRS", 50)
+    rows = spark.createDataFrame([(0, k) for k in range(40)] + [(1, 100), (1, 101)], "area long, key long")
+    pairs = places.all_pairs(rows, "area", "key")
+    assert pairs.rdd.getNumPartitions() == 64
+    assert sorted(map(tuple, pairs.collect())) == sorted([(0, a, b) for a in range(40) for b in range(40)] + [(1, a, b) for a in (100, 101) for b in (100, 101)])
+
+
 def test_a_place_is_searched_for_once(spark, tmp_path, monkeypatch):
     spark.sparkContext.setCheckpointDir(str(tmp_path))
     asked, search = [], places._nearest
