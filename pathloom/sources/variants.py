@@ -97,25 +97,41 @@ def _quoted(text: Column) -> Column:
     return F.concat(F.lit('"'), F.when(easy, text).otherwise(F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)(.)")), one), "")), F.lit('"'))
 
 
-def _decimal(number: Column) -> Column:
-    """A double in its shortest digits (a negative zero loses its sign in a variant), plain from 1e-4 up to 1e16 and with a two-digit exponent beyond: 35.0, 1e-05, 1.5e+16."""
-    size = F.abs(number)
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it stands in there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _decimal(text: Column) -> Column:
+    """A double's text in its shortest digits (a negative zero loses its sign in a variant), plain from 1e-4 up to 1e16 and with a two-digit exponent beyond: 35.0, 1e-05, 1.5e+16.
+
+    A plain text of 15 digits at most is its number's shortest: no two such texts give the same double.
+    """
+    whole, short = text.rlike(r"\A-?[0-9]{1,15}\z"), text.rlike(r"\A(?=.{1,16}\z)-?(0|[1-9][0-9]*)\.[0-9]*[1-9]\z") & ~text.rlike(r"\A-?0\.0000")
+    return F.when(whole, F.concat(text, F.lit(".0"))).when(short, text).otherwise(_let(text.try_cast("double"), _digits))
+
+
+def _digits(number: Column) -> Column:
     # The fewest digits of 15, 16 and 17 that give the number back.
-    raw = F.format_string("%.16e", size)
-    for form in ("%.15e", "%.14e"):
-        fewer = F.format_string(form, size)
-        raw = F.when(fewer.try_cast("double") == size, fewer).otherwise(raw)
-    mantissa, power = F.split_part(raw, F.lit("e"), F.lit(1)), F.split_part(raw, F.lit("e"), F.lit(2)).try_cast("int")
-    digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), "0+$", "")
-    digits = F.when(digits == "", "0").otherwise(digits)
-    padded = F.rpad(digits, F.greatest(F.length(digits), power + 1), F.lit("0"))
-    after = F.substring(padded, power + 2, F.lit(400))
-    long = F.concat(F.substring(padded, F.lit(1), power + 1), F.lit("."), F.when(after == "", "0").otherwise(after))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    front = F.when(F.length(digits) > 1, F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 400))).otherwise(digits)
-    far = F.concat(front, F.when(power < 0, "e-").otherwise("e+"), F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
-    text = F.when((power >= 0) & (power < 16), long).when((power < 0) & (power >= -4), small).otherwise(far)
-    return F.concat(F.when(number < 0, "-").otherwise(""), text)
+    def fewest(size, *forms):
+        return F.format_string(forms[-1], size) if len(forms) == 1 else _let(F.format_string(forms[0], size), lambda t: F.when(t.try_cast("double") == size, t).otherwise(fewest(size, *forms[1:])))
+
+    def written(m):
+        digits, power = m["digits"], m["power"]
+        padded = F.rpad(digits, F.greatest(F.length(digits), power + 1), F.lit("0"))
+        after = F.substring(padded, power + 2, F.lit(400))
+        long = F.concat(F.substring(padded, F.lit(1), power + 1), F.lit("."), F.when(after == "", "0").otherwise(after))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+        front = F.when(F.length(digits) > 1, F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 400))).otherwise(digits)
+        far = F.concat(front, F.when(power < 0, "e-").otherwise("e+"), F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
+        return F.when((power >= 0) & (power < 16), long).when((power < 0) & (power >= -4), small).otherwise(far)
+
+    def parted(raw):
+        digits = F.regexp_replace(F.replace(F.split_part(raw, F.lit("e"), F.lit(1)), F.lit("."), F.lit("")), "0+$", "")
+        return F.struct(F.when(digits == "", "0").otherwise(digits).alias("digits"), F.split_part(raw, F.lit("e"), F.lit(2)).try_cast("int").alias("power"))
+
+    raw = fewest(F.abs(number), "%.14e", "%.15e", "%.16e")
+    return F.concat(F.when(number < 0, "-").otherwise(""), _let(_let(raw, parted), written))
 
 
 def canonical(rows: DataFrame, checkpoint=lambda df: df.checkpoint()) -> DataFrame:
@@ -123,17 +139,19 @@ def canonical(rows: DataFrame, checkpoint=lambda df: df.checkpoint()) -> DataFra
 
     Containers are put together from their parts level by level, the deepest first, all documents at once.
     """
-    depth = F.size(F.regexp_extract_all("place", F.lit(r'(\[\*\]|\."[^"]*"|\.[A-Za-z0-9_]+)')))
-    at = F.regexp_extract("path", r"\[(\d+)\]$", 1).try_cast("long")
-    number = F.col("text").try_cast("double")
-    scalar = F.when(F.col("type") == "STRING", _quoted(F.col("text"))).when(F.col("type") == "NUMBER", _decimal(number)).when(F.col("size") == 0, F.when(F.col("type") == "OBJECT", "{}").otherwise("[]")).otherwise(F.coalesce("text", F.lit("null")))
+    steps = F.size(F.regexp_extract_all("place", F.lit(r'(\[\*\]|\."[^"]*"|\.[A-Za-z0-9_]+)')))
+    depth = F.when(F.col("place").contains('"'), steps).otherwise(F.length("place") - F.length(F.translate("place", ".[", "")))
+    at = F.rtrim(F.substring_index("path", "[", -1), F.lit("]")).try_cast("long")
+    scalar = F.when(F.col("type") == "STRING", _quoted(F.col("text"))).when(F.col("type") == "NUMBER", _decimal(F.col("text"))).when(F.col("size") == 0, F.when(F.col("type") == "OBJECT", "{}").otherwise("[]")).otherwise(F.coalesce("text", F.lit("null")))
     told = checkpoint(rows.select("doc", "path", "above", "key", "type", "size", depth.alias("depth"), F.when(F.col("key").isNull(), at).alias("at"), scalar.alias("json")))
     deepest = told.agg(F.max("depth")).first()[0] or 0
     ready = told.where(F.col("depth") == deepest)
     for d in range(deepest, 0, -1):
         name = F.when(F.col("key").isNotNull(), F.concat(_quoted(F.col("key")), F.lit(":"), F.col("json"))).otherwise(F.col("json"))
         parts = ready.groupBy("doc", F.col("above").alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "key", name.alias("j")))), lambda x: x["j"]), ",").alias("inner"))
-        upper = told.where(F.col("depth") == d - 1).join(parts, ["doc", "path"], "left")
+        # Only containers with parts meet them.
+        upper = told.where(F.col("depth") == d - 1)
         whole = F.when(F.col("type") == "OBJECT", F.concat(F.lit("{"), "inner", F.lit("}"))).otherwise(F.concat(F.lit("["), "inner", F.lit("]")))
-        ready = checkpoint(upper.withColumn("json", F.when(F.col("inner").isNotNull(), whole).otherwise(F.col("json"))).drop("inner"))
+        full = upper.where("size > 0").join(parts, ["doc", "path"], "left").withColumn("json", F.when(F.col("inner").isNotNull(), whole).otherwise(F.col("json"))).select(*told.columns)
+        ready = checkpoint(upper.where("size IS NULL OR size = 0").unionByName(full))
     return ready.where("path = '$'").select("doc", F.col("json").alias("text"))

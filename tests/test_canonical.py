@@ -5,6 +5,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from pathloom.plans import build
 from pathloom.sources import variants
@@ -39,6 +40,17 @@ def test_canonical(spark):
     assert found == {k: plain(d) for k, d in docs.items()}
 
 
+def test_a_number_is_formatted_once_for_each_width(spark):
+    """Nested uses of a formatted text would double the work with each use."""
+    assert str(variants._decimal(F.col("text"))).count("format_string") <= 3
+
+
+def test_numbers_near_the_plain_form(spark):
+    numbers = [0.1, 0.001, 0.00099, 0.0001, 0.00001, 0.1 + 0.2, 1 / 3, 100.0, 999999999999999.0, 9007199254740992.0, 1e15, 1e16, 123456789.125, 0.30000000000000004, 12345678901234.5, 9999999.5, 10000000.5, 1e-3, -0.5, -100.0, 2.0**60]
+    found = {r.doc: r.text for r in variants.canonical(rows_of(spark, {str(k): [n] for k, n in enumerate(numbers)})).collect()}
+    assert found == {str(k): plain([n]) for k, n in enumerate(numbers)}
+
+
 def test_build(spark):
     docs = {
         "none": {}, "flat": {"beam_width": 3, "algorithms": ["beam"], "other": 1}, "sections": {"planner": {"beam_width": 4, "max_overlap_m": 70, "seed_start": 9}, "debug_catalog": {"seed_start": 2, "algorithms": ["x", "y"]}, "browser_runtime": {"browser_mcts_iterations": 7}}}
