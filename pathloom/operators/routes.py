@@ -1,6 +1,7 @@
 """Route candidates: measures, ranking, families, overlap, selection."""
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,21 +51,37 @@ def diverse(runs: DataFrame, per_scenario: int, window: int = 36) -> DataFrame:
     most = max(window, per_scenario)
     best = runs.withColumn("_r", F.row_number().over(W.partitionBy("scenario").orderBy(F.desc("quality"), "run"))).where(F.col("_r") <= most).drop("_r")
 
-    def choose(key, pdf):
-        pdf = pdf.sort_values(["quality", "run"], ascending=[False, True]).reset_index(drop=True)
-        sets = [set(x) for x in pdf["items"]]
-        q, u = pdf.quality.max() or 1.0, pdf.distinct_length.max() or 1.0
-        chosen = [0]
-        while len(chosen) < min(per_scenario, len(pdf)):
-            def worth(i):
-                far = min((1 - (len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] | sets[j] else 1) for j in chosen), default=1.0)  # noqa: B023
-                r = pdf.iloc[i]
-                return 2.4 * far + 1.2 * r.quality / q + 0.6 * r.distinct_length / u - 0.8 * r.overlap / max(1.0, r.total)
-            chosen.append(max((i for i in range(len(pdf)) if i not in chosen), key=lambda i: (worth(i), -i)))
-        out = pdf.iloc[sorted(chosen)][["scenario", "run", "quality"]]
-        return out.assign(place=range(1, len(out) + 1))
-
-    return best.groupBy("scenario").applyInPandas(choose, "scenario long, run long, quality double, place long")
+    nan = float("nan")
+
+    def chosen_of(listed):
+        """The runs chosen, in order of quality. A null counts as no number."""
+        listed = sorted(listed, key=lambda r: (r["quality"] is None, -(r["quality"] or 0.0), r["run"]))
+        told = [[nan if r[c] is None else r[c] for c in ("quality", "distinct_length", "overlap", "total")] for r in listed]
+        q, u = (max((t[k] for t in told if t[k] == t[k]), default=nan) or 1.0 for k in (0, 1))
+        parts = [(1.2 * t[0] / q, 0.6 * t[1] / u, 0.8 * t[2] / max(1.0, t[3])) for t in told]
+        sets = [set(r["items"]) for r in listed]
+        far, chosen, left = [1.0] * len(listed), [0], list(range(1, len(listed)))
+        while left and len(chosen) < per_scenario:
+            last = sets[chosen[-1]]
+            for i in left:
+                either = len(sets[i] | last)
+                far[i] = min(far[i], 1 - (len(sets[i] & last) / either if either else 1))
+            best = max(left, key=lambda i: (2.4 * far[i] + parts[i][0] + parts[i][1] - parts[i][2], -i))
+            chosen.append(best)
+            left.remove(best)
+        return [(listed[i]["run"], listed[i]["quality"], place) for place, i in enumerate(sorted(chosen), 1)]
+
+    def choose(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                out = [(key, *row) for key, listed in zip(some.column("scenario").to_pylist(), some.column("listed").to_pylist(), strict=True) for row in chosen_of(listed)]
+                yield pa.RecordBatch.from_arrays([pa.array([row[k] for row in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["scenario", "run", "quality", "place"])
+
+    # Many scenarios go to Python in one batch: a call for each of them costs more than the choice.
+    number = lambda c: F.col(c).cast("double").alias(c)
+    listed = best.groupBy("scenario").agg(F.collect_list(F.struct("run", *map(number, ("quality", "distinct_length", "overlap", "total")), "items")).alias("listed"))
+    return listed.mapInArrow(choose, "scenario long, run long, quality double, place long")
 
 
 def planned(runs: DataFrame, arcs: DataFrame, max_steps: int = 64, checkpoint=lambda df: df.checkpoint()) -> DataFrame:

@@ -1,5 +1,7 @@
 """Work that grows with the input is dealt out, and is the same whole result."""
-from pathloom.operators import places
+import random
+
+from pathloom.operators import places, routes
 
 
 def test_pairs_of_a_large_group_are_dealt_to_slices(spark, monkeypatch):
@@ -24,3 +26,25 @@ def test_a_place_is_searched_for_once(spark, tmp_path, monkeypatch):
     out = sorted((r.id, r.node) for r in places.nearest(points, nodes).collect())
     assert asked == [3]  # the one without a place has no nearest
     assert out == [(k, 9 if k % 2 else 7) for k in range(200)]
+
+
+def test_diverse_runs_of_many_scenarios_in_one_call(spark):
+    rng = random.Random(5)
+    rows = [(s, 100 * s + k, rng.choice([None, 1.0, 2.0, 5.5]) if s == 3 else float(rng.randrange(9)), float(rng.randrange(1, 9)), float(rng.randrange(4)), float(rng.randrange(20)), [rng.randrange(6) for _ in range(rng.randrange(4))]) for s in range(30) for k in range(rng.randrange(1, 50))]
+    frame = spark.createDataFrame(rows, "scenario long, run long, quality double, distinct_length double, overlap double, total double, items array<long>")
+    out = routes.diverse(frame, 4)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+    found = sorted(map(tuple, out.collect()), key=lambda r: (r[0], r[3]))
+    expected = []
+    for s in range(30):
+        group = sorted((r for r in rows if r[0] == s), key=lambda r: (r[2] is None, -(r[2] or 0), r[1]))[:36]
+        if s == 3:
+            assert [r[3] for r in found if r[0] == 3] == list(range(1, min(4, len(group)) + 1))
+            continue
+        q, u, chosen = max(r[2] for r in group) or 1.0, max(r[3] for r in group) or 1.0, [0]
+        like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 0
+        while len(chosen) < min(4, len(group)):
+            worth = lambda i: 2.4 * min(1 - (like(group[i][6], group[j][6]) if group[i][6] or group[j][6] else 1) for j in chosen) + 1.2 * group[i][2] / q + 0.6 * group[i][3] / u - 0.8 * group[i][4] / max(1.0, group[i][5])  # noqa: E731, B023
+            chosen.append(max((i for i in range(len(group)) if i not in chosen), key=lambda i: (worth(i), -i)))
+        expected += [(s, group[i][1], group[i][2], place) for place, i in enumerate(sorted(chosen), 1)]
+    assert [r for r in found if r[0] != 3] == expected
