@@ -84,22 +84,32 @@ def diverse(runs: DataFrame, per_scenario: int, window: int = 36) -> DataFrame:
     return listed.mapInArrow(choose, "scenario long, run long, quality double, place long")
 
 
+#: So many walks, of some kB at most, are sent to every task.
+FEW = 2000
+
+
 def planned(runs: DataFrame, arcs: DataFrame, max_steps: int = 64, checkpoint=lambda df: df.checkpoint()) -> DataFrame:
     """Seeded walks with little overlap, one row (run, pos, node) for each step.
 
     ``runs`` (run, seed, start, goal) and undirected ``arcs`` (a, b, length; each edge once) stay rows. Each round
     joins the walks that go on with the arcs at their node. Of the four longest that a walk has not used (ties to
     the lower node), a hash of seed, step and node draws one, with weights 4, 3, 2, 1.
+
+    A walk has used fewer edges than it may take steps, so a node's first ``max_steps`` + 3 arcs hold its four; they are listed once
+    for each node, and up to FEW walks are sent to the lists, which stay where they are.
     """
-    both = checkpoint(arcs.select(F.col("a").alias("at"), F.col("b").alias("to"), "length").unionByName(arcs.select(F.col("b").alias("at"), F.col("a").alias("to"), "length")))
-    walks = runs.select("run", "seed", "goal", F.col("start").alias("at"), F.array("start").alias("path"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("used"))
-    done = None
+    ways = arcs.select(F.explode(F.array(F.struct(F.col("a").alias("at"), F.col("b").alias("to"), "length"), F.struct(F.col("b").alias("at"), F.col("a").alias("to"), "length"))).alias("w")).select("w.*")
+    first = ways.withColumn("_k", F.row_number().over(W.partitionBy("at").orderBy(F.desc("length"), "to"))).where(F.col("_k") <= max_steps + 3)
+    lists = checkpoint(first.groupBy("at").agg(F.collect_list(F.struct("to", "length")).alias("next")))
+    walks = checkpoint(runs.select("run", "seed", "goal", F.col("start").alias("at"), F.array("start").alias("path"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("used")))
+    left, done = walks.count(), None
     edge = F.struct(F.least("at", "to").alias("a"), F.greatest("at", "to").alias("b"))
     place = F.row_number().over(W.partitionBy("run").orderBy(F.desc("length"), "to"))
     for k in range(1, max_steps + 1):
         stopped = (F.col("at") == F.col("goal")) & F.lit(k > 1)
-        fresh = walks.where(~stopped).join(both, "at").where(~F.array_contains("used", edge))
-        few = fresh.select("run", "seed", "at", "to", place.alias("place")).where("place <= 4")
+        going = walks.where(~stopped)
+        met = lists.join(F.broadcast(going) if left <= FEW else going, "at").select(*going.columns, F.explode("next").alias("n")).select(*going.columns, "n.*")
+        few = met.where(~F.array_contains("used", edge)).select("run", "seed", "at", "to", place.alias("place")).where("place <= 4")
         # The greatest u ** (1 / weight) of uniform u falls on each with its share of the weights.
         uniform = (F.pmod(F.xxhash64("seed", F.lit(k), "to"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
         drawn = few.groupBy("run").agg(F.max_by("to", F.struct(F.log(uniform) / (5 - F.col("place")), "to")).alias("to"))
@@ -107,7 +117,8 @@ def planned(runs: DataFrame, arcs: DataFrame, max_steps: int = 64, checkpoint=la
         ended = both_kinds.where("to IS NULL").select("run", "path")
         done = ended if done is None else done.unionByName(ended)
         walks = both_kinds.where("to IS NOT NULL").select("run", "seed", "goal", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"), F.concat("used", F.array(edge)).alias("used"))
-        if walks.isEmpty():
+        left = walks.count()
+        if not left:
             break
     paths = walks.select("run", "path") if done is None else done.unionByName(walks.select("run", "path"))
     return paths.select("run", F.posexplode("path").alias("pos", "node")).select("run", F.col("pos").cast("long").alias("pos"), "node")

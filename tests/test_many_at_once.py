@@ -48,3 +48,19 @@ def test_diverse_runs_of_many_scenarios_in_one_call(spark):
             chosen.append(max((i for i in range(len(group)) if i not in chosen), key=lambda i: (worth(i), -i)))
         expected += [(s, group[i][1], group[i][2], place) for place, i in enumerate(sorted(chosen), 1)]
     assert [r for r in found if r[0] != 3] == expected
+
+
+def test_a_walk_meets_the_arcs_of_its_node_as_one_short_list(spark, tmp_path, monkeypatch):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    star = spark.createDataFrame([(0, k, float(k)) for k in range(1, 51)] + [(1, 2, 9.0), (2, 3, 9.0)], "a long, b long, length double")
+    runs = spark.createDataFrame([(r, r, 0, -1) for r in range(20)], "run long, seed long, start long, goal long")
+    made = []
+
+    def kept(df):
+        made.append(df.checkpoint())
+        return made[-1]
+
+    out = sorted(map(tuple, routes.planned(runs, star, 3, kept).collect()))
+    assert made[0].count() == 51 and max(len(r["next"]) for r in made[0].collect()) == 6
+    monkeypatch.setattr(routes, "FEW", 0)
+    assert sorted(map(tuple, routes.planned(runs, star, 3).collect())) == out
