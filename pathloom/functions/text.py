@@ -55,12 +55,14 @@ def asset_suffix(at: Column) -> Column:
 def polyline(points: Column) -> Column:
     """Points (lon, lat) as the text of the public polyline format: steps of latitude and longitude in 1e-5 degrees, five bits a character."""
     at = F.transform(points, lambda p: F.array(F.rint(p["lat"] * 1e5).cast("long"), F.rint(p["lon"] * 1e5).cast("long")))
-    steps = F.flatten(F.transform(at, lambda p, i: F.zip_with(p, F.when(i > 0, F.get(at, i - 1)).otherwise(F.array(F.lit(0).cast("long"), F.lit(0).cast("long"))), lambda x, y: x - y)))
+    start = F.array(F.array(F.lit(0).cast("long"), F.lit(0).cast("long")))
+    # The points are worked out once: each is held against the one before it.
+    steps = F.flatten(F.get(F.transform(F.array(at), lambda a: F.zip_with(a, F.slice(F.concat(start, a), F.lit(1), F.size(a)), lambda p, q: F.zip_with(p, q, lambda x, y: x - y))), F.lit(0)))
     signed = F.transform(steps, lambda v: F.when(v < 0, -2 * v - 1).otherwise(2 * v))
 
-    def written(v: Column) -> Column:
-        high = lambda k: F.floor(v / F.pow(F.lit(32.0), k)).cast("long")
-        used = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda k: (k == 0) | (high(k) > 0))
-        return F.array_join(F.transform(used, lambda k: F.char(high(k) % 32 + F.when(high(k + 1) > 0, 32).otherwise(0) + 63)), "")
+    def written(v: Column, k: int = 0) -> Column:
+        bits, more = F.shiftright(v, 5 * k).bitwiseAND(F.lit(31)), v >= F.lit(1 << 5 * (k + 1))
+        last = F.char(bits + 63)
+        return F.when(more, F.char(bits + 95) if k == 7 else F.concat(F.char(bits + 95), written(v, k + 1))).otherwise(last)
 
-    return F.array_join(F.transform(signed, written), "")
+    return F.array_join(F.transform(signed, lambda v: written(v)), "")

@@ -1,6 +1,9 @@
 """Work that grows with the input is dealt out, and is the same whole result."""
 import random
 
+from pyspark.sql import functions as F
+
+from pathloom.functions import text
 from pathloom.operators import places, routes
 
 
@@ -64,3 +67,25 @@ def test_a_walk_meets_the_arcs_of_its_node_as_one_short_list(spark, tmp_path, mo
     assert made[0].count() == 51 and max(len(r["next"]) for r in made[0].collect()) == 6
     monkeypatch.setattr(routes, "FEW", 0)
     assert sorted(map(tuple, routes.planned(runs, star, 3).collect())) == out
+
+
+def test_a_polyline_reads_its_points_once(spark):
+    line = text.polyline(F.col("p"))
+    assert str(line).count("rint") <= 2
+    rows = [(1, [(-120.2, 38.5), (-120.95, 40.7), (-126.453, 43.252)]), (2, []), (3, [(0.0, 0.0)]), (4, None), (5, [(180.0, -90.0), (-180.0, 90.0)])]
+    out = {r.k: r.line for r in spark.createDataFrame(rows, "k int, p array<struct<lon:double,lat:double>>").select("k", line.alias("line")).collect()}
+
+
+    def plain(points):
+        signs, before = "", (0, 0)
+        for lon, lat in points:
+            at = (round(lat * 1e5), round(lon * 1e5))
+            for d in (at[0] - before[0], at[1] - before[1]):
+                v = -2 * d - 1 if d < 0 else 2 * d
+                while v >= 32:
+                    signs, v = signs + chr(v % 32 + 95), v // 32
+                signs += chr(v + 63)
+            before = at
+        return signs
+
+    assert out == {k: None if p is None else plain(p) for k, p in rows} and out[1] == "_p~iF~ps|U_ulLnnqC_mqNvxq`@"
