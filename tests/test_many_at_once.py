@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import text
 from pathloom.operators import places, routes
+from pathloom.plans import catalogue, inputs
 
 
 def test_pairs_of_a_large_group_are_dealt_to_slices(spark, monkeypatch):
@@ -89,3 +90,17 @@ def test_a_polyline_reads_its_points_once(spark):
         return signs
 
     assert out == {k: None if p is None else plain(p) for k, p in rows} and out[1] == "_p~iF~ps|U_ulLnnqC_mqNvxq`@"
+
+
+def test_a_large_table_is_dealt_over_more_tasks(spark, monkeypatch):
+    folder = "/root/testdata/sf0.01"
+    names = ("contig_visits", "policy_runs", "pairwise_jaccard", "history_pick")
+    before = {n: sorted(map(tuple, catalogue.QUERIES[n](spark, folder).collect())) for n in names}
+    assert inputs.tasks(spark, folder, "lineitem") is None
+    monkeypatch.setattr(inputs, "SHARE", 100_000)
+    n = inputs.tasks(spark, folder, "lineitem")
+    assert n > 8
+    for name in names:
+        out = catalogue.QUERIES[name](spark, folder)
+        assert f", {n}), REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, out.collect())) == before[name]
