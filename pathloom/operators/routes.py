@@ -34,11 +34,15 @@ def representatives(runs: DataFrame) -> DataFrame:
     return runs.groupBy("scenario", "family").agg(F.min(F.struct((-F.col("quality")).alias("q"), "run")).alias("m"), F.count("*").alias("members")).select("scenario", "family", "m.run", (-F.col("m.q")).alias("quality"), "members")
 
 
-def overlaps(steps: DataFrame) -> DataFrame:
-    """(scenario, a, b, jaccard) of runs of a scenario that share an item; pairs that share none have 0 and no row."""
+def _by_item(items: DataFrame, tasks: int | None) -> DataFrame:
+    return items.repartition(tasks, "scenario", "item") if tasks else items
+
+
+def overlaps(steps: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(scenario, a, b, jaccard) of runs of a scenario that share an item; pairs that share none have 0 and no row. Runs meet in ``tasks`` tasks, if given."""
     items = steps.select("scenario", "run", "item").distinct()
     sizes = items.groupBy("run").agg(F.count("*").alias("n"))
-    x, y = items.alias("x"), items.alias("y")
+    x, y = _by_item(items, tasks).alias("x"), _by_item(items, tasks).alias("y")
     shared = x.join(y, (F.col("x.scenario") == F.col("y.scenario")) & (F.col("x.item") == F.col("y.item")) & (F.col("x.run") < F.col("y.run"))).groupBy(F.col("x.scenario").alias("scenario"), F.col("x.run").alias("a"), F.col("y.run").alias("b")).agg(F.count("*").alias("both"))
     return shared.join(sizes.select(F.col("run").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("run").alias("b"), F.col("n").alias("nb")), "b").select("scenario", "a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"))
 
@@ -124,15 +128,15 @@ def planned(runs: DataFrame, arcs: DataFrame, max_steps: int = 64, checkpoint=la
     return paths.select("run", F.posexplode("path").alias("pos", "node")).select("run", F.col("pos").cast("long").alias("pos"), "node")
 
 
-def novelty(steps: DataFrame, history: DataFrame) -> DataFrame:
+def novelty(steps: DataFrame, history: DataFrame, tasks: int | None = None) -> DataFrame:
     """(scenario, run, novelty) of the runs of ``steps``: 1 less the greatest overlap (Jaccard) with a run of ``history`` of the same scenario.
 
-    Both are (scenario, run, item). Runs meet through the items that they share; one that meets none has novelty 1.
+    Both are (scenario, run, item). Runs meet through the items that they share, in ``tasks`` tasks if given; one that meets none has novelty 1.
     """
     new, old = steps.select("scenario", "run", "item").distinct(), history.select("scenario", F.col("run").alias("other"), "item").distinct()
     size = new.groupBy("scenario", "run").agg(F.count("*").alias("n"))
     before = old.groupBy("scenario", "other").agg(F.count("*").alias("m"))
-    both = new.join(old, ["scenario", "item"]).groupBy("scenario", "run", "other").agg(F.count("*").alias("k")).join(before, ["scenario", "other"]).join(size, ["scenario", "run"])
+    both = _by_item(new, tasks).join(_by_item(old, tasks), ["scenario", "item"]).groupBy("scenario", "run", "other").agg(F.count("*").alias("k")).join(before, ["scenario", "other"]).join(size, ["scenario", "run"])
     like = both.groupBy("scenario", "run").agg(F.max(F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).alias("like"))
     return size.join(like, ["scenario", "run"], "left").select("scenario", "run", (1.0 - F.coalesce("like", F.lit(0.0))).alias("novelty"))
 
