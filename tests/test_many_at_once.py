@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from pathloom.functions import text
-from pathloom.operators import places, routes
+from pathloom.operators import network, places, routes
 from pathloom.plans import catalogue, inputs
 
 
@@ -104,3 +104,24 @@ def test_a_large_table_is_dealt_over_more_tasks(spark, monkeypatch):
         out = catalogue.QUERIES[name](spark, folder)
         assert f", {n}), REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
         assert sorted(map(tuple, out.collect())) == before[name]
+
+
+def test_few_new_nodes_are_sent_to_the_arcs(spark, tmp_path, monkeypatch):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    edges = spark.createDataFrame([(0, 1, 5), (0, 2, 1), (2, 1, 1), (1, 3, 1), (7, 8, 1)], "a long, b long, length long")
+    threshold, found = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), {}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for few in (network.FEW, 0):
+            monkeypatch.setattr(network, "FEW", few)
+            plans = []
+
+            def kept(df):
+                plans.append(df._jdf.queryExecution().executedPlan().toString())  # noqa: B023
+                return df.checkpoint()
+
+            found[few] = [sorted(map(tuple, f(edges, 0, checkpoint=kept).collect())) for f in (network.shortest, network.reachable)]
+            assert any("BroadcastHashJoin" in p for p in plans) == bool(few)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert found[0] == found[100_000] == [[(0, 0), (1, 2), (2, 1), (3, 3)], [(0, 0), (1, 1), (2, 1), (3, 2)]]
