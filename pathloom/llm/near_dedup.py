@@ -37,6 +37,9 @@ CENTRES, YIELD = 4, 8
 FINE = 4096
 MAX_DIFFER = int(FINE / 8 + 5 * (FINE * 7 / 64) ** 0.5)
 _WORDS = [f"f{k}" for k in range(FINE // 64)]
+#: Words of FINE bits that tell, for each value of a hash, whether a set has an odd number of members of that value. Two sets differ in no more bits
+#: than members, so this bound loses no link; up to some 500 members it is nearly the exact number.
+_ODD = [f"o{k}" for k in range(FINE // 64)]
 _CHUNK = 3 << 20
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64((1 << 48) - 1)
@@ -123,13 +126,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bit of each bin of a sketch of FINE bins, in 64-bit words."""
+    """One bit of each bin of a sketch of FINE bins, and the parities of the members by FINE values, in 64-bit words."""
     for batch in batches:
         for at in range(0, batch.num_rows, 100):
             some = batch.slice(at, 100)
-            bins = sketches([np.frombuffer(v.as_buffer(), np.uint64) for v in some.column("shingles")], FINE)
-            bits = np.packbits((bins & np.uint64(1)).astype(bool), axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([some.column("node"), *(pa.array(bits[:, k]) for k in range(FINE // 64))], names=["node", *_WORDS])
+            sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in some.column("shingles")]
+            bits = np.packbits((sketches(sets, FINE) & np.uint64(1)).astype(bool), axis=1).view(np.int64)
+            counts = np.stack([np.bincount((nb.mix(s) % np.uint64(FINE)).astype(np.int64), minlength=FINE) for s in sets])
+            odd = np.packbits((counts & 1).astype(bool), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([some.column("node"), *(pa.array(x[:, k]) for x in (bits, odd) for k in range(FINE // 64))], names=["node", *_WORDS, *_ODD])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,16 +225,17 @@ def components_of(signed: DataFrame, docs: DataFrame) -> DataFrame:
             break
 
     # What is left: in each bucket all members of other components than its largest, with all members. A pair
-    # is tried where its finer sketches allow it, and in the first bucket that it shares.
-    fine = sets.join(members.select("node").distinct(), "node").mapInArrow(_fine, "node long, " + ", ".join(f"{w} long" for w in _WORDS))
+    # is tried where its finer sketches and parities allow it, and in the first bucket that it shares.
+    fine = sets.join(members.select("node").distinct(), "node").mapInArrow(_fine, "node long, " + ", ".join(f"{w} long" for w in [*_WORDS, *_ODD]))
     known = staged(fine.join(nodes.select("node", "bands"), "node"), "fine")
     sizes = members.groupBy("bucket", "label").count().groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("m")).select("bucket", F.col("m.label").alias("main"))
     members = staged(members.join(staged(sizes, "main"), "bucket").join(known, "node").withColumn("before", F.slice("bands", 1, F.array_position("bands", F.col("bucket")).cast("int") - 1)).drop("bands"), "left")
     few = members.where("label <> main")
     u, v = few.alias("u"), members.alias("v")
-    differ = sum((F.bit_count(F.col(f"u.{w}").bitwiseXOR(F.col(f"v.{w}"))) for w in _WORDS), F.lit(0))
+    differ, least = (sum((F.bit_count(F.col(f"u.{w}").bitwiseXOR(F.col(f"v.{w}"))) for w in words), F.lit(0)) for words in (_WORDS, _ODD))
+    near = F.lit(100 + PERCENT) * least <= F.lit(100 - PERCENT) * (F.col("u.n_shingles") + F.col("v.n_shingles"))
     pairs = u.join(v, (F.col("u.bucket") == F.col("v.bucket")) & (F.col("u.label") != F.col("v.label")) & ((F.col("v.label") == F.col("v.main")) | (F.col("u.node") < F.col("v.node")))
-                   & _sizes_fit(F.col("u.n_shingles"), F.col("v.n_shingles")) & (differ <= MAX_DIFFER) & ~F.arrays_overlap("u.before", "v.before"))
+                   & _sizes_fit(F.col("u.n_shingles"), F.col("v.n_shingles")) & near & (differ <= MAX_DIFFER) & ~F.arrays_overlap("u.before", "v.before"))
     rest = pairs.select(F.least("u.node", "v.node").alias("a"), F.greatest("u.node", "v.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     return _merged(labels, components(_by_label(_linked(staged(rest, "rest"), sets), labels)), "labels")
 

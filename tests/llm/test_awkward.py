@@ -1,5 +1,6 @@
 """One table of awkward rows through every operator and the pipeline: nulls, repeats, empties, a long text, ties, clashing columns."""
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,6 +97,30 @@ def test_near_dedup_border_and_dense_groups(spark):
     assert out == label and out[2] == 1 and out[21] == 10
 
 
+def test_near_dedup_tries_few_pairs_of_a_dense_group(spark, monkeypatch):
+    # Copies of one text with three or four words changed: most pairs are a little under the threshold.
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for k in range(150):
+        words = list(base)
+        for place in rng.sample(range(150), 3 + k % 2):
+            words[place] = f"x{k}y{place}"
+        texts.append(" ".join(words))
+    tried, linked = [], near_dedup._linked
+    monkeypatch.setattr(near_dedup, "_linked", lambda pairs, sets: tried.append((pairs.count(), found := linked(pairs, sets), found.count())) or found)
+    out = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(146)} for t in texts]
+    label = list(range(len(texts)))
+    links = [(a, b) for b in range(len(texts)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    while any(label[a] != label[b] for a, b in links):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    assert out == dict(enumerate(label))
+    n, _, found = tried[-1]
+    assert n <= 2 * found + 50, (n, found)
+
+
 KEEPING = {"quality_rules": lambda d, l, i: quality_rules.keep_good(d, l), "line_dedup": lambda d, l, i: line_dedup.drop_lines(d), "near_dedup": lambda d, l, i: near_dedup.keep_first(d), "decontamination": lambda d, l, i: decontamination.decontaminate(d, i)}
 
 
