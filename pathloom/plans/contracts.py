@@ -92,13 +92,22 @@ def problems(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     """
     spark = rows.sparkSession
     split = [(r.place, *(r.place.rsplit(".", 1) if not r.place.endswith("]") and "." in r.place else (None, None)), r.kind, r.least, r.most, list(r.values), r.optional) for r in rules]
-    table = spark.createDataFrame(split, "place string, asked_in string, name string, kind string, least int, most int, values array<string>, optional boolean")
-    # The rules are a fixed list, so they can be sent to every task.
-    inside, alone = F.broadcast(table.where("name IS NOT NULL")), F.broadcast(table.where("name IS NULL"))
-    wanted = rows.where("type = 'OBJECT'").select("doc", F.col("path").alias("above"), F.col("place").alias("asked_in")).join(inside, "asked_in").withColumn("path", F.concat("above", F.lit("."), "name"))
-    asked = wanted.select("doc", "path", "kind", "least", "most", "values", "optional").join(rows.select("doc", "path", "type", "text", "size"), ["doc", "path"], "left")
-    whole = rows.select("doc", "path", "place", "type", "text", "size").join(alone, "place").select(*asked.columns)
-    every = asked.unionByName(whole)
+    # What an object must have is a set of bits for each 60 of its rules.
+    bits, seen = [], {}
+    for r in split:
+        k = seen[r[1]] = seen.get(r[1], -1) + 1
+        bits.append((*r, k // 60, 1 << k % 60))
+    columns = ["kind", "least", "most", "values", "optional"]
+    table = spark.createDataFrame(bits, "place string, asked_in string, name string, kind string, least int, most int, values array<string>, optional boolean, part int, bit long")
+    # The rules are a fixed list, so they can be sent to every task. Values that are there meet them by place; what is missing is told by the bits.
+    must = table.where("name IS NOT NULL AND NOT optional")
+    every = rows.select("doc", "path", "place", "type", "text", "size").join(F.broadcast(table.select("place", *columns)), "place").select("doc", "path", *columns, "type", "text", "size")
+    no, nothing = F.lit(0).cast("long"), F.lit(None).cast("string")
+    wanted = rows.where("type = 'OBJECT'").join(F.broadcast(must.groupBy("asked_in", "part").agg(F.bit_or("bit").alias("want"))), rows.place == F.col("asked_in")).select("doc", "path", "part", "asked_in", "want", no.alias("have"))
+    there = rows.where("key IS NOT NULL").join(F.broadcast(must.select("place", "part", "bit")), "place").select("doc", F.col("above").alias("path"), "part", F.col("above_place").alias("asked_in"), no.alias("want"), F.col("bit").alias("have"))
+    lacking = wanted.unionByName(there).groupBy("doc", "path", "part", "asked_in").agg(F.bit_or("want").alias("want"), F.bit_or("have").alias("have")).where("want & ~have <> 0")
+    missing = lacking.join(F.broadcast(must), ["asked_in", "part"]).where("want & ~have & bit <> 0").withColumn("path", F.concat("path", F.lit("."), "name"))
+    every = every.unionByName(missing.select("doc", "path", *columns, nothing.alias("type"), nothing.alias("text"), F.lit(None).cast("int").alias("size")))
     kind, of, text, size = F.col("kind"), F.coalesce("type", F.lit("NONE")), F.col("text"), F.col("size")
     number = of.isin("INTEGER", "NUMBER")
     good = (

@@ -84,3 +84,20 @@ def test_differences(spark):
     found = variants.compared(one, two, (r"\$\.meta\.generated_at",))
     assert {r.path: (r.before, r.after) for r in found.collect()} == {"$.gone": ("VOID null", None), "$.list[1]": ("NUMBER 2", "NUMBER 2.5"), "$.list[3]": (None, "OBJECT"), '$.meta."odd key"[1].x': ("ARRAY", "OBJECT")}
     assert [tuple(r) for r in variants.first_difference(found).collect()] == [("d", "$.gone", 4)]
+
+
+def test_rules_meet_values_by_place_and_only_bits_are_shuffled(spark):
+    """More than 60 rules of one object, missing and null and optional ones; no join deals the values anew."""
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    rules = [contracts.Rule("$", "object"), *contracts.each("$", "integer", *(f"n{k}" for k in range(130))), *contracts.each("$.in", "integer", "x"), *contracts.each("$", "string", "may", optional=True)]
+    texts = [(1, json.dumps({f"n{k}": k for k in range(130) if k not in (0, 59, 60, 129)} | {"n5": None, "in": {}})), (2, json.dumps({f"n{k}": 1 for k in range(130)} | {"may": 3})), (3, "no JSON"), (4, "{}")]
+    rows = variants.unfolded(variants.documents(spark.createDataFrame(texts, "doc long, text string")))
+    found = contracts.problems(rows, rules)
+    integer = "must be an integer"
+    expected = {(1, f"$.n{k}", integer) for k in (0, 5, 59, 60, 129)} | {(1, "$.in.x", integer), (2, "$.may", "must be a non-empty string"), (3, "$", "must be an object")} | {(4, f"$.n{k}", integer) for k in range(130)}
+    assert {tuple(r) for r in found.collect()} == expected
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in contracts.problems(rows, rules)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
