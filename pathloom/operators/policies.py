@@ -35,9 +35,13 @@ def merged_tags(rows: DataFrame, keys: list[str], tags: str = "tags") -> DataFra
 def onto_edges(selectors: DataFrame, rules: DataFrame, edges: DataFrame) -> DataFrame:
     """(a, b, tags, conflicts) of every edge (a, b, tags) with the tags of the rules (id, tags) that select it."""
     given = selectors.join(rules.select("id", "tags"), "id").select("a", "b", "tags")
-    out = merged_tags(edges.select("a", "b", "tags").unionByName(given.join(edges.select("a", "b"), ["a", "b"], "left_semi")), ["a", "b"])
-    none = F.map_from_arrays(F.array(), F.array()).cast("map<string,string>")
-    return edges.select("a", "b").join(out, ["a", "b"], "left").select("a", "b", F.coalesce("tags", none).alias("tags"), F.coalesce("conflicts", F.array().cast("array<string>")).alias("conflicts"))
+    both = edges.select("a", "b", "tags", F.lit(1).alias("_n")).unionByName(given.withColumn("_n", F.lit(0)))
+    # Edges and what rules say of them meet once: equal tags of an edge are one, and a key that stands there twice has different values.
+    met = both.groupBy("a", "b").agg(F.flatten(F.collect_set(F.map_entries("tags"))).alias("_e"), F.sum("_n").cast("int").alias("_n")).where("_n > 0")
+    met = met.withColumn("_e", F.array_sort(F.array_distinct(F.filter("_e", lambda x: x["value"].isNotNull()))))
+    uses = lambda x: F.size(F.filter("_e", lambda y: y["key"] == x["key"]))
+    tags, conflicts = F.map_from_entries(F.filter("_e", lambda x: uses(x) == 1)), F.array_distinct(F.transform(F.filter("_e", lambda x: uses(x) > 1), lambda x: x["key"]))
+    return met.select("a", "b", tags.alias("tags"), conflicts.alias("conflicts"), F.explode(F.array_repeat(F.lit(1), F.col("_n"))).alias("_n")).drop("_n")
 
 
 def signature(tags: Column) -> Column:
