@@ -26,15 +26,17 @@ def edge_conflicts(parts: DataFrame) -> DataFrame:
     return zones.unionByName(values.where("n > 1").select("a", "b", F.concat(F.lit("conflicting "), "key").alias("problem")))
 
 
-def edges(parts: DataFrame, nodes: DataFrame) -> DataFrame:
+def edges(parts: DataFrame, nodes: DataFrame, checkpoint=lambda df: df) -> DataFrame:
     """(a, b, length_m, ways, way_names, highway_types, tags) of undirected edges from segments (way, a, b, zone, refs, tags) and nodes (id, lon, lat).
 
     Segments with an unknown end are left out, each other one counts its kind of way once. ``tags`` holds the zone, the union of all refs in order,
     and the policy of the segments. Where segments disagree it raises, with the first such edge.
+    ``checkpoint`` can store the segments with their ends, which are read for the disagreements, the sets and the counts.
     """
     at = nodes.select("id", "lon", "lat")
     keyed = parts.withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")})
     keyed = keyed.join(at.withColumnsRenamed({"id": "a", "lon": "lon1", "lat": "lat1"}), "a").join(at.withColumnsRenamed({"id": "b", "lon": "lon2", "lat": "lat2"}), "b")
+    keyed = checkpoint(keyed)
     first = edge_conflicts(keyed).orderBy("a", "b", "problem").first()
     if first is not None:
         raise ValueError(f"edge {first.a}-{first.b}: {first.problem}")

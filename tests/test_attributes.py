@@ -28,3 +28,10 @@ def test_attributes(spark):
     other = attributes.edges(spark.createDataFrame([*PARTS[:3], (9, 2, 3, "core", "r9", {})], COLUMNS), nodes)
     with pytest.raises(ValueError, match="contig 1"):
         attributes.contigs(steps, other, nodes)
+
+
+def test_edges_are_stored_once(spark):
+    parts = spark.createDataFrame([(1, 1, 2, "z", "r1", {"highway": "path"}), (2, 2, 1, "z", "r2", {"highway": "path"})], "way long, a long, b long, zone string, refs string, tags map<string,string>")
+    nodes, stored = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 1.0)], "id long, lon double, lat double"), []
+    out = attributes.edges(parts, nodes, checkpoint=lambda df: stored.append(df) or df.localCheckpoint()).collect()
+    assert len(stored) == 1 and [(r.a, r.b, r.ways, r.highway_types) for r in out] == [(1, 2, [1, 2], {"path": 2})]
