@@ -15,15 +15,14 @@ def documents(texts: DataFrame) -> DataFrame:
 
 def _kind(value: Column) -> Column:
     """OBJECT, ARRAY, STRING, BOOLEAN, VOID, INTEGER or NUMBER; null for a null value."""
-    name = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    name = F.substring_index(F.substring_index(F.schema_of_variant(value), "(", 1), "<", 1)
     return F.when(name.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "INTEGER").when(name.isin("DECIMAL", "DOUBLE", "FLOAT"), "NUMBER").otherwise(name)
 
 
-def _text(value: Column, kind: Column) -> Column:
-    """A scalar's text: strings as they are, equal numbers alike however they are written, null for containers."""
-    number = F.try_variant_get(value, "$", "double")
+def _text(value: Column, kind: Column, number: Column) -> Column:
+    """A scalar's text: strings as they are, equal numbers alike however they are written, null for containers; ``number``: the value of a NUMBER."""
     whole = (number == F.floor(number)) & (F.abs(number) < float(1 << 53))
-    return F.when(kind == "STRING", F.try_variant_get(value, "$", "string")).when(kind == "NUMBER", F.when(whole, number.cast("long").cast("string")).otherwise(number.cast("string"))).when(~kind.isin("OBJECT", "ARRAY"), F.to_json(value))
+    return F.when(kind == "STRING", F.try_variant_get(value, "$", "string")).when(kind == "NUMBER", F.when(whole, number.cast("long").cast("string")).otherwise(number.cast("string"))).when(kind.isin("INTEGER", "BOOLEAN"), F.try_variant_get(value, "$", "string")).when(~kind.isin("OBJECT", "ARRAY"), F.to_json(value))
 
 
 def _step(key: Column) -> Column:
@@ -44,7 +43,9 @@ def unfolded(docs: DataFrame, checkpoint=lambda df: df.checkpoint()) -> DataFram
         level = level.withColumn("type", _kind(F.col("value")))
         parts = F.coalesce(F.try_variant_get("value", "$", "array<variant>"), F.map_values(F.try_variant_get("value", "$", "map<string,variant>")))
         size = F.when(F.col("type").isin("OBJECT", "ARRAY"), F.coalesce(F.size(parts), F.lit(0)))
-        level = checkpoint(level.withColumn("text", _text(F.col("value"), F.col("type"))).withColumn("size", size))
+        # Read once, as a column: the text needs it in four places.
+        level = level.withColumn("number", F.when(F.col("type") == "NUMBER", F.try_variant_get("value", "$", "double")))
+        level = checkpoint(level.withColumn("text", _text(F.col("value"), F.col("type"), F.col("number"))).withColumn("size", size).drop("number"))
         rows = level.select(*ROW)
         out = rows if out is None else out.unionByName(rows)
         inner = level.where("size > 0")
@@ -74,6 +75,60 @@ def compared(before: DataFrame, after: DataFrame, volatile: tuple[str, ...] = ()
     return both.where(~F.col("before").eqNullSafe(F.col("after")))
 
 
+def paired(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(doc, before, after) of two sets of documents (doc, value): each side a struct of the value, null where a set lacks the document."""
+    side = lambda docs, name: docs.select("doc", F.struct("value").alias(name))
+    return side(before, "before").join(side(after, "after"), "doc", "full")
+
+
+#: Levels that one pass goes down before its rows are stored.
+LEVELS = 3
+
+
+def changes(pairs: DataFrame, volatile: tuple[str, ...] = (), checkpoint=lambda df: df.checkpoint()) -> DataFrame:
+    """What ``compared`` says of the unfolded documents, from ``paired`` ones with a row for each document.
+
+    Both values go down ``LEVELS`` levels in one pass and meet by path where their document lies, so that no leaves are dealt anew; only what differs, or is open below, is stored.
+    """
+    spark = pairs.sparkSession
+    side = lambda after, name: F.struct(F.lit(after).alias("late"), F.col(name).isNotNull().alias("there"), F.col(f"{name}.value").alias("value"))
+    rows = pairs.select("doc", F.lit("$").alias("path"), F.lit("$").alias("place"), F.inline(F.array(side(False, "before"), side(True, "after")))).where("there").drop("there")
+    out = None
+
+    def steady(rows, known=F.lit(False)):
+        for p in volatile:
+            rows = rows.where(known | ~F.col("place").rlike(f"^(?:{p})(?:$|[.\\[])"))
+        return rows
+
+    rows = steady(rows)
+    while True:
+        for _ in range(LEVELS):
+            # A value without parts comes through as it is.
+            each = rows.withColumnRenamed("value", "whole").lateralJoin(spark.tvf.variant_explode_outer(F.col("whole").outer()))
+            own = F.col("pos").isNull()
+            to = lambda index: F.when(F.col("key").isNotNull(), _step(F.col("key"))).otherwise(index)
+            rows = steady(each.select(
+                "doc", "late", F.when(own, F.col("path")).otherwise(F.concat("path", to(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))))).alias("path"),
+                F.when(own, F.col("place")).otherwise(F.concat("place", to(F.lit("[*]")))).alias("place"), F.when(own, F.col("whole")).otherwise(F.col("value")).alias("value"), own.alias("own")), F.col("own")).drop("own")
+        rows = rows.withColumn("type", _kind(F.col("value")))
+        rows = rows.withColumn("number", F.when(F.col("type") == "NUMBER", F.try_variant_get("value", "$", "double")))
+        sized = lambda kind: F.try_variant_get("value", "$", kind)
+        rows = rows.withColumn("open", F.when(F.col("type") == "OBJECT", F.array_size(F.map_keys(sized("map<string,variant>"))) > 0).when(F.col("type") == "ARRAY", F.array_size(sized("array<variant>")) > 0).otherwise(False))
+        kind = F.when(F.col("type").isin("INTEGER", "NUMBER"), "NUMBER").otherwise(F.coalesce("type", F.lit("NONE")))
+        rows = rows.withColumn("text", F.when(~F.col("open"), F.concat_ws(" ", kind, _text(F.col("value"), F.col("type"), F.col("number")))))
+        of = lambda late, column: F.when(F.col("late") == late, F.col(column))
+        part = lambda late: F.first(F.when(F.col("open"), of(late, "value")), True)
+        met = rows.groupBy("doc", "path").agg(
+            F.max(of(False, "text")).alias("before"), F.max(of(True, "text")).alias("after"), F.first(F.when(F.col("open"), F.col("place")), True).alias("place"), part(False).alias("b"), part(True).alias("a"))
+        met = checkpoint(met.where("place IS NOT NULL OR NOT (before <=> after)"))
+        found = met.where("NOT (before <=> after)").select("doc", "path", "before", "after")
+        out = found if out is None else out.unionByName(found)
+        rest = met.where("place IS NOT NULL")
+        if rest.isEmpty():
+            return out
+        rows = rest.select("doc", "path", "place", F.inline(F.array(*[F.struct(F.lit(late).alias("late"), F.col(v).alias("value")) for late, v in ((False, "b"), (True, "a"))]))).where("value IS NOT NULL")
+
+
 def first_difference(differences: DataFrame) -> DataFrame:
     """(doc, path, n) of documents that differ: the least differing path and how many there are."""
     return differences.groupBy("doc").agg(F.min("path").alias("path"), F.count("*").alias("n"))

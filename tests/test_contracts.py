@@ -101,3 +101,21 @@ def test_rules_meet_values_by_place_and_only_bits_are_shuffled(spark):
         assert "SortMergeJoin" not in contracts.problems(rows, rules)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_pairs_say_what_leaves_say(spark):
+    """Documents side by side differ as their unfolded leaves do, also below the levels of one pass, and without a table of leaves."""
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    one = ['{"a":{"b":[1,{"c":[{"d":{"e":[1,2,{}]}}]}]},"v":{"x":1}}', '{"n":1.50,"s":"1","t":null,"u":true}', '{"x":5,"y":{},"z":[]}', "no JSON", "[1,2]", '"only here"', '{"same":[{"k":1e0}]}', '{"odd key":{"a\\"b":1}}']
+    two = ['{"a":{"b":[1,{"c":[{"d":{"e":[1,3,[]],"f":{"g":{"h":0}}}}]}]},"v":{"x":2}}', '{"n":1.5,"s":1,"u":false}', '{"x":{"p":[7]},"y":[],"z":[[]]}', "{}", '{"0":1}', None, '{"same":[{"k":1}]}', '{"odd key":{"a\\"b":2}}']
+    before, after = (variants.documents(spark.createDataFrame([(k, t) for k, t in enumerate(texts) if t is not None], "doc long, text string")) for texts in (one, two))
+    skipped = (r"\$\.v",)
+    stored = []
+
+    def checkpoint(df):
+        stored.append(df.checkpoint())
+        return stored[-1]
+
+    found = sorted(map(tuple, variants.changes(variants.paired(before, after), skipped, checkpoint).collect()), key=str)
+    assert found == sorted(map(tuple, variants.compared(variants.unfolded(before), variants.unfolded(after), skipped).collect()), key=str)
+    assert {d for d, *_ in found} == {0, 1, 2, 3, 4, 5, 7} and len(stored) == 3 and stored[0].count() < 25
