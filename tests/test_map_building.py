@@ -125,3 +125,28 @@ def test_contigs_against_a_walk(spark):
     out = [(r.node_ids, r.is_cycle) for r in sorted(contigs.records(steps, df).collect())]
     assert out == walked(edges, kind)
     assert all(r.length_m == 1.5 * r.segments for r in contigs.records(steps, df).collect())
+
+
+def test_edges_between_crossings_are_not_walked(spark):
+    """Of a network of crossings only the edges and their numbers are stored, not places along chains."""
+    ready(spark)
+    df = spark.createDataFrame([(a, b, 2.0, [b, a, b]) for a in range(9) for b in range(a + 1, 9)], "a long, b long, length_m double, ways array<long>")
+    stored = []
+
+    def checkpoint(table):
+        stored.append(table.checkpoint())
+        return stored[-1]
+
+    found = sorted(contigs.laid(df, checkpoint=checkpoint).collect())
+    assert [(r.contig, r.node_ids, r.segments, r.length_m, r.is_cycle, r.way_ids) for r in found] == [(k, [a, b], 1, 2.0, False, [a, b]) for k, (a, b) in enumerate(((a, b) for a in range(9) for b in range(a + 1, 9)), 1)]
+    assert sum(t.count() for t in stored) == 36
+
+
+def test_long_contigs_beside_edges_between_crossings(spark):
+    """A loop at a crossing and a cycle without one keep their order, lengths and ways."""
+    ready(spark)
+    edges = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3), (3, 20), (20, 21), (21, 22), (3, 22), (70, 71), (71, 72), (70, 72)]
+    df = spark.createDataFrame([(a, b, a + b + 0.25, [b, a]) for a, b in edges], "a long, b long, length_m double, ways array<long>")
+    found = [(r.contig, r.node_ids, r.segments, r.length_m, r.is_cycle, r.way_ids) for r in sorted(contigs.laid(df).collect())]
+    short = [(k, [a, b], 1, a + b + 0.25, False, [a, b]) for k, (a, b) in enumerate(edges[:6], 1)]
+    assert found == [*short, (7, [3, 20, 21, 22, 3], 4, 133.0, False, [3, 20, 21, 22]), (8, [70, 71, 72, 70], 3, 426.75, True, [70, 71, 72])]
