@@ -9,19 +9,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .network import components
+from .network import components, sent
 
 
 def _levels(edges: DataFrame, roots: DataFrame, checkpoint) -> list[DataFrame]:
     """(node, parent) of each depth. What a level meets lies in the two levels before it, so only these are left out."""
     both = checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     levels = [checkpoint(roots.select("node", F.lit(None).cast("long").alias("parent")))]
+    n = levels[0].count()
     while True:
-        met = levels[-1].select(F.col("node").alias("a")).join(both, "a").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent"))
+        met = sent(levels[-1].select(F.col("node").alias("a")), n).join(both, "a").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent"))
         for known in levels[-2:]:
             met = met.join(known.select("node"), "node", "left_anti")
         met = checkpoint(met)
-        if met.isEmpty():
+        n = met.count()
+        if not n:
             return levels
         levels.append(met)
 
@@ -51,7 +53,7 @@ def _numbered(levels: list[DataFrame], checkpoint) -> list[DataFrame]:
 def blocks(edges: DataFrame, checkpoint=lambda df: df.checkpoint()) -> DataFrame:
     """(block, node) of edges (a, b): a node is in each block that it belongs to; loops and repeated edges count nothing."""
     edges = checkpoint(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    roots = components(edges, checkpoint=checkpoint).where("node = label")
+    roots = components(edges, checkpoint=checkpoint, stored=True).where("node = label")
     levels = _numbered(_levels(edges, roots, checkpoint), checkpoint)
     forest = levels[0].withColumn("depth", F.lit(0))
     for k, level in enumerate(levels[1:], 1):
@@ -74,7 +76,9 @@ def blocks(edges: DataFrame, checkpoint=lambda df: df.checkpoint()) -> DataFrame
         whole = whole.unionByName(level)
     above = forest.where("parent IS NOT NULL").select(F.col("node").alias("parent"), F.col("pre").alias("_pre"), F.col("size").alias("_size"))
     leaves = whole.join(above, "parent").where("low < _pre OR high >= _pre + _size").select(F.col("parent").alias("a"), F.col("node").alias("b"))
-    labels = components(across.select("a", "b").unionByName(leaves), checkpoint=checkpoint)
+    # Edges of the forest are none of those across.
+    linked = across.select("a", "b").unionByName(checkpoint(leaves.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
+    labels = components(linked, checkpoint=checkpoint, stored=True)
     named = forest.where("parent IS NOT NULL").join(labels, "node", "left").select(F.coalesce("label", "node").alias("block"), F.explode(F.array("node", "parent")).alias("node"))
     return named.distinct()
 

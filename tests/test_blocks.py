@@ -34,5 +34,20 @@ def test_against_removal(spark, seed):
     assert found[52].blocks == 2 and found[53].blocks == 1
 
 
+def test_edges_are_stored_once(spark):
+    """Of the tables that are stored, few have a row for each edge: no step stores the same edges again."""
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    stored = []
+
+    def checkpoint(table):
+        stored.append(table.checkpoint())
+        return stored[-1]
+
+    ring = [(k, (k + j) % 24) for k in range(24) for j in (1, 2, 3, 4, 5)]
+    found = blocks.articulation(spark.createDataFrame(ring, "a long, b long"), checkpoint=checkpoint).collect()
+    assert len(found) == 24 and all(r.blocks == 1 and not r.articulation for r in found)
+    assert sum(t.count() == 120 for t in stored) == 1
+
+
 def test_no_edges(spark):
     assert blocks.articulation(spark.createDataFrame([], "a long, b long")).isEmpty()
