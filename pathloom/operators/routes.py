@@ -1,7 +1,6 @@
 """Route candidates: measures, ranking, families, overlap, selection."""
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,45 +46,34 @@ def overlaps(steps: DataFrame, tasks: int | None = None) -> DataFrame:
     return shared.join(sizes.select(F.col("run").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("run").alias("b"), F.col("n").alias("nb")), "b").select("scenario", "a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"))
 
 
-def diverse(runs: DataFrame, per_scenario: int, window: int = 36) -> DataFrame:
+def diverse(runs: DataFrame, per_scenario: int, window: int | None = 36) -> DataFrame:
     """Greedy choice of runs (scenario, run, quality, distinct_length, overlap, total, items): the best, then those far from the ones chosen before.
 
-    Scenarios are independent and each brings at most its best ``window`` runs (or ``per_scenario``, if more), so a group is bounded.
+    ``window`` keeps the choice to the best so many runs of a scenario (or ``per_scenario``, if more); with None all of them take part. Each choice is a
+    window over the scenario, so its runs need not fit in memory, and all share one shuffle. A null counts as no number, and comes last.
     """
-    most = max(window, per_scenario)
-    best = runs.withColumn("_r", F.row_number().over(W.partitionBy("scenario").orderBy(F.desc("quality"), "run"))).where(F.col("_r") <= most).drop("_r")
-
-    nan = float("nan")
-
-    def chosen_of(listed):
-        """The runs chosen, in order of quality. A null counts as no number."""
-        listed = sorted(listed, key=lambda r: (r["quality"] is None, -(r["quality"] or 0.0), r["run"]))
-        told = [[nan if r[c] is None else r[c] for c in ("quality", "distinct_length", "overlap", "total")] for r in listed]
-        q, u = (max((t[k] for t in told if t[k] == t[k]), default=nan) or 1.0 for k in (0, 1))
-        parts = [(1.2 * t[0] / q, 0.6 * t[1] / u, 0.8 * t[2] / max(1.0, t[3])) for t in told]
-        sets = [set(r["items"]) for r in listed]
-        far, chosen, left = [1.0] * len(listed), [0], list(range(1, len(listed)))
-        while left and len(chosen) < per_scenario:
-            last = sets[chosen[-1]]
-            for i in left:
-                either = len(sets[i] | last)
-                far[i] = min(far[i], 1 - (len(sets[i] & last) / either if either else 1))
-            best = max(left, key=lambda i: (2.4 * far[i] + parts[i][0] + parts[i][1] - parts[i][2], -i))
-            chosen.append(best)
-            left.remove(best)
-        return [(listed[i]["run"], listed[i]["quality"], place) for place, i in enumerate(sorted(chosen), 1)]
-
-    def choose(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                out = [(key, *row) for key, listed in zip(some.column("scenario").to_pylist(), some.column("listed").to_pylist(), strict=True) for row in chosen_of(listed)]
-                yield pa.RecordBatch.from_arrays([pa.array([row[k] for row in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["scenario", "run", "quality", "place"])
-
-    # Many scenarios go to Python in one batch: a call for each of them costs more than the choice.
-    number = lambda c: F.col(c).cast("double").alias(c)
-    listed = best.groupBy("scenario").agg(F.collect_list(F.struct("run", *map(number, ("quality", "distinct_length", "overlap", "total")), "items")).alias("listed"))
-    return listed.mapInArrow(choose, "scenario long, run long, quality double, place long")
+    by = W.partitionBy("scenario")
+    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c)
+    told = runs.select("scenario", "run", *map(number, ("quality", "distinct_length", "overlap", "total")), F.coalesce("items", F.array().cast(dict(runs.dtypes)["items"])).alias("items"))
+    told = told.withColumn("_r", F.row_number().over(by.orderBy(F.desc_nulls_last("quality"), "run")))
+    if window is not None:
+        told = told.where(F.col("_r") <= max(window, per_scenario))
+    most = lambda c: F.max(c).over(by).alias(f"_{c}")
+    ratio = lambda share, c, of: F.lit(share) * F.col(c) / of
+    told = told.select("*", most("quality"), most("distinct_length"))
+    told = told.withColumns({f"_p{k}": ratio(share, c, F.when(F.col(f"_{c}") == 0, 1.0).otherwise(F.col(f"_{c}"))) for k, (share, c) in enumerate(((1.2, "quality"), (0.6, "distinct_length")))})
+    told = told.withColumns({"_p2": ratio(0.8, "overlap", F.when(F.col("total") > 1.0, F.col("total")).otherwise(1.0)), "_far": F.lit(1.0), "_chosen": F.col("_r") == 1}).drop("_quality", "_distinct_length")
+    told = told.withColumn("_last", F.max(F.when(F.col("_chosen"), F.struct("_r", "items"))).over(by))
+    for _ in range(1, per_scenario):
+        either = F.size(F.array_union("items", F.col("_last.items")))
+        like = F.when(either > 0, F.size(F.array_intersect("items", F.col("_last.items"))) / either).otherwise(1.0)
+        told = told.withColumn("_far", F.least("_far", 1 - like))
+        score = 2.4 * F.col("_far") + F.col("_p0") + F.col("_p1") - F.col("_p2")
+        told = told.withColumn("_next", F.when(~F.col("_chosen"), F.struct(score.alias("score"), (-F.col("_r")).alias("back"), "items")))
+        told = told.withColumn("_best", F.max("_next").over(by))
+        told = told.withColumns({"_chosen": F.col("_chosen") | F.coalesce(-F.col("_r") == F.col("_best.back"), F.lit(False)), "_last": F.struct(F.col("_best.back").alias("_r"), F.col("_best.items").alias("items"))})
+    place = F.row_number().over(by.orderBy("_r")).cast("long").alias("place")
+    return told.where("_chosen").select("scenario", "run", "quality", place)
 
 
 #: So many walks, of some kB at most, are sent to every task.
