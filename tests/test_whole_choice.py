@@ -18,3 +18,11 @@ def test_nulls_and_empty_sets_in_a_choice(spark):
     frame = spark.createDataFrame(rows, "scenario long, run long, quality double, distinct_length double, overlap double, total double, items array<long>")
     found = sorted((r.scenario, r.place, r.run) for r in routes.diverse(frame, 3, window=None).collect())
     assert found == [(1, 1, 1), (1, 2, 4), (1, 3, 2), (2, 1, 8), (2, 2, 9)]
+
+
+def test_junctions_are_bound_to_any_node(spark, tmp_path):
+    """The nearest node of the junction has a number that three divides; it has a way."""
+    spark.createDataFrame([(0,)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame([(0, 1), (1, 1), (2, 1)], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(7, 1, 0), (7, 2, 1), (7, 3, 2)], "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert [(r.id, r.node, r.incident) for r in catalogue.QUERIES["junction_bindings"](spark, str(tmp_path)).collect()] == [(0, 0, "0-1")]
