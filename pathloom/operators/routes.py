@@ -1,6 +1,7 @@
 """Route candidates: measures, ranking, families, overlap, selection."""
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -203,18 +204,29 @@ def diverse_pool(runs: DataFrame, size: int, window: int = 12) -> DataFrame:
     A scenario brings its best ``window`` runs (or ``size``, if more), so a group is bounded. Runs without items are alike.
     """
 
-    def choose(pdf):
-        pdf = pdf.sort_values("rank").reset_index(drop=True)
-        sets, scores = [set(x) for x in pdf["items"]], list(pdf["score"])
+    def chosen_of(listed):
+        """Of one scenario's runs (rank, run, score, items) in order."""
+        sets, scores = [set(r["items"]) for r in listed], [float("nan") if r["score"] is None else r["score"] for r in listed]
         like = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] | sets[j] else 1.0
-        chosen, left = [0], list(range(1, len(pdf)))
+        chosen, left, far = [0], list(range(1, len(listed))), [1.0] * len(listed)
         while left and len(chosen) < size:
-            best = max(left, key=lambda i: (min(1 - like(i, j) for j in chosen), scores[i], -i))
+            for i in left:
+                far[i] = min(far[i], 1 - like(i, chosen[-1]))
+            best = max(left, key=lambda i: (far[i], scores[i], -i))
             chosen.append(best)
             left.remove(best)
-        return pdf.iloc[chosen][["scenario", "run"]].assign(place=range(1, len(chosen) + 1))
-
-    return runs.where(F.col("rank") <= max(size, window)).select("scenario", "run", "rank", "score", "items").groupBy("scenario").applyInPandas(choose, "scenario long, run long, place long")
+        return [(listed[i]["run"], place) for place, i in enumerate(chosen, 1)]
+
+    def choose(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                out = [(key, *row) for key, listed in zip(some.column("scenario").to_pylist(), some.column("listed").to_pylist(), strict=True) for row in chosen_of(listed)]
+                yield pa.RecordBatch.from_arrays([pa.array([row[k] for row in out], pa.int64()) for k in range(3)], names=["scenario", "run", "place"])
+
+    # Many scenarios go to Python in one batch: a call for each of them costs more than the choice.
+    listed = runs.where(F.col("rank") <= max(size, window)).groupBy("scenario").agg(F.array_sort(F.collect_list(F.struct("rank", "run", "score", "items"))).alias("listed"))
+    return listed.select(F.col("scenario").cast("long").alias("scenario"), "listed").mapInArrow(choose, "scenario long, run long, place long")
 
 
 #: How like a driven route a new one may be, and what a route that was driven exactly so costs.
