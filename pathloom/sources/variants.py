@@ -210,3 +210,45 @@ def canonical(rows: DataFrame, checkpoint=lambda df: df.checkpoint()) -> DataFra
         full = upper.where("size > 0").join(parts, ["doc", "path"], "left").withColumn("json", F.when(F.col("inner").isNotNull(), whole).otherwise(F.col("json"))).select(*told.columns)
         ready = checkpoint(upper.where("size IS NULL OR size = 0").unionByName(full))
     return ready.where("path = '$'").select("doc", F.col("json").alias("text"))
+
+
+#: Levels below a document's own that ``texts`` goes down where the document lies.
+DEPTH = 4
+
+
+def _written(value: Column, levels: int) -> Column:
+    """The canonical text of a value whose parts go ``levels`` deep at most; null for one that goes deeper."""
+
+    def scalar(kind: Column) -> Column:
+        number = F.when(kind == "NUMBER", F.try_variant_get(value, "$", "double"))
+        return _let(_text(value, kind, number), lambda text: F.when(kind == "STRING", _quoted(text)).when(kind == "NUMBER", _decimal(text)).otherwise(F.coalesce(text, F.lit("null"))))
+
+    def whole(kind: Column) -> Column:
+        items = F.try_variant_get(value, "$", "array<variant>")
+        entries = F.when(kind == "ARRAY", F.transform(items, lambda v: F.struct(F.lit(None).cast("string").alias("key"), v.alias("value")))).otherwise(F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")))
+        ends = lambda inner: F.when(kind == "OBJECT", F.concat(F.lit("{"), inner, F.lit("}"))).otherwise(F.concat(F.lit("["), inner, F.lit("]")))
+        if not levels:
+            return F.when(F.size(entries) == 0, ends(F.lit("")))
+
+        def part(x: Column, k: Column) -> Column:
+            name = F.when(x["key"].isNull(), "").otherwise(F.concat(_quoted(x["key"]), F.lit(":")))
+            return F.struct(F.when(x["key"].isNull(), k).alias("at"), x["key"].alias("key"), F.concat(name, _written(x["value"], levels - 1)).alias("j"))
+
+        return _let(F.transform(entries, part), lambda parts: F.when(~F.exists(parts, lambda x: x["j"].isNull()), ends(F.array_join(F.transform(F.array_sort(parts), lambda x: x["j"]), ","))))
+
+    return _let(_kind(value), lambda kind: F.when(kind.isin("OBJECT", "ARRAY"), whole(kind)).otherwise(scalar(kind)))
+
+
+def texts(docs: DataFrame, told=lambda text: text, checkpoint=lambda df: df.checkpoint()) -> DataFrame:
+    """(doc, text): ``canonical`` of documents (doc, value), each written where it lies, so that no parts are stored or dealt; those deeper than DEPTH levels go the way of ``unfolded``.
+
+    ``told`` is what is kept of a text, such as its digest: only that is stored.
+    """
+    # What is no document has the text of a null.
+    found = docs.select("doc", "value", F.when(F.col("value").isNull(), "null").otherwise(_written(F.col("value"), DEPTH)).alias("text"))
+    stored = checkpoint(found.select("doc", told(F.col("text")).alias("text"), F.when(F.col("text").isNull(), F.col("value")).alias("value")))
+    deep = stored.where("value IS NOT NULL")
+    near = stored.where("value IS NULL").select("doc", "text")
+    if deep.isEmpty():
+        return near
+    return near.unionByName(canonical(unfolded(deep.select("doc", "value"), checkpoint), checkpoint).select("doc", told(F.col("text")).alias("text")))
